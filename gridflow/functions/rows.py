@@ -83,15 +83,16 @@ def weighted_quantile(values: Column, weights: Column, q: float) -> Column:
     """Smallest value whose cumulative weight reaches the share `q` of all weight."""
     if not 0 <= q <= 1:
         raise ValueError("quantile must lie between 0 and 1")
-    ordered = F.array_sort(F.arrays_zip(values.alias("v"), weights.alias("w")))
+    pairs = F.zip_with(values, weights, lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+    ordered = F.array_sort(pairs)
     total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
     start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("hit"))
 
     def step(state, item):
-        cum = state["cum"] + item[1]
+        cum = state["cum"] + item["w"]
         reached = state["hit"].isNull() & (cum / total >= F.lit(float(q)))
         return F.struct(
-            cum.alias("cum"), F.when(reached, item[0]).otherwise(state["hit"]).alias("hit")
+            cum.alias("cum"), F.when(reached, item["v"]).otherwise(state["hit"]).alias("hit")
         )
 
     return F.aggregate(ordered, start, step, lambda state: state["hit"])
