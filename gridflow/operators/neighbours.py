@@ -393,20 +393,20 @@ def distance_sums(
         n_base = max(1, -(-rows.count() // BLOCK_ROWS))
 
         def place(df, own, n_own, other, n_other):
+            # the group is written down before rows are repeated, so it is drawn once
             group = F.pmod(F.monotonically_increasing_id(), F.lit(n_own))
+            placed = stored(df.select("_x", "_tag", group.alias(own)), "pairs")
             numbers = F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<bigint>")
-            return df.select("_x", "_tag", group.alias(own), F.explode(numbers).alias(other))
+            return placed.withColumn(other, F.explode(numbers))
 
         def per_tile(q, b):
             q_tag = q["_tag"].to_numpy(dtype=np.int64) if tagged else None
             b_tag = b["_tag"].to_numpy(dtype=np.int64) if tagged else None
             return add_up(points(q["_x"]), q_tag, points(b["_x"]), b_tag)
 
-        left = stored(place(queries, "_i", n_query, "_j", n_base), "left")
-        right = stored(place(rows, "_j", n_base, "_i", n_query), "right")
-        sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(
-            per_tile, schema
-        )
+        left = place(queries, "_i", n_query, "_j", n_base).groupBy("_i", "_j")
+        right = place(rows, "_j", n_base, "_i", n_query).groupBy("_i", "_j")
+        sums = left.cogroup(right).applyInPandas(per_tile, schema)
     row = sums.agg(F.sum("total"), F.sum("positive"), F.sum("pairs")).first()
     return float(row[0] or 0.0), int(row[1] or 0), int(row[2] or 0)
 
