@@ -11,7 +11,7 @@ from gridflow.operators.neighbours import (
     with_neighbours,
 )
 from gridflow.operators.sampling import exact_quantiles
-from gridflow.schema import col
+from gridflow.schema import col, complete
 from gridflow.session import BROADCAST_BYTES, stored
 
 # Multiples of the spread in the cut rules.
@@ -109,7 +109,7 @@ def area_of_applicability(
         if drop_zeros:
             train = train.where(col(y) > 0)
     keep = [col(train_id)] + ([col(fold_col)] if fold_col else [])
-    train = train.na.drop("any", subset=features).select(
+    train = complete(train, features).select(
         *keep, *[c.alias(n) for n, c in weighted.items()]
     )
     train = stored(train, "train")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridflow.functions.columns import sentinel_to_null
 from gridflow.operators.prepare import grid_mean
-from gridflow.schema import KEYS, col
+from gridflow.schema import KEYS, col, complete
 
 
 def join_obs_env(
@@ -29,7 +29,7 @@ def join_env(
     for name in text:
         if name in env.columns:
             env = env.withColumn(name, sentinel_to_null(col(name), ""))
-    return pred.join(env, on, "inner").na.drop("any")
+    return complete(pred.join(env, on, "inner"))
 
 
 def align_env(frames: dict[str, DataFrame], on: list[str] = KEYS) -> DataFrame:
@@ -42,11 +42,16 @@ def align_env(frames: dict[str, DataFrame], on: list[str] = KEYS) -> DataFrame:
     union = reduce(
         lambda a, b: a.unionByName(b),
         [
-            df.select(*on, F.lit(i).alias("_grid"), col(n).cast("double").alias("_value"))
+            df.select(
+                *on,
+                F.lit(i).alias("_grid"),
+                F.lit(1 << i).cast("long").alias("_bit"),
+                col(n).cast("double").alias("_value"),
+            )
             for i, (n, df) in enumerate(frames.items())
         ],
     )
-    present = F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("_grid")))
+    present = F.bit_or("_bit")
     columns = [
         F.max(F.when(F.col("_grid") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)
     ]

@@ -41,7 +41,7 @@ from gridflow.functions.columns import log_forward, log_inverse, presence_label
 from gridflow.functions.rows import row_mean
 from gridflow.operators.neighbours import Space, with_neighbours
 from gridflow.operators.sampling import bag_features, make_bags
-from gridflow.schema import col, require
+from gridflow.schema import col, complete, require
 from gridflow.session import BROADCAST_BYTES, fits_broadcast, scratch_path, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -552,7 +552,7 @@ def fit_neighbours(
         (col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"),
         *prep.names,
     )
-    rows = rows.na.drop("any", subset=prep.names)
+    rows = complete(rows, prep.names)
     if spec.bags:
         if weight:
             # a row drawn w times is w rows to draw from; copies get their own numbers
@@ -604,7 +604,7 @@ def fit_model(
     rows = rows.withColumn(LABEL, y)
     if spec.kind == "knn":
         return fit_neighbours(spec, rows, prep, ident, weight)
-    assembled = prep.assemble(rows.na.drop("any", subset=features))
+    assembled = prep.assemble(complete(rows, features))
     assembled = assembled.select(VECTOR, LABEL, *([weight] if weight else []))
     n = assembled.count() if _needs_count(spec) else 1
     width = len(prep.names)

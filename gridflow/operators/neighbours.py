@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridflow.functions import kernels
-from gridflow.schema import col
+from gridflow.schema import col, complete
 from gridflow.session import BROADCAST_BYTES, fits_broadcast, stored
 
 # tasks receive these modules with the job, so executors need no installed package
@@ -51,36 +51,23 @@ class Space:
     def tag(self) -> Column:
         return (col(self.exclude) if self.exclude else F.lit(None)).cast("bigint")
 
-    def complete(self, df: DataFrame) -> DataFrame:
-        return df.na.drop("any", subset=self.features)
-
     @property
     def row_bytes(self) -> int:
         return 8 * (len(self.features) + 3)
 
 
-@dataclass(frozen=True)
-class LocalBase:
-    """A base table inside the broadcast bound, sorted by id."""
-
-    ids: np.ndarray
-    values: np.ndarray
-    points: np.ndarray
-    tags: np.ndarray | None
-
-    @staticmethod
-    def of(rows: pd.DataFrame, width: int, tagged: bool) -> LocalBase:
-        rows = rows.sort_values("_id", kind="stable")
-        points = np.array(rows["_x"].tolist(), dtype=np.float64).reshape(-1, width)
-        tags = rows["_tag"].to_numpy(dtype=np.int64) if tagged else None
-        return LocalBase(
-            rows["_id"].to_numpy(dtype=np.int64), rows["_y"].to_numpy(dtype=np.float64), points, tags
-        )
+def local_arrays(rows: pd.DataFrame, width: int, tagged: bool):
+    """(ids, values, points, tags) of base rows, sorted by id."""
+    rows = rows.sort_values("_id", kind="stable")
+    points = np.array(rows["_x"].tolist(), dtype=np.float64).reshape(-1, width)
+    tags = rows["_tag"].to_numpy(dtype=np.int64) if tagged else None
+    ids = rows["_id"].to_numpy(dtype=np.int64)
+    return ids, rows["_y"].to_numpy(dtype=np.float64), points, tags
 
 
 def packed(df: DataFrame, space: Space, ident: str | None, value: str | None) -> DataFrame:
     """(_id, _x, _y, _tag) of the rows that have every feature."""
-    return space.complete(df).select(
+    return complete(df, space.features).select(
         (col(ident) if ident else F.lit(0)).cast("bigint").alias("_id"),
         space.vector().alias("_x"),
         (col(value) if value else F.lit(None)).cast("double").alias("_y"),
@@ -95,7 +82,7 @@ def local_base(
     rows = packed(base, space, ident, value)
     if not fits_broadcast(rows, space.row_bytes, limit):
         return None
-    local = LocalBase.of(rows.toPandas(), len(space.features), space.exclude is not None)
+    local = local_arrays(rows.toPandas(), len(space.features), space.exclude is not None)
     return base.sparkSession.sparkContext.broadcast(local)
 
 
@@ -122,11 +109,11 @@ def with_neighbours(
 
     @F.arrow_udf(NN_TYPE)
     def find(x: pa.Array, tag: pa.Array) -> pa.Array:
-        b = shared.value
+        ids, values, points, tags = shared.value
         q = kernels.matrix(x, width)
         q_tag = tag.to_numpy(zero_copy_only=False).astype(np.int64) if tagged else None
-        position, distance = kernels.nearest(q, b.points, k, p, q_tag, b.tags)
-        return _pack(distance, b.ids, b.values, position)
+        position, distance = kernels.nearest(q, points, k, p, q_tag, tags)
+        return _pack(distance, ids, values, position)
 
     whole = F.lit(True)
     for f in space.features:
@@ -276,17 +263,17 @@ def _top_k(routes: DataFrame, boxes: Boxes, space: Space, k: int) -> DataFrame:
     p, width, tagged = space.p, len(space.features), space.exclude is not None
 
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        local = LocalBase.of(b, width, tagged)
+        ids, values, base_points, tags = local_arrays(b, width, tagged)
         points = np.array(q["_qx"].tolist(), dtype=np.float64).reshape(-1, width)
         tag = q["_qtag"].to_numpy(dtype=np.int64) if tagged else None
-        position, distance = kernels.nearest(points, local.points, k, p, tag, local.tags)
+        position, distance = kernels.nearest(points, base_points, k, p, tag, tags)
         kept = np.isfinite(distance)
         return pd.DataFrame(
             {
                 "_qid": np.repeat(q["_qid"].to_numpy(), kept.sum(axis=1)),
                 "distance": distance[kept],
-                "id": local.ids[position][kept] if len(local.ids) else np.zeros(0, dtype=np.int64),
-                "value": local.values[position][kept] if len(local.ids) else np.zeros(0),
+                "id": ids[position][kept] if len(ids) else np.zeros(0, dtype=np.int64),
+                "value": values[position][kept] if len(ids) else np.zeros(0),
             }
         )
 
@@ -381,10 +368,10 @@ def distance_sums(
     if shared is not None:
 
         def per_batch(batches):
-            b = shared.value
+            _, _, base_points, tags = shared.value
             for rows in batches:
                 tag = rows["_tag"].to_numpy(dtype=np.int64) if tagged else None
-                yield add_up(points(rows["_x"]), tag, b.points, b.tags)
+                yield add_up(points(rows["_x"]), tag, base_points, tags)
 
         sums = queries.select("_x", "_tag").mapInPandas(per_batch, schema)
     else:
@@ -432,7 +419,7 @@ def with_count_within(
         def count(x: pa.Array) -> pa.Array:
             q = kernels.matrix(x, width)
             counts = np.zeros(len(q), dtype=np.int64)
-            for part, d in kernels.tiles(q, shared.value.points, p, None, None):
+            for part, d in kernels.tiles(q, shared.value[2], p, None, None):
                 counts[part] = (d < radius).sum(axis=1)
             return pa.array(counts)
 
@@ -457,10 +444,10 @@ def with_count_within(
         )
 
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        local = LocalBase.of(b, width, False)
+        base_points = local_arrays(b, width, False)[2]
         points = np.array(q["_qx"].tolist(), dtype=np.float64).reshape(-1, width)
         counts = np.zeros(len(points), dtype=np.int64)
-        for part, d in kernels.tiles(points, local.points, p, None, None):
+        for part, d in kernels.tiles(points, base_points, p, None, None):
             counts[part] = (d < radius).sum(axis=1)
         return pd.DataFrame({"_qid": q["_qid"], "n": counts})
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridflow.functions.columns import presence, standard_error
-from gridflow.schema import col, keys_of, numeric_columns, require
+from gridflow.schema import col, complete, keys_of, numeric_columns, require
 
 
 def select_predictors(df: DataFrame, predictors: list[str]) -> DataFrame:
@@ -16,7 +16,7 @@ def select_predictors(df: DataFrame, predictors: list[str]) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    return df.na.drop("any", subset=subset)
+    return complete(df, subset)
 
 
 def exclude(df: DataFrame, name: str, values: list) -> DataFrame:
@@ -66,7 +66,7 @@ def grid_mean(df: DataFrame, keys: list[str], variables: list[str] | None = None
     """Mean of every numeric column per cell; rows with a null key belong to no cell."""
     variables = variables or numeric_columns(df, exclude=keys)
     return (
-        df.na.drop("any", subset=keys)
+        complete(df, keys)
         .groupBy(*keys)
         .agg(*[F.avg(col(v)).alias(v) for v in variables])
     )

@@ -15,7 +15,7 @@ from gridflow.operators.ensemble import predict_interval
 from gridflow.operators.metrics import balanced_accuracy, regression_metrics
 from gridflow.operators.models import ModelSpec, fit_model
 from gridflow.operators.sampling import with_index, with_random_index
-from gridflow.schema import col
+from gridflow.schema import col, complete
 
 # Fixed value: score of a parameter combination whose fit fails.
 FAILED = -1e99
@@ -147,7 +147,7 @@ def permutation_importance(
     model, df: DataFrame, y: str, features: list[str], ident: str, repeats: int = 10, seed: int = 0
 ) -> DataFrame:
     """(feature, importance, weight): mean drop in R2 when a feature is permuted, and its share."""
-    df = df.select(ident, col(y), *[col(f) for f in features]).na.drop("any")
+    df = complete(df.select(ident, col(y), *[col(f) for f in features]))
     baseline = regression_metrics(model.predict(df, "_pred"), y, "_pred").select("R2").scalar()
     shuffled = permuted(df, features, ident, repeats, seed)
     variants = shuffled.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))

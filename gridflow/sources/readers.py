@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridflow.operators.community import to_wide
-from gridflow.schema import KEY_TYPES, KEYS, col, nan_to_null, require
+from gridflow.schema import KEY_TYPES, KEYS, col, complete, nan_to_null, require
 
 PREDICTION_STATISTICS = ["mean", "ci95_LL", "ci95_UL"]
 
@@ -99,4 +99,4 @@ def load_fields(
     statistic column is read.
     """
     rows = select_statistic(spark.read.parquet(path), model, statistic)
-    return to_wide(rows, targets).na.drop("any")
+    return complete(to_wide(rows, targets))
