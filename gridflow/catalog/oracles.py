@@ -470,7 +470,7 @@ SELECT model, target, round(mae, 8) AS mae,
     "voted_mean": _vote("avg(price)") + """
 SELECT target, lat, lon, round(v, 4) AS prediction FROM voted""",
     "voted_class": _vote("avg(price) / 110000") + """
-SELECT target, lat, lon, round(v, 6) AS proba, CAST(v > 0.5 AS INTEGER) AS class FROM voted""",
+SELECT target, lat, lon, round(v, 9) AS proba, CAST(v > 0.5 AS INTEGER) AS class FROM voted""",
     "youden_threshold": "WITH " + SCORED + """, c AS (
   SELECT score, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n
   FROM scored GROUP BY score),

@@ -104,7 +104,7 @@ def cell_volume(spark, sf):
 @query
 def fields_of_statistic(spark, sf):
     rows = readers.select_statistic(V.predictions(spark, sf), "ens", "ci95_UL")
-    return CM.to_wide(rows, FLAGS).na.drop("any")
+    return PR.drop_missing(CM.to_wide(rows, FLAGS))
 
 
 @query
@@ -631,7 +631,7 @@ def voted_mean(spark, sf):
 def voted_class(spark, sf):
     weights = EN.inverse_weights(_errors(spark, sf))
     votes = _votes(spark, sf, "proba").withColumn("proba", F.col("proba") / 110000.0)
-    return V.rounded(EN.vote_proba(votes, weights, ["lat", "lon"]), 6, "proba")
+    return V.rounded(EN.vote_proba(votes, weights, ["lat", "lon"]), 9, "proba")
 
 
 @query
