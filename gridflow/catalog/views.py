@@ -84,7 +84,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
                 F.avg(value).alias("mean"), F.min(value).alias("ci95_LL"), F.max(value).alias("ci95_UL")
             )
             .withColumn("model", F.lit(name))
-            .withColumn("part", F.lit("reg" if name == "rf" else "ens"))
+            .withColumn("part", F.lit("final"))
         )
 
     return model("rf", "quantity").unionByName(model("ens", "price"))
