@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridflow.operators.neighbours import (
     Space,
     distance_sums,
+    local_base,
     with_count_within,
     with_neighbours,
 )
@@ -58,7 +59,7 @@ def cutpoint(
 
 def train_dissimilarity(
     train: DataFrame, features: list[str], ident: str, fold_col: str | None = None,
-    p: float = 2.0, limit: int = BROADCAST_BYTES,
+    p: float = 2.0, limit: int = BROADCAST_BYTES, shared=None,
 ) -> tuple[DataFrame, float]:
     """(ident, di) of the training rows and the mean training distance.
 
@@ -67,13 +68,13 @@ def train_dissimilarity(
     plain = Space(features, p)
     if fold_col is None:
         apart = Space(features, p, ident)
-        total, positive, _ = distance_sums(train, train, plain, limit)
+        total, positive, _ = distance_sums(train, train, plain, limit, shared)
         mean = total / positive
     else:
         apart = Space(features, p, fold_col)
-        total, _, pairs = distance_sums(train, train, apart, limit)
+        total, _, pairs = distance_sums(train, train, apart, limit, shared)
         mean = total / pairs
-    nearest = with_neighbours(train, train, apart, 1, ident, ident, limit=limit)
+    nearest = with_neighbours(train, train, apart, 1, ident, ident, limit=limit, shared=shared)
     di = F.get(F.col("nn.distance"), F.lit(0)) / F.lit(mean)
     return nearest.select(col(ident), di.alias("di")), mean
 
@@ -114,16 +115,18 @@ def area_of_applicability(
     )
     train = stored(train, "train")
     test = test.withColumns(weighted)
-    di_train, mean = train_dissimilarity(train, names, train_id, fold_col, p, limit)
+    # one broadcast of the training rows serves every comparison below
+    shared = local_base(train, Space(names, p, fold_col or train_id), train_id, None, limit)
+    di_train, mean = train_dissimilarity(train, names, train_id, fold_col, p, limit, shared)
     cut = cutpoint(stored(di_train, "di"), "di", threshold, scale, cap)
     space = Space(names, p)
-    out = with_neighbours(test, train, space, 1, test_id, train_id, limit=limit)
+    out = with_neighbours(test, train, space, 1, test_id, train_id, limit=limit, shared=shared)
     di = F.get(F.col("nn.distance"), F.lit(0)) / F.lit(mean)
     out = out.withColumn("di", di).drop("nn")
     out = out.withColumn("aoa", (F.col("di") >= F.lit(cut)).cast("int"))
     out = out.withColumn("cutpoint", F.lit(cut))
     if return_all:
-        total, _, pairs = distance_sums(test, train, space, limit)
+        total, _, pairs = distance_sums(test, train, space, limit, shared)
         radius = cut * total / pairs
-        out = with_count_within(out, train, space, radius, test_id, "lpd", limit)
+        out = with_count_within(out, train, space, radius, test_id, "lpd", limit, shared)
     return out.drop(*names)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridflow.functions import rows
 from gridflow.schema import col, keys_of
+from gridflow.session import stored
 
 RESAMPLE_COLUMNS = ["mean", "stdev", "prctile_2.5", "prctile_97.5"]
 
@@ -54,8 +55,13 @@ def scale_by_trait(
 
 
 def scale_by_trait_long(df: DataFrame, traits: DataFrame, variable: str) -> DataFrame:
-    """Long form of the same: joins the trait table by target name."""
+    """Long form of the same: joins the trait table by target name.
+
+    The trait table is written down first, so that its true size decides the join: one
+    common target must not pull its rows into one task while the table is small.
+    """
     trait = traits.select(F.col("Target").alias("target"), col(variable).alias("_trait"))
+    trait = stored(trait, "traits")
     return df.join(trait, "target").withColumn("value", F.col("value") * F.col("_trait")).drop(
         "_trait"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridflow.functions.rows import row_quantiles, weighted_quantile
 from gridflow.operators.metrics import balanced_accuracy
 from gridflow.schema import KEYS, col
+from gridflow.session import stored
 
 # Tail shares of the 95 % interval, and the guard against a zero loss.
 LOWER, UPPER = 0.025, 0.975
@@ -30,8 +31,13 @@ def inverse_shares(errors: list[float]) -> list[float]:
 def vote(
     predictions: DataFrame, weights: DataFrame, keys: list[str] = KEYS, by: list[str] = ("target",)
 ) -> DataFrame:
-    """Weighted mean prediction per cell from long rows (keys, model, by, prediction)."""
-    weighted = predictions.join(weights.select(*by, "model", "weight"), [*by, "model"])
+    """Weighted mean prediction per cell from long rows (keys, model, by, prediction).
+
+    There is one weight per model and target; written down, the table shows its true size
+    and is broadcast, so the few join keys do not become a few huge tasks.
+    """
+    small = stored(weights.select(*by, "model", "weight"), "weights")
+    weighted = predictions.join(small, [*by, "model"])
     total = F.sum(F.col("prediction") * F.col("weight")) / F.sum("weight")
     return weighted.groupBy(*by, *keys).agg(total.alias("prediction"))
 

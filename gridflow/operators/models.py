@@ -415,7 +415,8 @@ class Voting:
     task: str = "reg"
     pool_members: bool = False
 
-    def _share(self, columns: list[Column]) -> Column:
+    def combine(self, columns: list[Column]) -> Column:
+        """Weighted mean of one column per model."""
         total = sum(self.weights)
         weighted = [c * F.lit(w / total) for c, w in zip(columns, self.weights)]
         return reduce(lambda a, b: a + b, weighted)
@@ -432,10 +433,10 @@ class Voting:
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         rows = self._each(df)
         if self.task == "clf":
-            share = self._share([F.col(f"_v{i}_proba") for i in range(len(self.models))])
+            share = self.combine([F.col(f"_v{i}_proba") for i in range(len(self.models))])
             rows = rows.withColumns({f"{out}_proba": share, out: (share > 0.5).cast("double")})
         else:
-            rows = rows.withColumn(out, self._share([F.col(f"_v{i}") for i in range(len(self.models))]))
+            rows = rows.withColumn(out, self.combine([F.col(f"_v{i}") for i in range(len(self.models))]))
         return self._drop(rows)
 
     def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:

@@ -31,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 20_000
 SPLIT_SAMPLE = 50_000
+HEAVY_ROW = 20_000
 NN_TYPE = "struct<distance array<double>, id array<bigint>, value array<double>>"
 
 
@@ -86,6 +87,17 @@ def local_base(
     return base.sparkSession.sparkContext.broadcast(local)
 
 
+def spread_work(query: DataFrame, base_rows: int, width: int) -> DataFrame:
+    """Even out the query rows over tasks when each of them costs many comparisons.
+
+    A scan may give few, large partitions; moving a row costs little next to comparing it
+    with the whole base.
+    """
+    if base_rows * width < HEAVY_ROW:
+        return query
+    return query.repartition(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def with_neighbours(
     query: DataFrame,
     base: DataFrame,
@@ -96,12 +108,14 @@ def with_neighbours(
     value: str | None = None,
     limit: int = BROADCAST_BYTES,
     out: str = "nn",
+    shared=None,
 ) -> DataFrame:
     """Add the k nearest base rows as struct of arrays (distance, id, value), nearest first.
 
-    Ties are ordered by base id. Null for query rows with a missing feature.
+    Ties are ordered by base id. Null for query rows with a missing feature. `shared` is
+    the result of an earlier `local_base` for the same base.
     """
-    shared = local_base(base, space, base_id, value, limit)
+    shared = shared or local_base(base, space, base_id, value, limit)
     if shared is None:
         found = _boxed(query, base, space, k, query_id, base_id, value)
         return query.join(found.withColumnRenamed("_nn", out), query_id, "left")
@@ -112,7 +126,8 @@ def with_neighbours(
         ids, values, points, tags = shared.value
         q = kernels.matrix(x, width)
         q_tag = tag.to_numpy(zero_copy_only=False).astype(np.int64) if tagged else None
-        position, distance = kernels.nearest(q, points, k, p, q_tag, tags)
+        b_tag = tags if tagged else None
+        position, distance = kernels.nearest(q, points, k, p, q_tag, b_tag)
         return _pack(distance, ids, values, position)
 
     whole = F.lit(True)
@@ -120,6 +135,7 @@ def with_neighbours(
         whole = whole & col(f).isNotNull()
     point = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in space.features])
     tag = F.coalesce(space.tag(), F.lit(-1).cast("bigint")) if tagged else F.lit(0).cast("bigint")
+    query = spread_work(query, len(shared.value[0]), width)
     return query.withColumn(out, F.when(whole, find(point, tag)))
 
 
@@ -342,7 +358,7 @@ def _boxed(
 
 
 def distance_sums(
-    query: DataFrame, base: DataFrame, space: Space, limit: int = BROADCAST_BYTES
+    query: DataFrame, base: DataFrame, space: Space, limit: int = BROADCAST_BYTES, shared=None
 ) -> tuple[float, int, int]:
     """(sum of distances, number of positive ones, number of pairs) over all allowed pairs.
 
@@ -364,14 +380,15 @@ def distance_sums(
         return np.array(column.tolist(), dtype=np.float64).reshape(-1, width)
 
     queries = packed(query, space, None, None)
-    shared = local_base(base.withColumn("_one", F.lit(0)), space, "_one", None, limit)
+    shared = shared or local_base(base.withColumn("_one", F.lit(0)), space, "_one", None, limit)
     if shared is not None:
+        queries = spread_work(queries, len(shared.value[0]), width)
 
         def per_batch(batches):
             _, _, base_points, tags = shared.value
             for rows in batches:
                 tag = rows["_tag"].to_numpy(dtype=np.int64) if tagged else None
-                yield add_up(points(rows["_x"]), tag, base_points, tags)
+                yield add_up(points(rows["_x"]), tag, base_points, tags if tagged else None)
 
         sums = queries.select("_x", "_tag").mapInPandas(per_batch, schema)
     else:
@@ -406,13 +423,14 @@ def with_count_within(
     query_id: str,
     out: str,
     limit: int = BROADCAST_BYTES,
+    shared=None,
 ) -> DataFrame:
     """Add the number of base rows nearer than `radius`; null for incomplete query rows."""
     width, p = len(space.features), space.p
     whole = F.lit(True)
     for f in space.features:
         whole = whole & col(f).isNotNull()
-    shared = local_base(base.withColumn("_one", F.lit(0)), space, "_one", None, limit)
+    shared = shared or local_base(base.withColumn("_one", F.lit(0)), space, "_one", None, limit)
     if shared is not None:
 
         @F.arrow_udf("bigint")
@@ -424,6 +442,7 @@ def with_count_within(
             return pa.array(counts)
 
         point = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in space.features])
+        query = spread_work(query, len(shared.value[0]), width)
         return query.withColumn(out, F.when(whole, count(point)))
 
     boxes = _boxes(stored(packed(base, space, None, None), "base"), width)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridflow.functions.columns import presence, standard_error
 from gridflow.schema import col, complete, keys_of, numeric_columns, require
+from gridflow.session import stored
 
 
 def select_predictors(df: DataFrame, predictors: list[str]) -> DataFrame:
@@ -94,11 +95,12 @@ def count_valid(df: DataFrame, variables: list[str], by: list[str] = ()) -> Data
 def with_group_stat(df: DataFrame, by: list[str], stats: dict[str, Column]) -> DataFrame:
     """Attach a group aggregate to each row.
 
-    Aggregating first and joining back keeps the shuffle to one row per group and
-    map task, so a group holding much of the table does not land in one task; the
-    optimizer broadcasts the aggregate when it is small and splits skewed joins.
+    Aggregating first keeps the shuffle to one row per group and map task. The aggregate
+    is written down, so the planner knows its true size: while it is small the join is a
+    broadcast, and a group holding much of the table never lands in one task; a large one
+    is joined by sorting, with skewed partitions split at run time.
     """
-    grouped = df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])
+    grouped = stored(df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]), "stats")
     renamed = grouped.withColumnsRenamed({b: f"_g_{b}" for b in by})
     same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"_g_{k}")) for k in by])
     return df.join(renamed, same, "left").drop(*[f"_g_{b}" for b in by])
@@ -114,7 +116,8 @@ def impute_sd(df: DataFrame, value: str, sd: str, region: str) -> DataFrame:
     overall = df.agg(F.avg(cv)).scalar()
     stats = marked.where(col(region).isNotNull())
     stats = stats.groupBy(col(region).alias("_region")).agg(F.avg("_cv").alias("_region_cv"))
-    joined = df.join(stats, col(region) == F.col("_region"), "left")
+    # as in with_group_stat: its size on disk decides how it is joined
+    joined = df.join(stored(stats, "stats"), col(region) == F.col("_region"), "left")
     filled = F.coalesce(col(sd), col(value) * F.coalesce(F.col("_region_cv"), overall))
     return joined.withColumn(sd, filled).drop("_region", "_region_cv")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridflow.functions.columns import presence_label
 from gridflow.operators.ensemble import (
     INTERVAL,
+    interval_columns,
     inverse_shares,
     predict_hurdle_interval,
     predict_interval,
@@ -20,6 +21,10 @@ from gridflow.schema import keys_of
 from gridflow.session import stored
 
 
+def _entry(part: str, mean, prefix: str) -> list:
+    return [F.lit(part), mean, *[F.col(f"{prefix}{c}") for c in INTERVAL]]
+
+
 class Predictor:
     """Writes the predictions table: keys, mean, ci95_LL, ci95_UL by model, target, part."""
 
@@ -58,22 +63,43 @@ class Predictor:
         return youden_threshold(labelled, "_class_proba", "_present").first()["threshold"]
 
     def export(self, model: str, fitted) -> None:
-        """One narrow pass over the grid: prediction and interval, straight to the sink."""
-        keys = keys_of(self.grid)
+        """Two-phase model: one narrow pass over the grid writes the field and both phases."""
         rows = fitted.predict(self.grid, "mean")
-        if not self.config.two_phase:
-            self._write(predict_interval(fitted, rows).select(*keys, "mean", *INTERVAL), model, "final")
-            return
         threshold = self.optimal_threshold(fitted.classifier)
         both = predict_hurdle_interval(fitted, rows, threshold)
-        self._write(both.select(*keys, "mean", *INTERVAL), model, "zir")
-        for part in ("clf", "reg"):
-            bounds = [F.col(f"{part}_{c}").alias(c) for c in INTERVAL]
-            self._write(both.select(*keys, F.lit(None).cast("double").alias("mean"), *bounds), model, part)
-
-    def _write(self, rows: DataFrame, model: str, part: str) -> None:
-        folder = f"{self.path}/model={model}/target={self.target}/part={part}"
-        rows.write.mode("overwrite").parquet(folder)
+        parts = [_entry("zir", F.col("mean"), "")]
+        parts += [_entry(p, F.lit(None).cast("double"), f"{p}_") for p in ("clf", "reg")]
+        self._write(both, [model], [[F.lit(model), *p] for p in parts])
+
+    def export_all(self, models: list, ensemble: Voting | None) -> None:
+        """One-phase models: a single pass predicts with every model and with the ensemble.
+
+        The ensemble votes over the predictions already in the row.
+        """
+        names = list(self.config.models)
+        rows = self.grid
+        for name, fitted in zip(names, models):
+            rows = predict_interval(fitted, fitted.predict(rows, f"{name}_mean"))
+            rows = rows.withColumnsRenamed({c: f"{name}_{c}" for c in INTERVAL})
+        entries = [[F.lit(n), *_entry("final", F.col(f"{n}_mean"), f"{n}_")] for n in names]
+        if ensemble is not None:
+            means = [F.col(f"{n}_mean") for n in names]
+            low, high = interval_columns(F.array(*means))
+            rows = rows.withColumns(
+                {"ens_mean": ensemble.combine(means), "ens_ci95_LL": low, "ens_ci95_UL": high}
+            )
+            names.append("ens")
+            entries.append([F.lit("ens"), *_entry("final", F.col("ens_mean"), "ens_")])
+        self._write(rows, names, entries)
+
+    def _write(self, rows: DataFrame, names: list[str], entries: list) -> None:
+        """Lay the entries of a row out as rows and write them into their own folders."""
+        fields = ["model", "part", "mean", *INTERVAL]
+        structs = [F.struct(*[c.alias(f) for f, c in zip(fields, e)]) for e in entries]
+        table = rows.select(*keys_of(self.grid), F.inline(F.array(*structs)))
+        table = table.withColumn("target", F.lit(self.target))
+        writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("model", "target", "part").parquet(self.path)
 
     def ensemble(self):
         """Weighted vote of the models; weights are inverse errors."""
@@ -111,11 +137,16 @@ class Predictor:
         """Predict with each model, then with the ensemble; returns the predictions table."""
         if not self.config.models:
             raise ValueError("at least one model should be defined in the ensemble")
-        for model, fitted in zip(self.config.models, self._load(self.part)):
-            self.export(model, fitted)
-        if len(self.config.models) > 1:
-            ensemble = self.ensemble()
-            self.export("ens", ensemble)
+        several = len(self.config.models) > 1
+        ensemble = self.ensemble() if several else None
+        if self.config.two_phase:
+            for model, fitted in zip(self.config.models, self._load(self.part)):
+                self.export(model, fitted)
+            if several:
+                self.export("ens", ensemble)
+        else:
+            self.export_all(self._load(self.part), ensemble)
+        if several:
             save_models({("ens", self.target, self.part): ensemble}, self.config.path)
             fit = self._ensemble_fit(inverse_shares(self.errors()))
             folds = cross_validate(
