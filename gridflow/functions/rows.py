@@ -54,10 +54,19 @@ def _at(sorted_values: Column, q: float) -> Column:
     return below + (pos - low) * (above - below)
 
 
+def ordered(values: Column) -> Column:
+    """The non-null values of a per-row array, ascending."""
+    return F.sort_array(F.filter(values, lambda v: v.isNotNull()))
+
+
+def quantiles_of_ordered(values: Column, qs: list[float]) -> list[Column]:
+    """Linear quantiles of an array made by `ordered`; keep that array in a column of its own."""
+    return [_at(values, q) for q in qs]
+
+
 def row_quantiles(values: Column, qs: list[float]) -> list[Column]:
-    """Linear quantiles of a per-row array, skipping nulls; the array is sorted once."""
-    ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    return [_at(ordered, q) for q in qs]
+    """Linear quantiles of a per-row array, skipping nulls."""
+    return quantiles_of_ordered(ordered(values), qs)
 
 
 def row_quantile(values: Column, q: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridflow.functions.rows import row_quantiles, weighted_quantile
+from gridflow.functions.rows import ordered, quantiles_of_ordered, weighted_quantile
 from gridflow.operators.metrics import balanced_accuracy
 from gridflow.schema import KEYS, col
 from gridflow.session import stored
@@ -52,11 +52,15 @@ def vote_proba(
     return mean.withColumn("class", (F.col("proba") > 0.5).cast("int"))
 
 
-def interval_columns(members: Column, weights: list[float] | None = None) -> list[Column]:
+def with_interval(rows: DataFrame, members: str, weights: list[float] | None = None) -> DataFrame:
+    """Replace the array column `members` by the two interval columns."""
     if weights is None:
-        return row_quantiles(members, [LOWER, UPPER])
-    shares = F.array(*[F.lit(float(w)) for w in weights])
-    return [weighted_quantile(members, shares, q) for q in (LOWER, UPPER)]
+        rows = rows.withColumn(members, ordered(col(members)))
+        bounds = quantiles_of_ordered(col(members), [LOWER, UPPER])
+    else:
+        shares = F.array(*[F.lit(float(w)) for w in weights])
+        bounds = [weighted_quantile(col(members), shares, q) for q in (LOWER, UPPER)]
+    return rows.withColumns(dict(zip(INTERVAL, bounds))).drop(members)
 
 
 def predict_interval(
@@ -67,9 +71,7 @@ def predict_interval(
     The members live only inside the row: they are folded into the two numbers in the
     stage that makes them.
     """
-    rows = model.members(df, "_members", threshold)
-    low, high = interval_columns(F.col("_members"), weights)
-    return rows.withColumns(dict(zip(INTERVAL, [low, high]))).drop("_members")
+    return with_interval(model.members(df, "_members", threshold), "_members", weights)
 
 
 def member_losses(members: DataFrame, y: str, classifier: bool = False) -> DataFrame:

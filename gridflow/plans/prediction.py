@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridflow.functions.columns import presence_label
 from gridflow.operators.ensemble import (
     INTERVAL,
-    interval_columns,
     inverse_shares,
     predict_hurdle_interval,
     predict_interval,
+    with_interval,
 )
 from gridflow.operators.metrics import REGRESSION_METRICS, scores_long, youden_threshold
 from gridflow.operators.models import Hurdle, Voting, fit_model, load_models, save_models
@@ -84,10 +84,9 @@ class Predictor:
         entries = [[F.lit(n), *_entry("final", F.col(f"{n}_mean"), f"{n}_")] for n in names]
         if ensemble is not None:
             means = [F.col(f"{n}_mean") for n in names]
-            low, high = interval_columns(F.array(*means))
-            rows = rows.withColumns(
-                {"ens_mean": ensemble.combine(means), "ens_ci95_LL": low, "ens_ci95_UL": high}
-            )
+            rows = rows.withColumns({"ens_mean": ensemble.combine(means), "_ens": F.array(*means)})
+            rows = with_interval(rows, "_ens")
+            rows = rows.withColumnsRenamed({c: f"ens_{c}" for c in INTERVAL})
             names.append("ens")
             entries.append([F.lit("ens"), *_entry("final", F.col("ens_mean"), "ens_")])
         self._write(rows, names, entries)
