@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridflow.operators.sampling import prefix_sum
 from gridflow.schema import col
+from gridflow.session import stored
 
 REGRESSION_METRICS = ["R2", "MAE", "RMSE"]
 
@@ -91,11 +92,13 @@ def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     costs one row.
     """
     positive = F.count_if(col(label) == 1)
-    counts = (
+    merged = (
         df.where(col(score).isNotNull() & col(label).isNotNull())
         .groupBy(col(score).alias("threshold"))
         .agg(positive.alias("tp"), (F.count("*") - positive).alias("fp"))
     )
+    # read by several steps below, so the scores are made once
+    counts = stored(merged, "counts")
     totals = counts.agg(F.struct(F.sum("tp").alias("p"), F.sum("fp").alias("n"))).scalar()
     running = prefix_sum(counts, "threshold", ["tp", "fp"], descending=True)
     return running.select(

@@ -42,7 +42,7 @@ from gridflow.functions.rows import row_mean
 from gridflow.operators.neighbours import Space, with_neighbours
 from gridflow.operators.sampling import bag_features, make_bags
 from gridflow.schema import col, complete, require
-from gridflow.session import BROADCAST_BYTES, fits_broadcast, scratch_path, stored
+from gridflow.session import BROADCAST_BYTES, fits_broadcast, in_threads, scratch_path, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -227,13 +227,19 @@ class Boosted:
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return _tree_prediction(self.model, self.spec, self.prep.assemble(df), out).drop(VECTOR)
 
-    def fit_bags(self, df: DataFrame, features, label, ident: str, n: int = GBT_BAGS) -> Boosted:
-        bags = stored(make_bags(df, ident, n, 1.0, self.spec.seed), "bags")
-        self.bagged = [
-            fit_model(self.spec, bags.where(F.col("bag") == b), features, label, ident,
-                      weight="weight", prep=self.prep).model
-            for b in range(n)
-        ]
+    def fit_bags(
+        self, df: DataFrame, features, label, ident: str, n: int = GBT_BAGS, parallelism: int = 4
+    ) -> Boosted:
+        bags = make_bags(df.where(col(label).isNotNull()), ident, n, 1.0, self.spec.seed)
+        bags = stored(bags, "bags")
+
+        def fit(b):
+            rows = bags.where(F.col("bag") == b)
+            return fit_model(
+                self.spec, rows, features, label, ident, weight="weight", prep=self.prep
+            ).model
+
+        self.bagged = in_threads([lambda b=b: fit(b) for b in range(n)], parallelism)
         return self
 
     def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:

@@ -112,12 +112,17 @@ def impute_sd(df: DataFrame, value: str, sd: str, region: str) -> DataFrame:
     A region without any coefficient, and rows without a region, use the global mean.
     """
     cv = F.try_divide(col(sd), F.nullif(col(value), F.lit(0.0)))
-    marked = df.withColumn("_cv", cv)
-    overall = df.agg(F.avg(cv)).scalar()
-    stats = marked.where(col(region).isNotNull())
-    stats = stats.groupBy(col(region).alias("_region")).agg(F.avg("_cv").alias("_region_cv"))
-    # as in with_group_stat: its size on disk decides how it is joined
-    joined = df.join(stored(stats, "stats"), col(region) == F.col("_region"), "left")
+    sums = df.groupBy(col(region).alias("_region")).agg(
+        F.sum(cv).alias("_sum"), F.count(cv).alias("_count")
+    )
+    # as in with_group_stat: its size on disk decides how it is joined; the global mean
+    # comes from the same few rows
+    sums = stored(sums, "stats")
+    count = F.nullif(F.sum("_count"), F.lit(0))
+    overall = sums.agg(F.try_divide(F.sum("_sum"), count)).scalar()
+    share = F.try_divide(F.col("_sum"), F.nullif(F.col("_count"), F.lit(0)))
+    stats = sums.select("_region", share.alias("_region_cv"))
+    joined = df.join(stats, col(region) == F.col("_region"), "left")
     filled = F.coalesce(col(sd), col(value) * F.coalesce(F.col("_region_cv"), overall))
     return joined.withColumn(sd, filled).drop("_region", "_region_cv")
 

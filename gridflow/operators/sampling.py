@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridflow.functions.columns import presence_label
 from gridflow.functions.hashing import hash_index, hash_key, hash_normal
 from gridflow.schema import col, keys_of
+from gridflow.session import stored
 
 DRAW_CHUNK = 100_000
 
@@ -115,9 +116,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float |
     Equal values are merged first; the running count then tells which value sits at each
     needed position, so no task has to hold the column.
     """
-    counts = (
-        df.where(col(value).isNotNull()).groupBy(col(value).alias("v")).agg(F.count("*").alias("c"))
-    )
+    present = df.where(col(value).isNotNull())
+    # read by several steps below, so the source is scanned once
+    counts = stored(present.groupBy(col(value).alias("v")).agg(F.count("*").alias("c")), "counts")
     total = counts.agg(F.sum("c")).first()[0]
     if not total:
         return [None for _ in qs]

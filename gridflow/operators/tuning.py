@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import warnings
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -16,6 +15,7 @@ from gridflow.operators.metrics import balanced_accuracy, regression_metrics
 from gridflow.operators.models import ModelSpec, fit_model
 from gridflow.operators.sampling import with_index, with_random_index
 from gridflow.schema import col, complete
+from gridflow.session import in_threads
 
 # Fixed value: score of a parameter combination whose fit fails.
 FAILED = -1e99
@@ -35,14 +35,6 @@ def fold_parts(
     return folds.where(F.col("fold") != fold), test, None
 
 
-def _in_threads(tasks: list, parallelism: int) -> list:
-    """Run independent fits at the same time; Spark interleaves their stages."""
-    if parallelism <= 1:
-        return [t() for t in tasks]
-    with ThreadPoolExecutor(parallelism) as pool:
-        return [f.result() for f in [pool.submit(t) for t in tasks]]
-
-
 def out_of_fold(
     folds: DataFrame, k: int, fit, label: str, training: DataFrame | None = None,
     parallelism: int = 1,
@@ -58,7 +50,7 @@ def out_of_fold(
         extra = [c for c in ("prediction_proba",) if c in rows.columns]
         return rows.select("fold", col(label).alias("y"), "prediction", *extra)
 
-    parts = _in_threads([lambda f=f: one(f) for f in range(k)], parallelism)
+    parts = in_threads([lambda f=f: one(f) for f in range(k)], parallelism)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -110,7 +102,7 @@ def grid_search(
             value = None
         return FAILED if value is None else value
 
-    results = _in_threads([lambda c=c: score(c) for c in candidates], parallelism)
+    results = in_threads([lambda c=c: score(c) for c in candidates], parallelism)
     best = max(range(len(candidates)), key=lambda i: (results[i], -i))
     table = [
         {"params": c.params, "log": c.log, "score": s} for c, s in zip(candidates, results)

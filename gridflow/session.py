@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,11 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     """
     max_rows = max(1, limit // max(1, row_bytes))
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def in_threads(tasks: list, parallelism: int) -> list:
+    """Run independent fits at the same time; Spark interleaves their stages."""
+    if parallelism <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
