@@ -250,14 +250,16 @@ def _compare(routes: DataFrame, boxes: Boxes, schema: str, compare) -> DataFrame
     most about BLOCK_ROWS rows of either side.
     """
     spark = routes.sparkSession
-    pieces = spark.createDataFrame(
-        [(int(b), max(1, -(-int(n) // BLOCK_ROWS))) for b, n in zip(boxes.number, boxes.count)],
-        "_box bigint, _pieces bigint",
-    )
-    demand = routes.groupBy("_box").agg(
-        F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("_slices")
+    demand = {r[0]: r[1] for r in routes.groupBy("_box").count().collect()}
+    plan = [
+        (int(b), -(-int(n) // BLOCK_ROWS), -(-demand[b] // BLOCK_ROWS))
+        for b, n in zip(boxes.number, boxes.count)
+        if b in demand
+    ]
+    # one row per box: broadcast, so that a hot box is split before any shuffle
+    layout = F.broadcast(
+        spark.createDataFrame(plan, "_box bigint, _pieces bigint, _slices bigint")
     )
-    layout = pieces.join(demand, "_box")
 
     def spread(n, *key):
         return F.pmod(F.xxhash64(*key), F.col(n))
