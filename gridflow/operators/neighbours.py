@@ -447,7 +447,9 @@ def with_count_within(
         query = spread_work(query, len(shared.value[0]), width)
         return query.withColumn(out, F.when(whole, count(point)))
 
-    boxes = _boxes(stored(packed(base, space, None, None), "base"), width)
+    # written with a row number, by which a box full of equal points can still be split
+    numbered = base.withColumn("_number", F.monotonically_increasing_id())
+    boxes = _boxes(stored(packed(numbered, space, "_number", None), "base"), width)
     bounds = query.sparkSession.sparkContext.broadcast(
         (boxes.number, boxes.count, boxes.low, boxes.high)
     )
