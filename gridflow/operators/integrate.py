@@ -11,6 +11,7 @@ from gridflow.operators.community import RESAMPLE_COLUMNS
 from gridflow.operators.prepare import subset_depth as to_depth
 from gridflow.schema import col, keys_of, require
 
+# Fixed value: mean radius of the Earth in metres.
 EARTH_RADIUS = 6371000.0
 
 
