@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridflow.llm.common import stored
+
 #: Labelled rows per language that the model is fitted on, at most about; a model parameter.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 1500
 #: Entries of the model, the most frequent over all languages: words, and n-grams of each length.
 WORDS, GRAMS = 40_000, 20_000
 #: Lengths of n-grams, longest first; words are padded with one space on each side.
@@ -104,8 +106,6 @@ def fit(
 
     Only text and language are learned from. Null texts and languages teach nothing.
     """
-    from gridflow.llm.common import stored
-
     sample = training_rows(df, id_col, text_col, lang_col, train, rows)
     letters = F.regexp_extract_all(F.lower("_text"), F.lit(JAVA_LETTERS), F.lit(0))
     counted = sample.select("_lang", F.explode(letters).alias("_e"))
@@ -113,13 +113,20 @@ def fit(
     languages = sorted(r._lang for r in counted.select("_lang").distinct().collect())
     if not languages:
         return Model([], [], lengths)
-    tables = [frequencies(counted, words, languages)]
     padded = F.concat(F.lit(" "), F.col("_e"), F.lit(" "))
-    for n in lengths:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
-        cut = F.transform(starts, lambda k: F.substring(padded, k, F.lit(n)))
-        pieces = counted.select("_lang", F.explode(cut).alias("_e"), "_n").filter((F.length("_e") == n) & (F.trim("_e") != ""))
-        tables.append(frequencies(pieces, grams, languages))
+    none = F.array().cast("array<string>")
+    cut = [
+        F.when(
+            F.length(padded) >= n,
+            F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda k, n=n: F.substring(padded, k, F.lit(n))),
+        ).otherwise(none)
+        for n in lengths
+    ]
+    pieces = counted.select("_lang", F.explode(F.flatten(F.array(*cut))).alias("_e"), "_n").filter(F.trim("_e") != "")
+    pieces = pieces.groupBy("_lang", "_e").agg(F.sum("_n").alias("_n"))
+    pieces = stored(pieces, "grams")
+    tables = [frequencies(counted, words, languages)]
+    tables += [frequencies(pieces.filter(F.length("_e") == n), grams, languages) for n in lengths]
     return Model(languages, tables, lengths)
 
 
