@@ -22,6 +22,21 @@ def numbered(df: DataFrame, name: str = "_uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Numbered `df` with its columns as _c0, _c1, ..., and the columns that name them as before.
+
+    Whatever names the caller's columns have, they don't meet those of an operator.
+    """
+    frame = df.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(df.columns)])
+    return numbered(frame), [F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns)]
+
+
+def keep_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `df` whose numbers are in `kept` (_uid), columns unchanged."""
+    frame, names = aside(df)
+    return frame.join(kept, "_uid", "left_semi").select(*names)
+
+
 def run_of(uid: Column) -> Column:
     """The input partition a row number was made in."""
     return F.shiftright(uid, 33).cast("int")

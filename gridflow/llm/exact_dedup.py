@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.llm.common import BLANKS, hot_join, numbered, run_of, stored
+from gridflow.llm.common import BLANKS, hot_join, keep_rows, numbered, run_of, stored
 
 KEY = ["_digest", "_bytes", "_check"]
 FAN_IN = 16
@@ -70,4 +70,4 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` without exact copies, columns unchanged."""
     kept = exact_dedup(df, id_col, text_col).filter("kept").select("_uid")
-    return numbered(df).join(kept, "_uid", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return keep_rows(df, kept)

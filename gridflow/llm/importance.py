@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.llm.common import stored
+from gridflow.llm.common import aside, stored
 
 #: Buckets of the hashed n-grams of each order.
 BITS = (12, 12, 12)
@@ -278,7 +278,9 @@ def keep_sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 part = batch.slice(at, BATCH)
                 w = log_weights(part.column(text).to_pylist(), shared.value, features)
                 part = part.filter(pa.array(w + part.column(width).to_numpy() >= cut))
-                yield pa.RecordBatch.from_arrays(part.columns[:width], names=part.schema.names[:width])
+                yield pa.RecordBatch.from_arrays(part.columns[:width], names=names)
 
-    noised = df.select("*", gumbel(id_col).alias("_noise"))
+    names = df.columns
+    frame, _ = aside(df)
+    noised = frame.drop("_uid").withColumn("_noise", gumbel(f"_c{names.index(id_col)}"))
     return noised.mapInArrow(keep, df.schema)

@@ -9,7 +9,7 @@ back where none is left; a bit per position remembers where no encoding goes on.
 
 A text is cut wherever no piece spans the cut (before white space marks, around line feeds
 and other characters that are in no longer piece), so words are encoded on their own and
-kept in two bounded tables, the older of which is dropped when the newer is full.
+kept in bounded tables.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 MARK = "▁"
-TABLE_WORDS = 250_000
+TABLE_WORDS = 400_000
 TABLE_CHARS = 48
 TABLE_PAIRS = 500_000
 BATCH = 256
@@ -33,6 +33,25 @@ SPARK = {"array<int>": ArrayType(IntegerType()), "bigint": LongType(), "string":
 ARROW = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
 
 
+class Words(dict):
+    """Ids of words as text, in two bounded tables; the older is dropped when the newer is full."""
+
+    def __init__(self, make: Callable[[str], str]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> str:
+        got = self.older.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(word) <= TABLE_CHARS:
+            if len(self) >= TABLE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
 class PieceCodec:
     """Encoder and decoder for one SentencePiece BPE model with byte fallback."""
 
@@ -54,16 +73,19 @@ class PieceCodec:
             if i not in self.byte_of and i not in self.silent and i != self.unknown and not sp.is_unused(i)
         ]
         self.id_of = {self.piece[i]: i for i in plain}
+        self.special = {*self.byte_of, *self.silent, self.unknown}
         self.score = {self.piece[i]: sp.get_score(i) for i in plain}
         inner = {(a, b) for p in self.score for a, b in zip(p, p[1:])}
         if any(b == MARK and a != MARK for a, b in inner) or any("\n" in pair for pair in inner):
             raise ValueError("pieces of the model span words or lines")
         self.cuts = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.words = Words(self.shown)
+        self.odd: dict[str, str] = {}
         usable = [p for p in self.score if len(p) == 1 or self.merged(p) == [p]]
-        self.usable = set(usable)
+        known = set(usable)
+        #: The longest shorter piece (or the first character) that a piece starts with.
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 1, -1) if p[:k] in known), p[0]) for p in usable if len(p) > 1}
         self.tree = ahocorasick.Automaton()
         for p in usable:
             self.tree.add_word(p, len(p))
@@ -104,70 +126,64 @@ class PieceCodec:
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
 
+    def longest(self, word: str, at: int) -> str:
+        """The longest piece at a position; one character where there is none."""
+        for end, length in self.tree.iter_long(word, at):
+            return word[at : end + 1] if end - length + 1 == at else word[at]
+        return word[at]
+
     def split(self, word: str) -> list[str]:
         """Pieces (or single characters without a piece) of a word, by backtracking."""
-        n = len(word)
-        longest = [1] * n
-        for end, length in self.tree.iter(word):
-            start = end - length + 1
-            if length > longest[start]:
-                longest[start] = length
-        failed = bytearray(n // 8 + 1)
-        usable, fits = self.usable, self.fits
+        n, pairs, shorter, longest = len(word), self.pairs, self.shorter, self.longest
+        failed = 0  # a bit for each position from which no encoding goes on
         parts: list[str] = []
-        at, length = 0, longest[0] if n else 0
+        at, last, part = 0, "", longest(word, 0) if word else ""
         while at < n:
-            last = parts[-1] if parts else None
-            while length:
-                end = at + length
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    part = word[at:end]
-                    if (length == 1 or part in usable) and (last is None or fits(last, part)):
-                        break
-                length -= 1
-            if length:
+            while part:
+                fit = not last or pairs.get((last, part))
+                if fit is None:
+                    fit = self.fits(last, part)
+                if fit and not (failed and failed >> at + len(part) & 1):
+                    break
+                part = shorter.get(part, "")
+            if part:
                 parts.append(part)
-                at = end
-                length = longest[at] if at < n else 0
+                at += len(part)
+                last = part
+                if at < n:
+                    part = longest(word, at)
             else:  # no piece goes on from here: mark it and shorten the piece before
-                failed[at >> 3] |= 1 << (at & 7)
-                gone = parts.pop()
-                at -= len(gone)
-                length = len(gone) - 1
+                failed |= 1 << at
+                part = parts.pop()
+                at -= len(part)
+                last = parts[-1] if parts else ""
+                part = shorter.get(part, "")
         return parts
 
     def ids(self, parts: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in parts:
-            i = self.id_of.get(p)
-            if i is None:
-                out.extend(self.byte[b] for b in p.encode())
-            else:
-                out.append(i)
-        return out
-
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas and the decoded text of a word."""
-        known = self.words.get(word)
-        if known is None:
-            known = self.older.get(word)
-            if known is None:
-                ids = self.ids(self.split(word))
-                known = (len(ids), ",".join(map(str, ids)), self.text_of(ids))
-            if len(word) <= TABLE_CHARS:
-                if len(self.words) >= TABLE_WORDS:
-                    self.words, self.older = {}, self.words
-                self.words[word] = known
-        return known
+        try:
+            return [self.id_of[p] for p in parts]
+        except KeyError:  # a character without a piece: its bytes
+            return [i for p in parts for i in ((self.id_of[p],) if p in self.id_of else [self.byte[b] for b in p.encode()])]
+
+    def shown(self, word: str) -> str:
+        """The ids of a word joined by commas; a word whose ids decode to something else is remembered."""
+        ids = self.ids(self.split(word))
+        if (text := self.text_of(ids)) != word.replace(MARK, " "):
+            self.odd[word] = text
+        return ",".join(map(str, ids))
 
     def cut(self, text: str) -> list[str]:
         return self.cuts.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for w in self.cut(text) for i in self.word(w)[1].split(",")]
+        shown = ",".join(map(self.words.__getitem__, self.cut(text)))
+        return list(map(int, shown.split(","))) if shown else []
 
     def text_of(self, ids: list[int]) -> str:
         """Text of ids inside a text; bytes that are no UTF-8 become one U+FFFD each."""
+        if not any(map(self.special.__contains__, ids)):
+            return "".join([self.piece[i] for i in ids]).replace(MARK, " ")
         out: list[str] = []
         at = 0
         while at < len(ids):
@@ -278,11 +294,14 @@ def digest_texts(df: DataFrame, model_file: str, text_col: str = "text") -> Data
         c = codec(model_file)
 
         def one(text: str) -> tuple:
-            words = [c.word(w) for w in c.cut(text)]
-            n = sum([w[0] for w in words])
-            ids = hashlib.sha256(",".join([w[1] for w in words]).encode())
-            decoded = "".join([w[2] for w in words])[1:]
-            return n, ids.hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            words = c.cut(text)
+            ids = ",".join(map(c.words.__getitem__, words))
+            if c.odd and not c.odd.keys().isdisjoint(words):
+                decoded = "".join([c.odd.get(w) or w.replace(MARK, " ") for w in words])
+            else:  # the ids of each of these words were decoded to the word
+                decoded = "".join(words).replace(MARK, " ")
+            n = ids.count(",") + 1 if ids else 0
+            return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded[1:].encode()).hexdigest()
 
         return one
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.llm.common import bucket_bits, numbered, running, stored
+from gridflow.llm.common import aside, bucket_bits, numbered, running, stored
 
 SEED = 20240
 
@@ -65,9 +65,12 @@ def assign_shards(
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 16, **options) -> None:
-    """Write `df` in folders shard=0, shard=1, ...; rows of a shard stand in slot order, columns unchanged."""
-    placed = assign_shards(df, n_shards, **options).select("_uid", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows = numbered(df).join(placed, "_uid").withColumn("shard", F.col("_shard"))
-    rows = rows.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    columns = [F.col(f"`{c}`") for c in df.columns if c != "shard"]
-    rows.select(*columns, "shard").write.partitionBy("shard").mode("errorifexists").parquet(path)
+    """Write `df` in folders shard=0, shard=1, ...; rows of a shard stand in slot order.
+
+    Columns are unchanged, but for one named shard, which the folder replaces.
+    """
+    placed = assign_shards(df, n_shards, **options).select("_uid", F.col("shard").alias("_shard"), "slot")
+    frame, names = aside(df)
+    rows = frame.join(placed, "_uid").repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot")
+    names = [name for c, name in zip(df.columns, names) if c.lower() != "shard"]
+    rows.select(*names, F.col("_shard").alias("shard")).write.partitionBy("shard").mode("errorifexists").parquet(path)

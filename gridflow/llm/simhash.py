@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.llm.common import hot_join, numbered, stored
+from gridflow.llm.common import hot_join, keep_rows, numbered, stored
 from gridflow.llm.components import components
 
 SEED = 42
@@ -258,4 +258,4 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The first row of each component of near-duplicates, columns unchanged."""
     kept = near_components(df, id_col, text_col, distance).filter("first").select("_uid")
-    return numbered(df).join(kept, "_uid", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return keep_rows(df, kept)
