@@ -114,6 +114,34 @@ KNN = VECTORS + f""", pairs AS (
 near AS (SELECT * FROM pairs WHERE r <= 5)"""
 
 
+def _key(*parts) -> str:
+    """60 bits of the digest of salts and keys, as functions/hashing.py defines them."""
+    text = ", ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts)
+    return f"CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 15) AS BIGINT)"
+
+
+def _uniform(*parts) -> str:
+    return f"((({_key(*parts)}) >> 8) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+def _index(n: str, *parts) -> str:
+    return f"least(CAST(floor({_uniform(*parts)} * {n}) AS BIGINT), {n} - 1)"
+
+
+def _normal(seed, i, key: str) -> str:
+    turn = f"6.283185307179586::DOUBLE * ({_uniform(seed, i, 2, key)})"
+    return f"sqrt(-2.0::DOUBLE * ln({_uniform(seed, i, 1, key)})) * cos({turn})"
+
+
+def _bags(table: str, ident: str, columns: str, bags: int, share: float, seed: int) -> str:
+    return f"""WITH n AS (SELECT count(*) AS n, CAST(floor(count(*) * {share}::DOUBLE) AS BIGINT) AS m FROM {table}),
+b AS (SELECT CAST(unnest(range({bags})) AS INTEGER) AS bag),
+d AS (SELECT bag, n, unnest(range(m)) AS draw FROM b, n),
+w AS (SELECT bag, {_index("n", seed, "bag", "draw")} AS idx, count(*) AS weight FROM d GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY {ident}) - 1 AS idx FROM {table})
+SELECT {columns}, bag, weight FROM r JOIN w USING (idx)"""
+
+
 def _fold(k: int) -> str:
     """Stratified fold of the j-th row (from 0) of a class filling positions [o, o + n):
     position p belongs to fold p mod k, and the class fills its folds in order."""
@@ -408,7 +436,7 @@ near AS (
 SELECT lat, lon, time, round(CASE WHEN sum(w) >= 1 - 1e-6 THEN sum(w * v) END, 6) AS quantity
 FROM near GROUP BY lat, lon, time""",
     "dense_grid": "WITH " + OBS + """, c AS (
-  SELECT lat, depth, time, avg(price) AS price FROM obs WHERE quantity > 45 GROUP BY lat, depth, time)
+  SELECT lat, depth, time, avg(price) AS price FROM obs GROUP BY lat, depth, time)
 SELECT a.lat, b.depth, d.time, round(c.price, 6) AS price
 FROM (SELECT DISTINCT lat FROM c) a CROSS JOIN (SELECT DISTINCT depth FROM c) b
 CROSS JOIN (SELECT DISTINCT time FROM c) d
@@ -432,27 +460,61 @@ o AS (SELECT target, cls, n, coalesce(sum(n) OVER (PARTITION BY target ORDER BY
 j AS (SELECT id, y, target, n, o, row_number() OVER (PARTITION BY target, cls ORDER BY id) - 1 AS j
       FROM c JOIN o USING (target, cls))
 SELECT id, y, target, """ + _fold(4) + " AS fold FROM j",
-    "shuffled_order": "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS positions FROM orders",
-    "upsampled_absences": "WITH " + SCORED + """
-SELECT 1.0::DOUBLE AS y, count(*) AS n FROM scored WHERE quality <> 0
-UNION ALL SELECT 0.0::DOUBLE, 10 * count(*) FROM scored WHERE quality <> 0""",
+    "folds_with_null_group": "WITH " + MEASURED + """
+SELECT id, method, CAST(ntile(5) OVER (PARTITION BY method ORDER BY id) - 1 AS INTEGER) AS fold FROM measured""",
+    "zero_stratified_folds_with_null_group": "WITH " + MEASURED + """, c AS (
+  SELECT id, coalesce(cells, 0.0::DOUBLE) AS y, method, coalesce(method, '-') AS g,
+         CAST(coalesce(cells, 0) <> 0 AS INTEGER) AS cls FROM measured),
+s AS (SELECT g, cls, count(*) AS n, min(id) AS first FROM c GROUP BY g, cls),
+o AS (SELECT g, cls, n, coalesce(sum(n) OVER (PARTITION BY g ORDER BY first
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM s),
+j AS (SELECT id, y, method, n, o, row_number() OVER (PARTITION BY g, cls ORDER BY id) - 1 AS j
+      FROM c JOIN o USING (g, cls))
+SELECT id, y, method, """ + _fold(4) + " AS fold FROM j",
+    "shuffled_order": f"SELECT o_orderkey, {_key(1, 'o_orderkey')} AS \"order\" FROM orders",
+    "shuffled_folds": f"""SELECT o_orderkey,
+       CAST(ntile(7) OVER (ORDER BY {_key(1, 'o_orderkey')}, o_orderkey) - 1 AS INTEGER) AS fold FROM orders""",
+    "upsampled_absences": "WITH " + SCORED + f""",
+a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM scored WHERE quality = 0),
+n AS (SELECT count(*) FILTER (quality <> 0) * 10 AS m, count(*) FILTER (quality = 0) AS n FROM scored),
+d AS (SELECT n, unnest(range(m)) AS draw FROM n),
+w AS (SELECT {_index("n", 1, "draw")} AS idx FROM d)
+SELECT doc_id, 1.0::DOUBLE AS y, count(*) AS n FROM scored WHERE quality <> 0 GROUP BY doc_id
+UNION ALL SELECT doc_id, 0.0::DOUBLE, count(*) FROM a JOIN w USING (idx) GROUP BY doc_id""",
     "upsampled_fold_sizes": "WITH " + SCORED + """, c AS (
-  SELECT doc_id, CAST(quality = 0 AS INTEGER) AS cls FROM scored),
+  SELECT doc_id, 1.0::DOUBLE - quality AS y, CAST(quality = 0 AS INTEGER) AS cls FROM scored),
 s AS (SELECT cls, count(*) AS n, min(doc_id) AS first FROM c GROUP BY cls),
 o AS (SELECT cls, n, coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM s),
-j AS (SELECT cls, n, o, row_number() OVER (PARTITION BY cls ORDER BY doc_id) - 1 AS j
+j AS (SELECT doc_id, y, cls, n, o, row_number() OVER (PARTITION BY cls ORDER BY doc_id) - 1 AS j
       FROM c JOIN o USING (cls)),
-f AS (SELECT cls, """ + _fold(3) + """ AS fold FROM j),
-z AS (SELECT split, count(*) AS n
-      FROM f, (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS split) WHERE cls = 0 AND fold <> split GROUP BY split)
-SELECT split, 0 AS present, n FROM z UNION ALL SELECT split, 1, n FROM z""",
-    "resampled_targets_long": "WITH " + MEASURED + """
-SELECT 'sample_' || i AS target, count(sd) AS n
-FROM measured, (SELECT unnest(generate_series(1, 50)) AS i) GROUP BY i""",
-    "pseudo_absences": "WITH " + CELLS + """, f AS (SELECT count(*) AS n FROM cells WHERE quantity > 45)
-SELECT 1 AS present, n FROM f UNION ALL SELECT 0, n FROM f""",
-    "bag_sizes": """SELECT bag, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS n
-FROM orders, (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS bag) GROUP BY bag""",
+f AS (SELECT doc_id, y, cls, """ + _fold(3) + """ AS fold FROM j),
+p AS (SELECT split, doc_id, y, cls FROM f, (SELECT CAST(unnest(range(3)) AS INTEGER) AS split) WHERE fold <> split),
+t AS (SELECT *, row_number() OVER (PARTITION BY split, cls ORDER BY doc_id) - 1 AS idx FROM p),
+n AS (SELECT split, count(*) FILTER (cls = 0) AS m, count(*) FILTER (cls = 1) AS n FROM p GROUP BY split),
+d AS (SELECT split, n, unnest(range(m)) AS draw FROM n),
+w AS (SELECT split, """ + _index("n", 2, "split", "draw") + """ AS idx, count(*) AS weight FROM d GROUP BY ALL)
+SELECT split, doc_id, y, 1::BIGINT AS weight FROM t WHERE cls = 0
+UNION ALL SELECT split, doc_id, y, weight FROM t JOIN w USING (split, idx) WHERE cls = 1""",
+    "resampled_targets": "WITH " + MEASURED + """, e AS (
+  SELECT id, value, sd / sqrt(3) AS se FROM measured WHERE sd IS NOT NULL)
+SELECT id, round(value, 4) AS value, round(se, 4) AS se, """ + ", ".join(
+        f"round(greatest(0.0, value + se * {_normal(42, i, 'id')}), 4) AS sample_{i}" for i in range(1, 6)
+    ) + " FROM e",
+    "resampled_targets_long": "WITH " + MEASURED + f""", e AS (
+  SELECT id, value, sd / sqrt(3) AS se FROM measured WHERE sd IS NOT NULL)
+SELECT 'sample_' || i AS target, count(*) AS n,
+       round(avg(greatest(0.0, value + se * {_normal(42, "i", "id")})), 2) AS mean
+FROM e, (SELECT unnest(generate_series(1, 50)) AS i) GROUP BY i""",
+    "pseudo_absences": "WITH " + CELLS + ", " + ENV + f""", z AS (
+  SELECT lat, lon, depth, time, row_number() OVER (
+    ORDER BY {_key(42, "lat", "lon", "depth", "time")}, lat, lon, depth, time) - 1 AS idx
+  FROM env WHERE temperature <= 0.05)
+SELECT lat, lon, depth, time, round(quantity, 6) AS quantity FROM cells
+UNION ALL SELECT lat, lon, depth, time, 0.0 FROM z WHERE idx < (SELECT count(*) // 10 FROM cells)""",
+    "bag_sizes": _bags("orders", "o_orderkey", "o_orderkey", 4, 0.2, 1),
+    "bootstrap_bags": _bags(
+        "(SELECT vec_id AS id, CAST(label AS DOUBLE) AS y FROM embeddings)", "id", "id, y", 3, 0.5, 1
+    ),
     # feature preparation, weights, thresholds
     "standardised_features": "WITH " + MEASURED + """
 SELECT id, round((value - (SELECT avg(value) FROM measured)) / (SELECT stddev_pop(value) FROM measured), 6) AS value,
@@ -543,3 +605,6 @@ SELECT id, CAST(di >= (SELECT cut FROM cut) AS INTEGER) AS aoa, round(di, 6) AS
 }
 SQL["fields_from_stored_predictions"] = SQL["fields_of_statistic"]
 SQL["monthly_files"] = SQL["field_write_and_read"]
+SQL["nearest_neighbours_boxed"] = SQL["nearest_neighbours"]
+SQL["knn_regression_boxed"] = SQL["knn_regression"]
+SQL["applicability_boxed"] = SQL["applicability"]

@@ -498,8 +498,7 @@ def regrid_bilinear(spark, sf):
 
 @query
 def dense_grid(spark, sf):
-    rows = V.obs(spark, sf).where(F.col("quantity") > 45)
-    cells = PR.grid_mean(rows, ["lat", "depth", "time"], ["price"])
+    cells = PR.grid_mean(V.obs(spark, sf), ["lat", "depth", "time"], ["price"])
     return V.rounded(PR.densify(cells), 6, "price")
 
 
@@ -526,59 +525,68 @@ def zero_stratified_folds_by_target(spark, sf):
 
 @query
 def shuffled_order(spark, sf):
-    rows = SA.shuffle(V.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 1)
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("order").alias("positions"))
+    return SA.shuffle(V.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 1)
 
 
 @query
 def shuffled_folds(spark, sf):
-    """Shuffle, then contiguous folds: the fold sizes are fixed, the members are random."""
-    keyed = SA.with_random_index(V.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 1)
-    return SA.kfold(keyed.drop("_n").withColumnRenamed("idx", "place"), 7, "place").select("o_orderkey", "fold")
+    return SA.shuffled_kfold(V.table(spark, sf, "orders").select("o_orderkey"), 7, ["o_orderkey"], 1)
+
+
+@query
+def folds_with_null_group(spark, sf):
+    """A null group is a group: none of its rows is lost."""
+    rows = V.measured(spark, sf).select("id", "method")
+    return SA.kfold(rows, 5, "id", by=["method"])
+
+
+@query
+def zero_stratified_folds_with_null_group(spark, sf):
+    rows = V.measured(spark, sf).select("id", F.coalesce("cells", F.lit(0.0)).alias("y"), "method")
+    return SA.zero_stratified_kfold(rows, "y", 4, "id", by=["method"])
 
 
 @query
 def upsampled_absences(spark, sf):
     rows = V.scored(spark, sf).select("doc_id", F.col("quality").cast("double").alias("y"))
     up = SA.upsample(rows, "y", "doc_id", ratio=10, seed=1)
-    return up.groupBy("y").agg(F.count("*").alias("n"))
+    return up.groupBy("doc_id", "y").agg(F.count("*").alias("n"))
 
 
 @query
 def upsampled_fold_sizes(spark, sf):
     rows = V.scored(spark, sf).select("doc_id", (1.0 - F.col("quality")).alias("y"))
     _, training = SA.upsampled_folds(rows, "y", 3, "doc_id", seed=2)
-    return training.groupBy("split", (F.col("y") > 0).cast("int").alias("present")).agg(
-        F.sum("weight").alias("n")
-    )
+    return training.select("split", "doc_id", "y", "weight")
 
 
 @query
 def resampled_targets(spark, sf):
     rows = PR.with_standard_error(V.measured(spark, sf), "sd", 3, "se").where(F.col("se").isNotNull())
-    return SA.resample_normal(rows.select("id", "value", "se"), "value", "se", 5, 42, ["id"])
+    draws = SA.resample_normal(rows.select("id", "value", "se"), "value", "se", 5, 42, ["id"])
+    return V.rounded(draws, 4, "value", "se", *[f"sample_{i}" for i in range(1, 6)])
 
 
 @query
 def resampled_targets_long(spark, sf):
     rows = PR.with_standard_error(V.measured(spark, sf), "sd", 3, "se").where(F.col("se").isNotNull())
     draws = SA.resample_normal(rows.select("id", "value", "se"), "value", "se", 50, 42, ["id"], long=True)
-    return draws.groupBy("target").agg(F.count("value").alias("n"))
+    stats = draws.groupBy("target").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return V.rounded(stats, 2, "mean")
 
 
 @query
 def pseudo_absences(spark, sf):
     seen = V.cells(spark, sf).select(*KEYS, "quantity")
     dark = V.env(spark, sf).select(*KEYS, (F.col("temperature") > 0.05).cast("int").alias("mask"))
-    found = seen.where(F.col("quantity") > 45)
-    out = SA.add_pseudo_zeros(found, dark, found.agg(F.count("quantity")).scalar(), ["quantity"], 42)
-    return out.groupBy((F.col("quantity") > 0).cast("int").alias("present")).agg(F.count("*").alias("n"))
+    n = seen.agg(F.floor(F.count("quantity") / 10)).scalar()
+    return V.rounded(SA.add_pseudo_zeros(seen, dark, n, ["quantity"], 42), 6, "quantity")
 
 
 @query
 def bag_sizes(spark, sf):
     bags = SA.make_bags(V.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 4, 0.2, 1)
-    return bags.groupBy("bag").agg(F.sum("weight").alias("n"))
+    return bags
 
 
 @query
@@ -693,11 +701,21 @@ def nearest_neighbours_cityblock(spark, sf):
     return V.rounded(NE.knn_join(asked, known, V.FEATURES, 2, "id", "id", p=1), 6, "distance")
 
 
-def _knn(spark, sf, task, weights):
+@query
+def nearest_neighbours_boxed(spark, sf):
+    """The plan for bases beyond the broadcast bound."""
+    rows = V.vectors(spark, sf)
+    out = NE.knn_join(rows, rows, V.FEATURES, 3, "id", "id", exclude_self=True, limit=0)
+    return V.rounded(out, 6, "distance")
+
+
+def _knn(spark, sf, task, weights, limit=None):
     rows = V.vectors(spark, sf)
     spec = MO.ModelSpec("knn", task, {"n_neighbors": 5, "weights": weights}, bags=0)
     prep = MO.Preprocessor({f: [0.0, 1.0] for f in V.FEATURES}, {})
     model = MO.fit_model(spec, rows.where(F.col("y") < 7), V.FEATURES, "y", "id", prep=prep)
+    if limit is not None:
+        model.limit = limit
     return model.predict(rows.where(F.col("y") >= 7), "p")
 
 
@@ -706,6 +724,11 @@ def knn_regression(spark, sf):
     return V.rounded(_knn(spark, sf, "reg", "uniform").select("id", "p"), 6, "p")
 
 
+@query
+def knn_regression_boxed(spark, sf):
+    return V.rounded(_knn(spark, sf, "reg", "uniform", limit=0).select("id", "p"), 6, "p")
+
+
 @query
 def knn_regression_by_distance(spark, sf):
     return V.rounded(_knn(spark, sf, "reg", "distance").select("id", "p"), 6, "p")
@@ -733,6 +756,11 @@ def applicability(spark, sf):
     return _applicability(spark, sf)
 
 
+@query
+def applicability_boxed(spark, sf):
+    return _applicability(spark, sf, limit=0)
+
+
 @query
 def applicability_standard_cut(spark, sf):
     return _applicability(spark, sf, scale="standard", cap=False, drop_zeros=True)

@@ -14,11 +14,21 @@ def matrix(rows: pa.Array, width: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, width)
 
 
+def tag_numbers(q_tag: np.ndarray, b_tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tags of any type as numbers that are equal when the tags are; null equals nothing."""
+    known: dict = {}
+    b = np.array([-2 if t is None else known.setdefault(t, len(known)) for t in b_tag], dtype=np.int64)
+    return np.array([-1 if t is None else known.get(t, -1) for t in q_tag], dtype=np.int64), b
+
+
 def tiles(q: np.ndarray, b: np.ndarray, p: float, q_tag, b_tag):
     """Yield (slice of q, distances to all of b); equal tags give infinity.
 
-    The tile height follows the width, so memory stays flat.
+    `p` is the Minkowski power; infinity takes the largest gap. The tile height follows the
+    width, so memory stays flat.
     """
+    if q_tag is not None:
+        q_tag, b_tag = tag_numbers(q_tag, b_tag)
     step = max(1, TILE_CELLS // max(1, len(b)))
     columns = np.ascontiguousarray(b.T)
     for start in range(0, len(q), step):
@@ -26,6 +36,9 @@ def tiles(q: np.ndarray, b: np.ndarray, p: float, q_tag, b_tag):
         d = np.zeros((part.stop - start, len(b)))
         for f in range(q.shape[1]):
             gap = q[part, f, None] - columns[f][None, :]
+            if p == np.inf:
+                np.maximum(d, np.abs(gap), out=d)
+                continue
             if p == 2:
                 np.multiply(gap, gap, out=gap)
             else:
@@ -35,7 +48,7 @@ def tiles(q: np.ndarray, b: np.ndarray, p: float, q_tag, b_tag):
             d += gap
         if p == 2:
             np.sqrt(d, out=d)
-        elif p != 1:
+        elif p != 1 and p != np.inf:
             np.power(d, 1.0 / p, out=d)
         if q_tag is not None:
             d[q_tag[part, None] == b_tag[None, :]] = np.inf
@@ -99,5 +112,5 @@ def box_gap(q: np.ndarray, low: np.ndarray, high: np.ndarray, p: float, far: boo
             gap = np.maximum(np.abs(under), np.abs(over))
         else:
             gap = np.maximum(np.maximum(under, over), 0.0)
-        total += gap**p
-    return total ** (1.0 / p)
+        total = np.maximum(total, gap) if p == np.inf else total + gap**p
+    return total if p == np.inf else total ** (1.0 / p)

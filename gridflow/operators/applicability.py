@@ -10,6 +10,7 @@ from gridflow.operators.neighbours import (
     local_base,
     with_count_within,
     with_neighbours,
+    with_summary,
 )
 from gridflow.operators.sampling import exact_quantiles
 from gridflow.schema import col, complete
@@ -65,6 +66,13 @@ def train_dissimilarity(
 
     The nearest other row is used, or with `fold_col` the nearest row of another fold.
     """
+    if shared is not None:
+        # the own row is at distance zero, so leaving it out changes neither sum nor mean
+        rows = with_summary(train, shared, Space(features, p, fold_col or ident), "_s")
+        rows = stored(rows.select(col(ident), "_s.*"), "di")
+        count = "pairs" if fold_col else "positive"
+        mean = rows.agg(F.sum("total") / F.sum(count)).first()[0]
+        return rows.select(col(ident), (F.col("near") / F.lit(mean)).alias("di")), mean
     plain = Space(features, p)
     if fold_col is None:
         apart = Space(features, p, ident)
@@ -120,6 +128,18 @@ def area_of_applicability(
     di_train, mean = train_dissimilarity(train, names, train_id, fold_col, p, limit, shared)
     cut = cutpoint(stored(di_train, "di"), "di", threshold, scale, cap)
     space = Space(names, p)
+    if shared is not None:
+        # one pass adds up the distances, another finds the nearest row and the count within
+        radius = -1.0
+        if return_all:
+            sums = with_summary(test, shared, space, "_s").agg(F.sum("_s.total"), F.sum("_s.pairs")).first()
+            radius = cut * sums[0] / sums[1]
+        out = with_summary(test, shared, space, "_s", radius)
+        out = out.withColumn("di", F.col("_s.near") / F.lit(mean))
+        out = out.withColumn("aoa", (F.col("di") >= F.lit(cut)).cast("int")).withColumn("cutpoint", F.lit(cut))
+        if return_all:
+            out = out.withColumn("lpd", F.col("_s.within"))
+        return out.drop("_s", *names)
     out = with_neighbours(test, train, space, 1, test_id, train_id, limit=limit, shared=shared)
     di = F.get(F.col("nn.distance"), F.lit(0)) / F.lit(mean)
     out = out.withColumn("di", di).drop("nn")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridflow.functions import rows
 from gridflow.schema import col, keys_of
-from gridflow.session import stored
 
 RESAMPLE_COLUMNS = ["mean", "stdev", "prctile_2.5", "prctile_97.5"]
 
@@ -35,13 +34,20 @@ def to_long(df: DataFrame, targets: list[str], keys: list[str] | None = None) ->
 
 
 def trait_values(traits: DataFrame, targets: list[str], variable: str) -> dict[str, float]:
-    """Trait value per target, by name. Reads at most one row per listed target."""
-    wanted = traits.where(F.col("Target").isin(targets)).select("Target", col(variable))
-    found = {r[0]: r[1] for r in wanted.limit(len(targets) + 1).collect()}
-    missing = [t for t in targets if found.get(t) is None]
+    """Trait value per target, by name: one row per listed target reaches the driver.
+
+    A target without a value, or with more than one row, is an error.
+    """
+    wanted = traits.where(F.col("Target").isin(targets))
+    found = wanted.groupBy("Target").agg(F.count("*").alias("n"), F.max(col(variable)).alias("v")).collect()
+    repeated = sorted(r["Target"] for r in found if r["n"] > 1)
+    if repeated:
+        raise ValueError(f"more than one {variable!r} for targets {repeated}")
+    values = {r["Target"]: r["v"] for r in found}
+    missing = [t for t in targets if values.get(t) is None]
     if missing:
         raise ValueError(f"no {variable!r} for targets {missing}")
-    return found
+    return values
 
 
 def scale_by_trait(
@@ -57,14 +63,21 @@ def scale_by_trait(
 def scale_by_trait_long(df: DataFrame, traits: DataFrame, variable: str) -> DataFrame:
     """Long form of the same: joins the trait table by target name.
 
-    The trait table is written down first, so that its true size decides the join: one
-    common target must not pull its rows into one task while the table is small.
+    A target of `df` without a trait, or with several, stops the job with an error, as in
+    the wide form; no row is dropped or repeated. Traits are one row per target after the
+    aggregation, so its size, not the size of `df`, decides the kind of join.
     """
-    trait = traits.select(F.col("Target").alias("target"), col(variable).alias("_trait"))
-    trait = stored(trait, "traits")
-    return df.join(trait, "target").withColumn("value", F.col("value") * F.col("_trait")).drop(
-        "_trait"
+    trait = traits.groupBy(F.col("Target").alias("target")).agg(
+        F.max(col(variable)).alias("_trait"), F.count("*").alias("_traits")
+    )
+    joined = df.join(trait, "target", "left")
+    problem = F.concat(
+        F.when(F.col("_traits") > 1, F.lit("more than one ")).otherwise(F.lit("no ")),
+        F.lit(f"{variable!r} for target "), F.coalesce(F.col("target"), F.lit("null")),
     )
+    bad = F.col("_trait").isNull() | (F.col("_traits") > 1)
+    value = F.when(bad, F.raise_error(problem).cast("double")).otherwise(F.col("value") * F.col("_trait"))
+    return joined.withColumn("value", value).drop("_trait", "_traits")
 
 
 def sum_groups(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -10,6 +10,8 @@ from gridflow.functions.columns import sentinel_to_null
 from gridflow.operators.prepare import grid_mean
 from gridflow.schema import KEYS, col, complete
 
+WORD_BITS = 60
+
 
 def join_obs_env(
     obs: DataFrame, env: DataFrame, env_vars: list[str], on: list[str] = KEYS
@@ -45,18 +47,23 @@ def align_env(frames: dict[str, DataFrame], on: list[str] = KEYS) -> DataFrame:
             df.select(
                 *on,
                 F.lit(i).alias("_grid"),
-                F.lit(1 << i).cast("long").alias("_bit"),
+                F.lit(1 << i % WORD_BITS).cast("long").alias("_bit"),
                 col(n).cast("double").alias("_value"),
             )
             for i, (n, df) in enumerate(frames.items())
         ],
     )
-    present = F.bit_or("_bit")
+    # one bit per grid, in as many words as there are grids for
+    words = range(0, len(names), WORD_BITS)
+    in_word = [F.col("_grid").between(w, w + WORD_BITS - 1) for w in words]
+    present = [F.bit_or(F.when(c, F.col("_bit"))).alias(f"_present_{w}") for w, c in zip(words, in_word)]
     columns = [
         F.max(F.when(F.col("_grid") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)
     ]
-    cells = union.groupBy(*on).agg(present.alias("_present"), *columns)
-    return cells.where(F.col("_present") == (1 << len(names)) - 1).drop("_present")
+    cells = union.groupBy(*on).agg(*present, *columns)
+    for w in words:
+        cells = cells.where(F.col(f"_present_{w}") == (1 << min(WORD_BITS, len(names) - w)) - 1)
+    return cells.drop(*[f"_present_{w}" for w in words])
 
 
 def residuals(

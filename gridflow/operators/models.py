@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gridflow.functions import kernels
 from gridflow.functions.columns import log_forward, log_inverse, presence_label
 from gridflow.functions.rows import row_mean
-from gridflow.operators.neighbours import Space, with_neighbours
-from gridflow.operators.sampling import bag_features, make_bags
+from gridflow.operators.neighbours import ROW, Space, with_neighbours
+from gridflow.operators.sampling import bag_features, make_bags, prefix_sum
 from gridflow.schema import col, complete, require
 from gridflow.session import BROADCAST_BYTES, fits_broadcast, in_threads, scratch_path, stored
 
@@ -301,8 +301,7 @@ class BaggedNeighbours:
 
     def _bag(self, b: int) -> DataFrame:
         rows = self.table.where(F.col("bag") == b)
-        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("weight"))))
-        return rows.withColumn("_rid", F.col("_row") * F.lit(1 << 20) + F.col("_copy"))
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("weight"))))
 
     def _mean(self) -> Column:
         y, d = F.col("_nn.value"), F.col("_nn.distance")
@@ -319,16 +318,18 @@ class BaggedNeighbours:
         if fits_broadcast(self.table, row_bytes, self.limit):
             found = self._broadcast_members(rows, out)
         else:
-            rows = rows.withColumn("_qid", F.xxhash64(*[col(c) for c in df.columns]))
-            distinct = stored(rows.select("_qid", *self.prep.names).dropDuplicates(["_qid"]), "query")
-            answers = distinct
+            # a row number, written down once, says whose answer is whose
+            rows = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "query")
+            asked = answers = rows.select(ROW, *self.prep.names)
             for b, subset in enumerate(self.subsets):
                 nn = with_neighbours(
-                    distinct, self._bag(b), Space(subset, self.p), self.k, "_qid", "_rid", "y", 0, "_nn"
+                    asked, self._bag(b), Space(subset, self.p), self.k, ROW, "_row", "y", 0, "_nn"
                 )
-                answers = answers.join(nn.select("_qid", self._mean().alias(f"_b{b}")), "_qid")
+                answers = answers.join(nn.select(ROW, self._mean().alias(f"_b{b}")), ROW)
             parts = F.array(*[F.col(f"_b{b}") for b in range(len(self.subsets))])
-            found = rows.join(answers.select("_qid", parts.alias(out)), "_qid", "left").drop("_qid")
+            whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in self.prep.names])
+            answers = answers.select(ROW, F.when(whole, parts).alias(out))
+            found = rows.join(answers, ROW, "left").drop(ROW)
         return found.drop(*self.prep.names)
 
     def _broadcast_members(self, rows: DataFrame, out: str) -> DataFrame:
@@ -563,9 +564,9 @@ def fit_neighbours(
     if spec.bags:
         if weight:
             # a row drawn w times is w rows to draw from; copies get their own numbers
-            copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_w")))
-            rows = rows.withColumn("_c", copies)
-            rows = rows.withColumn("_row", F.col("_row") * F.lit(1 << 20) + F.col("_c")).drop("_c")
+            rows = prefix_sum(rows, "_row", ["_w"])
+            copies = F.explode(F.sequence(F.col("_w_cum") - F.col("_w"), F.col("_w_cum") - 1))
+            rows = rows.where(F.col("_w") > 0).withColumn("_row", copies).drop("_w_cum")
         n_bags = spec.bags
         share = p.get("max_samples", 1.0)
         if isinstance(share, int) and share > 1:

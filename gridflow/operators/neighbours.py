@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridflow.functions import kernels
 from gridflow.schema import col, complete
@@ -31,8 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 20_000
 SPLIT_SAMPLE = 50_000
-HEAVY_ROW = 20_000
-NN_TYPE = "struct<distance array<double>, id array<bigint>, value array<double>>"
+ROW = "_neighbour_row"
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,8 @@ class Space:
         return F.array(*[col(f).cast("double") for f in self.features])
 
     def tag(self) -> Column:
-        return (col(self.exclude) if self.exclude else F.lit(None)).cast("bigint")
+        """The `exclude` values as text, so that ids and folds of any type can be compared."""
+        return (col(self.exclude) if self.exclude else F.lit(None)).cast("string")
 
     @property
     def row_bytes(self) -> int:
@@ -61,21 +62,30 @@ def local_arrays(rows: pd.DataFrame, width: int, tagged: bool):
     """(ids, values, points, tags) of base rows, sorted by id."""
     rows = rows.sort_values("_id", kind="stable")
     points = np.array(rows["_x"].tolist(), dtype=np.float64).reshape(-1, width)
-    tags = rows["_tag"].to_numpy(dtype=np.int64) if tagged else None
-    ids = rows["_id"].to_numpy(dtype=np.int64)
-    return ids, rows["_y"].to_numpy(dtype=np.float64), points, tags
+    tags = rows["_tag"].to_numpy(dtype=object) if tagged else None
+    return rows["_id"].to_numpy(), rows["_y"].to_numpy(dtype=np.float64), points, tags
 
 
 def packed(df: DataFrame, space: Space, ident: str | None, value: str | None) -> DataFrame:
-    """(_id, _x, _y, _tag) of the rows that have every feature."""
+    """(_id, _x, _y, _tag) of the rows that have every feature; ids keep their type."""
     return complete(df, space.features).select(
-        (col(ident) if ident else F.lit(0)).cast("bigint").alias("_id"),
+        (col(ident) if ident else F.lit(0).cast("bigint")).alias("_id"),
         space.vector().alias("_x"),
         (col(value) if value else F.lit(None)).cast("double").alias("_y"),
         space.tag().alias("_tag"),
     )
 
 
+def numbered(query: DataFrame) -> DataFrame:
+    """`query` written down with a row number, which is the identity of a row in every plan.
+
+    A caller that asks several times may number its rows itself.
+    """
+    if ROW in query.columns:
+        return query
+    return stored(query.withColumn(ROW, F.monotonically_increasing_id()), "query")
+
+
 def local_base(
     base: DataFrame, space: Space, ident: str, value: str | None, limit: int = BROADCAST_BYTES
 ):
@@ -87,17 +97,6 @@ def local_base(
     return base.sparkSession.sparkContext.broadcast(local)
 
 
-def spread_work(query: DataFrame, base_rows: int, width: int) -> DataFrame:
-    """Even out the query rows over tasks when each of them costs many comparisons.
-
-    A scan may give few, large partitions; moving a row costs little next to comparing it
-    with the whole base.
-    """
-    if base_rows * width < HEAVY_ROW:
-        return query
-    return query.repartition(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def with_neighbours(
     query: DataFrame,
     base: DataFrame,
@@ -113,39 +112,42 @@ def with_neighbours(
     """Add the k nearest base rows as struct of arrays (distance, id, value), nearest first.
 
     Ties are ordered by base id. Null for query rows with a missing feature. `shared` is
-    the result of an earlier `local_base` for the same base.
+    the result of an earlier `local_base` for the same base. Ids may have any type and may
+    repeat: each query row has its own neighbours.
     """
     shared = shared or local_base(base, space, base_id, value, limit)
+    id_type = base.schema[base_id].dataType
     if shared is None:
-        found = _boxed(query, base, space, k, query_id, base_id, value)
-        return query.join(found.withColumnRenamed("_nn", out), query_id, "left")
+        rows = numbered(query)
+        found = _boxed(rows, base, space, k, base_id, value)
+        rows = rows.join(found.withColumnRenamed("_nn", out), ROW, "left")
+        return rows if ROW in query.columns else rows.drop(ROW)
+    arrow_id = to_arrow_type(id_type)
     p, width, tagged = space.p, len(space.features), space.exclude is not None
 
-    @F.arrow_udf(NN_TYPE)
+    @F.arrow_udf(f"struct<distance array<double>, id array<{id_type.simpleString()}>, value array<double>>")
     def find(x: pa.Array, tag: pa.Array) -> pa.Array:
         ids, values, points, tags = shared.value
         q = kernels.matrix(x, width)
-        q_tag = tag.to_numpy(zero_copy_only=False).astype(np.int64) if tagged else None
-        b_tag = tags if tagged else None
-        position, distance = kernels.nearest(q, points, k, p, q_tag, b_tag)
-        return _pack(distance, ids, values, position)
+        q_tag = np.array(tag.to_pylist(), dtype=object) if tagged else None
+        position, distance = kernels.nearest(q, points, k, p, q_tag, tags if tagged else None)
+        return _pack(distance, ids, values, position, arrow_id)
 
     whole = F.lit(True)
     for f in space.features:
         whole = whole & col(f).isNotNull()
     point = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in space.features])
-    tag = F.coalesce(space.tag(), F.lit(-1).cast("bigint")) if tagged else F.lit(0).cast("bigint")
-    query = spread_work(query, len(shared.value[0]), width)
+    tag = space.tag() if tagged else F.lit("")
     return query.withColumn(out, F.when(whole, find(point, tag)))
 
 
-def _pack(distance, ids, values, position) -> pa.Array:
+def _pack(distance, ids, values, position, arrow_id: pa.DataType) -> pa.Array:
     kept = np.isfinite(distance)
     if len(ids) == 0:
-        ids, values = np.zeros(1, dtype=np.int64), np.zeros(1)
+        ids, values = np.zeros(1, dtype=ids.dtype), np.zeros(1)
     lists = [
         kernels.ragged(distance, kept, pa.float64()),
-        kernels.ragged(ids[position], kept, pa.int64()),
+        kernels.ragged(ids[position], kept, arrow_id),
         kernels.ragged(values[position], kept, pa.float64()),
     ]
     return pa.StructArray.from_arrays(lists, ["distance", "id", "value"])
@@ -225,8 +227,9 @@ class Boxes:
 def _boxes(rows: DataFrame, width: int) -> Boxes:
     n = rows.count()
     depth = max(1, int(np.ceil(np.log2(max(2.0, n / BLOCK_ROWS)))))
-    share = min(1.0, 2.0 * SPLIT_SAMPLE / n)
-    sample = rows.select("_x").sample(share, seed=1).limit(SPLIT_SAMPLE).toPandas()["_x"]
+    share = min(1.0, SPLIT_SAMPLE / max(1, n))
+    # the share bounds the sample; a prefix of it would see the first partitions only
+    sample = rows.select("_x").sample(share, seed=1).toPandas()["_x"]
     points = np.array(sample.tolist(), dtype=np.float64).reshape(-1, width)
     axis, cut = _splits(points, depth)
     rows = rows.withColumn("_box", _box_number(depth, axis, cut))
@@ -268,7 +271,7 @@ def _compare(routes: DataFrame, boxes: Boxes, schema: str, compare) -> DataFrame
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
     base = boxes.rows.withColumn("_box", F.col("_box").cast("bigint")).join(layout, "_box")
-    base = base.withColumn("_piece", spread("_pieces", "_id", "_x"))
+    base = base.withColumn("_piece", spread("_pieces", "_number"))
     base = base.withColumn("_slice", all_of("_slices")).drop("_pieces", "_slices")
     query = routes.join(layout, "_box").withColumn("_slice", spread("_slices", "_qid"))
     query = query.withColumn("_piece", all_of("_pieces")).drop("_pieces", "_slices")
@@ -279,23 +282,24 @@ def _compare(routes: DataFrame, boxes: Boxes, schema: str, compare) -> DataFrame
 def _top_k(routes: DataFrame, boxes: Boxes, space: Space, k: int) -> DataFrame:
     """(_qid, _hits) with the k best (distance, id, value) of the routed boxes."""
     p, width, tagged = space.p, len(space.features), space.exclude is not None
+    id_type = boxes.rows.schema["_id"].dataType.simpleString()
 
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ids, values, base_points, tags = local_arrays(b, width, tagged)
         points = np.array(q["_qx"].tolist(), dtype=np.float64).reshape(-1, width)
-        tag = q["_qtag"].to_numpy(dtype=np.int64) if tagged else None
+        tag = q["_qtag"].to_numpy(dtype=object) if tagged else None
         position, distance = kernels.nearest(points, base_points, k, p, tag, tags)
         kept = np.isfinite(distance)
         return pd.DataFrame(
             {
                 "_qid": np.repeat(q["_qid"].to_numpy(), kept.sum(axis=1)),
                 "distance": distance[kept],
-                "id": ids[position][kept] if len(ids) else np.zeros(0, dtype=np.int64),
+                "id": ids[position][kept] if len(ids) else ids[:0],
                 "value": values[position][kept] if len(ids) else np.zeros(0),
             }
         )
 
-    schema = "_qid bigint, distance double, id bigint, value double"
+    schema = f"_qid bigint, distance double, id {id_type}, value double"
     hits = _compare(routes, boxes, schema, compare)
     return _merge(hits.groupBy("_qid").agg(F.collect_list(F.struct("distance", "id", "value")).alias("_hits")), k)
 
@@ -304,18 +308,24 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
     return lists.withColumn("_hits", F.slice(F.array_sort("_hits"), 1, k))
 
 
-def _queries(query: DataFrame, space: Space, query_id: str) -> DataFrame:
-    return packed(query, space, query_id, None).select(
+def _base(base: DataFrame, space: Space, ident: str | None, value: str | None) -> DataFrame:
+    """Packed base rows, written with a number by which a box of equal points can be split."""
+    rows = packed(base, space, ident, value)
+    return stored(rows.withColumn("_number", F.monotonically_increasing_id()), "base")
+
+
+def _queries(query: DataFrame, space: Space) -> DataFrame:
+    return packed(query, space, ROW, None).select(
         F.col("_id").alias("_qid"), F.col("_x").alias("_qx"), F.col("_tag").alias("_qtag")
     )
 
 
 def _boxed(
-    query: DataFrame, base: DataFrame, space: Space, k: int,
-    query_id: str, base_id: str, value: str | None,
+    query: DataFrame, base: DataFrame, space: Space, k: int, base_id: str, value: str | None
 ) -> DataFrame:
+    """(ROW, _nn) of the numbered query rows that have every feature."""
     width, p = len(space.features), space.p
-    boxes = _boxes(stored(packed(base, space, base_id, value), "base"), width)
+    boxes = _boxes(_base(base, space, base_id, value), width)
     bounds = query.sparkSession.sparkContext.broadcast((boxes.number, boxes.low, boxes.high))
 
     @F.arrow_udf("bigint")
@@ -334,7 +344,7 @@ def _boxed(
         wanted = (gap <= limit) & (number[None, :] != seen.to_numpy(zero_copy_only=False)[:, None])
         return kernels.ragged(np.broadcast_to(number, wanted.shape), wanted, pa.int64())
 
-    queries = stored(_queries(query, space, query_id).withColumn("_box", home("_qx")), "queries")
+    queries = stored(_queries(query, space).withColumn("_box", home("_qx")), "queries")
     first = stored(_top_k(queries, boxes, space, k), "first")
     reach = F.when(F.size("_hits") >= k, F.get("_hits", F.lit(k - 1))["distance"])
     bounded = queries.join(first, "_qid", "left").withColumn(
@@ -353,7 +363,7 @@ def _boxed(
         F.transform(hits, lambda h: h["id"]).alias("id"),
         F.transform(hits, lambda h: h["value"]).alias("value"),
     )
-    return _merge(both, k).select(F.col("_qid").alias(query_id), nn.alias("_nn"))
+    return _merge(both, k).select(F.col("_qid").alias(ROW), nn.alias("_nn"))
 
 
 # --- sums and counts over pairs ---------------------------------------------------------
@@ -384,12 +394,11 @@ def distance_sums(
     queries = packed(query, space, None, None)
     shared = shared or local_base(base.withColumn("_one", F.lit(0)), space, "_one", None, limit)
     if shared is not None:
-        queries = spread_work(queries, len(shared.value[0]), width)
 
         def per_batch(batches):
             _, _, base_points, tags = shared.value
             for rows in batches:
-                tag = rows["_tag"].to_numpy(dtype=np.int64) if tagged else None
+                tag = rows["_tag"].to_numpy(dtype=object) if tagged else None
                 yield add_up(points(rows["_x"]), tag, base_points, tags if tagged else None)
 
         sums = queries.select("_x", "_tag").mapInPandas(per_batch, schema)
@@ -406,8 +415,8 @@ def distance_sums(
             return placed.withColumn(other, F.explode(numbers))
 
         def per_tile(q, b):
-            q_tag = q["_tag"].to_numpy(dtype=np.int64) if tagged else None
-            b_tag = b["_tag"].to_numpy(dtype=np.int64) if tagged else None
+            q_tag = q["_tag"].to_numpy(dtype=object) if tagged else None
+            b_tag = b["_tag"].to_numpy(dtype=object) if tagged else None
             return add_up(points(q["_x"]), q_tag, points(b["_x"]), b_tag)
 
         left = place(queries, "_i", n_query, "_j", n_base).groupBy("_i", "_j")
@@ -417,6 +426,41 @@ def distance_sums(
     return float(row[0] or 0.0), int(row[1] or 0), int(row[2] or 0)
 
 
+def with_summary(query: DataFrame, shared, space: Space, out: str, radius: float = -1.0) -> DataFrame:
+    """Add struct `out` about the allowed base rows, from one comparison with a broadcast base.
+
+    near: distance of the nearest; total, positive, pairs: sum of distances, number of
+    positive ones, number of all; within: number nearer than `radius`. Null for query rows
+    with a missing feature, near also without any base row.
+    """
+    p, width, tagged = space.p, len(space.features), space.exclude is not None
+
+    @F.arrow_udf("struct<near double, total double, positive bigint, pairs bigint, within bigint>")
+    def summary(x: pa.Array, tag: pa.Array) -> pa.Array:
+        _, _, points, tags = shared.value
+        q = kernels.matrix(x, width)
+        q_tag = np.array(tag.to_pylist(), dtype=object) if tagged else None
+        found = np.zeros((5, len(q)))
+        for part, d in kernels.tiles(q, points, p, q_tag, tags if tagged else None):
+            allowed = np.isfinite(d)
+            found[0, part] = d.min(axis=1, initial=np.inf)
+            found[1, part] = np.where(allowed, d, 0.0).sum(axis=1)
+            found[2, part] = (allowed & (d > 0)).sum(axis=1)
+            found[3, part] = allowed.sum(axis=1)
+            found[4, part] = (d < radius).sum(axis=1)
+        near = pa.array(found[0], mask=~np.isfinite(found[0]))
+        counts = [pa.array(row.astype(np.int64)) for row in found[2:]]
+        return pa.StructArray.from_arrays(
+            [near, pa.array(found[1]), *counts], ["near", "total", "positive", "pairs", "within"]
+        )
+
+    whole = F.lit(True)
+    for f in space.features:
+        whole = whole & col(f).isNotNull()
+    point = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in space.features])
+    return query.withColumn(out, F.when(whole, summary(point, space.tag() if tagged else F.lit(""))))
+
+
 def with_count_within(
     query: DataFrame,
     base: DataFrame,
@@ -444,12 +488,10 @@ def with_count_within(
             return pa.array(counts)
 
         point = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in space.features])
-        query = spread_work(query, len(shared.value[0]), width)
         return query.withColumn(out, F.when(whole, count(point)))
 
-    # written with a row number, by which a box full of equal points can still be split
-    numbered = base.withColumn("_number", F.monotonically_increasing_id())
-    boxes = _boxes(stored(packed(numbered, space, "_number", None), "base"), width)
+    rows = numbered(query)
+    boxes = _boxes(_base(base, space, None, None), width)
     bounds = query.sparkSession.sparkContext.broadcast(
         (boxes.number, boxes.count, boxes.low, boxes.high)
     )
@@ -474,13 +516,14 @@ def with_count_within(
             counts[part] = (d < radius).sum(axis=1)
         return pd.DataFrame({"_qid": q["_qid"], "n": counts})
 
-    queries = stored(_queries(query, space, query_id).withColumn("_route", route("_qx")), "queries")
+    queries = stored(_queries(rows, space).withColumn("_route", route("_qx")), "queries")
     routes = queries.select("_qid", "_qx", "_qtag", F.explode("_route.partly").alias("_box"))
     near = _compare(routes, boxes, "_qid bigint, n bigint", compare)
     counts = (
         queries.select("_qid", F.col("_route.inside").alias("n"))
         .unionByName(near)
-        .groupBy(F.col("_qid").alias(query_id))
+        .groupBy(F.col("_qid").alias(ROW))
         .agg(F.sum("n").alias(out))
     )
-    return query.join(counts, query_id, "left")
+    rows = rows.join(counts, ROW, "left")
+    return rows if ROW in query.columns else rows.drop(ROW)

@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridflow.functions.columns import presence_label
-from gridflow.functions.hashing import hash_index, hash_key, hash_normal
+from gridflow.functions.hashing import KEY_BITS, hash_index, hash_key, hash_normal
 from gridflow.schema import col, keys_of
 from gridflow.session import stored
 
@@ -39,12 +39,19 @@ def bucketed(df: DataFrame, order: str, out: str = "_bucket") -> DataFrame:
 
 
 def hash_bucketed(df: DataFrame, order: str, out: str = "_bucket") -> DataFrame:
-    """Bucket of a 64-bit hash column: hashes are uniform, so equal ranges are even."""
+    """Bucket of a hash column (see hash_key): hashes are uniform, so equal ranges are even."""
     n = _buckets(df.sparkSession)
-    share = col(order) / F.lit(float(1 << 64)) + F.lit(0.5)
+    share = col(order) / F.lit(float(1 << KEY_BITS))
     return df.withColumn(out, F.least(F.floor(share * n), F.lit(n - 1)).cast("int"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key; the columns of `left` come first."""
+    renamed = right.withColumnsRenamed({c: f"_right_{i}" for i, c in enumerate(on)})
+    same = [col(c).eqNullSafe(F.col(f"_right_{i}")) for i, c in enumerate(on)]
+    return left.join(renamed, same).drop(*[f"_right_{i}" for i in range(len(on))])
+
+
 def _numbered(
     rows: DataFrame, order: str, by: list[str], ties: list[str], extra: list[Column]
 ) -> DataFrame:
@@ -61,8 +68,7 @@ def _numbered(
         Window.partitionBy(*by, "_bucket").orderBy(col(order), *[col(t) for t in ties])
     )
     return (
-        rows.withColumn("_rank", rank)
-        .join(offsets, [*by, "_bucket"])
+        join_null_safe(rows.withColumn("_rank", rank), offsets, [*by, "_bucket"])
         .withColumn("idx", F.col("_before") + F.col("_rank") - 1)
         .drop("_bucket", "_before", "_rank")
     )
@@ -152,10 +158,21 @@ def _contiguous_fold(idx: Column, n: Column, k: int) -> Column:
     return F.when(idx < big, F.floor(idx / (q + 1))).otherwise(late).cast("int")
 
 
+def contiguous_folds(df: DataFrame, k: int, idx: str, n: str, out: str = "fold") -> DataFrame:
+    """Contiguous folds of rows whose position and number of rows are columns already."""
+    return df.withColumn(out, _contiguous_fold(col(idx), col(n), k))
+
+
 def kfold(df: DataFrame, k: int, order: str, by: list[str] = (), out: str = "fold") -> DataFrame:
     """Contiguous folds in the given order."""
-    rows = with_index(df, order, by)
-    return rows.withColumn(out, _contiguous_fold(F.col("idx"), F.col("_n"), k)).drop("idx", "_n")
+    return contiguous_folds(with_index(df, order, by), k, "idx", "_n", out).drop("idx", "_n")
+
+
+def shuffled_kfold(
+    df: DataFrame, k: int, ident: list[str], seed: int, by: list[str] = (), out: str = "fold"
+) -> DataFrame:
+    """Contiguous folds of the rows in random order, from the one numbering that orders them."""
+    return contiguous_folds(with_random_index(df, ident, seed, by), k, "idx", "_n", out).drop("idx", "_n")
 
 
 def _fold_by_allocation(idx: Column, start: Column, n: Column, k: int) -> Column:
@@ -247,7 +264,7 @@ def upsampled_folds(
         F.col("idx") + F.col("_held")
     )
     drawn = draws.groupBy(*by, "split", position.alias("idx")).agg(F.count("*").alias("weight"))
-    presences = rows.where(F.col("present") == 1).join(drawn, [*by, "idx"])
+    presences = join_null_safe(rows.where(F.col("present") == 1), drawn, [*by, "idx"])
     splits = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     zeros = (
         rows.where(F.col("present") == 0)
@@ -272,7 +289,7 @@ def upsample(
         (F.count_if(present) * ratio).alias("n_draw"), F.count_if(~present).alias("n_pool")
     )
     draws = draw_with_replacement(counts, by, seed)
-    drawn = absences.join(draws, [*by, "idx"]).drop("idx", "draw")
+    drawn = join_null_safe(absences, draws, [*by, "idx"]).drop("idx", "draw")
     return labelled.where(present).unionByName(drawn).drop("_present")
 
 

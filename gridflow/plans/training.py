@@ -40,16 +40,17 @@ def prepare_training(
         rows = rows.where(col(y) > 0)
     # the number of a row is written down with it, so that every later draw refers to it
     numbered = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "train")
-    placed = sampling.with_random_index(numbered, [ROW], config.seed).drop("_n")
+    placed = sampling.with_random_index(numbered, [ROW], config.seed)
     placed = stored(placed.withColumnRenamed("idx", PLACE), "train")
     redrawn = None
     if config.stratify and config.upsample and not positive:
-        folds, redrawn = sampling.upsampled_folds(placed, y, config.cv, PLACE, config.seed)
+        folds, redrawn = sampling.upsampled_folds(placed.drop("_n"), y, config.cv, PLACE, config.seed)
         redrawn = stored(redrawn, "redrawn")
     elif config.stratify or positive:
-        folds = sampling.zero_stratified_kfold(placed, y, config.cv, PLACE)
+        folds = sampling.zero_stratified_kfold(placed.drop("_n"), y, config.cv, PLACE)
     else:
-        folds = sampling.kfold(placed, config.cv, PLACE)
+        # the place is the position already: folds follow without numbering again
+        folds = sampling.contiguous_folds(placed, config.cv, PLACE, "_n").drop("_n")
     folds = stored(folds, "folds")
     return Training(folds, folds, redrawn)
 

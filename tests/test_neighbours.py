@@ -67,3 +67,33 @@ def test_neighbour_mean():
     y = np.array([[5.0, 9.0], [3.0, 6.0]])
     assert kernels.neighbour_mean(d, y, "uniform").tolist() == [7.0, 4.5]
     assert kernels.neighbour_mean(d, y, "distance").tolist() == [5.0, 4.0]
+
+
+@pytest.mark.parametrize("limit", [N.BROADCAST_BYTES, 0])
+def test_repeated_and_text_ids(spark, limit):
+    asked = spark.createDataFrame([("a", 0.0), ("a", 9.0), ("b", None)], "id string, x double")
+    known = spark.createDataFrame([("k0", 0.0), ("k1", 1.0), ("k8", 8.0), ("k9", 9.0), ("k9", 9.0)], "id string, x double")
+    nn = N.with_neighbours(asked, known, N.Space(["x"]), 2, "id", "id", limit=limit)
+    got = sorted((r["x"], r["nn"]["id"]) for r in nn.where("x is not null").collect())
+    assert got == [(0.0, ["k0", "k1"]), (9.0, ["k9", "k9"])]
+    assert nn.where("x is null").first()["nn"] is None
+    assert nn.columns == ["id", "x", "nn"]
+    apart = N.knn_join(known, known, ["x"], 1, "id", "id", exclude_self=True, limit=limit)
+    assert {r["neighbour"] for r in apart.where("id = 'k9'").collect()} == {"k8"}
+
+
+@pytest.mark.parametrize("limit", [N.BROADCAST_BYTES, 0])
+def test_largest_gap(points, limit, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 50)
+    x, df = points
+    got = N.knn_join(df, df, ["a", "b", "c"], 3, "id", "id", p=float("inf"), limit=limit)
+    d = np.abs(x[:, None] - x[None]).max(axis=2)
+    want = np.take_along_axis(d, np.argsort(d, axis=1, kind="stable")[:, :3], axis=1)
+    assert np.allclose(got.orderBy("id", "rank").toPandas()["distance"].to_numpy().reshape(-1, 3), want)
+
+
+def test_no_round_robin_exchange(points):
+    _, df = points
+    for limit in (N.BROADCAST_BYTES, 0):
+        plan = N.with_neighbours(df, df, N.Space(["a", "b"]), 2, "id", "id", limit=limit)
+        assert "RoundRobin" not in plan._jdf.queryExecution().executedPlan().toString()
