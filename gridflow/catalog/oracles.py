@@ -608,3 +608,67 @@ SQL["monthly_files"] = SQL["field_write_and_read"]
 SQL["nearest_neighbours_boxed"] = SQL["nearest_neighbours"]
 SQL["knn_regression_boxed"] = SQL["knn_regression"]
 SQL["applicability_boxed"] = SQL["applicability"]
+
+
+# --- model runs with a closed form -------------------------------------------------------
+
+GROUPED = """grouped AS (
+  SELECT o_orderkey AS id, CAST(o_custkey % 6 < 2 AS DOUBLE) AS x, CAST(o_custkey % 5 < 2 AS DOUBLE) AS z,
+         CASE WHEN o_custkey % 3 = 0 THEN 0.0::DOUBLE ELSE o_totalprice / 1000.0::DOUBLE END AS y
+  FROM orders)"""
+
+SHARES = "WITH " + GROUPED + """, s AS (
+  SELECT id, x, y, avg(CAST(y <> 0 AS DOUBLE)) OVER (PARTITION BY x) AS s FROM grouped)
+"""
+
+HELD_OUT = "WITH " + GROUPED + """, f AS (SELECT *, CAST(ntile(3) OVER (ORDER BY id) - 1 AS INTEGER) AS fold FROM grouped),
+k AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS fold),
+m AS (SELECT k.fold, x, avg(y) AS p FROM f JOIN k ON f.fold <> k.fold GROUP BY k.fold, x),
+a AS (SELECT k.fold, avg(y) AS p FROM f JOIN k ON f.fold <> k.fold GROUP BY k.fold)
+"""
+
+SQL |= {
+    "forest_group_means": "WITH " + GROUPED + """
+SELECT id, round(avg(y) OVER (PARTITION BY x), 6) AS p FROM grouped""",
+    "forest_group_shares": SHARES + "SELECT id, CAST(s > 0.5 AS DOUBLE) AS p, round(s, 6) AS p_proba FROM s",
+    "boosted_group_shares": SHARES + """
+SELECT id, CAST(s > 0.5 AS DOUBLE) AS p, round(1 / (1 + exp(-2 * (2 * s - 1))), 6) AS p_proba FROM s""",
+    "cross_validated_group_means": HELD_OUT + """
+SELECT fold, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS R2, round(avg(abs(y - p)), 6) AS MAE,
+       round(sqrt(avg((y - p) * (y - p))), 6) AS RMSE
+FROM f JOIN m USING (fold, x) GROUP BY fold""",
+    "grid_search_group_means": HELD_OUT + """, e AS (
+  SELECT 0 AS max_depth, fold, avg(abs(y - p)) AS mae FROM f JOIN a USING (fold) GROUP BY fold
+  UNION ALL SELECT 1, fold, avg(abs(y - p)) FROM f JOIN m USING (fold, x) GROUP BY fold)
+SELECT max_depth, round(-avg(mae), 6) AS score FROM e GROUP BY max_depth""",
+    "two_phase_group_means": SHARES + """, c AS (SELECT avg(y) AS p FROM s WHERE s >= 0.6)
+SELECT id, round(CASE WHEN s > 0.5 THEN p ELSE 0 END, 6) AS mean, round(CASE WHEN s > 0.6 THEN p ELSE 0 END, 6) AS ci95_LL,
+       round(CASE WHEN s > 0.6 THEN p ELSE 0 END, 6) AS ci95_UL FROM s, c""",
+    "voting_group_means": "WITH " + GROUPED + """, m AS (
+  SELECT id, avg(y) OVER (PARTITION BY x) AS a, avg(y) OVER (PARTITION BY z) AS b FROM grouped)
+SELECT id, round(0.75 * a + 0.25 * b, 6) AS mean, round(least(a, b) + 0.025 * abs(a - b), 6) AS ci95_LL,
+       round(least(a, b) + 0.975 * abs(a - b), 6) AS ci95_UL FROM m""",
+    "permutation_importance_of_groups": "WITH " + GROUPED + f""", m AS (SELECT x, avg(y) AS p FROM grouped GROUP BY x),
+b AS (SELECT x, row_number() OVER (ORDER BY id) - 1 AS idx FROM grouped),
+r AS (SELECT y, i, row_number() OVER (PARTITION BY i ORDER BY {_key(1, "id", "i")}, id) - 1 AS idx
+      FROM grouped, (SELECT unnest(range(10)) AS i)),
+q AS (SELECT i, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2
+      FROM r JOIN b USING (idx) JOIN m USING (x) GROUP BY i),
+o AS (SELECT 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM grouped JOIN m USING (x))
+SELECT 'x' AS feature, round((SELECT r2 FROM o) - avg(r2), 6) AS importance, 1.0::DOUBLE AS weight FROM q""",
+    "members_agree_with_predictions": """
+SELECT count(*) AS n, count(*) AS same_0, count(*) AS same_1, count(*) AS same_2, count(*) AS same_3 FROM embeddings""",
+    "predicted_targets": "WITH " + GROUPED + """, m AS (SELECT x, avg(y) AS p FROM grouped GROUP BY x),
+g AS (SELECT DISTINCT CAST(id % 180 AS DOUBLE) AS lat, x FROM grouped),
+t AS (SELECT lat, 'y' AS target, p FROM g JOIN m USING (x) UNION ALL SELECT lat, 'half', p / 2 FROM g JOIN m USING (x))
+SELECT lat, target, 'rf' AS model, round(p, 6) AS mean, round(p, 6) AS ci95_LL, round(p, 6) AS ci95_UL FROM t""",
+    "raw_observations": "WITH " + OBS + """
+SELECT lat AS "Latitude", lon AS "Longitude", depth AS "Depth", time AS "Month", quantity AS "Value", flag AS "Flag" FROM obs""",
+    "written_traits": "WITH " + TRAITS + """SELECT target AS "Target", poc AS "pg poc", pic AS "pg pic" FROM traits""",
+    "tuned_parameters": """SELECT o_orderstatus AS target, 'False' AS reg_log, CAST(count(*) % 30 AS VARCHAR) AS reg_max_depth,
+       '7' AS reg_n_estimators FROM orders GROUP BY o_orderstatus""",
+}
+SQL["boosted_group_means"] = SQL["saved_model"] = SQL["forest_group_means"]
+SQL["written_report"] = SQL["inverse_error_weights"]
+SQL["written_applicability"] = SQL["applicability"]
+SQL["rewritten_predictions"] = SQL["fields_of_statistic"]

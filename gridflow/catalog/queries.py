@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructType
 
 from gridflow.catalog import views as V
 from gridflow.functions import columns as C, rows as R
@@ -20,6 +21,9 @@ from gridflow.operators import prepare as PR
 from gridflow.operators import regrid as RG
 from gridflow.operators import sampling as SA
 from gridflow.operators import tuning as TU
+from gridflow.plans.config import Config
+from gridflow.plans.prediction import Predictor, predict_all
+from gridflow.plans.training import read_parameters, summarise_parameters, write_parameters
 from gridflow.schema import KEYS
 from gridflow.session import scratch_path
 from gridflow.sources import readers, writers
@@ -820,7 +824,7 @@ def member_predictions(spark, sf):
 @query
 def prediction_intervals(spark, sf):
     model, rows = _fit(spark, sf, "rf", log=True)
-    return EN.predict_interval(model, model.predict(rows, "mean")).select("id", "mean", *EN.INTERVAL)
+    return EN.predict_with_interval(model, rows, "mean").select("id", "mean", *EN.INTERVAL)
 
 
 @query
@@ -868,7 +872,7 @@ def grid_search_scores(spark, sf):
 def two_phase_prediction(spark, sf):
     rows = V.vectors(spark, sf)
     hurdle = MO.fit_hurdle(_spec("rf", "clf"), _spec("rf"), rows, V.FEATURES, "y", "id", 0.6)
-    out = EN.predict_hurdle_interval(hurdle, hurdle.predict(rows, "mean"), 0.6)
+    out = EN.predict_hurdle_interval(hurdle, rows, 0.6)
     return out.select("id", "mean", *EN.INTERVAL)
 
 
@@ -884,3 +888,182 @@ def voting_prediction(spark, sf):
 def permutation_importance(spark, sf):
     model, rows = _fit(spark, sf, "rf")
     return TU.permutation_importance(model, rows, "y", V.FEATURES, "id", repeats=2, seed=1)
+
+
+# --- model runs with a closed form: one split on a 0/1 predictor gives group means -------
+
+STUMP = {"rf": {"n_estimators": 1, "max_depth": 1, "bootstrap": False, "max_features": 1.0},
+         "xgb": {"n_estimators": 1, "max_depth": 1}}
+
+
+def _stump(kind="rf", task="reg"):
+    return MO.ModelSpec(kind, task, STUMP[kind])
+
+
+def _group_means(rows, kind="rf", task="reg", on="x", weight=None):
+    return MO.fit_model(_stump(kind, task), rows, [on], "y", "id", weight)
+
+
+@query
+def forest_group_means(spark, sf):
+    rows = V.grouped(spark, sf)
+    return V.rounded(_group_means(rows).predict(rows, "p").select("id", "p"), 6, "p")
+
+
+@query
+def forest_group_shares(spark, sf):
+    rows = V.grouped(spark, sf)
+    return V.rounded(_group_means(rows, task="clf").predict(rows, "p").select("id", "p", "p_proba"), 6, "p_proba")
+
+
+@query
+def boosted_group_means(spark, sf):
+    rows = V.grouped(spark, sf)
+    return V.rounded(_group_means(rows, "xgb").predict(rows, "p").select("id", "p"), 6, "p")
+
+
+@query
+def boosted_group_shares(spark, sf):
+    rows = V.grouped(spark, sf)
+    return V.rounded(_group_means(rows, "xgb", "clf").predict(rows, "p").select("id", "p", "p_proba"), 6, "p_proba")
+
+
+@query
+def cross_validated_group_means(spark, sf):
+    folds = SA.kfold(V.grouped(spark, sf), 3, "id")
+    scores = TU.cross_validate(folds, 3, lambda d, w: _group_means(d, weight=w), "y")
+    return V.rounded(scores, 6, "R2", "MAE", "RMSE")
+
+
+@query
+def grid_search_group_means(spark, sf):
+    """Depth 0 predicts the mean, depth 1 the group means; errors are negated scores."""
+    folds = SA.kfold(V.grouped(spark, sf), 3, "id")
+    _, table = TU.grid_search(_stump(), {"max_depth": [0, 1]}, folds, 3, ["x"], "y", "id", scoring="MAE")
+    rows = [(t["params"]["max_depth"], t["score"]) for t in table]
+    return V.rounded(spark.createDataFrame(rows, "max_depth int, score double"), 6, "score")
+
+
+@query
+def two_phase_group_means(spark, sf):
+    """Only the group whose share of presences reaches 0.6 has an amount."""
+    rows = V.grouped(spark, sf)
+    hurdle = MO.fit_hurdle(_stump(task="clf"), _stump(), rows, ["x"], "y", "id", 0.6)
+    out = EN.predict_hurdle_interval(hurdle, rows, 0.6).select("id", "mean", *EN.INTERVAL)
+    return V.rounded(out, 6, "mean", *EN.INTERVAL)
+
+
+@query
+def voting_group_means(spark, sf):
+    rows = V.grouped(spark, sf)
+    voting = MO.Voting([_group_means(rows), _group_means(rows, on="z")], EN.inverse_shares([1.0, 3.0]))
+    out = EN.predict_with_interval(voting, rows, "mean").select("id", "mean", *EN.INTERVAL)
+    return V.rounded(out, 6, "mean", *EN.INTERVAL)
+
+
+@query
+def permutation_importance_of_groups(spark, sf):
+    rows = V.grouped(spark, sf)
+    model = _group_means(rows)
+    found = TU.permutation_importance(model, rows, "y", ["x"], "id", repeats=10, seed=1)
+    return V.rounded(found, 6, "importance", "weight")
+
+
+@query
+def members_agree_with_predictions(spark, sf):
+    """Of a full forest: rows whose prediction is the mean of the members and whose bounds are their quantiles."""
+    model, rows = _fit(spark, sf, "rf")
+    both = EN.predict_with_interval(model, model.predict(model.members(rows, "m"), "p"), "mean")
+    mean = F.aggregate("m", F.lit(0.0), lambda a, b: a + b) / F.size("m")
+    same = [F.abs(mean - F.col("p")) < 1e-9, F.abs(F.col("mean") - F.col("p")) < 1e-9]
+    for name, q in zip(EN.INTERVAL, (0.025, 0.975)):
+        place = (F.size("m") - 1) * q
+        low = F.get(F.array_sort("m"), F.floor(place).cast("int"))
+        high = F.get(F.array_sort("m"), F.ceil(place).cast("int"))
+        same.append(F.abs(low + (high - low) * (place - F.floor(place)) - F.col(name)) < 1e-9)
+    checks = [F.count_if(c).alias(f"same_{i}") for i, c in enumerate(same)]
+    return both.agg(F.count("*").alias("n"), *checks)
+
+
+# --- whole runs: what is written is read again ------------------------------------------
+
+
+@query
+def saved_model(spark, sf):
+    rows, path = V.grouped(spark, sf), scratch_path(spark, "models")
+    MO.save_models({("rf", "a target", "reg"): _group_means(rows)}, path)
+    model = MO.load_models(spark, path, [("rf", "a target", "reg")])["rf", "a target", "reg"]
+    return V.rounded(model.predict(rows, "p").select("id", "p"), 6, "p")
+
+
+@query
+def predicted_targets(spark, sf):
+    """Two targets, one pass over the grid: means of the groups, intervals of a single member."""
+    path = scratch_path(spark, "run")
+    config = Config(path, ["x"], ["rf"], {}, cv=3)
+    rows = V.grouped(spark, sf).withColumn("half", F.col("y") / 2)
+    grid = rows.groupBy((F.col("id") % 180).cast("double").alias("lat"), "x").agg(F.count("*").alias("n")).drop("n")
+    predictors = []
+    for target in ("y", "half"):
+        named = rows.withColumn("y", F.col(target))
+        MO.save_models({("rf", target, "reg"): _group_means(named)}, path)
+        predictors.append(Predictor(rows, target, grid, config))
+    table = predict_all(predictors)
+    # a grid cell stands for one of the two groups or for both
+    fields = table.select("lat", "target", "model", "mean", *EN.INTERVAL)
+    return V.rounded(fields, 6, "mean", *EN.INTERVAL)
+
+
+@query
+def raw_observations(spark, sf):
+    path = scratch_path(spark, "raw")
+    rows = V.obs(spark, sf).select("lat", "lon", "depth", "time", "quantity", "flag")
+    writers.write_csv(rows, path)
+    schema = "Latitude double, Longitude double, Depth double, Month int, Value double, Flag string"
+    return readers.read_observations(spark, path, StructType.fromDDL(schema))
+
+
+@query
+def written_traits(spark, sf):
+    path = scratch_path(spark, "traits")
+    writers.write_csv(V.traits(spark, sf), path)
+    return readers.read_traits(spark, path, ["pg poc", "pg pic"], format="csv")
+
+
+@query
+def written_report(spark, sf):
+    path = scratch_path(spark, "report")
+    writers.write_report(V.rounded(EN.inverse_weights(_errors(spark, sf)), 8, "mae", "weight"), path)
+    types = {"model": StringType(), "target": StringType()}
+    return readers.read_table(spark, path, ["model", "target", "mae", "weight"], types, "csv")
+
+
+@query
+def written_applicability(spark, sf):
+    path = scratch_path(spark, "aoa")
+    cells = _applicability(spark, sf).withColumn("time", F.lit(1))
+    writers.write_applicability(cells, path)
+    return readers.read_table(spark, path, ["id", "aoa", "di", "lpd", "cutpoint"])
+
+
+@query
+def rewritten_predictions(spark, sf):
+    """Predictions written twice: the second run replaces what it writes again."""
+    path = scratch_path(spark, "predictions")
+    first = V.predictions(spark, sf)
+    writers.write_predictions(first.withColumns({c: F.col(c) + 1.0 for c in ("mean", *EN.INTERVAL)}), path)
+    writers.write_predictions(first, path)
+    return readers.load_fields(spark, path, "ens", "ci95_UL", FLAGS)
+
+
+@query
+def tuned_parameters(spark, sf):
+    """The parameters of two targets' models as one row per target."""
+    path = scratch_path(spark, "parameters")
+    depths = V.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("t")).agg(
+        (F.count("*") % 30).cast("int").alias("d")
+    )
+    for r in depths.collect():
+        spec = MO.ModelSpec("rf", "reg", {"max_depth": r["d"], "n_estimators": 7})
+        write_parameters(spark, "rf", r["t"], {"reg": spec}, path)
+    return summarise_parameters(read_parameters(spark, path), "rf")

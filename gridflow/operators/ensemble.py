@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridflow.functions.rows import ordered, quantiles_of_ordered, weighted_quantile
+from gridflow.functions.columns import log_inverse
+from gridflow.functions.rows import ordered, quantiles_of_ordered, row_mean, weighted_quantile
 from gridflow.operators.metrics import balanced_accuracy
+from gridflow.operators.models import own_scale
 from gridflow.schema import KEYS, col
 from gridflow.session import stored
 
@@ -74,6 +76,26 @@ def predict_interval(
     return with_interval(model.members(df, "_members", threshold), "_members", weights)
 
 
+def predict_with_interval(
+    model, df: DataFrame, out: str = "prediction", threshold: float = 0.5, weights: list[float] | None = None
+) -> DataFrame:
+    """Add the prediction (and `<out>_proba` of a classifier) and its interval.
+
+    Forests and bagged neighbours are the mean of their members, which are made once and
+    give both. Other models predict by themselves.
+    """
+    if not hasattr(model, "raw_members"):
+        return predict_interval(model, model.predict(df, out), threshold, weights)
+    rows = model.raw_members(df, "_members")
+    mean = row_mean(F.col("_members"))
+    if model.spec.task == "clf":
+        found = {f"{out}_proba": mean, out: (mean > F.lit(0.5)).cast("double")}
+    else:
+        found = {out: log_inverse(mean) if model.spec.log else mean}
+    rows = rows.withColumns(found).withColumn("_members", own_scale(F.col("_members"), model.spec, threshold))
+    return with_interval(rows, "_members", weights)
+
+
 def member_losses(members: DataFrame, y: str, classifier: bool = False) -> DataFrame:
     """Loss of each member (member, loss): mean absolute error, or 1 - balanced accuracy."""
     rows = members.where(col(y).isNotNull()).select(
@@ -114,16 +136,20 @@ def _floor(name: str, clf_bound: Column, threshold: float) -> Column:
     return F.when(clf_bound < F.lit(threshold), F.lit(0.0)).otherwise(col(name)).alias(name)
 
 
-def predict_hurdle_interval(hurdle, df: DataFrame, threshold: float) -> DataFrame:
-    """The same without a join: both models' members are made in one pass over the rows.
+def predict_hurdle_interval(hurdle, df: DataFrame, threshold: float, out: str = "mean") -> DataFrame:
+    """Prediction `out` and interval of a two-phase model without a join, each phase evaluated once.
 
     Adds the combined bounds and, with prefixes `clf_` and `reg_`, both phases' own.
     """
-    rows = predict_interval(hurdle.classifier, df, threshold)
+    rows = predict_with_interval(hurdle.classifier, df, "_class", threshold)
     rows = rows.withColumnsRenamed({c: f"clf_{c}" for c in INTERVAL})
+    known, present = F.col("_class").isNotNull(), F.col("_class") == 1
     if hurdle.regressor is None:
         zero = {f"reg_{c}": F.lit(0.0) for c in INTERVAL}
-        return rows.withColumns({**zero, **{c: F.lit(0.0) for c in INTERVAL}})
-    rows = predict_interval(hurdle.regressor, rows, threshold)
+        rows = rows.withColumns({**zero, **{c: F.lit(0.0) for c in INTERVAL}, out: F.when(known, F.lit(0.0))})
+        return rows.drop("_class", "_class_proba")
+    rows = predict_with_interval(hurdle.regressor, rows, "_amount", threshold)
     rows = rows.withColumns({f"reg_{c}": col(c) for c in INTERVAL})
-    return rows.withColumns({c: _floor(c, col(f"clf_{c}"), threshold) for c in INTERVAL})
+    bounds = {c: _floor(c, col(f"clf_{c}"), threshold) for c in INTERVAL}
+    amount = F.when(known, F.when(present, F.col("_amount")).otherwise(F.lit(0.0)))
+    return rows.withColumns({**bounds, out: amount}).drop("_class", "_class_proba", "_amount")

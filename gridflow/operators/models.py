@@ -48,6 +48,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_TREE_DEPTH = 30
 MAX_CATEGORIES = 1000
+#: Parameters each learner reads, and those it accepts without effect.
+KNOWN = {
+    "rf": {"n_estimators", "max_depth", "min_samples_leaf", "max_samples", "max_features", "bootstrap"},
+    "xgb": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "gamma"},
+    "knn": {"max_samples", "max_features", "n_neighbors", "p", "weights"},
+}
+WITHOUT_EFFECT = {
+    "rf": {"n_jobs", "verbose"},
+    "xgb": {"n_jobs", "verbosity", "reg_alpha", "reg_lambda"},
+    "knn": {"n_jobs", "leaf_size"},
+}
 GBT_BAGS = 160
 LABEL = "_label"
 VECTOR = "_features"
@@ -117,12 +128,12 @@ def scaler(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
     return {c: [float(row[f"m_{c}"]), float(row[f"s_{c}"])] for c in columns}
 
 
-def one_hot(df: DataFrame, name: str) -> list[str]:
-    """The categories of a column, in order; refuses columns that are not categorical."""
+def one_hot(df: DataFrame, name: str, most: int = MAX_CATEGORIES) -> list[str]:
+    """The categories of a column, in order; refuses columns with more than `most` values."""
     values = df.where(col(name).isNotNull()).select(col(name)).distinct()
-    found = sorted(r[0] for r in values.limit(MAX_CATEGORIES + 1).collect())
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{name!r} has more than {MAX_CATEGORIES} values")
+    found = sorted(r[0] for r in values.limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{name!r} has more than {most} values")
     return found
 
 
@@ -134,10 +145,12 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def fit_preprocessor(df: DataFrame, features: list[str], regions: str | None = None) -> Preprocessor:
+def fit_preprocessor(
+    df: DataFrame, features: list[str], regions: str | None = None, most: int = MAX_CATEGORIES
+) -> Preprocessor:
     require(df, features)
     numeric = [f for f in features if f != regions]
-    categories = {regions: one_hot(df, regions)} if regions else {}
+    categories = {regions: one_hot(df, regions, most)} if regions else {}
     return Preprocessor(scaler(df, numeric), categories)
 
 
@@ -158,6 +171,13 @@ def _read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
+def own_scale(members: Column, spec: ModelSpec, threshold: float) -> Column:
+    """Raw members as predictions: classes for a classifier, values on the scale of the target."""
+    if spec.task == "clf":
+        return F.transform(members, lambda v: (v > F.lit(threshold)).cast("double"))
+    return F.transform(members, log_inverse) if spec.log else members
+
+
 @dataclass
 class Forest:
     """Random forest; its members are the trees."""
@@ -193,22 +213,24 @@ class Forest:
             self._leaves = json.dumps([r["n"] for r in leaves.orderBy("treeID").collect()])
         return self._leaves
 
-    def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:
-        """One pass finds the leaf of every tree; the leaf values sit in the plan as one literal."""
+    def raw_members(self, df: DataFrame, out: str) -> DataFrame:
+        """One pass finds the leaf of every tree; the leaf values sit in the plan as one literal.
+
+        Values on the scale of the fit, class shares for classifiers; null where a feature is missing.
+        """
         model = self.model.copy().setLeafCol("_leaf").setPredictionCol("_p")
         if self.spec.task == "clf":
             model.setProbabilityCol("").setRawPredictionCol("")
         values = F.from_json(F.lit(self.leaf_values(df.sparkSession)), "array<array<double>>")
         leaf = vector_to_array(F.col("_leaf"))
         member = F.transform(leaf, lambda n, i: F.get(F.get(values, i), n.cast("int")))
-        if self.spec.task == "clf":
-            member = F.transform(member, lambda v: (v > F.lit(threshold)).cast("double"))
-        elif self.spec.log:
-            member = F.transform(member, log_inverse)
         whole = ~F.exists(vector_to_array(F.col(VECTOR)), lambda v: F.isnan(v))
         found = model.transform(self._prepared(df)).withColumn(out, F.when(whole, member))
         return found.drop("_leaf", "_p", VECTOR)
 
+    def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:
+        return self.raw_members(df, out).withColumn(out, own_scale(F.col(out), self.spec, threshold))
+
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         _save_parts(spark, path, "forest", self.spec, self.prep)
@@ -243,7 +265,9 @@ class Boosted:
         return self
 
     def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:
-        models = self.bagged or [self.model]
+        if not self.bagged:
+            raise ValueError("a boosted model has no members before fit_bags: its interval would have no width")
+        models = self.bagged
         rows = self.prep.assemble(df)
         for i, m in enumerate(models):
             rows = _tree_prediction(m, self.spec, rows, f"_m{i}")
@@ -312,7 +336,7 @@ class BaggedNeighbours:
         top = F.aggregate(F.zip_with(w, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         return top / F.aggregate(w, F.lit(0.0), lambda a, b: a + b)
 
-    def _raw_members(self, df: DataFrame, out: str) -> DataFrame:
+    def raw_members(self, df: DataFrame, out: str) -> DataFrame:
         rows = self.prep.transform(df)
         row_bytes = 8 * (len(self.prep.names) + 4)
         if fits_broadcast(self.table, row_bytes, self.limit):
@@ -359,7 +383,7 @@ class BaggedNeighbours:
         return rows.withColumn(out, F.when(whole, members(point)))
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        rows = self._raw_members(df, "_members")
+        rows = self.raw_members(df, "_members")
         mean = row_mean(F.col("_members"))
         if self.spec.task == "clf":
             found = {f"{out}_proba": mean, out: (mean > F.lit(0.5)).cast("double")}
@@ -367,13 +391,7 @@ class BaggedNeighbours:
         return rows.withColumn(out, _inverse(mean, self.spec)).drop("_members")
 
     def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:
-        rows = self._raw_members(df, out)
-        if self.spec.task == "clf":
-            value = F.transform(F.col(out), lambda v: (v > F.lit(threshold)).cast("double"))
-            return rows.withColumn(out, value)
-        if self.spec.log:
-            return rows.withColumn(out, F.transform(F.col(out), log_inverse))
-        return rows
+        return self.raw_members(df, out).withColumn(out, own_scale(F.col(out), self.spec, threshold))
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
@@ -477,7 +495,7 @@ def _subset_strategy(value, n_features: int, default: str) -> str:
         return default
     if isinstance(value, str):
         return {"sqrt": "sqrt", "log2": "log2", "auto": "auto"}[value]
-    if isinstance(value, int):
+    if isinstance(value, int):  # a count: 1 is one feature
         return str(value) if value < n_features else "all"
     return "all" if value >= 1.0 else str(float(value))
 
@@ -487,14 +505,28 @@ def _depth(value, default: int) -> int:
     if value is None:
         wanted = default
     if wanted > MAX_TREE_DEPTH:
-        warnings.warn(f"tree depth {wanted} reduced to {MAX_TREE_DEPTH}, the largest Spark allows")
-    return min(wanted, MAX_TREE_DEPTH)
+        raise ValueError(f"tree depth {wanted} is beyond {MAX_TREE_DEPTH}, the largest Spark allows")
+    return wanted
+
+
+def is_count(value) -> bool:
+    """Whole numbers count rows or features, so 1 is one of them; 1.0 is all."""
+    return isinstance(value, int) and not isinstance(value, bool)
+
+
+def check_parameters(kind: str, params: dict) -> None:
+    """Refuse names that the learner would not read, so that two candidates never are the same fit."""
+    kind = "xgb" if kind == "gbt" else kind
+    named = {k.removeprefix("estimator__") if kind == "knn" else k for k in params}
+    unknown = sorted(named - KNOWN[kind] - WITHOUT_EFFECT[kind])
+    if unknown:
+        raise ValueError(f"{kind} has no parameters {unknown}")
 
 
 def _share(value, n: int, default: float) -> float:
     if value is None:
         return default
-    return min(1.0, value / n) if isinstance(value, int) and value > 1 else float(value)
+    return min(1.0, value / n) if is_count(value) else float(value)
 
 
 def _smallest_leaf(value, n: int) -> int:
@@ -517,6 +549,7 @@ def fit_forest(spec: ModelSpec, rows: DataFrame, n: int, width: int, weight: str
         featureSubsetStrategy=_subset_strategy(
             p.get("max_features"), width, "all" if spec.task == "reg" else "sqrt"
         ),
+        bootstrap=bool(p.get("bootstrap", True)),
         seed=spec.seed,
         maxMemoryInMB=512,
     )
@@ -569,11 +602,11 @@ def fit_neighbours(
             rows = rows.where(F.col("_w") > 0).withColumn("_row", copies).drop("_w_cum")
         n_bags = spec.bags
         share = p.get("max_samples", 1.0)
-        if isinstance(share, int) and share > 1:
+        if is_count(share):
             share = share / max(1, rows.count())
         table = make_bags(rows.drop("_w"), "_row", n_bags, float(share), spec.seed)
         width = p.get("max_features", 1.0)
-        width = width / len(prep.names) if isinstance(width, int) and width > 1 else float(width)
+        width = width / len(prep.names) if is_count(width) else float(width)
         subsets = bag_features(n_bags, prep.names, min(1.0, width), spec.seed)
     else:
         table = rows.select(F.lit(0).alias("bag"), "*").withColumnRenamed("_w", "weight")
@@ -604,6 +637,9 @@ def fit_model(
     prep: Preprocessor | None = None,
 ):
     """Fit one model. Classifiers predict `label != 0`; `weight` counts repeated rows."""
+    if spec.kind not in ("rf", "xgb", "gbt", "knn"):
+        raise ValueError(f"unknown model {spec.kind!r}; use rf, xgb or knn")
+    check_parameters(spec.kind, spec.params)
     rows = df.where(col(label).isNotNull())
     prep = prep or fit_preprocessor(rows, features, regions)
     y = presence_label(col(label)).cast("double") if spec.task == "clf" else col(label).cast("double")
@@ -618,14 +654,12 @@ def fit_model(
     width = len(prep.names)
     if spec.kind == "rf":
         return Forest(spec, prep, fit_forest(spec, assembled, n, width, weight))
-    if spec.kind in ("xgb", "gbt"):
-        return Boosted(spec, prep, fit_boosted(spec, assembled, n, width, weight))
-    raise ValueError(f"unknown model {spec.kind!r}; use rf, xgb or knn")
+    return Boosted(spec, prep, fit_boosted(spec, assembled, n, width, weight))
 
 
 def _needs_count(spec: ModelSpec) -> bool:
     leaf, samples = spec.params.get("min_samples_leaf"), spec.params.get("max_samples")
-    return isinstance(leaf, float) or (isinstance(samples, int) and samples > 1)
+    return isinstance(leaf, float) or is_count(samples)
 
 
 def fit_hurdle(

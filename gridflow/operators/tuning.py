@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridflow.functions.columns import presence_label
 from gridflow.operators.ensemble import predict_interval
-from gridflow.operators.metrics import balanced_accuracy, regression_metrics
+from gridflow.operators.metrics import REGRESSION_METRICS, balanced_accuracy, regression_metrics
 from gridflow.operators.models import ModelSpec, fit_model
 from gridflow.operators.sampling import with_index, with_random_index
 from gridflow.schema import col, complete
@@ -74,11 +74,12 @@ def parameter_grid(grid: dict[str, list]) -> list[dict]:
 def grid_search(
     spec: ModelSpec, grid: dict[str, list], folds: DataFrame, k: int, features: list[str],
     label: str, ident: str, log: str = "no", training: DataFrame | None = None,
-    regions: str | None = None, parallelism: int = 4,
+    regions: str | None = None, parallelism: int = 4, scoring: str | None = None,
 ) -> tuple[ModelSpec, list[dict]]:
     """Best spec by mean test score, and the score of every combination.
 
-    R2 for regressors, balanced accuracy for classifiers. `log` is yes, no or both; with
+    `scoring` names the score: R2 (default), MAE or RMSE for regressors, errors negated so
+    that larger is better; balanced_accuracy for classifiers. `log` is yes, no or both; with
     both, the log target wins only with a strictly higher score. A combination that fails
     scores `FAILED`.
     """
@@ -88,7 +89,11 @@ def grid_search(
     candidates = [
         spec.with_params(params, mode) for mode in modes for params in parameter_grid(grid)
     ]
-    metric = "balanced_accuracy" if spec.task == "clf" else "R2"
+    offered = ["balanced_accuracy"] if spec.task == "clf" else REGRESSION_METRICS
+    metric = scoring or offered[0]
+    if metric not in offered:
+        raise ValueError(f"unknown score {metric!r}; use one of {offered}")
+    sign = -1.0 if metric in ("MAE", "RMSE") else 1.0
 
     def score(candidate):
         def fit(train, weight):
@@ -96,7 +101,7 @@ def grid_search(
 
         try:
             scores = cross_validate(folds, k, fit, label, spec.task == "clf", training)
-            value = scores.agg(F.avg(metric)).first()[0]
+            value = scores.agg(F.avg(metric) * sign).first()[0]
         except (PySparkException, ValueError) as error:
             warnings.warn(f"{candidate.params}: {error}")
             value = None

@@ -25,6 +25,7 @@ class Config:
     knn_bags: int = 30
     interval_bags: int = 160
     parallelism: int = 4
+    scoring: str | None = None
     extra: dict = field(default_factory=dict)
 
     @staticmethod
@@ -53,6 +54,7 @@ class Config:
             knn_bags=settings.get("knn_bagging_estimators", 30),
             interval_bags=settings.get("interval_bags", 160),
             parallelism=settings.get("n_threads", 4),
+            scoring=settings.get("scoring"),
         )
 
     def grid(self, model: str, part: str) -> dict:

@@ -119,6 +119,7 @@ class Post:
             ),
             "grid",
         )
+        # every target adds its columns in place: the grid is read once and never joined
         out = cells
         for target in targets:
             known = complete(train, [*features, target])
@@ -130,12 +131,11 @@ class Post:
                 models[name, target, part], rows, "_y", features, "_row", repeats, self.config.seed
             )
             weights = {r["feature"]: r["importance"] for r in importance.collect()}
-            aoa = area_of_applicability(
-                cells, rows, features, "_cell", "_row", weights, "_y", **options
+            out = area_of_applicability(
+                out, rows, features, "_cell", "_row", weights, "_y", **options
             )
-            wanted = [c for c in ("aoa", "di", "lpd", "cutpoint") if c in aoa.columns]
-            part_table = aoa.select("_cell", *[F.col(c).alias(f"{target}_{c}") for c in wanted])
-            out = out.join(part_table, "_cell", "left")
+            wanted = [c for c in ("aoa", "di", "lpd", "cutpoint") if c in out.columns]
+            out = out.withColumnsRenamed({c: f"{target}_{c}" for c in wanted})
         out = out.drop("_cell", *features)
         write_applicability(out, f"{self.posts}/aoa")
         return out

@@ -9,7 +9,7 @@ from gridflow.operators.ensemble import (
     INTERVAL,
     inverse_shares,
     predict_hurdle_interval,
-    predict_interval,
+    predict_with_interval,
     with_interval,
 )
 from gridflow.operators.metrics import REGRESSION_METRICS, scores_long, youden_threshold
@@ -62,43 +62,47 @@ class Predictor:
         labelled = rows.withColumn("_present", presence_label(F.col("y")))
         return youden_threshold(labelled, "_class_proba", "_present").first()["threshold"]
 
-    def export(self, model: str, fitted) -> None:
-        """Two-phase model: one narrow pass over the grid writes the field and both phases."""
-        rows = fitted.predict(self.grid, "mean")
+    def phases(self, rows: DataFrame, model: str, fitted, prefix: str = "") -> tuple[DataFrame, list]:
+        """Two-phase model: its columns added to the rows, and the entries to write."""
         threshold = self.optimal_threshold(fitted.classifier)
-        both = predict_hurdle_interval(fitted, rows, threshold)
-        parts = [_entry("zir", F.col("mean"), "")]
-        parts += [_entry(p, F.lit(None).cast("double"), f"{p}_") for p in ("clf", "reg")]
-        self._write(both, [model], [[F.lit(model), *p] for p in parts])
+        rows = predict_hurdle_interval(fitted, rows, threshold, f"{prefix}mean")
+        renamed = [f"{p}{c}" for p in ("", "clf_", "reg_") for c in INTERVAL]
+        rows = rows.withColumnsRenamed({c: f"{prefix}{c}" for c in renamed})
+        parts = [_entry("zir", F.col(f"{prefix}mean"), prefix)]
+        parts += [_entry(p, F.lit(None).cast("double"), f"{prefix}{p}_") for p in ("clf", "reg")]
+        return rows, [[F.lit(model), F.lit(self.target), *p] for p in parts]
 
-    def export_all(self, models: list, ensemble: Voting | None) -> None:
-        """One-phase models: a single pass predicts with every model and with the ensemble.
+    def fields(self, rows: DataFrame, models: list, ensemble: Voting | None, prefix: str = "") -> tuple[DataFrame, list]:
+        """One-phase models: predictions of every model and of the ensemble, and the entries to write.
 
         The ensemble votes over the predictions already in the row.
         """
         names = list(self.config.models)
-        rows = self.grid
         for name, fitted in zip(names, models):
-            rows = predict_interval(fitted, fitted.predict(rows, f"{name}_mean"))
-            rows = rows.withColumnsRenamed({c: f"{name}_{c}" for c in INTERVAL})
-        entries = [[F.lit(n), *_entry("final", F.col(f"{n}_mean"), f"{n}_")] for n in names]
+            rows = predict_with_interval(fitted, rows, f"{prefix}{name}_mean")
+            rows = rows.withColumnsRenamed({c: f"{prefix}{name}_{c}" for c in INTERVAL})
+        means = [F.col(f"{prefix}{n}_mean") for n in names]
         if ensemble is not None:
-            means = [F.col(f"{n}_mean") for n in names]
-            rows = rows.withColumns({"ens_mean": ensemble.combine(means), "_ens": F.array(*means)})
-            rows = with_interval(rows, "_ens")
-            rows = rows.withColumnsRenamed({c: f"ens_{c}" for c in INTERVAL})
             names.append("ens")
-            entries.append([F.lit("ens"), *_entry("final", F.col("ens_mean"), "ens_")])
-        self._write(rows, names, entries)
-
-    def _write(self, rows: DataFrame, names: list[str], entries: list) -> None:
-        """Lay the entries of a row out as rows and write them into their own folders."""
-        fields = ["model", "part", "mean", *INTERVAL]
-        structs = [F.struct(*[c.alias(f) for f, c in zip(fields, e)]) for e in entries]
-        table = rows.select(*keys_of(self.grid), F.inline(F.array(*structs)))
-        table = table.withColumn("target", F.lit(self.target))
-        writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("model", "target", "part").parquet(self.path)
+            rows = rows.withColumns({f"{prefix}ens_mean": ensemble.combine(means), "_ens": F.array(*means)})
+            rows = with_interval(rows, "_ens")
+            rows = rows.withColumnsRenamed({c: f"{prefix}ens_{c}" for c in INTERVAL})
+        entries = [
+            [F.lit(n), F.lit(self.target), *_entry("final", F.col(f"{prefix}{n}_mean"), f"{prefix}{n}_")] for n in names
+        ]
+        return rows, entries
+
+    def predicted(self, rows: DataFrame, ensemble, prefix: str = "") -> tuple[DataFrame, list]:
+        """Rows with the columns of all models of this target, and the entries to write."""
+        models = self._load(self.part)
+        if not self.config.two_phase:
+            return self.fields(rows, models, ensemble, prefix)
+        entries = []
+        named = list(zip(self.config.models, models)) + ([("ens", ensemble)] if ensemble is not None else [])
+        for model, fitted in named:
+            rows, found = self.phases(rows, model, fitted, f"{prefix}{model}_")
+            entries += found
+        return rows, entries
 
     def ensemble(self):
         """Weighted vote of the models; weights are inverse errors."""
@@ -134,24 +138,41 @@ class Predictor:
 
     def make_prediction(self) -> DataFrame:
         """Predict with each model, then with the ensemble; returns the predictions table."""
-        if not self.config.models:
-            raise ValueError("at least one model should be defined in the ensemble")
-        several = len(self.config.models) > 1
-        ensemble = self.ensemble() if several else None
-        if self.config.two_phase:
-            for model, fitted in zip(self.config.models, self._load(self.part)):
-                self.export(model, fitted)
-            if several:
-                self.export("ens", ensemble)
-        else:
-            self.export_all(self._load(self.part), ensemble)
-        if several:
-            save_models({("ens", self.target, self.part): ensemble}, self.config.path)
-            fit = self._ensemble_fit(inverse_shares(self.errors()))
-            folds = cross_validate(
-                self.training.folds, self.config.cv, fit, "y", False, self.training.redrawn,
-                self.config.parallelism,
-            )
-            scores = scores_long(folds, "ens", self.target, REGRESSION_METRICS)
-            write_scores(scores.withColumn("part", F.lit(self.part)), self.config.path)
-        return self.spark.read.parquet(self.path)
+        return predict_all([self])
+
+    def score_ensemble(self, ensemble) -> None:
+        """Save the ensemble and write its cross-validation scores."""
+        save_models({("ens", self.target, self.part): ensemble}, self.config.path)
+        fit = self._ensemble_fit(inverse_shares(self.errors()))
+        folds = cross_validate(
+            self.training.folds, self.config.cv, fit, "y", False, self.training.redrawn,
+            self.config.parallelism,
+        )
+        scores = scores_long(folds, "ens", self.target, REGRESSION_METRICS)
+        write_scores(scores.withColumn("part", F.lit(self.part)), self.config.path)
+
+
+def predict_all(predictors: list[Predictor]) -> DataFrame:
+    """Write the fields of all targets in one narrow pass over the grid that they share.
+
+    The predictors have the same grid and settings, one target each. The grid is read once;
+    every row gets the columns of all targets and models and is laid out as rows of the
+    predictions table (keys, mean, ci95_LL, ci95_UL by model, target, part).
+    """
+    first = predictors[0]
+    if not first.config.models:
+        raise ValueError("an ensemble needs at least one model")
+    ensembles = [p.ensemble() if len(p.config.models) > 1 else None for p in predictors]
+    rows, entries = first.grid, []
+    for i, (p, ensemble) in enumerate(zip(predictors, ensembles)):
+        rows, found = p.predicted(rows, ensemble, f"_t{i}_")
+        entries += found
+    fields = ["model", "target", "part", "mean", *INTERVAL]
+    structs = [F.struct(*[c.alias(f) for f, c in zip(fields, e)]) for e in entries]
+    table = rows.select(*keys_of(first.grid), F.inline(F.array(*structs)))
+    writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("model", "target", "part").parquet(first.path)
+    for p, ensemble in zip(predictors, ensembles):
+        if ensemble is not None:
+            p.score_ensemble(ensemble)
+    return first.spark.read.parquet(first.path)

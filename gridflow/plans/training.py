@@ -73,7 +73,7 @@ class Tuner:
         c = self.config
         best, _ = grid_search(
             self._spec(model, task), c.grid(model, task), data.folds, c.cv, c.predictors, "y", ROW,
-            log, data.redrawn, self.regions, c.parallelism,
+            log, data.redrawn, self.regions, c.parallelism, c.scoring if task == "reg" else None,
         )
         return best
 

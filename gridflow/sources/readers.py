@@ -28,22 +28,28 @@ def read_observations(
 
 
 def read_table(
-    spark: SparkSession, path: str, columns: list[str], types: dict[str, T.DataType] = {}
+    spark: SparkSession, path: str, columns: list[str], types: dict[str, T.DataType] = {}, format: str | None = None
 ) -> DataFrame:
-    """Parquet, or CSV with a header, reduced to `columns` (so only those are scanned)."""
-    if path.rstrip("/").endswith(".csv"):
-        df = spark.read.option("header", True).csv(path)
-    else:
+    """Parquet, or CSV with a header, reduced to `columns` (so only those are scanned).
+
+    `format` is parquet or csv; without it a path that ends in .csv is CSV and others are
+    Parquet. CSV columns get the given types, those of the keys, or double.
+    """
+    format = format or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
+    if format not in ("csv", "parquet"):
+        raise ValueError(f"unknown format {format!r}; use csv or parquet")
+    if format == "parquet":
         df = spark.read.parquet(path)
-    require(df, columns)
-    return df.select(
-        *[
-            col(c).cast(types.get(c, KEY_TYPES.get(c, T.DoubleType()))).alias(c)
-            if path.rstrip("/").endswith(".csv")
-            else col(c)
-            for c in columns
-        ]
+        require(df, columns)
+        return df.select(*[col(c) for c in columns])
+    # the header gives the place of each column, the types make the schema explicit
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType(
+        [T.StructField(n, types.get(n, KEY_TYPES.get(n, T.DoubleType())) if n in columns else T.StringType()) for n in names]
     )
+    df = spark.read.schema(schema).option("header", True).option("nanValue", "NaN").csv(path)
+    require(df, columns)
+    return df.select(*[col(c) for c in columns])
 
 
 def read_env(
@@ -52,14 +58,15 @@ def read_env(
     variables: list[str],
     keys: list[str] = KEYS,
     types: dict[str, T.DataType] = {},
+    format: str | None = None,
 ) -> DataFrame:
     """Environment grid as a long table: key columns and the wanted variables."""
-    return nan_to_null(read_table(spark, path, [*keys, *variables], types))
+    return nan_to_null(read_table(spark, path, [*keys, *variables], types, format))
 
 
-def read_traits(spark: SparkSession, path: str, traits: list[str]) -> DataFrame:
+def read_traits(spark: SparkSession, path: str, traits: list[str], format: str | None = None) -> DataFrame:
     """Trait table: `Target` and one double per trait."""
-    return read_table(spark, path, ["Target", *traits], {"Target": T.StringType()})
+    return read_table(spark, path, ["Target", *traits], {"Target": T.StringType()}, format)
 
 
 def read_monthly(

@@ -28,7 +28,8 @@ def spec(kind, task="reg", **kw):
 
 
 def fit(s, data):
-    return M.fit_model(s, data, FEATURES, "y", "id")
+    model = M.fit_model(s, data, FEATURES, "y", "id")
+    return model.fit_bags(data, FEATURES, "y", "id", 3) if s.kind == "xgb" else model
 
 
 @pytest.mark.parametrize("kind", ["rf", "xgb", "knn"])
