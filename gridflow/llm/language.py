@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,48 +24,63 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 JAVA_LETTERS = r"\p{L}+"
 BATCH = 256
-KNOWN = 150_000
+#: Words whose scores a task remembers, and words of a text that are summed at a time.
+KNOWN, PIECE = 150_000, 20_000
 SEED = 5
 
 
-class Model:
-    """Log frequencies per language of known words and n-grams, in that order of trust."""
+class Model(dict):
+    """Log frequencies per language of known words and n-grams.
+
+    As a dictionary it gives the row of `scores` that holds a word's score; row 0, zero for
+    every language, stands for words without known n-grams. It forgets all words when full.
+    """
 
     def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]], lengths=LENGTHS):
+        super().__init__()
         self.languages, self.tables, self.lengths = languages, tables, lengths
-        self.known: dict[str, np.ndarray | None] = {}
-
-    def word(self, w: str) -> np.ndarray | None:
-        """Score of a word: its own log frequencies, or the mean over its known n-grams of the longest length that has any."""
-        got = self.known.get(w, self)
-        if got is not self:
-            return got
-        found = self.tables[0].get(w)
-        if found is None:
-            padded = f" {w} "
-            for n, table in zip(self.lengths, self.tables[1:]):
-                grams = [g for k in range(len(padded) - n + 1) if (g := table.get(padded[k : k + n])) is not None]
-                if grams:
-                    found = sum(grams) / len(grams)
-                    break
-        if len(self.known) >= KNOWN:
-            self.known.clear()
-        self.known[w] = found
-        return found
+        self.scores = np.zeros((KNOWN + 1, max(1, len(languages))))
+
+    def __missing__(self, word: str) -> int:
+        found = self.score(word)
+        row = 0
+        if found is not None:
+            row = len(self) + 1
+            self.scores[row] = found
+        self[word] = row
+        return row
+
+    def score(self, word: str) -> np.ndarray | None:
+        """A word's own log frequencies, or the mean over its known n-grams of the longest length that has any."""
+        found = self.tables[0].get(word)
+        if found is not None:
+            return found
+        padded = f" {word} "
+        for n, table in zip(self.lengths, self.tables[1:]):
+            grams = [g for k in range(len(padded) - n + 1) if (g := table.get(padded[k : k + n])) is not None]
+            if grams:
+                return sum(grams) / len(grams)
+        return None
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """Sum of the words' scores, a piece at a time, so that any text finds room."""
+        total = np.zeros(len(self.languages))
+        for at in range(0, len(words), PIECE):
+            part = words[at : at + PIECE]
+            if len(self) + len(part) > KNOWN:
+                self.clear()
+            rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            total += self.scores[rows].sum(axis=0)
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its probability: und and 0 without letters or without a learned language."""
-        words = Counter(LETTERS.findall(text.lower())) if text else None
+        words = LETTERS.findall(text.lower()) if text else None
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        scores = [(s, n) for w, n in words.items() if (s := self.word(w)) is not None]
-        if scores:
-            total = np.array([n for _, n in scores], float) @ np.array([s for s, _ in scores])
-        else:
-            total = np.zeros(len(self.languages))
+        total = self.total(words)
         total -= total.max()
-        best = int(total.argmax())
-        return self.languages[best], float(1.0 / np.exp(total).sum())
+        return self.languages[int(total.argmax())], float(1.0 / np.exp(total).sum())
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, bound: int) -> DataFrame:
@@ -139,10 +153,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     rows = df.select(F.col(id_col).alias("doc_id"), *(extra or []), F.col(text_col).alias("_text"))
     names = rows.columns[:-1]
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.tables, model.lengths))
+    # names and one matrix per table: bounded by WORDS and GRAMS, and quick to load in a task
+    tables = [(list(t), np.array(list(t.values()))) for t in model.tables]
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, tables, model.lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
+        languages, tables, lengths = shared.value
+        model = Model(languages, [dict(zip(entries, matrix)) for entries, matrix in tables], lengths)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)

@@ -25,8 +25,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    model = language.fit(docs, ~held_out)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = language.fit(docs, ~held_out & F.col("doc_id").isNotNull())
     return language.predict(docs, model, extra=[held_out.alias("held_out")])
 
 
