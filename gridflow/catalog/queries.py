@@ -782,8 +782,8 @@ def applicability_by_fold(spark, sf):
 
 # --- models -----------------------------------------------------------------------------
 
-FOREST = {"n_estimators": 10, "max_depth": 5, "min_samples_leaf": 2}
-BOOSTED = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1}
+FOREST = {"n_estimators": 100, "max_depth": 5, "min_samples_leaf": 2, "max_samples": 0.8}
+BOOSTED = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.1, "subsample": 0.8}
 NEIGHBOURS = {"max_samples": 0.5, "max_features": 0.5, "estimator__n_neighbors": 3}
 PARAMS = {"rf": FOREST, "xgb": BOOSTED, "knn": NEIGHBOURS}
 
@@ -887,7 +887,7 @@ def voting_prediction(spark, sf):
 @query
 def permutation_importance(spark, sf):
     model, rows = _fit(spark, sf, "rf")
-    return TU.permutation_importance(model, rows, "y", V.FEATURES, "id", repeats=2, seed=1)
+    return TU.permutation_importance(model, rows, "y", V.FEATURES, "id", repeats=10, seed=1)
 
 
 # --- model runs with a closed form: one split on a 0/1 predictor gives group means -------

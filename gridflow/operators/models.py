@@ -500,13 +500,17 @@ def _subset_strategy(value, n_features: int, default: str) -> str:
     return "all" if value >= 1.0 else str(float(value))
 
 
+def used_spec(spec: ModelSpec) -> ModelSpec:
+    """The spec that is really fitted and reported: Spark's trees stop at MAX_TREE_DEPTH."""
+    depth = spec.params.get("max_depth")
+    if depth is None or spec.kind == "knn" or int(depth) <= MAX_TREE_DEPTH:
+        return spec
+    warnings.warn(f"tree depth {depth} becomes {MAX_TREE_DEPTH}, the largest Spark allows")
+    return spec.with_params({"max_depth": MAX_TREE_DEPTH})
+
+
 def _depth(value, default: int) -> int:
-    wanted = MAX_TREE_DEPTH if value is None else int(value)
-    if value is None:
-        wanted = default
-    if wanted > MAX_TREE_DEPTH:
-        raise ValueError(f"tree depth {wanted} is beyond {MAX_TREE_DEPTH}, the largest Spark allows")
-    return wanted
+    return default if value is None else int(value)
 
 
 def is_count(value) -> bool:
@@ -640,6 +644,7 @@ def fit_model(
     if spec.kind not in ("rf", "xgb", "gbt", "knn"):
         raise ValueError(f"unknown model {spec.kind!r}; use rf, xgb or knn")
     check_parameters(spec.kind, spec.params)
+    spec = used_spec(spec)
     rows = df.where(col(label).isNotNull())
     prep = prep or fit_preprocessor(rows, features, regions)
     y = presence_label(col(label)).cast("double") if spec.task == "clf" else col(label).cast("double")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridflow.functions.columns import presence, standard_error
+from gridflow.operators.sampling import with_index
 from gridflow.schema import col, complete, keys_of, numeric_columns, require
 from gridflow.session import stored
 
@@ -157,18 +160,17 @@ def fill_seasonal_gaps(
 def densify(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every combination of the key values that occur; absent cells are null.
 
-    Cells are numbered by a range that Spark splits over tasks, and the number is
-    decoded with the axes. An axis holds the distinct values of one coordinate (a few
-    hundred entries), so only axes travel, never cells.
+    The distinct values of each numeric coordinate are numbered in order; cells are numbered
+    by a range that Spark splits over tasks, and each part of a cell's number fetches the
+    value of its axis by a join. Only the lengths of the axes reach the driver.
     """
     keys = keys or keys_of(df)
-    axes = df.agg(*[F.array_sort(F.collect_set(col(k))).alias(k) for k in keys]).first()
-    size = 1
-    grid = []
-    for k in keys:
-        values = axes[k]
-        axis = F.array(*[F.lit(v) for v in values])
-        position = F.floor(F.col("id") / F.lit(size)) % F.lit(len(values))
-        grid.append(F.get(axis, position.cast("int")).cast(df.schema[k].dataType).alias(k))
-        size *= len(values)
-    return df.sparkSession.range(size).select(*grid).join(df, keys, "left")
+    axes = [stored(with_index(df.select(col(k)).dropna().distinct(), k), "axis") for k in keys]
+    sizes = [axis.count() for axis in axes]
+    cells, below = df.sparkSession.range(math.prod(sizes)), 1
+    for i, size in enumerate(sizes):
+        cells = cells.withColumn(f"_i{i}", F.floor(F.col("id") / F.lit(below)) % F.lit(max(1, size)))
+        below *= size
+    for i, (k, axis) in enumerate(zip(keys, axes)):
+        cells = cells.join(axis.select(F.col("idx").alias(f"_i{i}"), col(k)), f"_i{i}")
+    return cells.select(*[col(k) for k in keys]).join(df, keys, "left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gridflow.functions.columns import presence_label
 from gridflow.operators.ensemble import predict_interval
 from gridflow.operators.metrics import REGRESSION_METRICS, balanced_accuracy, regression_metrics
-from gridflow.operators.models import ModelSpec, fit_model
+from gridflow.operators.models import ModelSpec, fit_model, fit_preprocessor, used_spec
 from gridflow.operators.sampling import with_index, with_random_index
 from gridflow.schema import col, complete
 from gridflow.session import in_threads
@@ -46,9 +46,7 @@ def out_of_fold(
 
     def one(fold):
         train, test, weight = fold_parts(folds, training, fold)
-        rows = fit(train, weight).predict(test, "prediction")
-        extra = [c for c in ("prediction_proba",) if c in rows.columns]
-        return rows.select("fold", col(label).alias("y"), "prediction", *extra)
+        return scored_rows(fit(train, weight), test, label)
 
     parts = in_threads([lambda f=f: one(f) for f in range(k)], parallelism)
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -59,7 +57,16 @@ def cross_validate(
     training: DataFrame | None = None, parallelism: int = 1,
 ) -> DataFrame:
     """Scores per fold: R2, MAE, RMSE, or balanced accuracy for a classifier."""
-    rows = out_of_fold(folds, k, fit, label, training, parallelism)
+    return fold_scores(out_of_fold(folds, k, fit, label, training, parallelism), classifier)
+
+
+def scored_rows(model, test: DataFrame, label: str) -> DataFrame:
+    rows = model.predict(test, "prediction")
+    extra = [c for c in ("prediction_proba",) if c in rows.columns]
+    return rows.select("fold", col(label).alias("y"), "prediction", *extra)
+
+
+def fold_scores(rows: DataFrame, classifier: bool) -> DataFrame:
     if classifier:
         rows = rows.withColumn("y", presence_label(F.col("y")).cast("double"))
         return balanced_accuracy(rows, "y", "prediction", ["fold"])
@@ -86,21 +93,28 @@ def grid_search(
     modes = {"yes": [True], "no": [False], "both": [False, True]}[log]
     if spec.task == "clf":
         modes = [False]
-    candidates = [
-        spec.with_params(params, mode) for mode in modes for params in parameter_grid(grid)
-    ]
+    # candidates that would be the same fit are one candidate, reported as it is fitted
+    named = [used_spec(spec.with_params(params, mode)) for mode in modes for params in parameter_grid(grid)]
+    candidates = [c for i, c in enumerate(named) if c not in named[:i]]
     offered = ["balanced_accuracy"] if spec.task == "clf" else REGRESSION_METRICS
     metric = scoring or offered[0]
     if metric not in offered:
         raise ValueError(f"unknown score {metric!r}; use one of {offered}")
     sign = -1.0 if metric in ("MAE", "RMSE") else 1.0
 
-    def score(candidate):
-        def fit(train, weight):
-            return fit_model(candidate, train, features, label, ident, weight, regions)
+    # the scaling of a fold is fitted once and serves all candidates
+    parts = [fold_parts(folds, training, fold) for fold in range(k)]
+    preps = in_threads(
+        [lambda t=t: fit_preprocessor(t.where(col(label).isNotNull()), features, regions) for t, _, _ in parts], parallelism
+    )
 
+    def score(candidate):
         try:
-            scores = cross_validate(folds, k, fit, label, spec.task == "clf", training)
+            rows = []
+            for (train, test, weight), prep in zip(parts, preps):
+                model = fit_model(candidate, train, features, label, ident, weight, regions, prep)
+                rows.append(scored_rows(model, test, label))
+            scores = fold_scores(reduce(lambda a, b: a.unionByName(b), rows), spec.task == "clf")
             value = scores.agg(F.avg(metric) * sign).first()[0]
         except (PySparkException, ValueError) as error:
             warnings.warn(f"{candidate.params}: {error}")

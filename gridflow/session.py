@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -13,13 +15,17 @@ BROADCAST_BYTES = 64 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only in local mode."""
+    """The shared folder named by the session.
+
+    Only a local session that names none gets a temporary folder, which ends with the process.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="gridflow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set(CHECKPOINT_CONF, folder)
     return folder
 
