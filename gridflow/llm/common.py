@@ -17,24 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, name: str = "_uid") -> DataFrame:
-    """A row number that is unique and stays the same as long as the table's files do."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def numbered(df: DataFrame, uid: str | None = None) -> DataFrame:
+    """`df` with a row number `_uid`: the column `uid`, or else numbers made as the table is read.
+
+    Numbers that are made hold for one reading only, as the cut of files into partitions may
+    change with the cluster. Whoever reads again writes them down first (see `pinned`).
+    """
+    return df.withColumn("_uid", F.col(uid) if uid else F.monotonically_increasing_id())
 
 
-def aside(df: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """Numbered `df` with its columns as _c0, _c1, ..., and the columns that name them as before.
+def pinned(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """`df` written down with row numbers `_uid`, its columns as _c0, _c1, ..., and those under their names.
 
     Whatever names the caller's columns have, they don't meet those of an operator.
     """
     frame = df.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(df.columns)])
-    return numbered(frame), [F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns)]
+    return stored(numbered(frame), "rows"), [F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns)]
 
 
-def keep_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of `df` whose numbers are in `kept` (_uid), columns unchanged."""
-    frame, names = aside(df)
-    return frame.join(kept, "_uid", "left_semi").select(*names)
+def place_of(df: DataFrame, *columns: str) -> list[str]:
+    """Names of columns in the frame that `pinned` makes."""
+    return [f"_c{df.columns.index(c)}" for c in columns]
 
 
 def run_of(uid: Column) -> Column:

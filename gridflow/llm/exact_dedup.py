@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.llm.common import BLANKS, hot_join, keep_rows, numbered, run_of, stored
+from gridflow.llm.common import BLANKS, hot_join, numbered, pinned, place_of, run_of, stored
 
 KEY = ["_digest", "_bytes", "_check"]
 FAN_IN = 16
 
 
-def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def digests(df: DataFrame, id_col: str, text_col: str, uid: str | None = None) -> DataFrame:
     """Row number, id and identity of the normalised text of every row, written once."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, " ")
-    rows = numbered(df).select("_uid", F.col(id_col).alias("_id"), text.alias("_text"))
+    rows = numbered(df, uid).select("_uid", F.col(id_col).alias("_id"), text.alias("_text"))
     return stored(
         rows.select(
             "_uid", "_id", run_of(F.col("_uid")).alias("_run"), F.unhex(F.sha2("_text", 256)).alias("_digest"),
@@ -40,7 +40,9 @@ def merge_runs(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
     return runs
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
+def exact_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN, uid: str | None = None
+) -> DataFrame:
     """One row per row of `df`: doc_id, keep_id, group_size, kept, text_sha256, and `_uid`.
 
     Texts are equal when equal after each run of ASCII white space is one space: same
@@ -49,10 +51,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     (run, digest), so no task ever holds a whole group of copies.
 
     Null text counts as empty. Null ids sort last. Of rows that repeat an id and a text,
-    the one with the smallest row number stays. Other columns are ignored, whatever
+    the one with the smallest row number stays; `uid` may name a column of row numbers. Other columns are ignored, whatever
     their names; an empty table gives an empty result.
     """
-    rows = digests(df, id_col, text_col)
+    rows = digests(df, id_col, text_col, uid)
     n_runs = (rows.agg(F.max("_run").alias("m")).first().m or 0) + 1
     first = F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.col("_uid").alias("uid"))
     runs = rows.groupBy("_run", *KEY).agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -69,5 +71,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` without exact copies, columns unchanged."""
-    kept = exact_dedup(df, id_col, text_col).filter("kept").select("_uid")
-    return keep_rows(df, kept)
+    frame, names = pinned(df)
+    kept = exact_dedup(frame, *place_of(df, id_col, text_col), uid="_uid").filter("kept").select("_uid")
+    return frame.join(kept, "_uid", "left_semi").select(*names)

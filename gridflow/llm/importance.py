@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.llm.common import aside, stored
+from gridflow.llm.common import stored
 
 #: Buckets of the hashed n-grams of each order.
 BITS = (12, 12, 12)
@@ -281,6 +281,6 @@ def keep_sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays(part.columns[:width], names=names)
 
     names = df.columns
-    frame, _ = aside(df)
-    noised = frame.drop("_uid").withColumn("_noise", gumbel(f"_c{names.index(id_col)}"))
+    frame = df.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(names)])
+    noised = frame.withColumn("_noise", gumbel(f"_c{names.index(id_col)}"))
     return noised.mapInArrow(keep, df.schema)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.llm.common import aside, bucket_bits, numbered, running, stored
+from gridflow.llm.common import bucket_bits, numbered, pinned, place_of, running, stored
 
 SEED = 20240
 
 
 def assign_shards(
     df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    seed: int = SEED,
+    seed: int = SEED, uid: str | None = None,
 ) -> DataFrame:
     """One row per row of `df`: doc_id, size, text_crc32, shard, slot, `_uid`.
 
@@ -22,13 +22,13 @@ def assign_shards(
     sizes in rows differ by at most one and whose mixtures agree within one row a source.
     Size is the UTF-8 bytes of the text plus one, a null text having none; null text has
     the CRC of the empty text. Null sources are one source. Null ids are shuffled by row
-    number; ties in the hash go by id, then row number. Other columns are ignored and an
+    number (a column `uid` may give it); ties in the hash go by id, then row number. Other columns are ignored and an
     empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = F.col(source_col).cast("string")
     rows = stored(
-        numbered(df).select(
+        numbered(df, uid).select(
             "_uid", F.col(id_col).alias("doc_id"),
             F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)).alias("_source"),
             (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -64,13 +64,17 @@ def assign_shards(
     )
 
 
-def write_shards(df: DataFrame, path: str, n_shards: int = 16, **options) -> None:
+def write_shards(
+    df: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", seed: int = SEED,
+) -> None:
     """Write `df` in folders shard=0, shard=1, ...; rows of a shard stand in slot order.
 
     Columns are unchanged, but for one named shard, which the folder replaces.
     """
-    placed = assign_shards(df, n_shards, **options).select("_uid", F.col("shard").alias("_shard"), "slot")
-    frame, names = aside(df)
-    rows = frame.join(placed, "_uid").repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot")
+    frame, names = pinned(df)
+    placed = assign_shards(frame, n_shards, *place_of(df, id_col, text_col, source_col), seed, "_uid")
+    rows = frame.join(placed.select("_uid", "shard", "slot"), "_uid")
+    rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
     names = [name for c, name in zip(df.columns, names) if c.lower() != "shard"]
-    rows.select(*names, F.col("_shard").alias("shard")).write.partitionBy("shard").mode("errorifexists").parquet(path)
+    rows.select(*names, "shard").write.partitionBy("shard").mode("errorifexists").parquet(path)

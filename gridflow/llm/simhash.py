@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.llm.common import hot_join, keep_rows, numbered, stored
+from gridflow.llm.common import hot_join, numbered, pinned, place_of, stored
 from gridflow.llm.components import components
 
 SEED = 42
@@ -43,7 +43,7 @@ def fingerprint(text: str, width: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid: str | None = None) -> DataFrame:
     """Row number `_uid`, doc_id and fingerprint `fp` (bigint, the 64 bits) of every row.
 
     ASCII letters are lowered, words lie between ASCII white space, shingles have four words,
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["_uid", "doc_id", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = numbered(df).select("_uid", F.col(id_col).alias("doc_id"), F.col(text_col))
+    rows = numbered(df, uid).select("_uid", F.col(id_col).alias("doc_id"), F.col(text_col))
     return stored(rows.mapInArrow(run, f"_uid bigint, doc_id {kind}, fp bigint"), "fingerprints")
 
 
@@ -232,16 +232,18 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, tile:
     return sorted_cells.mapInArrow(links_of_cells(distance), "a bigint, b bigint")
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def near_components(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, uid: str | None = None
+) -> DataFrame:
     """One row per row of `df`: doc_id, fingerprint (16 hex digits), component_id, first, `_uid`.
 
     Rows whose fingerprints differ in at most `distance` bits are linked; component_id is the
     smallest doc_id that links reach, the row's own included, and `first` marks one row of
     each component: its smallest id, then row number. Null ids come last; a component of null
     ids only has component_id null. See `fingerprints` for null and empty texts. Repeated rows
-    share a fingerprint. Other columns are ignored; an empty table gives an empty result.
+    share a fingerprint; `uid` may name a column of row numbers. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = fingerprints(df, id_col, text_col)
+    rows = fingerprints(df, id_col, text_col, uid)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("_uid").alias("uid")))
     fps = stored(rows.groupBy("fp").agg(first.alias("_first")), "distinct")
     roots = components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
@@ -257,5 +259,6 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The first row of each component of near-duplicates, columns unchanged."""
-    kept = near_components(df, id_col, text_col, distance).filter("first").select("_uid")
-    return keep_rows(df, kept)
+    frame, names = pinned(df)
+    kept = near_components(frame, *place_of(df, id_col, text_col), distance, "_uid").filter("first").select("_uid")
+    return frame.join(kept, "_uid", "left_semi").select(*names)
