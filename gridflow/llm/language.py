@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridflow.llm.common import stored
+from gridflow.session import in_threads
 
 #: Labelled rows per language that the model is fitted on, at most about; a model parameter.
 TRAIN_ROWS = 1500
@@ -83,8 +85,10 @@ class Model(dict):
         return self.languages[int(total.argmax())], float(1.0 / np.exp(total).sum())
 
 
-def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, bound: int) -> DataFrame:
-    """About `bound` rows of each language, chosen by a hash of the id; all of a smaller one."""
+def training_rows(
+    df: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, bound: int
+) -> tuple[DataFrame, list[str]]:
+    """About `bound` rows of each language, chosen by a hash of the id, all of a smaller one; and the languages."""
     rows = df.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")
     )
@@ -95,21 +99,21 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, trai
     chosen = F.lit(False)
     for lang, n in counts.items():
         chosen = chosen | ((F.col("_lang") == lang) & (h < min(1.0, bound / n) * (1 << 30)))
-    return rows.filter(chosen)
+    return rows.filter(chosen), sorted(counts)
 
 
-def frequencies(entries: DataFrame, size: int, languages: list[str]) -> dict[str, np.ndarray]:
-    """Log frequencies of the `size` most frequent entries ((_lang, _e, _n) rows), with add-one-half smoothing."""
-    by_lang = entries.groupBy("_lang", "_e").agg(F.sum("_n").alias("_n"))
-    totals = {r._lang: r.n for r in by_lang.groupBy("_lang").agg(F.sum("_n").alias("n")).collect()}
-    columns = [F.sum(F.when(F.col("_lang") == lang, F.col("_n"))).alias(f"c{k}") for k, lang in enumerate(languages)]
-    # shares, not counts: a language with fewer rows keeps its words
-    share = F.lit(0.0)
-    for k, lang in enumerate(languages):
-        share = share + F.coalesce(F.col(f"c{k}"), F.lit(0)) / float(totals.get(lang, 0) or 1)
-    top = by_lang.groupBy("_e").agg(*columns).orderBy(share.desc(), "_e").limit(size).collect()
-    base = np.array([float(totals.get(lang, 0)) + 0.5 * size for lang in languages])
-    return {r[0]: np.log((np.array([x or 0 for x in r[1:]], float) + 0.5) / base) for r in top}
+def frequencies(counts: DataFrame, length: int, size: int, n_langs: int) -> dict[str, np.ndarray]:
+    """Log frequencies of the `size` entries of a length with the largest shares, with add-one-half smoothing.
+
+    `counts` has one row per entry (_length, _e) and its count c0, c1, ... in each language.
+    Shares, not counts: a language with fewer rows keeps its words.
+    """
+    entries, names = counts.filter(F.col("_length") == length), [f"c{k}" for k in range(n_langs)]
+    totals = [float(x or 0) for x in entries.agg(*[F.sum(c) for c in names]).first()]
+    share = reduce(lambda a, b: a + b, [F.col(c) / (t or 1.0) for c, t in zip(names, totals)])
+    top = entries.select("_e", *names, share.alias("_share")).orderBy(F.col("_share").desc(), "_e").limit(size).toArrow()
+    found = np.array([top.column(c).to_numpy() for c in names], float).T.reshape(-1, n_langs)
+    return dict(zip(top.column("_e").to_pylist(), np.log((found + 0.5) / (np.array(totals) + 0.5 * size))))
 
 
 def fit(
@@ -120,15 +124,15 @@ def fit(
 
     Only text and language are learned from. Null texts and languages teach nothing.
     """
-    sample = training_rows(df, id_col, text_col, lang_col, train, rows)
-    letters = F.regexp_extract_all(F.lower("_text"), F.lit(JAVA_LETTERS), F.lit(0))
-    counted = sample.select("_lang", F.explode(letters).alias("_e"))
-    counted = stored(counted.groupBy("_lang", "_e").agg(F.count(F.lit(1)).alias("_n")), "words")
-    languages = sorted(r._lang for r in counted.select("_lang").distinct().collect())
+    sample, languages = training_rows(df, id_col, text_col, lang_col, train, rows)
     if not languages:
         return Model([], [], lengths)
-    padded = F.concat(F.lit(" "), F.col("_e"), F.lit(" "))
-    none = F.array().cast("array<string>")
+    names = [f"c{k}" for k in range(len(languages))]
+    letters = F.regexp_extract_all(F.lower("_text"), F.lit(JAVA_LETTERS), F.lit(0))
+    each = [F.count_if(F.col("_lang") == lang).alias(c) for lang, c in zip(languages, names)]
+    counted = sample.select("_lang", F.explode(letters).alias("_e")).groupBy("_e").agg(*each)
+    counted = stored(counted.withColumn("_length", F.lit(0)), "words")
+    padded, none = F.concat(F.lit(" "), F.col("_e"), F.lit(" ")), F.array().cast("array<string>")
     cut = [
         F.when(
             F.length(padded) >= n,
@@ -136,12 +140,12 @@ def fit(
         ).otherwise(none)
         for n in lengths
     ]
-    pieces = counted.select("_lang", F.explode(F.flatten(F.array(*cut))).alias("_e"), "_n").filter(F.trim("_e") != "")
-    pieces = pieces.groupBy("_lang", "_e").agg(F.sum("_n").alias("_n"))
-    pieces = stored(pieces, "grams")
-    tables = [frequencies(counted, words, languages)]
-    tables += [frequencies(pieces.filter(F.length("_e") == n), grams, languages) for n in lengths]
-    return Model(languages, tables, lengths)
+    pieces = counted.select(F.explode(F.flatten(F.array(*cut))).alias("_e"), *names).filter(F.trim("_e") != "")
+    pieces = pieces.groupBy("_e").agg(*[F.sum(c).alias(c) for c in names])
+    pieces = stored(pieces.withColumn("_length", F.length("_e")), "grams")
+    jobs = [lambda: frequencies(counted, 0, words, len(languages))]
+    jobs += [lambda n=n: frequencies(pieces, n, grams, len(languages)) for n in lengths]
+    return Model(languages, in_threads(jobs, len(jobs)), lengths)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: list[Column] | None = None) -> DataFrame:
