@@ -142,7 +142,9 @@ def pack_tokens(
         names = [part.split()[0] for part in KINDS.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return chunks.groupBy("group").applyInArrow(pack, KINDS)
+    # at least a partition for each group: a task's share does not grow with the input
+    n = max(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return chunks.repartition(n, "group").groupBy("group").applyInArrow(pack, KINDS)
 
 
 def write_packed(df: DataFrame, path: str, **options) -> DataFrame:
