@@ -185,7 +185,7 @@ class Forest:
     spec: ModelSpec
     prep: Preprocessor
     model: object
-    _leaves: str | None = None
+    _leaves: list[list[float]] | None = None
 
     def _prepared(self, df: DataFrame) -> DataFrame:
         return self.prep.assemble(df)
@@ -193,8 +193,8 @@ class Forest:
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return _tree_prediction(self.model, self.spec, self._prepared(df), out).drop(VECTOR)
 
-    def leaf_values(self, spark: SparkSession) -> str:
-        """JSON list per tree of its leaf values, in the order of Spark's leaf numbers."""
+    def leaf_values(self, spark: SparkSession) -> list[list[float]]:
+        """Per tree its leaf values, in the order of Spark's leaf numbers: the size of the model."""
         if self._leaves is None:
             path = scratch_path(spark, "forest")
             self.model.write().save(path)
@@ -210,22 +210,31 @@ class Forest:
                 .agg(F.array_sort(F.collect_list(F.struct(node["id"].alias("i"), value.alias("v")))).alias("n"))
                 .select("treeID", F.transform("n", lambda n: n["v"]).alias("n"))
             )
-            self._leaves = json.dumps([r["n"] for r in leaves.orderBy("treeID").collect()])
+            self._leaves = [r["n"] for r in leaves.orderBy("treeID").collect()]
         return self._leaves
 
     def raw_members(self, df: DataFrame, out: str) -> DataFrame:
-        """One pass finds the leaf of every tree; the leaf values sit in the plan as one literal.
+        """One pass finds the leaf of every tree; the leaf values are broadcast, as the model is.
 
         Values on the scale of the fit, class shares for classifiers; null where a feature is missing.
         """
         model = self.model.copy().setLeafCol("_leaf").setPredictionCol("_p")
         if self.spec.task == "clf":
             model.setProbabilityCol("").setRawPredictionCol("")
-        values = F.from_json(F.lit(self.leaf_values(df.sparkSession)), "array<array<double>>")
-        leaf = vector_to_array(F.col("_leaf"))
-        member = F.transform(leaf, lambda n, i: F.get(F.get(values, i), n.cast("int")))
+        trees = [np.array(v, dtype=np.float64) for v in self.leaf_values(df.sparkSession)]
+        shared = df.sparkSession.sparkContext.broadcast(trees)
+
+        @F.arrow_udf("array<double>")
+        def value_of(leaves: pa.Array) -> pa.Array:
+            number = kernels.matrix(leaves, len(shared.value)).astype(np.int64)
+            values = np.empty(number.shape)
+            for t, tree in enumerate(shared.value):
+                values[:, t] = tree[number[:, t]]
+            return kernels.ragged(values, np.ones(values.shape, dtype=bool), pa.float64())
+
         whole = ~F.exists(vector_to_array(F.col(VECTOR)), lambda v: F.isnan(v))
-        found = model.transform(self._prepared(df)).withColumn(out, F.when(whole, member))
+        found = model.transform(self._prepared(df))
+        found = found.withColumn(out, F.when(whole, value_of(vector_to_array(F.col("_leaf")))))
         return found.drop("_leaf", "_p", VECTOR)
 
     def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:
