@@ -32,6 +32,8 @@ def bucketed(df: DataFrame, order: str, out: str = "_bucket") -> DataFrame:
     cuts = df.select(col(order).cast("double").alias("_o")).approxQuantile(
         "_o", [i / n for i in range(1, n)], 0.25 / n
     )
+    if not cuts:  # an empty table
+        return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_o", outputCol=out)
     rows = cutter.transform(df.withColumn("_o", col(order).cast("double")))
