@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_BYTES = 64 << 20
+_written: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -42,9 +43,31 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Paths of the tables that `stored` has written and nobody released, in order."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str], *in_use: DataFrame) -> list[str]:
+    """Delete tables that `stored` has written, but for those that `in_use` reads; returns the latter's paths.
+
+    For runs whose results are written: what made an earlier result is not needed any more.
+    """
+    read, kept = [f for df in in_use for f in df.inputFiles()], []
+    for path in paths:
+        if any(f"/{path.rstrip('/').rsplit('/', 1)[-1]}/" in f for f in read):
+            kept.append(path)
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
+    return kept
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """True when `df` is proven to hold at most `limit` bytes of `row_bytes` rows.
 
