@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridflow.llm.common import hot_join, stored
+from gridflow.session import release, written
 
 SALTS = 256
 
@@ -31,9 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, seen = stored(edges, "edges"), None
+    path = written()[-1]
     while True:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now.n == 0 or (now.n, now.s) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = (now.n, now.s)
         edges = stored(star(star(edges, True), False), "edges")
+        release(edges.sparkSession, [path])
+        path = written()[-1]
