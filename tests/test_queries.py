@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, con, name):
     assert message is None
 
 
-@pytest.mark.parametrize("name", ["resampled_targets", "bootstrap_bags", "shuffled_folds", "prediction_intervals"])
+@pytest.mark.parametrize("name", ["prediction_intervals", "loss_weighted_intervals", "voting_prediction", "two_phase_prediction"])
 def test_rows_only(spark, con, name):
     assert name in ROWS_ONLY and compare(spark, con, name, SMALL)[1] > 0
 
