@@ -102,6 +102,12 @@ def ragged(values: np.ndarray, kept: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[kept], type=kind))
 
 
+def slices(rows: int, columns: int) -> list[slice]:
+    """Slices of the rows whose matrices with that many columns stay small; one for no rows."""
+    step = max(1, TILE_CELLS // max(1, columns))
+    return [slice(a, min(a + step, rows)) for a in range(0, max(rows, 1), step)]
+
+
 def box_gap(q: np.ndarray, low: np.ndarray, high: np.ndarray, p: float, far: bool) -> np.ndarray:
     """Distance of each row to the nearest (or, with `far`, the farthest) point of each box."""
     total = np.zeros((len(q), len(low)))

@@ -332,17 +332,23 @@ def _boxed(
     def home(x: pa.Array) -> pa.Array:
         number, low, high = bounds.value
         q = kernels.matrix(x, width)
-        return pa.array(number[kernels.box_gap(q, low, high, p, far=False).argmin(axis=1)])
+        parts = kernels.slices(len(q), len(low))
+        nearest = [kernels.box_gap(q[part], low, high, p, far=False).argmin(axis=1) for part in parts]
+        return pa.array(number[np.concatenate(nearest)])
 
     @F.arrow_udf("array<bigint>")
     def others(x: pa.Array, seen: pa.Array, reach: pa.Array) -> pa.Array:
         number, low, high = bounds.value
         q = kernels.matrix(x, width)
-        gap = kernels.box_gap(q, low, high, p, far=False)
         # rounding must not lose a box that only just reaches
         limit = reach.to_numpy(zero_copy_only=False)[:, None] * (1 + 1e-9)
-        wanted = (gap <= limit) & (number[None, :] != seen.to_numpy(zero_copy_only=False)[:, None])
-        return kernels.ragged(np.broadcast_to(number, wanted.shape), wanted, pa.int64())
+        home = seen.to_numpy(zero_copy_only=False)[:, None]
+        found = []
+        for part in kernels.slices(len(q), len(low)):
+            wanted = kernels.box_gap(q[part], low, high, p, far=False) <= limit[part]
+            wanted &= number[None, :] != home[part]
+            found.append(kernels.ragged(np.broadcast_to(number, wanted.shape), wanted, pa.int64()))
+        return pa.concat_arrays(found)
 
     queries = stored(_queries(query, space).withColumn("_box", home("_qx")), "queries")
     first = stored(_top_k(queries, boxes, space, k), "first")
@@ -501,12 +507,14 @@ def with_count_within(
         number, size, low, high = bounds.value
         q = kernels.matrix(x, width)
         margin = 1e-9 * radius
-        inside = kernels.box_gap(q, low, high, p, far=True) < radius - margin
-        partly = ~inside & (kernels.box_gap(q, low, high, p, far=False) <= radius + margin)
-        lists = kernels.ragged(np.broadcast_to(number, partly.shape), partly, pa.int64())
-        return pa.StructArray.from_arrays(
-            [pa.array((inside * size).sum(axis=1)), lists], ["inside", "partly"]
-        )
+        found = []
+        for part in kernels.slices(len(q), len(low)):
+            inside = kernels.box_gap(q[part], low, high, p, far=True) < radius - margin
+            partly = ~inside & (kernels.box_gap(q[part], low, high, p, far=False) <= radius + margin)
+            lists = kernels.ragged(np.broadcast_to(number, partly.shape), partly, pa.int64())
+            counts = pa.array((inside * size).sum(axis=1))
+            found.append(pa.StructArray.from_arrays([counts, lists], ["inside", "partly"]))
+        return pa.concat_arrays(found)
 
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         base_points = local_arrays(b, width, False)[2]

@@ -97,3 +97,16 @@ def test_no_round_robin_exchange(points):
     for limit in (N.BROADCAST_BYTES, 0):
         plan = N.with_neighbours(df, df, N.Space(["a", "b"]), 2, "id", "id", limit=limit)
         assert "RoundRobin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_in_small_tiles(points, monkeypatch):
+    """Results don't depend on how many rows and boxes a task compares at a time."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 50)
+    x, df = points
+    tiles = [kernels.slices(n, m) for n, m in ((10, 3), (0, 3), (5, 10**9))]
+    assert [len(t) for t in tiles] == [1, 1, 5] and tiles[2][-1] == slice(4, 5)
+    plain = N.Space(["a", "b", "c"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    monkeypatch.setattr(kernels, "TILE_CELLS", 40)
+    counted = N.with_count_within(df, df, plain, 0.8, "id", "n", 0)
+    assert (counted.orderBy("id").toPandas()["n"].to_numpy() == (d < 0.8).sum(axis=1)).all()
