@@ -9,6 +9,7 @@ that is rerun puts every row in the same bucket again.
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.ml.feature import Bucketizer
@@ -320,13 +321,24 @@ def resample_normal(
 def add_pseudo_zeros(
     obs: DataFrame, mask: DataFrame, n: int | Column, targets: list[str], seed: int
 ) -> DataFrame:
-    """Append exactly n cells where the mask is 0, with every target set to zero.
+    """Append exactly n cells where the mask is 0, with every target set to zero; all cells if there are fewer.
 
-    `n` may be a scalar subquery, such as the number of observations.
+    `n` may be a scalar subquery, such as the number of observations. The cells with the
+    smallest hashes are taken; a hash bound that leaves a few more than n of them is applied
+    before cells are numbered, so the whole mask is not.
     """
     keys = [k for k in keys_of(mask)]
-    zeros = with_random_index(mask.where(F.col("mask") == 0).select(*keys), keys, seed)
-    chosen = zeros.where(F.col("idx") < n).select(*keys, *[F.lit(0.0).alias(t) for t in targets])
+    zeros = mask.where(F.col("mask") == 0).select(*keys)
+    if isinstance(n, Column):
+        n = mask.sparkSession.range(1).select(n.alias("n")).first()["n"]
+    near = zeros
+    bound = n + 6 * math.sqrt(n) + 20
+    total = zeros.count()
+    if bound < total:
+        few = zeros.where(hash_key([col(k) for k in keys], seed) < int(bound / total * (1 << KEY_BITS)))
+        near = few if few.count() >= n else zeros
+    placed = with_random_index(near, keys, seed)
+    chosen = placed.where(F.col("idx") < n).select(*keys, *[F.lit(0.0).alias(t) for t in targets])
     return obs.unionByName(chosen, allowMissingColumns=True)
 
 

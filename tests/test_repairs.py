@@ -126,3 +126,14 @@ def test_redrawn_rows_beyond_the_first_thousand_partitions(spark):
         model.limit = limit
         p = [r["p"] for r in model.predict(rows, "p").collect()]
         assert len(p) == 30 and not any(v is None or np.isnan(v) for v in p)
+
+
+def test_pseudo_zeros_from_a_large_mask(spark):
+    """The bound on hashes, applied before numbering, chooses the same cells as numbering them all."""
+    mask = spark.range(6000).select(F.col("id").cast("double").alias("lat"), (F.col("id") % 2).alias("mask"))
+    obs = spark.createDataFrame([(0.5, 7.0)], "lat double, y double")
+    got = sampling.add_pseudo_zeros(obs, mask, obs.agg(F.count("*") * 100).scalar(), ["y"], 3)
+    assert got.count() == 101 and got.where("y = 0 and lat % 2 = 1").count() == 0
+    every = sampling.with_random_index(mask.where("mask = 0").select("lat"), ["lat"], 3).where("idx < 100")
+    assert {r["lat"] for r in got.where("y = 0").collect()} == {r["lat"] for r in every.collect()}
+    assert sampling.add_pseudo_zeros(obs, mask, 5000, ["y"], 3).count() == 3001
