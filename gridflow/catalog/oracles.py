@@ -613,7 +613,7 @@ SQL["applicability_boxed"] = SQL["applicability"]
 # --- model runs with a closed form -------------------------------------------------------
 
 GROUPED = """grouped AS (
-  SELECT o_orderkey AS id, CAST(o_custkey % 6 < 2 AS DOUBLE) AS x, CAST(o_custkey % 5 < 2 AS DOUBLE) AS z,
+  SELECT o_orderkey AS id, CAST(o_custkey % 9 IN (0, 1, 3) AS DOUBLE) AS x, CAST(o_custkey % 5 < 2 AS DOUBLE) AS z,
          CASE WHEN o_custkey % 3 = 0 THEN 0.0::DOUBLE ELSE o_totalprice / 1000.0::DOUBLE END AS y
   FROM orders)"""
 
