@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridflow.llm import shingles
 from gridflow.llm.common import hot_join, numbered, pinned, place_of, stored
 from gridflow.llm.components import components
 
@@ -257,8 +258,12 @@ def near_components(
     )
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The first row of each component of near-duplicates, columns unchanged."""
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each component of near copies, columns unchanged.
+
+    Near copies have Jaccard similarity 0.8 or more of their five-word shingles. Their fingerprints
+    differ in 13 bits and more, which no grid carries, so candidates come from `shingles`, without loss.
+    """
     frame, names = pinned(df)
-    kept = near_components(frame, *place_of(df, id_col, text_col), distance, "_uid").filter("first").select("_uid")
-    return frame.join(kept, "_uid", "left_semi").select(*names)
+    dropped = shingles.copies(frame, *place_of(df, id_col, text_col))
+    return frame.join(dropped, "_uid", "left_anti").select(*names)
