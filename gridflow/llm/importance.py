@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from gridflow.llm.common import stored
 
-#: Buckets of the hashed n-grams of each order.
-BITS = (12, 12, 12)
+#: Buckets of the hashed n-grams of each order: of word forms, then of the words themselves.
+FORM_BITS, WORD_BITS = (12, 12, 12), (16, 16)
+BITS = FORM_BITS + WORD_BITS
 #: Rows of the target: a sample of the good rows, bounded as it is sent to every task.
 TARGET_ROWS = 20_000
 #: A document's mean log ratio counts as that of this many n-grams.
 EVIDENCE = 64.0
-#: n-grams of raw text that smooth the target model.
+#: n-grams of raw text that smooth the target model, and those that each used bucket of words adds.
 SMOOTH = 500.0
+SMOOTH_WORDS = 4.0
 #: Log weight of a document without words.
 NO_WORDS = -1000.0
 SEED = 17
@@ -56,13 +58,13 @@ class Words(dict):
 
 
 class Features:
-    """Hashed n-grams of word forms; a word that repeats the one before it is a form of its own."""
+    """Hashed n-grams of word forms, where a word that repeats the one before it is a form of its own, and of words."""
 
     def __init__(self):
         self.words = Words()
 
     def of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each order, the buckets of all n-grams and the text each belongs to."""
+        """For each order of BITS, the buckets of all n-grams and the text each belongs to."""
         words = [t.split() if t else [] for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         doc = np.repeat(np.arange(len(words)), sizes)
@@ -72,23 +74,25 @@ class Features:
         again = np.flatnonzero((plain[1:] == plain[:-1]) & (doc[1:] == doc[:-1])) + 1
         forms[again] += np.uint64(1 << 33)
         out = []
-        for order, bits in enumerate(BITS, 1):
-            n = max(0, len(forms) - order + 1)
-            h = np.zeros(n, np.uint64)
-            for k in range(order):
-                h = (h ^ (forms[k : k + n] + np.uint64(k + 1))) * np.uint64(MIX[k])
-                h ^= h >> np.uint64(29)
-            inside = doc[:n] == doc[order - 1 : order - 1 + n]
-            out.append(((h[inside] >> np.uint64(64 - bits)).astype(np.int64), doc[:n][inside]))
+        for units, sizes in ((forms, FORM_BITS), (plain.astype(np.uint64), WORD_BITS)):
+            for order, bits in enumerate(sizes, 1):
+                n = max(0, len(units) - order + 1)
+                h = np.zeros(n, np.uint64)
+                for k in range(order):
+                    h = (h ^ (units[k : k + n] + np.uint64(k + 1))) * np.uint64(MIX[k])
+                    h ^= h >> np.uint64(29)
+                inside = doc[:n] == doc[order - 1 : order - 1 + n]
+                out.append(((h[inside] >> np.uint64(64 - bits)).astype(np.int64), doc[:n][inside]))
         return out
 
 
 def log_ratios(target: list[np.ndarray], raw: list[np.ndarray]) -> list[np.ndarray]:
     """Per order, the log of the target model's probability over the raw model's, for every bucket."""
     out = []
-    for t, r in zip(target, raw):
+    for k, (t, r) in enumerate(zip(target, raw)):
         p = (r + 1e-9) / (r.sum() + 1e-9 * len(r))
-        out.append(np.log((t + SMOOTH * p) / (t.sum() + SMOOTH)) - np.log(p))
+        smooth = SMOOTH + (SMOOTH_WORDS * np.count_nonzero(r) if k >= len(FORM_BITS) else 0)
+        out.append(np.log((t + smooth * p) / (t.sum() + smooth)) - np.log(p))
     return out
 
 
@@ -241,8 +245,8 @@ def resample(
     """One row per row of `df` (doc_id, log_weight, key, kept) and the fitted sampler.
 
     `labels` has the ids and `quality` (1 good, 0 bad, null unknown). A text's log weight is the
-    mean log ratio, per order of n-gram, of a model of good texts and a model of all texts. The
-    sample are the `rows` largest sums of log weight and Gumbel noise, which is sampling
+    mean log ratio, per order of n-gram of word forms and of lower-cased words, of a model of
+    good texts and a model of all texts. The sample are the `rows` largest sums of log weight and Gumbel noise, which is sampling
     without replacement in proportion to the weights. By default `rows` is the number of
     texts above the weight that best parts the labelled good from the bad. At most
     `target_rows` labelled rows of a kind are used; all counts, weights and the cut cover
