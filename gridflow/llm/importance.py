@@ -27,13 +27,15 @@ NO_WORDS = -1000.0
 SEED = 17
 BATCH = 256
 KNOWN_WORDS = 200_000
+#: Longer tokens without spaces are cut into pieces of so many characters, each a word.
+PIECE = 64
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def shape(word: str) -> str:
     """Form of a word: runs of lower and upper case letters, digits and each other character become one sign."""
     out = ""
-    for c in word[:64]:
+    for c in word:
         s = ("a" if c.islower() else "A") if c.isalpha() else "0" if c.isdigit() else c
         if not out.endswith(s):
             out += s
@@ -57,6 +59,14 @@ class Words(dict):
         return got
 
 
+def words_of(text: str | None) -> list[str]:
+    """Tokens between white space, long ones as successive pieces."""
+    words = text.split() if text else []
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+
+
 class Features:
     """Hashed n-grams of word forms, where a word that repeats the one before it is a form of its own, and of words."""
 
@@ -65,7 +75,7 @@ class Features:
 
     def of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each order of BITS, the buckets of all n-grams and the text each belongs to."""
-        words = [t.split() if t else [] for t in texts]
+        words = [words_of(t) for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         doc = np.repeat(np.arange(len(words)), sizes)
         get = self.words.__getitem__
@@ -252,6 +262,7 @@ def resample(
     `target_rows` labelled rows of a kind are used; all counts, weights and the cut cover
     all rows.
 
+    A token above PIECE characters, as in text without spaces, counts as its successive pieces.
     Null and empty texts have the least weight, NO_WORDS, and are kept only if `rows` asks
     for all. Noise is a hash of the id, so reruns agree; rows with a null id share their
     noise, and so do repeated rows, which stand or fall together: ties with the last row

@@ -24,3 +24,16 @@ def test_bad_rows_that_differ_by_words_only(spark):
         texts.append((" ".join(words) + ".", k % 2 == 0))
     kept = sample(spark, texts, [k for k in range(240) if k % 3])
     assert kept == {k for k in range(240) if texts[k][1]}
+
+
+def test_whole_tokens_are_judged():
+    """Texts without spaces that differ behind their first 64 characters only."""
+    rng = np.random.default_rng(4)
+    ratios = [rng.normal(size=1 << b) for b in importance.BITS]
+    weigh = lambda *texts: importance.log_weights(list(texts), ratios, importance.Features())
+    start = "x{1}=" * 13
+    for a, b in ((start + "a;b;" * 50, start + "7-7-" * 50), ("。漢字" * 30 + "、仮名" * 30, "。漢字" * 30 + "!1?2" * 30)):
+        assert len(set(weigh(a, b, a[:64]))) == 3
+    pieces = [start[k : k + importance.PIECE] for k in range(0, len(start), importance.PIECE)]
+    assert weigh(start) == weigh(" ".join(pieces))
+    assert importance.shape("aB1" * 40 + "#") == "aA0" * 40 + "#"
