@@ -67,9 +67,10 @@ def train_dissimilarity(
     The nearest other row is used, or with `fold_col` the nearest row of another fold.
     """
     if shared is not None:
-        # the own row is at distance zero, so leaving it out changes neither sum nor mean
+        # without folds the mean covers all positive distances, also of rows that share an id
         rows = with_summary(train, shared, Space(features, p, fold_col or ident), "_s")
-        rows = stored(rows.select(col(ident), "_s.*"), "di")
+        rows = with_summary(rows, shared, Space(features, p, fold_col), "_all")
+        rows = stored(rows.select(col(ident), "_s.near", "_all.total", "_all.positive", "_all.pairs"), "di")
         count = "pairs" if fold_col else "positive"
         mean = rows.agg(F.sum("total") / F.sum(count)).first()[0]
         return rows.select(col(ident), (F.col("near") / F.lit(mean)).alias("di")), mean
