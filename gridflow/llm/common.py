@@ -83,3 +83,20 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list[Column], v
     inner = F.coalesce(F.sum("_value").over(ahead([*group, bucket], order)), F.lit(0))
     placed = valued.withColumn("_within", inner).join(sums, [*group, bucket])
     return placed.withColumn(out, F.col("_within") + F.col("_offset")).drop("_value", "_within", "_offset")
+
+
+def in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """`df` with `_place`, the number of rows before each in `order`, counted from 0.
+
+    The rows are range-sorted once and written with their place in their range; a row a range,
+    as many as shuffle partitions, then says how many rows lie in the ranges before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumn("_inner", F.monotonically_increasing_id()), "ordered")
+    part, inner = F.shiftright("_inner", 33), F.col("_inner").bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ranged.withColumn("_part", part).withColumn("_inner", inner)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", before.alias("_before")))
+    return ranged.join(starts, "_part").withColumn("_place", F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflow.llm import chat, exact_dedup, importance, language, mixing, packing, pieces, sharding, simhash, topk
+from gridflow.llm import (
+    chat, exact_dedup, importance, language, mixing, packing, periods, pieces, secret_scan, sharding, simhash,
+    target_sampling, topk,
+)
 from gridflow.llm.common import table
 
 
@@ -83,11 +86,25 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_target_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return target_sampling.sample_towards(docs, target).drop("n_words")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pack, op2_exact_dedup, op3_language, op4_top_products, op5_quality, op6_chat_format, op7_pieces, op8_shards,
-        op9_simhash, op10_mix,
+        op9_simhash, op10_mix, op11_target_sample, op12_periodic_runs, op13_secrets,
     )
 }
 
