@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridflow.identity import with_row_number
 from gridflow.session import stored  # noqa: F401  (re-exported for the operators)
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -27,12 +28,13 @@ def numbered(df: DataFrame, uid: str | None = None) -> DataFrame:
 
 
 def pinned(df: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """`df` written down with row numbers `_uid`, its columns as _c0, _c1, ..., and those under their names.
+    """`df` with row numbers `_uid` that hold, its columns as _c0, _c1, ..., and those under their names.
 
-    Whatever names the caller's columns have, they don't meet those of an operator.
+    Whatever names the caller's columns have, they don't meet those of an operator. Rows of
+    files are known by their places; other rows are written down.
     """
     frame = df.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(df.columns)])
-    return stored(numbered(frame), "rows"), [F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns)]
+    return with_row_number(frame, "_uid"), [F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns)]
 
 
 def place_of(df: DataFrame, *columns: str) -> list[str]:
@@ -41,7 +43,7 @@ def place_of(df: DataFrame, *columns: str) -> list[str]:
 
 
 def run_of(uid: Column) -> Column:
-    """The input partition a row number was made in."""
+    """The input partition, or the file, a row number was made in."""
     return F.shiftright(uid, 33).cast("int")
 
 

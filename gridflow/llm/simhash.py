@@ -266,4 +266,4 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     frame, names = pinned(df)
     dropped = shingles.copies(frame, *place_of(df, id_col, text_col))
-    return frame.join(dropped, "_uid", "left_anti").select(*names)
+    return shingles.narrowed(frame, dropped, "left_anti").select(*names)

@@ -18,6 +18,7 @@ from gridflow.llm import chat, importance, mixing, packing, simhash, topk
 from gridflow.llm.components import components
 from gridflow.llm.pieces import PieceCodec
 from gridflow.llm.queries import QUERIES
+from test_near_copies import survivors
 
 SF = "/root/testdata/sf0.01"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -299,10 +300,8 @@ def test_pipeline(spark, docs):
     for r in sorted(quality, key=lambda r: r.doc_id):
         first.setdefault(normal(r.text), r.doc_id)
     assert {r.doc_id for r in exact} == set(first.values())
-    ids = sorted(r.doc_id for r in exact)
     text = {r.doc_id: r.text for r in exact}
-    roots = reach(len(ids), near_pairs([plain_fingerprint(text[k]) for k in ids]))
-    assert {r.doc_id for r in near} == {ids[r] for r in roots}
+    assert {r.doc_id for r in near} == survivors(list(text.items()))
     sizes, source = {r.doc_id: len(r.text.encode().split()) for r in near}, {r.doc_id: r.source for r in near}
     words = Counter()
     for r in mixed:
