@@ -108,20 +108,47 @@ class Windows(dict):
         return self.shift(spaced, two_bytes) ^ two
 
 
-def histogram(df: DataFrame, text_col: str, buckets: int = BUCKETS, pattern: str = PATTERN) -> np.ndarray:
-    """Windows of all whole texts in each bucket: summed inside tasks, then by bucket."""
+def windows(df: DataFrame, id_col: str | None, text_col: str, buckets: int = BUCKETS, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, n_words and the buckets of all windows of every whole text, as little-endian 32-bit numbers; written.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, total = Windows(pattern, buckets), np.zeros(buckets, np.int64)
+    Texts are split once; counts and weights come from the buckets.
+    """
+    rows = df.select((F.col(id_col) if id_col else F.lit(None).cast("bigint")).alias("doc_id"), F.col(text_col).alias("_text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Windows(pattern, buckets)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                found = windows.of(batch.column(0).slice(at, BATCH).to_pylist())[0]
-                total += np.bincount(found.astype(np.int64), minlength=buckets)
+                part = batch.slice(at, BATCH)
+                bucket, doc, words = known.of(part.column(1).to_pylist())
+                order = np.argsort(doc, kind="stable")
+                ends = np.cumsum(np.bincount(doc, minlength=part.num_rows))
+                kept = [x.astype("<u4").tobytes() for x in np.split(bucket[order], ends[:-1])]
+                columns = [part.column(0), pa.array(words), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "buckets"])
+
+    return stored(rows.mapInArrow(cut, f"doc_id {kind}, n_words bigint, buckets binary"), "windows")
+
+
+def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bucket numbers of a column of windows, and how many each row has."""
+    rows = [np.frombuffer(x.as_buffer(), "<u4") for x in column]
+    return np.concatenate([np.zeros(0, np.uint32), *rows]), np.fromiter(map(len, rows), np.int64, len(rows))
+
+
+def histogram(cut: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Windows in each bucket: summed inside tasks, then by bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            total += np.bincount(laid_out(batch.column(0))[0], minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    counted = df.select(F.col(text_col)).mapInArrow(count, "bucket bigint, n bigint")
+    counted = cut.select("buckets").mapInArrow(count, "bucket bigint, n bigint")
     for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most `buckets` rows
         out[r.bucket] = r.n
     return out
@@ -136,26 +163,20 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     )
 
 
-def weights(df: DataFrame, id_col: str, text_col: str, gain: np.ndarray, pattern: str = PATTERN) -> DataFrame:
+def weights(cut: DataFrame, gain: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features, weight of every row: the floored mean gain of its windows."""
-    shared = df.sparkSession.sparkContext.broadcast(gain)
-    kind = df.schema[id_col].dataType.simpleString()
+    shared = cut.sparkSession.sparkContext.broadcast(gain)
+    kind = cut.schema["doc_id"].dataType.simpleString()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gain = shared.value
-        windows = Windows(pattern, len(gain))
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                bucket, doc, words = windows.of(part.column(1).to_pylist())
-                total = np.zeros(part.num_rows, np.int64)
-                np.add.at(total, doc, gain[bucket.astype(np.int64)])
-                n = np.bincount(doc, minlength=part.num_rows)
-                columns = [part.column(0), *map(pa.array, (words, n, total // np.maximum(n, 1)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_features", "weight"])
+            bucket, n = laid_out(batch.column(2))
+            total = np.zeros(len(n), np.int64)
+            np.add.at(total, np.repeat(np.arange(len(n)), n), shared.value[bucket])
+            columns = [*batch.columns[:2], pa.array(n), pa.array(total // np.maximum(n, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_features", "weight"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(weigh, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint")
+    return cut.mapInArrow(weigh, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint")
 
 
 def sample_towards(
@@ -178,12 +199,12 @@ def sample_towards(
     whatever their names; empty tables give an empty result, an empty target gain by
     smoothing only.
     """
-    source = histogram(df, text_col, buckets, pattern)
-    gain = gains(source, histogram(target, target_col, buckets, pattern))
+    cut = windows(df, id_col, text_col, buckets, pattern)
+    gain = gains(histogram(cut, buckets), histogram(windows(target, None, target_col, buckets, pattern), buckets))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(NOISE))))
-    scored = weights(df, id_col, text_col, gain, pattern).withColumn("score", (F.col("weight") + noise).cast("bigint"))
+    scored = weights(cut, gain).withColumn("score", (F.col("weight") + noise).cast("bigint"))
     scored = stored(scored, "scores")
     able = F.col("n_words") >= min_words
     drawn = scored.filter(able).count() * percent // 100
