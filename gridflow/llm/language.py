@@ -23,6 +23,7 @@ LENGTHS = (5, 4, 3, 2, 1)
 #: Languages a model may have.
 LANGUAGES = 200
 UNKNOWN = "und"
+#: Word characters but digits and underscores: letters, and number signs such as superscripts, which `words_of` parts.
 LETTERS = re.compile(r"[^\W\d_]+")
 JAVA_LETTERS = r"\p{L}+"
 BATCH = 256
@@ -31,6 +32,14 @@ KNOWN, PIECE = 150_000, 20_000
 SEED = 5
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (all of Unicode's L classes, as in training) of a lowered text."""
+    words = LETTERS.findall(text.lower()) if text else []
+    if words and not "".join(words).isalpha():
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return words
+
+
 class Model(dict):
     """Log frequencies per language of known words and n-grams.
 
@@ -77,7 +86,7 @@ class Model(dict):
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its probability: und and 0 without letters or without a learned language."""
-        words = LETTERS.findall(text.lower()) if text else None
+        words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         total = self.total(words)
