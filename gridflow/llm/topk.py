@@ -19,14 +19,16 @@ BLOCK_BYTES = 16 << 20
 HEAD = 1024
 QUERY_ROWS, VECTOR_ROWS = 1024, 2048
 EXACT = 2.0**53
+#: Stands for a null id, last among ties, while vectors are compared.
+NO_ID = (1 << 63) - 1
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): components floor(scale * x) as bigint, of rows with an id and finite components only."""
+    """(vec_id, v): components floor(scale * x) as bigint, of rows with finite components only; a null id is NO_ID."""
     valid = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).filter(valid)
+    rows = df.filter(F.col(vec_col).isNotNull()).filter(valid)
     return rows.select(
-        F.col(id_col).cast("bigint").alias("vec_id"),
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("vec_id"),
         F.transform(vec_col, lambda x: F.floor(scale * x.cast("double"))).alias("v"),
     )
 
@@ -45,7 +47,10 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def rotation(vectors: DataFrame, width: int) -> np.ndarray:
-    """Right singular vectors of all vectors, strongest first, from the sum of their outer products."""
+    """Right singular vectors of all vectors, strongest first, from the sum of their outer products.
+
+    The driver gets width * (width + 1) / 2 sums, which the width of a vector bounds.
+    """
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
@@ -65,14 +70,20 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole-number vectors: as doubles where all sums are exact, else as integers."""
+    """Exact inner products of whole-number vectors as bigints: by doubles where all sums are exact, else by integers."""
     bound = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(1, a.shape[1])
     if bound < EXACT:
-        return a @ b.T
+        return (a @ b.T).astype(np.int64)
     exact = np.array([[int(x) for x in row] for row in a], object).reshape(a.shape) @ np.array(
         [[int(x) for x in row] for row in b], object
     ).reshape(b.shape).T
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1)
+    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+
+
+def at_most(scores: np.ndarray) -> np.ndarray:
+    """Doubles that are no larger than whole numbers: beyond 2**53 one step lower, as they may have been rounded up."""
+    near = scores.astype(float)
+    return np.where(np.abs(near) < EXACT, near, np.nextafter(near, -np.inf))
 
 
 class Best:
@@ -80,7 +91,7 @@ class Best:
 
     def __init__(self, n: int, k: int, least: np.ndarray):
         self.k, self.least = k, least.copy()
-        self.query, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0, least.dtype), np.zeros(0, np.int64)
+        self.query, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, query: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
         touched = np.zeros(len(self.least), bool)
@@ -88,12 +99,12 @@ class Best:
         old = touched[self.query]
         q = np.r_[self.query[old], query]
         s, v = np.r_[self.score[old], score], np.r_[self.vec[old], vec]
-        order = np.lexsort((v, -s, q))
+        order = np.lexsort((v, ~s, q))  # ~s falls as s rises, at every bigint
         q, s, v = q[order], s[order], v[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < self.k
         last = rank == self.k - 1
-        self.least[q[last]] = np.maximum(self.least[q[last]], s[last])
+        self.least[q[last]] = np.maximum(self.least[q[last]], at_most(s[last]))
         self.query = np.r_[self.query[~old], q[keep]]
         self.score, self.vec = np.r_[self.score[~old], s[keep]], np.r_[self.vec[~old], v[keep]]
 
@@ -103,7 +114,7 @@ def first_bounds(queries: np.ndarray, ids: np.ndarray, head: np.ndarray, head_id
     out = np.full(len(queries), -np.inf)
     for at in range(0, len(queries), QUERY_ROWS):
         part = slice(at, at + QUERY_ROWS)
-        s = products(queries[part], head).astype(float)
+        s = at_most(products(queries[part], head))
         s[ids[part, None] == head_ids[None, :]] = -np.inf
         if s.shape[1] >= k:
             out[part] = np.sort(s, axis=1)[:, -k]
@@ -144,7 +155,7 @@ def scan(block: dict, k: int, lead: int):
                     able = able[np.ix_(rows, cols)] & (s >= best.least[q[rows], None])
                     i, j = able.nonzero()
                     best.add(q[rows][i], s[i, j], vec[cols][j])
-        out = [ids[best.query], best.vec, best.score.astype(np.int64)]
+        out = [ids[best.query], best.vec, best.score]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
 
     return run
@@ -162,7 +173,9 @@ def top_products(
     plus the product of the residual lengths, cannot reach the query's k-th score so far.
     Queries are sent in blocks of at most `block_bytes`, each compared with all rows.
 
-    Rows with a null id, a null vector, or a null or non-finite component take no part.
+    Rows with a null vector, or a null or non-finite component, take no part. Rows with a null
+    id are candidates, shown with their null and last among ties, but never queries; the largest
+    bigint cannot be an id.
     Shorter vectors count as filled with zeros. Ties go to the smaller vec_id. Repeated rows
     are candidates each; a row never matches its own vec_id, and of rows that repeat a
     query's vec_id the least vector is the query. A query without candidates, or an empty
@@ -172,11 +185,13 @@ def top_products(
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # sorted as doubles: components may be as large as a bigint
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    if not df.filter(F.col(id_col) == NO_ID).isEmpty():
+        raise ValueError(f"{NO_ID} cannot be an id")
     vectors = whole_vectors(df, id_col, vec_col, scale).withColumn("length", length)
     order = [F.col("length").desc(), F.col("vec_id")]
     vectors = stored(vectors.repartitionByRange(n, *order).sortWithinPartitions(*order), "vectors")
     width = vectors.agg(F.max(F.size("v")).alias("w")).first().w or 0
-    queries = whole_vectors(df.filter(is_query), id_col, vec_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = whole_vectors(df.filter(is_query & F.col(id_col).isNotNull()), id_col, vec_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = stored(queries.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 30))), "queries")
     total = queries.count()
     if not total:
@@ -200,4 +215,5 @@ def top_products(
         found.append(stored(scanned, "scores") if blocks > 1 else scanned)
     every = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    shown = F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id")
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", shown, "score")
