@@ -17,8 +17,9 @@ FORM_BITS, WORD_BITS = (12, 12, 12), (16, 16)
 BITS = FORM_BITS + WORD_BITS
 #: Rows of the target: a sample of the good rows, bounded as it is sent to every task.
 TARGET_ROWS = 20_000
-#: A document's mean log ratio counts as that of this many n-grams.
-EVIDENCE = 64.0
+#: A document's mean log ratio counts as that of this many n-grams: the weights' inverse temperature. Larger values
+#: leave the noise no part, as a document of hundreds of n-grams is then either taken or not.
+EVIDENCE = 1.0
 #: n-grams of raw text that smooth the target model, and those that each used bucket of words adds.
 SMOOTH = 500.0
 SMOOTH_WORDS = 4.0
@@ -205,23 +206,23 @@ def kth_largest(rows: DataFrame, value: str, k: int) -> float:
         lo, hi = b.lo, b.hi
 
 
-def gumbel(id_col: str) -> Column:
+def gumbel(id_col: str, seed: int = SEED) -> Column:
     """Gumbel noise from a hash of the id."""
-    u = (F.pmod(F.xxhash64(F.lit(SEED + 1), F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
 class Resampler:
     """A fitted sampler: log ratios of the two models, the cut key, and how many rows it takes."""
 
-    def __init__(self, ratios: list[np.ndarray] | None, cut: float, size: int):
-        self.ratios, self.cut, self.size = ratios, cut, size
+    def __init__(self, ratios: list[np.ndarray] | None, cut: float, size: int, seed: int = SEED):
+        self.ratios, self.cut, self.size, self.seed = ratios, cut, size, seed
 
     def shown(self) -> list[np.ndarray]:
         return self.ratios or [np.zeros(1 << b) for b in BITS]
 
     def keyed(self, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        return weighted(rows, text_col, self.shown()).withColumn("key", F.col("log_weight") + gumbel(id_col))
+        return weighted(rows, text_col, self.shown()).withColumn("key", F.col("log_weight") + gumbel(id_col, self.seed))
 
 
 def break_even(scored: DataFrame, labels: DataFrame, id_col: str, bound: int) -> float:
@@ -250,14 +251,15 @@ def break_even(scored: DataFrame, labels: DataFrame, id_col: str, bound: int) ->
 
 def resample(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int | None = None,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int = TARGET_ROWS, seed: int = SEED,
 ) -> tuple[DataFrame, Resampler]:
     """One row per row of `df` (doc_id, log_weight, key, kept) and the fitted sampler.
 
     `labels` has the ids and `quality` (1 good, 0 bad, null unknown). A text's log weight is the
     mean log ratio, per order of n-gram of word forms and of lower-cased words, of a model of
     good texts and a model of all texts. The sample are the `rows` largest sums of log weight and Gumbel noise, which is sampling
-    without replacement in proportion to the weights. By default `rows` is the number of
+    without replacement in proportion to the weights: a row of log weight w is taken with
+    probability 1 - exp(-exp(w - cut)). By default `rows` is the number of
     texts above the weight that best parts the labelled good from the bad. At most
     `target_rows` labelled rows of a kind are used; all counts, weights and the cut cover
     all rows.
@@ -270,7 +272,7 @@ def resample(
     are ignored; an empty table gives an empty result.
     """
     ratios = fit(df, labels, id_col, text_col, target_rows)
-    sampler = Resampler(ratios, float("-inf"), 0)
+    sampler = Resampler(ratios, float("-inf"), 0, seed)
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     scored = stored(sampler.keyed(narrow, "doc_id", "_text"), "weights")
     if rows is None:
@@ -297,5 +299,5 @@ def keep_sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     names = df.columns
     frame = df.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(names)])
-    noised = frame.withColumn("_noise", gumbel(f"_c{names.index(id_col)}"))
+    noised = frame.withColumn("_noise", gumbel(f"_c{names.index(id_col)}", sampler.seed))
     return noised.mapInArrow(keep, df.schema)
