@@ -116,16 +116,32 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Parse `formatted`: conv_id, formatted, turns (role, text, loss), texts unescaped, masked by `spans`."""
+    """Parse `formatted`: conv_id, formatted, turns (role, text, loss), loss_text.
+
+    Turns are cut at their marks and unescaped. loss_text is all text under the loss mask:
+    each marked span cut out of `formatted` by its start and end, then unescaped. A piece of
+    `formatted` starts where the span before it and its end mark end, so that a span is
+    looked up in its own piece.
+    """
     parts = F.split("formatted", r"<\|im_end\|>\n", -1)
-    bodies = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.substring(p, F.lit(len(START) + 1), F.length(p)))
+    pieces = F.slice(parts, F.lit(1), F.size(parts) - 1)
 
-    def turn(body: Column, span: Column) -> Column:
+    def turn(piece: Column, span: Column) -> Column:
+        body = F.substring(piece, F.lit(len(START) + 1), F.length(piece))
         role = F.substring_index(body, "\n", 1)
         text = F.substring(body, F.length(role) + 2, F.length(body))
         return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"), span["loss"].alias("loss"))
 
-    return rendered.select("conv_id", "formatted", F.zip_with(bodies, "spans", turn).alias("turns"))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda s: s["end"] + len(END)))
+    place = F.zip_with(
+        "spans", F.slice(starts, F.lit(1), F.size("spans")),
+        lambda s, first: F.struct(s["loss"].alias("loss"), (s["start"] - first).alias("at"), (s["end"] - s["start"]).alias("n")),
+    )
+    marked = F.zip_with(
+        pieces, place,
+        lambda piece, p: F.when(p["loss"], unescape(F.substring(piece, p["at"].cast("int") + 1, p["n"].cast("int")))).otherwise(F.lit("")),
+    )
+    return rendered.select("conv_id", "formatted", F.zip_with(pieces, "spans", turn).alias("turns"), F.array_join(marked, "").alias("loss_text"))
 
 
 def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
