@@ -17,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,13 +35,13 @@ ARROW = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.
 
 
 class Words(dict):
-    """Ids of words as text, in two bounded tables; the older is dropped when the newer is full."""
+    """Ids of words as text, and the text they decode to, in two bounded tables; the older is dropped when the newer is full."""
 
-    def __init__(self, make: Callable[[str], str]):
+    def __init__(self, make: Callable[[str], tuple[str, str]]):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> tuple[str, str]:
         got = self.older.get(word)
         if got is None:
             got = self.make(word)
@@ -81,7 +82,6 @@ class PieceCodec:
         self.cuts = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words = Words(self.shown)
-        self.odd: dict[str, str] = {}
         usable = [p for p in self.score if len(p) == 1 or self.merged(p) == [p]]
         known = set(usable)
         #: The longest shorter piece (or the first character) that a piece starts with.
@@ -166,18 +166,16 @@ class PieceCodec:
         except KeyError:  # a character without a piece: its bytes
             return [i for p in parts for i in ((self.id_of[p],) if p in self.id_of else [self.byte[b] for b in p.encode()])]
 
-    def shown(self, word: str) -> str:
-        """The ids of a word joined by commas; a word whose ids decode to something else is remembered."""
+    def shown(self, word: str) -> tuple[str, str]:
+        """The ids of a word joined by commas, and the text that these ids decode to."""
         ids = self.ids(self.split(word))
-        if (text := self.text_of(ids)) != word.replace(MARK, " "):
-            self.odd[word] = text
-        return ",".join(map(str, ids))
+        return ",".join(map(str, ids)), self.text_of(ids)
 
     def cut(self, text: str) -> list[str]:
         return self.cuts.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        shown = ",".join(map(self.words.__getitem__, self.cut(text)))
+        shown = ",".join([ids for ids, _ in map(self.words.__getitem__, self.cut(text))])
         return list(map(int, shown.split(","))) if shown else []
 
     def text_of(self, ids: list[int]) -> str:
@@ -203,9 +201,12 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of a list of ids; the mark that encoding puts first is taken off."""
-        first = next((k for k, i in enumerate(ids) if i not in self.silent), len(ids))
-        text = self.text_of(ids)
-        return text[1:] if first < len(ids) and self.piece[ids[first]].startswith(MARK) else text
+        return self.unmarked(self.text_of(ids), ids)
+
+    def unmarked(self, text: str, ids: Iterable[int]) -> str:
+        """The text of ids without the mark of their first piece that shows."""
+        first = next((i for i in ids if i not in self.silent), None)
+        return text[1:] if first is not None and self.piece[first].startswith(MARK) else text
 
 
 def lenient(data: bytes) -> str:
@@ -227,14 +228,15 @@ def lenient(data: bytes) -> str:
         return "".join(out)
 
 
-CODECS: dict[str, PieceCodec] = {}
-
-
 def codec(model_file: str) -> PieceCodec:
-    """The codec of a model, built once in a Python worker."""
-    if model_file not in CODECS:
-        CODECS[model_file] = PieceCodec(model_file)
-    return CODECS[model_file]
+    """The codec of a model, built once in a Python worker.
+
+    Kept at the interpreter, as this module comes anew with every task.
+    """
+    codecs = sys.__dict__.setdefault("_gridflow_codecs", {})
+    if model_file not in codecs:
+        codecs[model_file] = PieceCodec(model_file)
+    return codecs[model_file]
 
 
 def per_text(df: DataFrame, text_col: str, new: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
@@ -285,23 +287,20 @@ def digest_texts(df: DataFrame, model_file: str, text_col: str = "text") -> Data
     """Encode and decode every text and keep only counts and digests of both.
 
     Columns n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 take the
-    place of the text column. Ids and decoded text of a word come from its pieces; the
-    joined results equal encode and decode of the whole text, as no piece and no run of
-    bytes spans two words. Null and empty texts have no ids; very long texts are whole.
+    place of the text column. A word's ids come from its pieces, its decoded text from its
+    ids; the joined results equal encode and decode of the whole text, as no piece and no run
+    of bytes spans two words. Null and empty texts have no ids; very long texts are whole.
     """
 
     def make():
         c = codec(model_file)
 
         def one(text: str) -> tuple:
-            words = c.cut(text)
-            ids = ",".join(map(c.words.__getitem__, words))
-            if c.odd and not c.odd.keys().isdisjoint(words):
-                decoded = "".join([c.odd.get(w) or w.replace(MARK, " ") for w in words])
-            else:  # the ids of each of these words were decoded to the word
-                decoded = "".join(words).replace(MARK, " ")
+            found = list(map(c.words.__getitem__, c.cut(text)))
+            ids = ",".join([i for i, _ in found])
+            decoded = c.unmarked("".join([t for _, t in found]), map(int, found[0][0].split(","))) if found else ""
             n = ids.count(",") + 1 if ids else 0
-            return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded[1:].encode()).hexdigest()
+            return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
         return one
 
