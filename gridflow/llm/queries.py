@@ -56,10 +56,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     read = chat.read_back(chat.format_chats(events))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("turns", lambda t: F.when(t["loss"], t["text"]).otherwise(F.lit(""))), "")
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
 
@@ -83,7 +82,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    place = lambda k: F.when(F.col("copies")[k]["words"] > 0, F.floor(F.col("copies")[k]["position"] * 1e6).cast("bigint"))
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", place(0).alias("position_micro"), place(1).alias("repeat_position_micro")
+    )
 
 
 def op11_target_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +110,12 @@ QUERIES = {
     )
 }
 
+def schedule_rows() -> str:
+    """The curriculum's pieces as rows (place, t0, t1, w0, w1, area before) in SQL."""
+    rows = [(k, *piece) for k, knots in enumerate(mixing.SCHEDULES) for piece in mixing.segments(knots)]
+    return ", ".join("(" + ", ".join([str(r[0]), *(f"{x!r}::DOUBLE" for x in r[1:])]) + ")" for r in rows)
+
+
 SQL = {
     "op2_exact_dedup": r"""
 WITH n AS (
@@ -120,13 +128,13 @@ FROM n
     "op4_top_products": r"""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+  FROM e q JOIN e c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 50 = 0
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """,
     "op6_chat_format": r"""
@@ -153,7 +161,7 @@ WITH d AS (
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place, [5, 2, 1][(place + 1)::INT] AS w FROM d GROUP BY source
 ), f AS (
   SELECT *, source_size * 2.0::DOUBLE AS cap,
          coalesce(sum(source_size) OVER p, 0)::DOUBLE * 2.0::DOUBLE AS spent, coalesce(sum(w) OVER p, 0) AS used,
@@ -162,17 +170,30 @@ WITH d AS (
 ), l AS (
   SELECT *, (whole - spent) / (weights - used)::DOUBLE AS level FROM f
 ), t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, place,
          CASE WHEN cap / w <= level THEN cap ELSE w * max(CASE WHEN cap / w > level THEN level END) OVER () END AS target
   FROM l
 ), placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place, round(t.target)::BIGINT AS words,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size)))::BIGINT AS taken
-FROM placed
+), copies AS (
+  SELECT *, greatest(0, least(size, words - start))::BIGINT AS n0, greatest(0, least(size, words - start - source_size))::BIGINT AS n1,
+         (start + n0 / 2.0::DOUBLE) / greatest(words, 1) AS share0,
+         (start + source_size + n1 / 2.0::DOUBLE) / greatest(words, 1) AS share1
+  FROM placed
+), g(place, t0, t1, w0, w1, done) AS (VALUES @pieces)
+SELECT doc_id, size, source_size, target, n0 + n1 AS taken,
+       CASE WHEN n0 > 0 THEN (SELECT floor(1e6::DOUBLE * max_by(@time0, done)) FROM g WHERE g.place = c.place AND c.share0 >= done) END::BIGINT AS position_micro,
+       CASE WHEN n1 > 0 THEN (SELECT floor(1e6::DOUBLE * max_by(@time1, done)) FROM g WHERE g.place = c.place AND c.share1 >= done) END::BIGINT AS repeat_position_micro
+FROM copies c
 """,
 }
+
+TIME = """t0 + least(CASE WHEN @share > done THEN 2 * (@share - done)
+         / (w0 + sqrt(greatest(w0 * w0 + 2 * ((w1 - w0) / (t1 - t0)) * (@share - done), 0.0::DOUBLE))) ELSE 0.0::DOUBLE END, t1 - t0)"""
+SQL["op10_mix"] = (
+    SQL["op10_mix"].replace("@pieces", schedule_rows())
+    .replace("@time0", TIME.replace("@share", "c.share0")).replace("@time1", TIME.replace("@share", "c.share1"))
+)

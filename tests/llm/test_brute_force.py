@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 import sentencepiece
 import xxhash
 from hypothesis import given, settings
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 import public_tokenizers
-from gridflow.llm import chat, importance, mixing, packing, simhash, topk
+from gridflow.llm import chat, exact_dedup, importance, language, mixing, packing, pieces, simhash, topk
 from gridflow.llm.components import components
 from gridflow.llm.pieces import PieceCodec
 from gridflow.llm.queries import QUERIES
@@ -83,13 +84,148 @@ def test_quality_parts_good_from_bad(spark):
     assert all(r.kept == (r.key >= cut) for r in rows.values())
 
 
-def test_quality_weights(spark, docs):
-    """The two n-gram models, counted one n-gram at a time."""
-    ratios = [np.linspace(-1, 1, 1 << b) for b in importance.BITS]
-    texts = [d[1] for d in docs[:40]] + ["", None, "one", "one one"]
-    together = importance.log_weights(texts, ratios, importance.Features())
-    alone = [importance.log_weights([t], ratios, importance.Features())[0] for t in texts]
-    assert np.allclose(together, alone)
+def plain_grams(text):
+    """Buckets of the n-grams of a text, order by order, one n-gram at a time."""
+    words = [w[k : k + 64] for w in (text or "").split() for k in range(0, len(w), 64)]
+    forms, plain, before = [], [], None
+    for w in words:
+        bare = w.rstrip(".,")
+        if bare.isalpha() and len(bare) >= len(w) - 1:
+            form, letters = importance.shape(bare) + w[len(bare) :], bare
+            form = "Aa" + w[len(bare) :] if bare.istitle() else form
+        else:
+            form, letters = importance.shape(w), "".join(c for c in w if c.isalnum()) or w
+        letters = zlib.crc32(letters.lower().encode()) >> 1
+        forms.append(zlib.crc32(form.encode()) + (1 << 33 if letters == before else 0))
+        plain.append(letters)
+        before = letters
+    out = []
+    for units, sizes in ((forms, importance.FORM_BITS), (plain, importance.WORD_BITS)):
+        for order, bits in enumerate(sizes, 1):
+            found = []
+            for at in range(len(units) - order + 1):
+                h = 0
+                for k in range(order):
+                    h = (h ^ (units[at + k] + k + 1)) * importance.MIX[k] % (1 << 64)
+                    h ^= h >> 29
+                found.append(h >> 64 - bits)
+            out.append(found)
+    return out
+
+
+def test_quality_models_equal_plain_counts(spark, docs):
+    """Both n-gram models and the weights, counted one n-gram at a time in plain Python."""
+    some = [(d[0], d[1]) for d in docs[:150] if len(d[1]) < 4000] + [(-1, ""), (-2, None), (-3, "one"), (-4, "one one"), (-5, "x{1}=" * 40)]
+    good = {k for k, _ in some if k % 3 == 0}
+    frame = spark.createDataFrame(some, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k in good)) for k, _ in some if k >= 0], "doc_id bigint, quality int")
+    ratios = importance.fit(frame, labels, "doc_id", "text", 1000)
+    raw, target = ([Counter() for _ in importance.BITS] for _ in range(2))
+    for k, text in some:
+        for order, found in enumerate(plain_grams(text)):
+            raw[order].update(found)
+            target[order].update(found if k in good and k >= 0 else [])
+    want = []
+    for order, bits in enumerate(importance.BITS):
+        smooth = 500.0 + (4.0 * len(raw[order]) if order >= 3 else 0)
+        whole, size = sum(target[order].values()), sum(raw[order].values())
+        p = lambda b, o=order, n=size, m=1 << bits: (raw[o][b] + 1e-9) / (n + 1e-9 * m)
+        want.append({b: np.log((target[order][b] + smooth * p(b)) / (whole + smooth)) - np.log(p(b)) for b in raw[order]})
+        assert np.allclose([ratios[order][b] for b in raw[order]], [want[order][b] for b in raw[order]])
+    got = {r.doc_id: r.log_weight for r in importance.weighted(frame, "text", ratios).collect()}
+    for k, text in some:
+        grams = plain_grams(text)
+        mean = sum(np.mean([want[o][b] for b in found]) for o, found in enumerate(grams) if found)
+        assert got[k] == pytest.approx(importance.EVIDENCE * mean if grams[0] else importance.NO_WORDS)
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Rates of inclusion of rows of equal weight, for several seeds and sizes, against 1 - exp(-exp(w - cut))."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(24_000).select(F.col("id"), (-(F.col("id") % 4) * 1.5).alias("w"))
+    taken = {}
+    for seed, size in ((1, 6000), (2, 6000), (3, 12_000)):
+        keyed = importance.stored(rows.withColumn("key", F.col("w") + importance.gumbel("id", seed)), "test")
+        cut = importance.kth_largest(keyed, "key", size)
+        taken[seed] = {r.id for r in keyed.filter(F.col("key") >= cut).collect()}
+        assert len(taken[seed]) == size
+        for k in range(4):
+            rate = sum(i % 4 == k for i in taken[seed]) / 6000
+            assert abs(rate - (1 - np.exp(-np.exp(-1.5 * k - cut)))) < 0.025
+    assert len(taken[1] & taken[2]) < 5000
+
+
+def test_noise_takes_part(spark):
+    """On documents some rows are taken against a plain cut of the weights, and few of those labelled good are lost."""
+    rows = QUERIES["op5_quality"](spark, "/root/testdata/sf0.1").collect()
+    plain = sorted((r.log_weight for r in rows), reverse=True)[sum(r.kept for r in rows) - 1]
+    changed = sum(r.kept != (r.log_weight >= plain) for r in rows)
+    assert 0 < changed < 0.01 * len(rows)
+
+
+def plain_language_model(rows, lengths):
+    """Word and n-gram counts of (text, lang) rows by language, in plain Python."""
+    langs = sorted({lang for _, lang in rows})
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for text, lang in rows:
+        for w in regex.findall(r"\p{L}+", text.lower()):
+            words[lang][w] += 1
+            for n in lengths:
+                for k in range(len(w) + 3 - n):
+                    if (g := f" {w} "[k : k + n]).strip():
+                        grams[lang, n][g] += 1
+    return langs, words, grams
+
+
+def test_language_scores(spark):
+    """Every score against plain counts, backing off one word at a time; the tables hold all entries here."""
+    rows = duckdb.sql("select doc_id, text, lang from '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 0 for k, _, _ in rows}
+    langs, words, grams = plain_language_model([(t, lang) for k, t, lang in rows if not held[k] and t and lang], language.LENGTHS)
+    assert max(len(set().union(*words.values())), 0) < language.WORDS
+    cut = {}
+    for n in language.LENGTHS:  # the entries with the largest shares, as many as the model holds
+        total = {lang: sum(grams[lang, n].values()) for lang in langs}
+        share = Counter()
+        for lang in langs:
+            for g, c in grams[lang, n].items():
+                share[g] += c / total[lang]
+        order = sorted(share, key=lambda g: (-share[g], g.encode()))
+        cut[n] = set(order[: language.GRAMS])
+    kept = {n: {lang: sum(c for g, c in grams[lang, n].items()) for lang in langs} for n in language.LENGTHS}
+
+    def log(count, total, size):
+        return np.log((count + 0.5) / (total + 0.5 * size))
+
+    def score(w):
+        if any(w in words[lang] for lang in langs):
+            return np.array([log(words[lang][w], sum(words[lang].values()), language.WORDS) for lang in langs])
+        for n in language.LENGTHS:
+            found = [g for k in range(len(w) + 3 - n) if (g := f" {w} "[k : k + n]) in cut[n]]
+            if found:
+                return np.mean([[log(grams[lang, n][g], kept[n][lang], language.GRAMS) for lang in langs] for g in found], axis=0)
+        return np.zeros(len(langs))
+
+    got = {r.doc_id: r for r in QUERIES["op3_language"](spark, "/root/testdata/sf0.001").collect()}
+    for k, text, _ in rows[:60]:
+        found = regex.findall(r"\p{L}+", (text or "").lower())
+        if not found:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        total = sum(score(w) for w in found)
+        p = np.exp(total - total.max())
+        assert got[k].lang_pred == langs[int(total.argmax())] and got[k].score == pytest.approx(1 / p.sum(), abs=1e-6)
+
+
+@pytest.mark.parametrize("text", ["½ ² ①", "Ⅷ ⅻ", "123 _ !", "\u0301"])
+def test_numbers_are_no_letters(text):
+    assert language.words_of(text) == []
+
+
+@given(st.text(st.sampled_from("aB ½²①Ⅷé日_1-ßİ"), max_size=30))
+def test_words_are_runs_of_letters(text):
+    assert language.words_of(text) == regex.findall(r"\p{L}+", text.lower())
 
 
 @given(st.lists(st.floats(-1e3, 1e3), min_size=1, max_size=50), st.integers(1, 50))
@@ -242,6 +378,9 @@ def test_mix_follows_targets_and_schedule(spark, docs):
     places = [c.position for r in rows for c in r.copies if c.words]
     assert min(places) >= 0 and max(places) <= 1
     names = sorted(target)
+    shown = {r.doc_id: (r.position_micro, r.repeat_position_micro) for r in QUERIES["op10_mix"](spark, SF).collect()}
+    for r in rows:
+        assert shown[r.doc_id] == tuple(int(c.position * 1e6) if c.words else None for c in r.copies)
     heavy, light = names[0::3], names[2::3]
     half = lambda group: np.mean([c.position < 0.5 for r in rows if source[r.doc_id] in group for c in r.copies if c.words])
     assert half(heavy) < 0.5 < half(light)  # heavy sources rise over time, light ones fall
@@ -276,6 +415,45 @@ def test_top_products(spark, block_bytes):
     assert got == want
 
 
+@pytest.mark.parametrize("bits", [24, 27, 30, 31])
+def test_large_components(spark, bits):
+    """Whole-number components up to 2**bits against Python integers: scores that doubles round, with close ones and ties."""
+    rng = np.random.default_rng(bits)
+    data = [(k, [int(x) for x in rng.integers((1 << bits) - 40, 1 << bits, 6)]) for k in range(120)]
+    data += [(200 + k, data[k][1]) for k in range(20)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in data], "vec_id bigint, embedding array<double>").repartition(6)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_products(df, F.col("vec_id") % 50 == 0, scale=1).collect()}
+    want = {}
+    for q, a in data:
+        if q % 50 == 0:
+            best = sorted((-min(sum(x * y for x, y in zip(a, b)), (1 << 63) - 1), k) for k, b in data if k != q)[:5]
+            want |= {(q, n): (k, -s) for n, (s, k) in enumerate(best, 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("fan_in", [2, 16])
+def test_many_rounds_of_runs(spark, fan_in):
+    """Forty runs, so that binary merges take six rounds, with groups in many runs."""
+    rng = np.random.default_rng(fan_in)
+    rows = [(int(k), f"text {int(x)}") for k, x in enumerate(rng.zipf(1.3, 3000) % 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(40)
+    groups = defaultdict(list)
+    for k, t in rows:
+        groups[t].append(k)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, fan_in=fan_in).collect()}
+    assert got == {k: (min(groups[t]), len(groups[t]), k == min(groups[t])) for k, t in rows}
+
+
+def test_decoded_text_comes_from_the_ids(codec, monkeypatch):
+    """A decoder that is broken shows in the digests of every text."""
+    make = pieces.PieceCodec(MODEL)
+    make.text_of = lambda ids: "broken"
+    assert make.shown("▁the") == (",".join(map(str, make.ids(make.split("▁the")))), "broken")
+    assert codec.shown("▁a")[1] == " a"
+
+
 @given(st.text(st.sampled_from("<|\\ai\n"), max_size=12))
 @settings(max_examples=25, deadline=None)
 def test_escapes_are_reversible(spark, text):

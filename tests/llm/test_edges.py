@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,8 +146,8 @@ def test_top_products(spark):
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").withColumn("length", F.lit("x")).withColumn("v", F.lit(1))
     rows = topk.top_products(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
     first = [(r.vec_id, r.score) for r in rows if r.query_id == 0]
-    assert first[0] == (8, (1 << 63) - 1) and first[1:4] == [(6, 65536), (7, 65536), (7, 65536)] and first[4] == (50, 32768)
-    assert [r.vec_id for r in rows if r.query_id == 50][:3] == [8, 0, 0]
+    assert first == [(8, (1 << 63) - 1), (None, 589824), (6, 65536), (7, 65536), (7, 65536)]
+    assert [r.vec_id for r in rows if r.query_id == 50][:4] == [8, None, 0, 0]
     assert topk.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -167,7 +169,13 @@ def test_chat_events(spark):
         None: [("a\nb%", "t<", False), ("assistant", "|z", True)],
     }
     shown = chat.format_chats(log).collect()
+    plain = lambda x: re.sub(r"<\\(\\*)\|", r"<\1|", x)
+    texts = {r.conv_id: r.loss_text for r in chat.read_back(chat.format_chats(log)).collect()}
     for r in shown:
-        marked = [r.formatted[s.start : s.end] for s in r.spans if s.loss]
-        assert len(marked) == sum(t[2] for t in out[r.conv_id])
+        marked = [plain(r.formatted[s.start : s.end]) for s in r.spans if s.loss]
+        assert marked == [t[1] for t in out[r.conv_id] if t[2]] and "".join(marked) == texts[r.conv_id]
+    # the mask decides: without its places no text is under it
+    nowhere = F.transform("spans", lambda s: F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), s["loss"].alias("loss")))
+    blank = chat.read_back(chat.format_chats(log).withColumn("spans", nowhere)).collect()
+    assert {r.loss_text for r in blank} == {""}
     assert chat.format_chats(log.limit(0)).count() == 0
