@@ -120,3 +120,41 @@ def box_gap(q: np.ndarray, low: np.ndarray, high: np.ndarray, p: float, far: boo
             gap = np.maximum(np.maximum(under, over), 0.0)
         total = np.maximum(total, gap) if p == np.inf else total + gap**p
     return total if p == np.inf else total ** (1.0 / p)
+
+
+BAG_BLOCK = 1024
+
+
+def block_draws(block: int, rows: int, draws: int, bags: int, seed: int) -> np.ndarray:
+    """[bag, row]: how often each bag draws each row of a block of BAG_BLOCK rows.
+
+    All `draws` of a bag fall on `rows` rows; a range's draws are split between its halves by
+    a binomial number that depends on seed and range only, down to the block. So every block
+    finds its own counts, and the counts of a bag add up to `draws`.
+    """
+    low, high = 0, -(-rows // BAG_BLOCK)
+    left = np.full(bags, draws, np.int64)
+
+    def numbers() -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFF, low << 32 | high]))
+
+    while high - low > 1:
+        middle = (low + high) // 2
+        end = min(rows, high * BAG_BLOCK)
+        first = numbers().binomial(left, (middle - low) * BAG_BLOCK / (end - low * BAG_BLOCK))
+        if block < middle:
+            left, high = first, middle
+        else:
+            left, low = left - first, middle
+    size = min(rows, (block + 1) * BAG_BLOCK) - block * BAG_BLOCK
+    return numbers().multinomial(left, np.full(size, 1.0 / size))
+
+
+def bag_counts(index: np.ndarray, rows: int, draws: int, bags: int, seed: int) -> np.ndarray:
+    """[row, bag]: draws of the rows with the given numbers out of `rows`."""
+    out = np.zeros((len(index), bags), np.int32)
+    block = index // BAG_BLOCK
+    for b in np.unique(block).tolist():
+        at = np.flatnonzero(block == b)
+        out[at] = block_draws(b, rows, draws, bags, seed)[:, index[at] - b * BAG_BLOCK].T
+    return out

@@ -36,14 +36,16 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridflow.functions import kernels
+from gridflow.functions import kernels, trees
 from gridflow.functions.columns import log_forward, log_inverse, presence_label
 from gridflow.functions.rows import row_mean
-from gridflow.operators.neighbours import ROW, Space, with_neighbours
-from gridflow.operators.sampling import bag_features, make_bags, prefix_sum
+from gridflow.identity import with_row_number
+from gridflow.operators.neighbours import ROW, bagged_search, with_answers
+from gridflow.operators.sampling import bag_features, bag_weights, prefix_sum
 from gridflow.schema import col, complete, require
 from gridflow.session import BROADCAST_BYTES, fits_broadcast, in_threads, scratch_path, stored
 
+cloudpickle.register_pickle_by_value(trees)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_TREE_DEPTH = 30
@@ -185,57 +187,28 @@ class Forest:
     spec: ModelSpec
     prep: Preprocessor
     model: object
-    _leaves: list[list[float]] | None = None
-
-    def _prepared(self, df: DataFrame) -> DataFrame:
-        return self.prep.assemble(df)
+    _compiled: trees.Trees | None = None
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        return _tree_prediction(self.model, self.spec, self._prepared(df), out).drop(VECTOR)
-
-    def leaf_values(self, spark: SparkSession) -> list[list[float]]:
-        """Per tree its leaf values, in the order of Spark's leaf numbers: the size of the model."""
-        if self._leaves is None:
-            path = scratch_path(spark, "forest")
-            self.model.write().save(path)
-            node = F.col("nodeData")
-            value = node["prediction"]
-            if self.spec.task == "clf":
-                stats = node["impurityStats"]
-                value = F.get(stats, F.lit(1)) / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
-            leaves = (
-                spark.read.parquet(f"{path}/data")
-                .where(node["leftChild"] < 0)
-                .groupBy("treeID")
-                .agg(F.array_sort(F.collect_list(F.struct(node["id"].alias("i"), value.alias("v")))).alias("n"))
-                .select("treeID", F.transform("n", lambda n: n["v"]).alias("n"))
-            )
-            self._leaves = [r["n"] for r in leaves.orderBy("treeID").collect()]
-        return self._leaves
+        return _tree_prediction(self.model, self.spec, self.prep.assemble(df), out).drop(VECTOR)
+
+    def compiled(self, spark: SparkSession) -> trees.Trees:
+        """The trees as arrays, each weighing one over their number: the size of the model."""
+        if self._compiled is None:
+            if self.spec.task == "clf":  # class shares of leaves are only in the stored form
+                nodes = _stored_nodes(spark, self.model)
+            else:
+                nodes, _ = trees.from_text(self.model.toDebugString)
+            self._compiled = trees.from_nodes(nodes, [1.0 / len(nodes)] * len(nodes))
+        return self._compiled
 
     def raw_members(self, df: DataFrame, out: str) -> DataFrame:
-        """One pass finds the leaf of every tree; the leaf values are broadcast, as the model is.
+        """One walk per batch through all trees, which are broadcast as the model is.
 
         Values on the scale of the fit, class shares for classifiers; null where a feature is missing.
         """
-        model = self.model.copy().setLeafCol("_leaf").setPredictionCol("_p")
-        if self.spec.task == "clf":
-            model.setProbabilityCol("").setRawPredictionCol("")
-        trees = [np.array(v, dtype=np.float64) for v in self.leaf_values(df.sparkSession)]
-        shared = df.sparkSession.sparkContext.broadcast(trees)
-
-        @F.arrow_udf("array<double>")
-        def value_of(leaves: pa.Array) -> pa.Array:
-            number = kernels.matrix(leaves, len(shared.value)).astype(np.int64)
-            values = np.empty(number.shape)
-            for t, tree in enumerate(shared.value):
-                values[:, t] = tree[number[:, t]]
-            return kernels.ragged(values, np.ones(values.shape, dtype=bool), pa.float64())
-
-        whole = ~F.exists(vector_to_array(F.col(VECTOR)), lambda v: F.isnan(v))
-        found = model.transform(self._prepared(df))
-        found = found.withColumn(out, F.when(whole, value_of(vector_to_array(F.col("_leaf")))))
-        return found.drop("_leaf", "_p", VECTOR)
+        shared = df.sparkSession.sparkContext.broadcast(self.compiled(df.sparkSession))
+        return _with_walk(df, self.prep, out, lambda x: trees.values(shared.value, x))
 
     def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:
         return self.raw_members(df, out).withColumn(out, own_scale(F.col(out), self.spec, threshold))
@@ -254,6 +227,7 @@ class Boosted:
     prep: Preprocessor
     model: object
     bagged: list = field(default_factory=list)
+    _compiled: tuple | None = None
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return _tree_prediction(self.model, self.spec, self.prep.assemble(df), out).drop(VECTOR)
@@ -261,31 +235,43 @@ class Boosted:
     def fit_bags(
         self, df: DataFrame, features, label, ident: str, n: int = GBT_BAGS, parallelism: int = 4
     ) -> Boosted:
-        bags = make_bags(df.where(col(label).isNotNull()), ident, n, 1.0, self.spec.seed)
-        bags = stored(bags, "bags")
+        """Copies of the model fitted on `n` bootstrap bags.
+
+        The rows are assembled and written once, with an array of their draws in all bags; each fit reads that table.
+        """
+        rows = _labelled(df, label, self.spec)
+        rows = bag_weights(complete(rows, features), ident, n, 1.0, self.spec.seed)
+        rows = stored(self.prep.assemble(rows).select(VECTOR, LABEL, "_bags"), "bags")
 
         def fit(b):
-            rows = bags.where(F.col("bag") == b)
-            return fit_model(
-                self.spec, rows, features, label, ident, weight="weight", prep=self.prep
-            ).model
+            drawn = rows.select(VECTOR, LABEL, F.get("_bags", F.lit(b)).alias("weight")).where(F.col("weight") > 0)
+            return fit_boosted(self.spec, drawn, 1, len(self.prep.names), "weight")
 
         self.bagged = in_threads([lambda b=b: fit(b) for b in range(n)], parallelism)
+        self._compiled = None
         return self
 
+    def compiled(self) -> tuple[trees.Trees, np.ndarray]:
+        """The trees of all bags as arrays with their weights, and the first tree of each bag."""
+        if self._compiled is None:
+            nodes, weights, first = [], [], []
+            for m in self.bagged:
+                first.append(len(nodes))
+                found = trees.from_text(m.toDebugString)
+                nodes, weights = nodes + found[0], weights + found[1]
+            self._compiled = trees.from_nodes(nodes, weights), np.array(first, np.int64)
+        return self._compiled
+
     def members(self, df: DataFrame, out: str = "members", threshold: float = 0.5) -> DataFrame:
+        """One walk per batch through the trees of all bags, which are broadcast as the models are."""
         if not self.bagged:
             raise ValueError("a boosted model has no members before fit_bags: its interval would have no width")
-        models = self.bagged
-        rows = self.prep.assemble(df)
-        for i, m in enumerate(models):
-            rows = _tree_prediction(m, self.spec, rows, f"_m{i}")
-        suffix = "_proba" if self.spec.task == "clf" else ""
-        parts = [F.col(f"_m{i}{suffix}") for i in range(len(models))]
-        if self.spec.task == "clf":
-            parts = [(p > F.lit(threshold)).cast("double") for p in parts]
-        extra = [f"_m{i}" for i in range(len(models))] + [f"_m{i}_proba" for i in range(len(models))]
-        return rows.withColumn(out, F.array(*parts)).drop(VECTOR, *extra)
+        shared = df.sparkSession.sparkContext.broadcast(self.compiled())
+        rows = _with_walk(df, self.prep, out, lambda x: trees.sums(*shared.value[:1], x, shared.value[1]))
+        spec, raw = self.spec, F.col(out)
+        if spec.task == "clf":
+            return rows.withColumn(out, own_scale(F.transform(raw, lambda v: 1.0 / (1.0 + F.exp(-2.0 * v))), spec, threshold))
+        return rows.withColumn(out, F.transform(own_scale(raw, spec, threshold), lambda v: F.greatest(v, F.lit(0.0))))
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
@@ -295,6 +281,42 @@ class Boosted:
             m.write().overwrite().save(f"{path}/bag-{i}")
 
 
+def _with_walk(df: DataFrame, prep: Preprocessor, out: str, walk) -> DataFrame:
+    """Adds the array `walk(features)` of each row; null where a feature is missing."""
+    width = len(prep.names)
+
+    @F.arrow_udf("array<double>")
+    def walked(x: pa.Array) -> pa.Array:
+        found = walk(kernels.matrix(x, width))
+        return kernels.ragged(found, np.ones(found.shape, dtype=bool), pa.float64())
+
+    columns = list(prep.columns().values())
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in columns])
+    point = F.array(*[F.coalesce(c, F.lit(0.0)) for c in columns])
+    return df.withColumn(out, F.when(whole, walked(point)))
+
+
+def _stored_nodes(spark: SparkSession, model) -> list[list[tuple]]:
+    """Nodes of a classifier's trees with the share of class 1 as value, from the model as Spark writes it."""
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    node = F.col("nodeData")
+    stats = node["impurityStats"]
+    share = F.get(stats, F.lit(1)) / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", node["id"].alias("id"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        node["split"]["featureIndex"].alias("feature"), F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"),
+        node["split"]["numCategories"].alias("kinds"), F.coalesce(share, F.lit(0.0)).alias("value"),
+    )
+    found: dict[int, list] = {}
+    for r in rows.orderBy("treeID", "id").collect():
+        if r.left >= 0 and r.kinds != -1:
+            raise ValueError("not a question about a number")
+        leaf = r.left < 0
+        found.setdefault(r.treeID, []).append((-1 if leaf else r.feature, 0.0 if leaf else r.cut, max(r.left, 0), max(r.right, 0), r.value))
+    return [found[k] for k in sorted(found)]
+
+
 def _tree_prediction(model, spec: ModelSpec, rows: DataFrame, out: str) -> DataFrame:
     """Adds `out`; classifiers also `<out>_proba`. Null where a feature is missing."""
     model = model.copy().setPredictionCol("_p")
@@ -320,7 +342,8 @@ def _tree_prediction(model, spec: ModelSpec, rows: DataFrame, out: str) -> DataF
 class BaggedNeighbours:
     """k-nearest-neighbour models on bootstrap bags of rows and subsets of features.
 
-    `table` holds (bag, _row, y, weight, features); rows drawn twice count twice.
+    `table` holds (_row, y, _bags, features): `_bags` says how often each bag drew the row, and
+    a row drawn twice counts twice.
     """
 
     spec: ModelSpec
@@ -332,59 +355,38 @@ class BaggedNeighbours:
     weights: str
     limit: int = BROADCAST_BYTES
 
-    def _bag(self, b: int) -> DataFrame:
-        rows = self.table.where(F.col("bag") == b)
-        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("weight"))))
-
-    def _mean(self) -> Column:
-        y, d = F.col("_nn.value"), F.col("_nn.distance")
-        if self.weights == "uniform":
-            return row_mean(y)
-        hit = F.exists(d, lambda v: v == 0)
-        w = F.transform(d, lambda v: F.when(hit, (v == 0).cast("double")).otherwise(1.0 / F.nullif(v, F.lit(0.0))))
-        top = F.aggregate(F.zip_with(w, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return top / F.aggregate(w, F.lit(0.0), lambda a, b: a + b)
-
     def raw_members(self, df: DataFrame, out: str) -> DataFrame:
-        rows = self.prep.transform(df)
-        row_bytes = 8 * (len(self.prep.names) + 4)
+        """The answer of every bag; one search serves all bags, whatever the size of the table."""
+        names = self.prep.names
+        places = [[names.index(f) for f in subset] for subset in self.subsets]
+        row_bytes = 8 * (len(names) + 3) + 4 * len(places)
         if fits_broadcast(self.table, row_bytes, self.limit):
-            found = self._broadcast_members(rows, out)
-        else:
-            # a row number, written down once, says whose answer is whose
-            rows = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "query")
-            asked = answers = rows.select(ROW, *self.prep.names)
-            for b, subset in enumerate(self.subsets):
-                nn = with_neighbours(
-                    asked, self._bag(b), Space(subset, self.p), self.k, ROW, "_row", "y", 0, "_nn"
-                )
-                answers = answers.join(nn.select(ROW, self._mean().alias(f"_b{b}")), ROW)
-            parts = F.array(*[F.col(f"_b{b}") for b in range(len(self.subsets))])
-            whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in self.prep.names])
-            answers = answers.select(ROW, F.when(whole, parts).alias(out))
-            found = rows.join(answers, ROW, "left").drop(ROW)
-        return found.drop(*self.prep.names)
-
-    def _broadcast_members(self, rows: DataFrame, out: str) -> DataFrame:
-        names, subsets = self.prep.names, self.subsets
-        local = self.table.select("bag", "_row", "y", "weight", *names).toPandas()
-        local = local.sort_values(["bag", "_row"], kind="stable")
-        bags = []
-        for b, subset in enumerate(subsets):
-            part = local[local["bag"] == b]
-            part = part.loc[part.index.repeat(part["weight"])]
-            bags.append((part[subset].to_numpy(dtype=np.float64), part["y"].to_numpy(dtype=np.float64)))
-        shared = rows.sparkSession.sparkContext.broadcast(bags)
-        places = [[names.index(f) for f in subset] for subset in subsets]
+            return self._broadcast_members(self.prep.transform(df), places, out).drop(*names)
+        # a row number says whose answer is whose; only numbers and features take part in the search
+        rows = with_row_number(df, ROW)
+        asked = complete(self.prep.transform(rows).select(ROW, *names), names)
+        answers = bagged_search(asked, self.table, names, places, self.k, self.p, self.weights, out)
+        return with_answers(rows, answers, out).drop(ROW)
+
+    def _broadcast_members(self, rows: DataFrame, places: list[list[int]], out: str) -> DataFrame:
+        names = self.prep.names
+        local = self.table.select("_row", "y", "_bags", *names).toPandas().sort_values("_row", kind="stable")
+        base = (
+            local[names].to_numpy(dtype=np.float64), local["y"].to_numpy(dtype=np.float64),
+            np.array(local["_bags"].tolist(), dtype=np.int64).reshape(-1, len(places)),
+        )
+        shared = rows.sparkSession.sparkContext.broadcast(base)
         k, p, weights, width = self.k, self.p, self.weights, len(names)
 
         @F.arrow_udf("array<double>")
         def members(x: pa.Array) -> pa.Array:
             q = kernels.matrix(x, width)
+            points, y, drawn = shared.value
             answers = np.empty((len(q), len(places)))
-            for b, (points, y) in enumerate(shared.value):
-                position, distance = kernels.nearest(q[:, places[b]], points, k, p)
-                answers[:, b] = kernels.neighbour_mean(distance, y[position], weights)
+            for b, place in enumerate(places):
+                copies = np.repeat(np.arange(len(y)), drawn[:, b])
+                position, distance = kernels.nearest(q[:, place], points[copies][:, place], k, p)
+                answers[:, b] = kernels.neighbour_mean(distance, y[copies][position] if len(copies) else distance, weights)
             return kernels.ragged(answers, np.ones(answers.shape, dtype=bool), pa.float64())
 
         whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
@@ -406,7 +408,7 @@ class BaggedNeighbours:
         spark = SparkSession.active()
         own = {"subsets": self.subsets, "k": self.k, "p": self.p, "weights": self.weights}
         _save_parts(spark, path, "neighbours", self.spec, self.prep, own)
-        self.table.write.mode("overwrite").partitionBy("bag").parquet(f"{path}/table")
+        self.table.write.mode("overwrite").parquet(f"{path}/table")
 
 
 @dataclass
@@ -617,12 +619,12 @@ def fit_neighbours(
         share = p.get("max_samples", 1.0)
         if is_count(share):
             share = share / max(1, rows.count())
-        table = make_bags(rows.drop("_w"), "_row", n_bags, float(share), spec.seed)
+        table = bag_weights(rows.drop("_w"), "_row", n_bags, float(share), spec.seed)
         width = p.get("max_features", 1.0)
         width = width / len(prep.names) if is_count(width) else float(width)
         subsets = bag_features(n_bags, prep.names, min(1.0, width), spec.seed)
     else:
-        table = rows.select(F.lit(0).alias("bag"), "*").withColumnRenamed("_w", "weight")
+        table = rows.withColumn("_bags", F.array(F.col("_w").cast("int"))).drop("_w")
         subsets = [prep.names]
 
     def setting(name, default):
@@ -654,12 +656,8 @@ def fit_model(
         raise ValueError(f"unknown model {spec.kind!r}; use rf, xgb or knn")
     check_parameters(spec.kind, spec.params)
     spec = used_spec(spec)
-    rows = df.where(col(label).isNotNull())
+    rows = _labelled(df, label, spec)
     prep = prep or fit_preprocessor(rows, features, regions)
-    y = presence_label(col(label)).cast("double") if spec.task == "clf" else col(label).cast("double")
-    if spec.log and spec.task == "reg":
-        y = log_forward(y)
-    rows = rows.withColumn(LABEL, y)
     if spec.kind == "knn":
         return fit_neighbours(spec, rows, prep, ident, weight)
     assembled = prep.assemble(complete(rows, features))
@@ -671,6 +669,14 @@ def fit_model(
     return Boosted(spec, prep, fit_boosted(spec, assembled, n, width, weight))
 
 
+def _labelled(df: DataFrame, label: str, spec: ModelSpec) -> DataFrame:
+    """Rows with a label, as the fit sees it: presence for a classifier, the log where the spec asks for it."""
+    y = presence_label(col(label)).cast("double") if spec.task == "clf" else col(label).cast("double")
+    if spec.log and spec.task == "reg":
+        y = log_forward(y)
+    return df.where(col(label).isNotNull()).withColumn(LABEL, y)
+
+
 def _needs_count(spec: ModelSpec) -> bool:
     leaf, samples = spec.params.get("min_samples_leaf"), spec.params.get("max_samples")
     return isinstance(leaf, float) or is_count(samples)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gridflow.functions import kernels
+from gridflow.identity import with_row_number
 from gridflow.schema import col, complete
 from gridflow.session import BROADCAST_BYTES, fits_broadcast, stored
 
@@ -77,13 +78,18 @@ def packed(df: DataFrame, space: Space, ident: str | None, value: str | None) ->
 
 
 def numbered(query: DataFrame) -> DataFrame:
-    """`query` written down with a row number, which is the identity of a row in every plan.
+    """`query` with a row number, which is the identity of a row in every plan.
 
-    A caller that asks several times may number its rows itself.
+    Rows of files are known by their places, other tables are written down. A caller that
+    asks several times may number its rows itself.
     """
-    if ROW in query.columns:
-        return query
-    return stored(query.withColumn(ROW, F.monotonically_increasing_id()), "query")
+    return query if ROW in query.columns else with_row_number(query, ROW)
+
+
+def with_answers(rows: DataFrame, answers: DataFrame, out: str, row_bytes: int = 64) -> DataFrame:
+    """`rows` with the column `out` of `answers`, by ROW; answers that are proven small go to the rows."""
+    answers = stored(answers.select(ROW, out), "answers")
+    return rows.join(F.broadcast(answers) if fits_broadcast(answers, row_bytes) else answers, ROW, "left")
 
 
 def local_base(
@@ -120,7 +126,7 @@ def with_neighbours(
     if shared is None:
         rows = numbered(query)
         found = _boxed(rows, base, space, k, base_id, value)
-        rows = rows.join(found.withColumnRenamed("_nn", out), ROW, "left")
+        rows = with_answers(rows, found.withColumnRenamed("_nn", out), out, 16 + 24 * k)
         return rows if ROW in query.columns else rows.drop(ROW)
     arrow_id = to_arrow_type(id_type)
     p, width, tagged = space.p, len(space.features), space.exclude is not None
@@ -372,6 +378,105 @@ def _boxed(
     return _merge(both, k).select(F.col("_qid").alias(ROW), nn.alias("_nn"))
 
 
+def bagged_search(
+    asked: DataFrame, table: DataFrame, names: list[str], places: list[list[int]], k: int, p: float, weights: str, out: str
+) -> DataFrame:
+    """(ROW, out): for every query row the array of the bags' answers, from one search through one box index.
+
+    `asked` has ROW and the features `names`; `table` (_row, y, _bags, features) says how often
+    each bag drew a row. A bag measures distance on its own features, those at `places`; boxes
+    are bounded in all of them. A query's nearest box gives the reach of each of its bags; then
+    it visits every box that lies within reach of some bag, and all bags are answered there.
+    """
+    width, bags = len(names), len(places)
+    space = Space(names, p)
+    rows = stored(
+        table.select(
+            col("_row").alias("_id"), space.vector().alias("_x"), col("y").alias("_y"), "_bags", F.lit(None).cast("string").alias("_tag")
+        ).withColumn("_number", F.monotonically_increasing_id()),
+        "base",
+    )
+    boxes = _boxes(rows, width)
+    bounds = asked.sparkSession.sparkContext.broadcast((boxes.number, boxes.low, boxes.high))
+    entry = "array<struct<bag int, distance double, id bigint, value double>>"
+
+    @F.arrow_udf("bigint")
+    def home(x: pa.Array) -> pa.Array:
+        number, low, high = bounds.value
+        q = kernels.matrix(x, width)
+        parts = kernels.slices(len(q), len(low))
+        nearest = [kernels.box_gap(q[part], low, high, p, far=False).argmin(axis=1) for part in parts]
+        return pa.array(number[np.concatenate(nearest)])
+
+    def best(hits: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest of each bag (row * bags + bag) among a row's entries: group, distance, value, in order."""
+        entries = hits.flatten()
+        bag, distance, ident, value = (entries.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        owner = np.repeat(np.arange(len(hits)), np.diff(hits.offsets.to_numpy())) * bags + bag
+        order = np.lexsort((ident, distance, owner))
+        owner = owner[order]
+        kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+        return owner[kept], distance[order][kept], value[order][kept]
+
+    @F.arrow_udf("array<bigint>")
+    def others(x: pa.Array, seen: pa.Array, hits: pa.Array) -> pa.Array:
+        number, low, high = bounds.value
+        q = kernels.matrix(x, width)
+        owner, distance, _ = best(hits)
+        reach = np.full(len(q) * bags, np.inf)
+        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) if len(owner) else np.zeros(0, np.int64)
+        full = last[last - np.searchsorted(owner, owner[last]) == k - 1] if len(last) else last
+        reach[owner[full]] = distance[full]
+        # rounding must not lose a box that only just reaches
+        reach = reach.reshape(len(q), bags) * (1 + 1e-9)
+        home = seen.to_numpy(zero_copy_only=False)[:, None]
+        found = []
+        for part in kernels.slices(len(q), len(low)):
+            wanted = np.zeros((part.stop - part.start, len(low)), bool)
+            for b, place in enumerate(places):
+                wanted |= kernels.box_gap(q[part][:, place], low[:, place], high[:, place], p, far=False) <= reach[part, b, None]
+            wanted &= number[None, :] != home[part]
+            found.append(kernels.ragged(np.broadcast_to(number, wanted.shape), wanted, pa.int64()))
+        return pa.concat_arrays(found)
+
+    @F.arrow_udf("array<double>")
+    def answer(hits: pa.Array) -> pa.Array:
+        owner, distance, value = best(hits)
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        d, y = np.full((len(hits) * bags, k), np.inf), np.zeros((len(hits) * bags, k))
+        d[owner, rank], y[owner, rank] = distance, value
+        found = kernels.neighbour_mean(d, y, weights).reshape(len(hits), bags)
+        return kernels.ragged(found, np.ones(found.shape, dtype=bool), pa.float64())
+
+    def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("_id", kind="stable")
+        points = np.array(b["_x"].tolist(), dtype=np.float64).reshape(-1, width)
+        drawn = np.array(b["_bags"].tolist(), dtype=np.int64).reshape(-1, bags)
+        queries = np.array(q["_qx"].tolist(), dtype=np.float64).reshape(-1, width)
+        ids, y, who = b["_id"].to_numpy(), b["_y"].to_numpy(dtype=np.float64), q["_qid"].to_numpy()
+        parts = []
+        for bag, place in enumerate(places):
+            copies = np.repeat(np.arange(len(ids)), drawn[:, bag])
+            position, distance = kernels.nearest(queries[:, place], points[copies][:, place], k, p)
+            kept = np.isfinite(distance)
+            at = copies[position[kept]]
+            parts.append((np.repeat(who, kept.sum(axis=1)), np.full(len(at), bag, np.int32), distance[kept], ids[at], y[at]))
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        return pd.DataFrame(dict(zip(("_qid", "bag", "distance", "id", "value"), columns)))
+
+    def hits(routes: DataFrame) -> DataFrame:
+        found = _compare(routes, boxes, "_qid bigint, bag int, distance double, id bigint, value double", compare)
+        return found.groupBy("_qid").agg(F.collect_list(F.struct("bag", "distance", "id", "value")).cast(entry).alias("_hits"))
+
+    queries = asked.select(F.col(ROW).alias("_qid"), space.vector().alias("_qx"), F.lit(None).cast("string").alias("_qtag"))
+    queries = stored(queries.withColumn("_box", home("_qx")), "queries")
+    first = stored(hits(queries), "first")
+    bounded = queries.join(first, "_qid", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(entry)))
+    routes = bounded.select("_qid", "_qx", "_qtag", F.explode(others("_qx", "_box", "_hits")).alias("_box"))
+    both = first.unionByName(hits(routes)).groupBy("_qid").agg(F.flatten(F.collect_list("_hits")).alias("_hits"))
+    return both.select(F.col("_qid").alias(ROW), answer("_hits").alias(out))
+
+
 # --- sums and counts over pairs ---------------------------------------------------------
 
 
@@ -533,5 +638,5 @@ def with_count_within(
         .groupBy(F.col("_qid").alias(ROW))
         .agg(F.sum("n").alias(out))
     )
-    rows = rows.join(counts, ROW, "left")
+    rows = with_answers(rows, counts, out, 16)
     return rows if ROW in query.columns else rows.drop(ROW)

@@ -12,9 +12,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType, NumericType, TimestampType
 
+from gridflow.functions import kernels
 from gridflow.functions.columns import presence_label
 from gridflow.functions.hashing import KEY_BITS, hash_index, hash_key, hash_normal
 from gridflow.schema import col, keys_of
@@ -29,6 +33,9 @@ def _buckets(spark: SparkSession) -> int:
 
 def bucketed(df: DataFrame, order: str, out: str = "_bucket") -> DataFrame:
     """Add the value-range bucket of the numeric, unique, non-null column `order`."""
+    kind = df.select(col(order)).schema[0].dataType
+    if not isinstance(kind, (NumericType, BooleanType, TimestampType)):
+        raise ValueError(f"{order!r} must be a number to put rows in order, not {kind.simpleString()}")
     n = _buckets(df.sparkSession)
     cuts = df.select(col(order).cast("double").alias("_o")).approxQuantile(
         "_o", [i / n for i in range(1, n)], 0.25 / n
@@ -356,6 +363,25 @@ def make_bags(
     return rows.join(weights, "idx").drop("idx", "_n")
 
 
+def bag_weights(df: DataFrame, ident: str, n_bags: int, max_samples: float, seed: int, out: str = "_bags") -> DataFrame:
+    """`df` with an array `out`: how often each of `n_bags` bootstrap bags draws the row.
+
+    Every bag draws floor(max_samples * n) times with replacement, at least once. The rows are
+    numbered once, in the order of a hash of `ident` of any type, and never copied: a task works
+    out the counts of the blocks of numbers that it holds (see kernels.block_draws).
+    """
+    n = df.count()
+    draws = max(1, int(n * max_samples))
+
+    @F.arrow_udf("array<int>")
+    def counts(index: pa.Array) -> pa.Array:
+        found = kernels.bag_counts(index.to_numpy(zero_copy_only=False), n, draws, n_bags, seed)
+        return kernels.ragged(found, np.ones(found.shape, dtype=bool), pa.int32())
+
+    placed = with_random_index(df, [ident], seed)
+    return placed.withColumn(out, counts(F.col("idx").cast("bigint"))).drop("idx", "_n")
+
+
 def bag_features(n_bags: int, features: list[str], max_features: float, seed: int) -> list[list[str]]:
     """The feature subset of each bag, drawn without replacement."""
     size = max(1, int(max_features * len(features)))
