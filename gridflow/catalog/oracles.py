@@ -604,6 +604,12 @@ SELECT id, CAST(di >= (SELECT cut FROM cut) AS INTEGER) AS aoa, round(di, 6) AS
 }
 SQL["fields_from_stored_predictions"] = SQL["fields_of_statistic"]
 SQL["monthly_files"] = SQL["field_write_and_read"]
+COSINE = "1 - list_cosine_similarity(q.x, b.x)"
+CANBERRA = """list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.x[i] = b.x[i] THEN 0.0::DOUBLE
+    ELSE abs(q.x[i] - b.x[i]) / (abs(q.x[i]) + abs(b.x[i])) END))"""
+for _name, _distance in (("cosine", COSINE), ("canberra", CANBERRA)):
+    SQL[f"nearest_neighbours_{_name}"] = SQL["nearest_neighbours_cityblock"].replace(CITYBLOCK, _distance)
+    SQL[f"nearest_neighbours_{_name}_boxed"] = SQL[f"nearest_neighbours_{_name}"]
 SQL["nearest_neighbours_boxed"] = SQL["nearest_neighbours"]
 SQL["knn_regression_boxed"] = SQL["knn_regression"]
 SQL["applicability_boxed"] = SQL["applicability"]

@@ -712,6 +712,20 @@ def nearest_neighbours_boxed(spark, sf):
     return V.rounded(out, 6, "distance")
 
 
+def _named_metric(metric, limit):
+    def run(spark, sf):
+        rows = V.vectors(spark, sf)
+        known, asked = rows.where(F.col("y") < 7), rows.where(F.col("y") >= 7)
+        return V.rounded(NE.knn_join(asked, known, V.FEATURES, 2, "id", "id", p=metric, **limit), 6, "distance")
+
+    return run
+
+
+for _metric in ("cosine", "canberra"):
+    QUERIES[f"nearest_neighbours_{_metric}"] = _named_metric(_metric, {})
+    QUERIES[f"nearest_neighbours_{_metric}_boxed"] = _named_metric(_metric, {"limit": 0})
+
+
 def _knn(spark, sf, task, weights, limit=None):
     rows = V.vectors(spark, sf)
     spec = MO.ModelSpec("knn", task, {"n_neighbors": 5, "weights": weights}, bags=0)

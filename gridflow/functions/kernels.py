@@ -24,8 +24,9 @@ def tag_numbers(q_tag: np.ndarray, b_tag: np.ndarray) -> tuple[np.ndarray, np.nd
 def tiles(q: np.ndarray, b: np.ndarray, p: float, q_tag, b_tag):
     """Yield (slice of q, distances to all of b); equal tags give infinity.
 
-    `p` is the Minkowski power; infinity takes the largest gap. The tile height follows the
-    width, so memory stays flat.
+    `p` is the Minkowski power; infinity takes the largest gap. "angle" is half the squared
+    distance, which for unit vectors is one minus their cosine, and "canberra" the sum of the
+    gaps over the sums of magnitudes. The tile height follows the width, so memory stays flat.
     """
     if q_tag is not None:
         q_tag, b_tag = tag_numbers(q_tag, b_tag)
@@ -39,8 +40,10 @@ def tiles(q: np.ndarray, b: np.ndarray, p: float, q_tag, b_tag):
             if p == np.inf:
                 np.maximum(d, np.abs(gap), out=d)
                 continue
-            if p == 2:
+            if p in (2, "angle"):
                 np.multiply(gap, gap, out=gap)
+            elif p == "canberra":
+                gap = share(gap, q[part, f, None], columns[f][None, :])
             else:
                 np.abs(gap, out=gap)
                 if p != 1:
@@ -48,13 +51,29 @@ def tiles(q: np.ndarray, b: np.ndarray, p: float, q_tag, b_tag):
             d += gap
         if p == 2:
             np.sqrt(d, out=d)
-        elif p != 1 and p != np.inf:
+        elif p == "angle":
+            d *= 0.5
+        elif p not in (1, np.inf, "canberra"):
             np.power(d, 1.0 / p, out=d)
         if q_tag is not None:
             d[q_tag[part, None] == b_tag[None, :]] = np.inf
         yield part, d
 
 
+def share(gap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """|gap| over |a| + |b|; zero where both are zero."""
+    whole = np.abs(a) + np.abs(b)
+    return np.abs(gap) / np.where(whole == 0, 1.0, whole)
+
+
+def directions(x: np.ndarray, centred: bool) -> np.ndarray:
+    """Rows as unit vectors, of the row less its mean where asked; a last place is 1 for rows without a direction."""
+    if centred:
+        x = x - x.mean(axis=1, keepdims=True)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.concatenate([x / np.where(size == 0, 1.0, size), size == 0], axis=1)
+
+
 def nearest(q, b, k, p, q_tag=None, b_tag=None):
     """Positions and distances of the k nearest rows of b, nearest first.
 
@@ -108,18 +127,27 @@ def slices(rows: int, columns: int) -> list[slice]:
     return [slice(a, min(a + step, rows)) for a in range(0, max(rows, 1), step)]
 
 
-def box_gap(q: np.ndarray, low: np.ndarray, high: np.ndarray, p: float, far: bool) -> np.ndarray:
-    """Distance of each row to the nearest (or, with `far`, the farthest) point of each box."""
+def box_gap(q: np.ndarray, low: np.ndarray, high: np.ndarray, p: float | str, far: bool) -> np.ndarray:
+    """Distance of each row to the nearest (or, with `far`, the farthest) point of each box.
+
+    Canberra's share of an axis rises on both sides of a row's value, so it is least at the
+    nearest edge and largest at one of the edges, as the plain gap is.
+    """
     total = np.zeros((len(q), len(low)))
     for f in range(q.shape[1]):
-        under = low[None, :, f] - q[:, f, None]
-        over = q[:, f, None] - high[None, :, f]
-        if far:
-            gap = np.maximum(np.abs(under), np.abs(over))
+        x, bottom, top = q[:, f, None], low[None, :, f], high[None, :, f]
+        if p == "canberra":
+            ends = share(bottom - x, x, bottom), share(x - top, x, top)
+            gap = np.maximum(*ends) if far else np.where(x < bottom, ends[0], np.where(x > top, ends[1], 0.0))
+        elif far:
+            gap = np.maximum(np.abs(bottom - x), np.abs(x - top))
         else:
-            gap = np.maximum(np.maximum(under, over), 0.0)
-        total = np.maximum(total, gap) if p == np.inf else total + gap**p
-    return total if p == np.inf else total ** (1.0 / p)
+            gap = np.maximum(np.maximum(bottom - x, x - top), 0.0)
+        power = {"angle": 2.0, "canberra": 1.0}.get(p, p) if isinstance(p, str) else p
+        total = np.maximum(total, gap) if p == np.inf else total + gap**power
+    if p == "angle":
+        return 0.5 * total
+    return total if p in (np.inf, "canberra") else total ** (1.0 / p)
 
 
 BAG_BLOCK = 1024

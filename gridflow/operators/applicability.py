@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridflow.operators.neighbours import (
     Space,
+    distance_of,
     distance_sums,
     local_base,
     with_count_within,
@@ -58,9 +59,16 @@ def cutpoint(
     return cut
 
 
+def mean_distance(total: float | None, pairs: int | None) -> float:
+    """Mean over pairs; training rows without any distance between them have no scale to measure by."""
+    if not total or not pairs:
+        raise ValueError("all training rows are equal, or none may be compared: dissimilarity has no scale")
+    return total / pairs
+
+
 def train_dissimilarity(
     train: DataFrame, features: list[str], ident: str, fold_col: str | None = None,
-    p: float = 2.0, limit: int = BROADCAST_BYTES, shared=None,
+    p: float | str = 2.0, limit: int = BROADCAST_BYTES, shared=None,
 ) -> tuple[DataFrame, float]:
     """(ident, di) of the training rows and the mean training distance.
 
@@ -72,17 +80,18 @@ def train_dissimilarity(
         rows = with_summary(rows, shared, Space(features, p, fold_col), "_all")
         rows = stored(rows.select(col(ident), "_s.near", "_all.total", "_all.positive", "_all.pairs"), "di")
         count = "pairs" if fold_col else "positive"
-        mean = rows.agg(F.sum("total") / F.sum(count)).first()[0]
+        sums = rows.agg(F.sum("total"), F.sum(count)).first()
+        mean = mean_distance(sums[0], sums[1])
         return rows.select(col(ident), (F.col("near") / F.lit(mean)).alias("di")), mean
     plain = Space(features, p)
     if fold_col is None:
         apart = Space(features, p, ident)
         total, positive, _ = distance_sums(train, train, plain, limit, shared)
-        mean = total / positive
+        mean = mean_distance(total, positive)
     else:
         apart = Space(features, p, fold_col)
         total, _, pairs = distance_sums(train, train, apart, limit, shared)
-        mean = total / pairs
+        mean = mean_distance(total, pairs)
     nearest = with_neighbours(train, train, apart, 1, ident, ident, limit=limit, shared=shared)
     di = F.get(F.col("nn.distance"), F.lit(0)) / F.lit(mean)
     return nearest.select(col(ident), di.alias("di")), mean
@@ -100,17 +109,20 @@ def area_of_applicability(
     fold_col: str | None = None,
     drop_zeros: bool = False,
     return_all: bool = False,
-    p: float = 2.0,
+    p: float | str = 2.0,
     scale: str = "as_coded",
     cap: bool = True,
     limit: int = BROADCAST_BYTES,
+    metric: str | None = None,
 ) -> DataFrame:
     """Add aoa (1 = outside), di and cutpoint to the test rows; with `return_all` also lpd.
 
     di is the distance to the nearest training row over the mean training distance, lpd
     the number of training rows whose distance over the mean test distance is below the
-    cut. Test rows with a missing feature get nulls.
+    cut. Test rows with a missing feature get nulls. Distance is a Minkowski power `p`, or a
+    `metric` by name (neighbours.METRICS).
     """
+    p = distance_of(metric or p)
     scaled = normalised_weights(features, weights)
     names = [f"_w_{f}" for f in features]
     weighted = {n: col(f).cast("double") * F.lit(scaled[f]) for n, f in zip(names, features)}
@@ -123,6 +135,8 @@ def area_of_applicability(
         *keep, *[c.alias(n) for n, c in weighted.items()]
     )
     train = stored(train, "train")
+    if train.isEmpty():
+        raise ValueError("no complete training rows")
     test = test.withColumns(weighted)
     # one broadcast of the training rows serves every comparison below
     shared = local_base(train, Space(names, p, fold_col or train_id), train_id, None, limit)

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gridflow.functions import kernels
@@ -36,19 +36,60 @@ SPLIT_SAMPLE = 50_000
 ROW = "_neighbour_row"
 
 
+#: Names of distances, and the power of those that are Minkowski's.
+METRICS = {
+    "euclidean": 2.0, "l2": 2.0, "cityblock": 1.0, "manhattan": 1.0, "l1": 1.0, "chebyshev": float("inf"),
+    "cosine": "cosine", "correlation": "correlation", "canberra": "canberra",
+}
+
+
+def distance_of(metric: str | float) -> str | float:
+    """A Minkowski power as it is, or what a name in METRICS stands for."""
+    if isinstance(metric, str) and metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; use a Minkowski power or one of {sorted(METRICS)}")
+    return METRICS[metric] if isinstance(metric, str) else float(metric)
+
+
 @dataclass(frozen=True)
 class Space:
     """Which columns span the feature space and how distance is measured.
 
-    A pair of rows with equal `exclude` values is never compared (same row, same fold).
+    `metric` is a Minkowski power or a name in METRICS. Cosine distance is measured between
+    unit vectors, correlation distance between unit vectors of centred rows; rows without a
+    direction are at 0 from each other and at 1 from all others. A pair of rows with equal
+    `exclude` values is never compared (same row, same fold).
     """
 
     features: list[str]
-    p: float = 2.0
+    metric: float | str = 2.0
     exclude: str | None = None
 
-    def vector(self) -> Column:
-        return F.array(*[col(f).cast("double") for f in self.features])
+    @property
+    def p(self) -> float | str:
+        """How tasks compare the vectors."""
+        found = distance_of(self.metric)
+        return "angle" if found in ("cosine", "correlation") else found
+
+    @property
+    def width(self) -> int:
+        """Length of a row's vector: directions have one more place, for rows that have none."""
+        return len(self.features) + (self.p == "angle")
+
+    def vector(self, missing: float | None = None) -> Column:
+        """A row's vector; `missing` stands for null features, of rows that are left out later."""
+        parts = [col(f).cast("double") for f in self.features]
+        point = F.array(*[F.coalesce(c, F.lit(missing)) if missing is not None else c for c in parts])
+        if self.p != "angle":
+            return point
+
+        width, centred = len(parts), distance_of(self.metric) == "correlation"
+
+        @F.arrow_udf("array<double>")
+        def directions(x: pa.Array) -> pa.Array:
+            found = kernels.directions(kernels.matrix(x, width), centred)
+            return kernels.ragged(found, np.ones(found.shape, dtype=bool), pa.float64())
+
+        return directions(point)
 
     def tag(self) -> Column:
         """The `exclude` values as text, so that ids and folds of any type can be compared."""
@@ -56,7 +97,7 @@ class Space:
 
     @property
     def row_bytes(self) -> int:
-        return 8 * (len(self.features) + 3)
+        return 8 * (self.width + 3)
 
 
 def local_arrays(rows: pd.DataFrame, width: int, tagged: bool):
@@ -99,7 +140,7 @@ def local_base(
     rows = packed(base, space, ident, value)
     if not fits_broadcast(rows, space.row_bytes, limit):
         return None
-    local = local_arrays(rows.toPandas(), len(space.features), space.exclude is not None)
+    local = local_arrays(rows.toPandas(), space.width, space.exclude is not None)
     return base.sparkSession.sparkContext.broadcast(local)
 
 
@@ -129,7 +170,7 @@ def with_neighbours(
         rows = with_answers(rows, found.withColumnRenamed("_nn", out), out, 16 + 24 * k)
         return rows if ROW in query.columns else rows.drop(ROW)
     arrow_id = to_arrow_type(id_type)
-    p, width, tagged = space.p, len(space.features), space.exclude is not None
+    p, width, tagged = space.p, space.width, space.exclude is not None
 
     @F.arrow_udf(f"struct<distance array<double>, id array<{id_type.simpleString()}>, value array<double>>")
     def find(x: pa.Array, tag: pa.Array) -> pa.Array:
@@ -142,7 +183,7 @@ def with_neighbours(
     whole = F.lit(True)
     for f in space.features:
         whole = whole & col(f).isNotNull()
-    point = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in space.features])
+    point = space.vector(0.0)
     tag = space.tag() if tagged else F.lit("")
     return query.withColumn(out, F.when(whole, find(point, tag)))
 
@@ -166,12 +207,12 @@ def knn_join(
     k: int,
     query_id: str,
     base_id: str,
-    p: float = 2.0,
+    p: float | str = 2.0,
     exclude_self: bool = False,
     value: str | None = None,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Rows (query_id, rank, neighbour, distance[, value]) of the k nearest base rows."""
+    """Rows (query_id, rank, neighbour, distance[, value]) of the k nearest base rows; `p` as Space.metric."""
     space = Space(list(features), p, "_self" if exclude_self else None)
     if exclude_self:
         query = query.withColumn("_self", col(query_id))
@@ -265,10 +306,10 @@ def _compare(routes: DataFrame, boxes: Boxes, schema: str, compare) -> DataFrame
         for b, n in zip(boxes.number, boxes.count)
         if b in demand
     ]
-    # one row per box: broadcast, so that a hot box is split before any shuffle
-    layout = F.broadcast(
-        spark.createDataFrame(plan, "_box bigint, _pieces bigint, _slices bigint")
-    )
+    # one row per box, which the driver holds: sent to the rows while small, so that a hot box is split before any shuffle
+    layout = spark.createDataFrame(plan, "_box bigint, _pieces bigint, _slices bigint")
+    if 24 * len(plan) <= BROADCAST_BYTES:
+        layout = F.broadcast(layout)
 
     def spread(n, *key):
         return F.pmod(F.xxhash64(*key), F.col(n))
@@ -287,7 +328,7 @@ def _compare(routes: DataFrame, boxes: Boxes, schema: str, compare) -> DataFrame
 
 def _top_k(routes: DataFrame, boxes: Boxes, space: Space, k: int) -> DataFrame:
     """(_qid, _hits) with the k best (distance, id, value) of the routed boxes."""
-    p, width, tagged = space.p, len(space.features), space.exclude is not None
+    p, width, tagged = space.p, space.width, space.exclude is not None
     id_type = boxes.rows.schema["_id"].dataType.simpleString()
 
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -330,7 +371,7 @@ def _boxed(
     query: DataFrame, base: DataFrame, space: Space, k: int, base_id: str, value: str | None
 ) -> DataFrame:
     """(ROW, _nn) of the numbered query rows that have every feature."""
-    width, p = len(space.features), space.p
+    width, p = space.width, space.p
     boxes = _boxes(_base(base, space, base_id, value), width)
     bounds = query.sparkSession.sparkContext.broadcast((boxes.number, boxes.low, boxes.high))
 
@@ -487,7 +528,7 @@ def distance_sums(
 
     A mean over pairs needs every pair once; each task adds up its own and emits one row.
     """
-    width, p, tagged = len(space.features), space.p, space.exclude is not None
+    width, p, tagged = space.width, space.p, space.exclude is not None
     schema = "total double, positive bigint, pairs bigint"
 
     def add_up(q, q_tag, b, b_tag):
@@ -515,28 +556,88 @@ def distance_sums(
         sums = queries.select("_x", "_tag").mapInPandas(per_batch, schema)
     else:
         rows = packed(base, space, None, None)
-        n_query = max(1, -(-queries.count() // BLOCK_ROWS))
-        n_base = max(1, -(-rows.count() // BLOCK_ROWS))
-
-        def place(df, own, n_own, other, n_other):
-            # the group is written down before rows are repeated, so it is drawn once
-            group = F.pmod(F.monotonically_increasing_id(), F.lit(n_own))
-            placed = stored(df.select("_x", "_tag", group.alias(own)), "pairs")
-            numbers = F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<bigint>")
-            return placed.withColumn(other, F.explode(numbers))
-
-        def per_tile(q, b):
-            q_tag = q["_tag"].to_numpy(dtype=object) if tagged else None
-            b_tag = b["_tag"].to_numpy(dtype=object) if tagged else None
-            return add_up(points(q["_x"]), q_tag, points(b["_x"]), b_tag)
-
-        left = place(queries, "_i", n_query, "_j", n_base).groupBy("_i", "_j")
-        right = place(rows, "_j", n_base, "_i", n_query).groupBy("_i", "_j")
-        sums = left.cogroup(right).applyInPandas(per_tile, schema)
+        if p == 1:
+            return _axis_sums(queries, rows, width, tagged)
+        queries = stored(queries.select("_x", "_tag"), "pairs")
+        rows = stored(rows.select("_x", "_tag", F.monotonically_increasing_id().alias("_n")), "pairs")
+        size = max(BLOCK_ROWS, limit // space.row_bytes)
+        blocks = max(1, -(-rows.count() // size))
+
+        def with_block(b):
+            """Sums over one block of the base, which is sent to the query rows where they lie."""
+            part = rows.where(F.pmod(F.xxhash64("_n"), F.lit(blocks)) == b).toPandas()
+            sent = query.sparkSession.sparkContext.broadcast((points(part["_x"]), part["_tag"].to_numpy(dtype=object)))
+
+            def per_batch(batches):
+                block, tags = sent.value
+                for q in batches:
+                    tag = q["_tag"].to_numpy(dtype=object) if tagged else None
+                    yield add_up(points(q["_x"]), tag, block, tags if tagged else None)
+
+            found = queries.mapInPandas(per_batch, schema).agg(F.sum("total"), F.sum("positive"), F.sum("pairs")).first()
+            sent.unpersist()
+            return found
+
+        # one block at a time: the driver and the tasks hold no more than that
+        found = [with_block(b) for b in range(blocks)]
+        return sum(float(r[0] or 0.0) for r in found), sum(int(r[1] or 0) for r in found), sum(int(r[2] or 0) for r in found)
     row = sums.agg(F.sum("total"), F.sum("positive"), F.sum("pairs")).first()
     return float(row[0] or 0.0), int(row[1] or 0), int(row[2] or 0)
 
 
+def _axis_sums(queries: DataFrame, rows: DataFrame, width: int, tagged: bool) -> tuple[float, int, int]:
+    """distance_sums for power 1, without comparing pairs: each axis is sorted once.
+
+    A value's gaps to all base values follow from how many lie below it and their sum. The
+    values of an axis are counted first; cut points by quantile make ranges, within which a
+    window runs, and sums of ranges carry over. Pairs of equal tags are taken off again, as
+    sums within each tag.
+    """
+    own, other = (F.lit(1).alias("q"), F.lit(0).alias("b")), (F.lit(0).alias("q"), F.lit(1).alias("b"))
+    tag = F.coalesce(F.col("_tag"), F.lit("")).alias("_tag")  # null tags equal nothing and are left out within tags
+    both = queries.select("_x", tag, F.col("_tag").isNull().alias("_none"), *own).unionByName(
+        rows.select("_x", tag, F.col("_tag").isNull().alias("_none"), *other)
+    )
+    both = stored(both, "axes")
+    counts = both.agg(F.sum("q"), F.sum("b")).first()
+    if not counts[0] or not counts[1]:
+        return 0.0, 0, 0
+
+    def gaps(points: DataFrame, by: list[str]) -> float:
+        values = points.select(*by, "q", "b", F.posexplode("_x").alias("axis", "v"))
+        values = stored(values.groupBy(*by, "axis", "v").agg(F.sum("q").alias("q"), F.sum("b").alias("b")), "axis")
+        n = max(2, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        cuts = values.groupBy("axis").agg(F.percentile_approx("v", [i / n for i in range(1, n)], 100 * n).alias("cuts"))
+        values = values.join(F.broadcast(cuts), "axis")  # one row per feature
+        values = values.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+        group = [*by, "axis"]
+        ranges = values.groupBy(*group, "range").agg(F.sum("b").alias("n"), F.sum(F.col("b") * F.col("v")).alias("s"))
+        whole, below = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.select(
+            *group, "range", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("n_below"), F.coalesce(F.sum("s").over(below), F.lit(0.0)).alias("s_below"),
+            F.sum("n").over(whole).alias("n_all"), F.sum("s").over(whole).alias("s_all"),
+        )
+        inside = Window.partitionBy(*group, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        values = values.withColumn("n_in", F.sum("b").over(inside)).withColumn("s_in", F.sum(F.col("b") * F.col("v")).over(inside))
+        values = values.join(ranges, [*group, "range"])
+        n_low, s_low = F.col("n_below") + F.col("n_in"), F.col("s_below") + F.col("s_in")
+        gap = F.col("v") * n_low - s_low + (F.col("s_all") - s_low) - F.col("v") * (F.col("n_all") - n_low)
+        return float(values.agg(F.sum(F.col("q") * gap)).first()[0] or 0.0)
+
+    def equal(points: DataFrame, by: list[str]) -> int:
+        same = points.groupBy(*by).agg(F.sum("q").alias("q"), F.sum("b").alias("b"))
+        return int(same.agg(F.sum(F.col("q") * F.col("b"))).first()[0] or 0)
+
+    total, pairs = gaps(both, []), int(counts[0]) * int(counts[1])
+    positive = pairs - equal(both, ["_x"])
+    if tagged:
+        within = both.where(~F.col("_none"))
+        inner = equal(within, ["_tag"])
+        total, pairs = total - gaps(within, ["_tag"]), pairs - inner
+        positive -= inner - equal(within, ["_tag", "_x"])
+    return total, positive, pairs
+
+
 def with_summary(query: DataFrame, shared, space: Space, out: str, radius: float = -1.0) -> DataFrame:
     """Add struct `out` about the allowed base rows, from one comparison with a broadcast base.
 
@@ -544,7 +645,7 @@ def with_summary(query: DataFrame, shared, space: Space, out: str, radius: float
     positive ones, number of all; within: number nearer than `radius`. Null for query rows
     with a missing feature, near also without any base row.
     """
-    p, width, tagged = space.p, len(space.features), space.exclude is not None
+    p, width, tagged = space.p, space.width, space.exclude is not None
 
     @F.arrow_udf("struct<near double, total double, positive bigint, pairs bigint, within bigint>")
     def summary(x: pa.Array, tag: pa.Array) -> pa.Array:
@@ -568,7 +669,7 @@ def with_summary(query: DataFrame, shared, space: Space, out: str, radius: float
     whole = F.lit(True)
     for f in space.features:
         whole = whole & col(f).isNotNull()
-    point = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in space.features])
+    point = space.vector(0.0)
     return query.withColumn(out, F.when(whole, summary(point, space.tag() if tagged else F.lit(""))))
 
 
@@ -583,7 +684,7 @@ def with_count_within(
     shared=None,
 ) -> DataFrame:
     """Add the number of base rows nearer than `radius`; null for incomplete query rows."""
-    width, p = len(space.features), space.p
+    width, p = space.width, space.p
     whole = F.lit(True)
     for f in space.features:
         whole = whole & col(f).isNotNull()
@@ -598,7 +699,7 @@ def with_count_within(
                 counts[part] = (d < radius).sum(axis=1)
             return pa.array(counts)
 
-        point = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in space.features])
+        point = space.vector(0.0)
         return query.withColumn(out, F.when(whole, count(point)))
 
     rows = numbered(query)

@@ -147,3 +147,76 @@ def test_folds_are_read_by_folder(spark, data):
     plan = folds.where("fold = 1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(fold" in plan and "Window" not in plan
     assert folds.count() == 240
+
+
+@pytest.mark.parametrize("metric", ["cosine", "correlation", "canberra", "chebyshev", 1.0, 3.0])
+def test_named_distances_in_both_plans(spark, monkeypatch, metric):
+    """Nearest rows and counts within a radius against all pairs; zero rows, constant rows, repeats."""
+    rng = np.random.default_rng(8)
+    points = np.round(rng.normal(size=(90, 3)), 1)
+    points[:3], points[3:6], points[6] = 0.0, 2.0, points[7]
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(points)], "id long, a double, b double, c double")
+
+    def unit(v):
+        size = np.sqrt((v * v).sum(axis=1))
+        return np.c_[v / np.where(size == 0, 1, size)[:, None], size == 0]
+
+    def distances():
+        gap = np.abs(points[:, None] - points[None])
+        if metric in ("cosine", "correlation"):
+            u = unit(points - (points.mean(axis=1, keepdims=True) if metric == "correlation" else 0))
+            return ((u[:, None] - u[None]) ** 2).sum(axis=2) / 2
+        if metric == "canberra":
+            whole = np.abs(points[:, None]) + np.abs(points[None])
+            return (gap / np.where(whole == 0, 1, whole)).sum(axis=2)
+        return gap.max(axis=2) if metric == "chebyshev" else (gap**metric).sum(axis=2) ** (1 / metric)
+
+    d = distances()
+    if metric == "cosine":
+        assert d[10, 11] == pytest.approx(1 - points[10] @ points[11] / np.linalg.norm(points[10]) / np.linalg.norm(points[11]))
+        assert d[0, 1] == 0 and d[0, 10] == 1
+    monkeypatch.setattr(N, "BLOCK_ROWS", 12)
+    np.fill_diagonal(away := d.copy(), np.inf)
+    for limit in (1 << 20, 0):
+        got = {(r.id, r["rank"]): r.distance for r in N.knn_join(df, df, FEATURES, 4, "id", "id", metric, True, limit=limit).collect()}
+        for k in range(90):
+            assert np.allclose([got[k, r] for r in (1, 2, 3, 4)], np.sort(away[k])[:4], atol=1e-7)
+        radius = float(np.quantile(d, 0.3)) + 1e-6
+        near = N.with_count_within(df, df, N.Space(FEATURES, metric), radius, "id", "n", limit)
+        assert {r.id: r.n for r in near.collect()} == {k: int((d[k] < radius).sum()) for k in range(90)}
+    with pytest.raises(ValueError, match="unknown metric"):
+        N.Space(FEATURES, "hamming").p
+
+
+@pytest.mark.parametrize("p", [1.0, 2.0])
+@pytest.mark.parametrize("exclude", [None, "fold"])
+def test_sums_beyond_the_bound(spark, monkeypatch, p, exclude):
+    """Sums over pairs without all pairs in a shuffle; repeats, null features, null folds."""
+    rng = np.random.default_rng(5)
+    rows = [(*map(float, rng.integers(0, 4, 2)), None if k % 11 == 0 else int(k % 3)) for k in range(70)] + [(None, 1.0, 1), (2.5, -1e6, None)]
+    df = spark.createDataFrame(rows, "a double, b double, fold int").repartition(4)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    total = positive = pairs = 0
+    for a in rows:
+        for b in rows:
+            if None in (a[0], b[0]) or (exclude and a[2] is not None and a[2] == b[2]):
+                continue
+            d = (abs(a[0] - b[0]) ** p + abs(a[1] - b[1]) ** p) ** (1 / p)
+            total, positive, pairs = total + d, positive + (d > 0), pairs + 1
+    got = N.distance_sums(df, df, N.Space(["a", "b"], p, exclude), 0)
+    assert got[0] == pytest.approx(total, rel=1e-12) and got[1:] == (positive, pairs)
+    assert N.distance_sums(df.limit(0), df, N.Space(["a", "b"], p, exclude), 0) == (0.0, 0, 0)
+
+
+def test_training_rows_without_a_scale(spark):
+    from gridflow.operators.applicability import area_of_applicability
+
+    df = spark.createDataFrame([(k, 1.0) for k in range(5)], "id long, a double")
+    for limit in (1 << 20, 0):
+        with pytest.raises(ValueError, match="no scale"):
+            area_of_applicability(df, df, ["a"], "id", "id", limit=limit).count()
+        with pytest.raises(ValueError, match="no complete training rows"):
+            area_of_applicability(df, df.limit(0), ["a"], "id", "id", limit=limit)
+    spread = df.withColumn("b", F.col("id") * 1.0)
+    out = area_of_applicability(spread, spread, ["a", "b"], "id", "id", metric="cosine")
+    assert out.where("aoa in (0, 1)").count() == 5
