@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 MARK = "▁"
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
 TABLE_CHARS = 48
-TABLE_PAIRS = 500_000
+TABLE_PAIRS = 300_000
 BATCH = 256
 SPARK = {"array<int>": ArrayType(IntegerType()), "bigint": LongType(), "string": StringType()}
 ARROW = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
