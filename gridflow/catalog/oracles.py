@@ -647,6 +647,12 @@ SELECT id, fold, round(p, 6) AS ci95_LL, round(p, 6) AS ci95_UL FROM f JOIN m US
     "boosted_members_agree": "SELECT count(*) AS n, count(*) AS same_0, count(*) AS same_1 FROM embeddings",
     "bag_draw_sums": """SELECT CAST(b.bag AS INTEGER) AS bag, CAST(floor(count(*) * 0.5) AS BIGINT) AS draws, count(*) AS n_rows
 FROM orders, (SELECT unnest(range(8)) AS bag) b GROUP BY b.bag""",
+    "predicted_two_phases": SHARES + """, p AS (SELECT avg(y) AS p FROM s WHERE s >= 0.6),
+g AS (SELECT DISTINCT CAST(id % 180 AS DOUBLE) AS lat, x, s FROM s), m AS (SELECT unnest(['rf', 'other', 'ens']) AS model),
+parts AS (SELECT unnest(['zir', 'clf', 'reg']) AS part)
+SELECT lat, model, part, CASE WHEN part = 'zir' THEN round(CASE WHEN s > 0.5 THEN p ELSE 0 END, 6) END AS mean,
+       CASE WHEN part = 'reg' THEN round(p, 6) ELSE 0.0::DOUBLE END AS ci95_LL,
+       CASE WHEN part = 'reg' THEN round(p, 6) ELSE 0.0::DOUBLE END AS ci95_UL FROM g, p, m, parts""",
     "grid_search_group_means": HELD_OUT + """, e AS (
   SELECT 0 AS max_depth, fold, avg(abs(y - p)) AS mae FROM f JOIN a USING (fold) GROUP BY fold
   UNION ALL SELECT 1, fold, avg(abs(y - p)) FROM f JOIN m USING (fold, x) GROUP BY fold)

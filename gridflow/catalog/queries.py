@@ -23,7 +23,7 @@ from gridflow.operators import sampling as SA
 from gridflow.operators import tuning as TU
 from gridflow.plans.config import Config
 from gridflow.plans.prediction import Predictor, predict_all
-from gridflow.plans.training import read_parameters, summarise_parameters, write_parameters
+from gridflow.plans.training import read_parameters, summarise_parameters, write_parameters, write_scores
 from gridflow.schema import KEYS
 from gridflow.session import scratch_path
 from gridflow.sources import readers, writers
@@ -1055,6 +1055,23 @@ def predicted_targets(spark, sf):
     return V.rounded(fields, 6, "mean", *EN.INTERVAL)
 
 
+@query
+def predicted_two_phases(spark, sf):
+    """Two two-phase models and their weighted ensemble, one pass over the grid, in all parts of the predictions table."""
+    path = scratch_path(spark, "run")
+    config = Config(path, ["x"], ["rf", "other"], {}, two_phase=True, cv=2)
+    rows = V.grouped(spark, sf)
+    grid = rows.groupBy((F.col("id") % 180).cast("double").alias("lat"), "x").agg(F.count("*").alias("n")).drop("n")
+    for name, error in (("rf", 1.0), ("other", 3.0)):
+        hurdle = MO.fit_hurdle(_stump(task="clf"), _stump(), rows, ["x"], "y", "id", 0.6)
+        parts = {"zir": hurdle, "clf": hurdle.classifier, "reg": hurdle.regressor}
+        MO.save_models({(name, "y", part): model for part, model in parts.items()}, path)
+        known = spark.createDataFrame([(0, error, 0.5, error)], "fold int, MAE double, R2 double, RMSE double")
+        write_scores(ME.scores_long(known, name, "y", ME.REGRESSION_METRICS).withColumn("part", F.lit("zir")), path)
+    table = predict_all([Predictor(rows, "y", grid, config)])
+    return V.rounded(table.select("lat", "model", "part", "mean", *EN.INTERVAL), 6, "mean", *EN.INTERVAL)
+
+
 @query
 def raw_observations(spark, sf):
     path = scratch_path(spark, "raw")

@@ -114,13 +114,15 @@ def area_of_applicability(
     cap: bool = True,
     limit: int = BROADCAST_BYTES,
     metric: str | None = None,
+    scan: DataFrame | None = None,
 ) -> DataFrame:
     """Add aoa (1 = outside), di and cutpoint to the test rows; with `return_all` also lpd.
 
     di is the distance to the nearest training row over the mean training distance, lpd
     the number of training rows whose distance over the mean test distance is below the
     cut. Test rows with a missing feature get nulls. Distance is a Minkowski power `p`, or a
-    `metric` by name (neighbours.METRICS).
+    `metric` by name (neighbours.METRICS). `scan` may name a table with the features of the
+    same rows for passes that only add up, where `test` is costly to make again.
     """
     p = distance_of(metric or p)
     scaled = normalised_weights(features, weights)
@@ -137,6 +139,7 @@ def area_of_applicability(
     train = stored(train, "train")
     if train.isEmpty():
         raise ValueError("no complete training rows")
+    scan = (test if scan is None else scan).withColumns(weighted)
     test = test.withColumns(weighted)
     # one broadcast of the training rows serves every comparison below
     shared = local_base(train, Space(names, p, fold_col or train_id), train_id, None, limit)
@@ -147,7 +150,7 @@ def area_of_applicability(
         # one pass adds up the distances, another finds the nearest row and the count within
         radius = -1.0
         if return_all:
-            sums = with_summary(test, shared, space, "_s").agg(F.sum("_s.total"), F.sum("_s.pairs")).first()
+            sums = with_summary(scan, shared, space, "_s").agg(F.sum("_s.total"), F.sum("_s.pairs")).first()
             radius = cut * sums[0] / sums[1]
         out = with_summary(test, shared, space, "_s", radius)
         out = out.withColumn("di", F.col("_s.near") / F.lit(mean))
@@ -161,7 +164,7 @@ def area_of_applicability(
     out = out.withColumn("aoa", (F.col("di") >= F.lit(cut)).cast("int"))
     out = out.withColumn("cutpoint", F.lit(cut))
     if return_all:
-        total, _, pairs = distance_sums(test, train, space, limit, shared)
+        total, _, pairs = distance_sums(scan, train, space, limit, shared)
         radius = cut * total / pairs
         out = with_count_within(out, train, space, radius, test_id, "lpd", limit, shared)
     return out.drop(*names)

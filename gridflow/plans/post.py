@@ -119,7 +119,8 @@ class Post:
             ),
             "grid",
         )
-        # every target adds its columns in place: the grid is read once and never joined
+        # every target adds its columns in place: the grid is read once and never joined; sums over
+        # its cells read the plain grid, so that no earlier target is worked out again
         out = cells
         for target in targets:
             known = complete(train, [*features, target])
@@ -132,7 +133,7 @@ class Post:
             )
             weights = {r["feature"]: r["importance"] for r in importance.collect()}
             out = area_of_applicability(
-                out, rows, features, "_cell", "_row", weights, "_y", **options
+                out, rows, features, "_cell", "_row", weights, "_y", scan=cells, **options
             )
             wanted = [c for c in ("aoa", "di", "lpd", "cutpoint") if c in out.columns]
             out = out.withColumnsRenamed({c: f"{target}_{c}" for c in wanted})
