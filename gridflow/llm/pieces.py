@@ -91,6 +91,12 @@ class PieceCodec:
             self.tree.add_word(p, len(p))
         self.tree.make_automaton()
 
+    def forget(self) -> None:
+        """Give back the memory of all known words and pairs."""
+        self.pairs.clear()
+        self.words.clear()
+        self.words.older = {}
+
     def merged(self, text: str) -> list[str]:
         """Merge a short text piece by piece: best score first, then leftmost."""
         parts: list[str | None] = list(text)
@@ -253,12 +259,16 @@ def per_text(df: DataFrame, text_col: str, new: dict[str, str], make: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                rows = [one(t.as_py() or "") for t in part.column(width)]
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], *columns], names=names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH):
+                    part = batch.slice(at, BATCH)
+                    rows = [one(t.as_py() or "") for t in part.column(width)]
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], *columns], names=names)
+        finally:  # the worker goes on to other tasks
+            for c in sys.__dict__.get("_gridflow_codecs", {}).values():
+                c.forget()
 
     return df.select(*[F.col(f"`{f.name}`") for f in others], F.col(text_col)).mapInArrow(run, schema)
 
