@@ -19,7 +19,7 @@ BITS = FORM_BITS + WORD_BITS
 TARGET_ROWS = 20_000
 #: A document's mean log ratio counts as that of this many n-grams: the weights' inverse temperature. Larger values
 #: leave the noise no part, as a document of hundreds of n-grams is then either taken or not.
-EVIDENCE = 1.0
+EVIDENCE = 4.0
 #: n-grams of raw text that smooth the target model, and those that each used bucket of words adds.
 SMOOTH = 500.0
 SMOOTH_WORDS = 4.0

@@ -92,7 +92,7 @@ def plain_grams(text):
         bare = w.rstrip(".,")
         if bare.isalpha() and len(bare) >= len(w) - 1:
             form, letters = importance.shape(bare) + w[len(bare) :], bare
-            form = "Aa" + w[len(bare) :] if bare.istitle() else form
+            form = "Aa" + w[len(bare) :] if bare.istitle() and not bare.isupper() else form
         else:
             form, letters = importance.shape(w), "".join(c for c in w if c.isalnum()) or w
         letters = zlib.crc32(letters.lower().encode()) >> 1
