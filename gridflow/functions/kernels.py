@@ -6,6 +6,12 @@ import numpy as np
 import pyarrow as pa
 
 TILE_CELLS = 2_000_000
+#: Base rows, and query rows, whose distances are added up at a time, so that a block stays in the processor's cache.
+BLOCK, BLOCK_HEIGHT = 2048, 32
+#: Least base rows, and most neighbours, for which rough distances are made first.
+ROUGH_ROWS, ROUGH_MOST = 2048, 64
+#: Rough distances that are held at a time, groups of base rows whose least ones are found, and pairs measured exactly at a time.
+ROUGH_CELLS, GROUPS, PAIRS = 1 << 22, 1024, 1 << 16
 
 
 def matrix(rows: pa.Array, width: int) -> np.ndarray:
@@ -35,20 +41,8 @@ def tiles(q: np.ndarray, b: np.ndarray, p: float, q_tag, b_tag):
     for start in range(0, len(q), step):
         part = slice(start, min(start + step, len(q)))
         d = np.zeros((part.stop - start, len(b)))
-        for f in range(q.shape[1]):
-            gap = q[part, f, None] - columns[f][None, :]
-            if p == np.inf:
-                np.maximum(d, np.abs(gap), out=d)
-                continue
-            if p in (2, "angle"):
-                np.multiply(gap, gap, out=gap)
-            elif p == "canberra":
-                gap = share(gap, q[part, f, None], columns[f][None, :])
-            else:
-                np.abs(gap, out=gap)
-                if p != 1:
-                    np.power(gap, p, out=gap)
-            d += gap
+        for at in range(0, len(b), BLOCK):
+            add_gaps(d[:, at : at + BLOCK], q[part], columns[:, at : at + BLOCK], p)
         if p == 2:
             np.sqrt(d, out=d)
         elif p == "angle":
@@ -60,6 +54,146 @@ def tiles(q: np.ndarray, b: np.ndarray, p: float, q_tag, b_tag):
         yield part, d
 
 
+def add_gaps(d: np.ndarray, q: np.ndarray, columns: np.ndarray, p) -> None:
+    """Add to `d` the gaps between rows of `q` and the base rows whose features are `columns`, feature by feature."""
+    gap = np.empty(d.shape, d.dtype)
+    whole, sizes = (np.empty(d.shape, d.dtype), np.abs(columns)) if p == "canberra" else (None, None)
+    for f in range(q.shape[1]):
+        np.subtract(q[:, f, None], columns[f][None, :], out=gap)
+        if p in (2, "angle"):
+            np.multiply(gap, gap, out=gap)
+        else:
+            np.abs(gap, out=gap)
+            if p == np.inf:
+                np.maximum(d, gap, out=d)
+                continue
+            if p == "canberra":
+                np.add(np.abs(q[:, f, None]), sizes[f][None, :], out=whole)
+                if not (sizes[f].all() and q[:, f].all()):
+                    whole[whole == 0] = 1.0
+                np.divide(gap, whole, out=gap)
+            elif p != 1:
+                np.power(gap, p, out=gap)
+        np.add(d, gap, out=d)
+
+
+def of_pairs(q: np.ndarray, b: np.ndarray, row: np.ndarray, column: np.ndarray, p) -> np.ndarray:
+    """The distances of `tiles` for the pairs (row, column) only."""
+    out = np.zeros(len(row))
+    for at in range(0, len(row), PAIRS):
+        x, y, d = q[row[at : at + PAIRS]], b[column[at : at + PAIRS]], out[at : at + PAIRS]
+        for f in range(q.shape[1]):
+            gap = x[:, f] - y[:, f]
+            if p in (2, "angle"):
+                d += gap * gap
+            elif p == np.inf:
+                np.maximum(d, np.abs(gap), out=d)
+            else:
+                d += share(gap, x[:, f], y[:, f]) if p == "canberra" else np.abs(gap)
+        if p == 2:
+            np.sqrt(d, out=d)
+        elif p == "angle":
+            d *= 0.5
+    return out
+
+
+class Rough:
+    """Tables of distances to the rows `b`, on a scale that keeps their order, and how far they can be off.
+
+    Squared distances are one matrix product; city block, largest gap and Canberra are added up
+    in blocks. Tables are filled up to a whole number of groups by infinite distances. Whoever reads one
+    measures again, by `of_pairs`, each pair that the error leaves open.
+    """
+
+    def __init__(self, b: np.ndarray, p, kind):
+        self.p, self.kind, self.rows, self.width = p, kind, len(b), b.shape[1]
+        self.eps = float(np.finfo(kind).eps)
+        self.centre, self.scale = np.zeros(self.width), 1.0
+        if p != "canberra":
+            with np.errstate(over="ignore", invalid="ignore"):
+                self.centre = b.mean(axis=0)
+                size = float(np.abs(b - self.centre).max())
+            # a power of two, so that scaling adds no error
+            self.scale = float(2.0 ** -np.ceil(np.log2(size))) if 1e-100 < size < 1e100 else 1.0
+        x = self.scaled(b)
+        self.usable = bool(self.fits(x).all())
+        if not self.usable:
+            return
+        filled = -(-len(b) // GROUPS) * GROUPS
+        self.norm = float(self.length(x).max())
+        if p in (2, "angle"):
+            ones = np.ones((len(x), 1))
+            made = np.concatenate([-2.0 * x, (x * x).sum(axis=1, keepdims=True), ones], axis=1)
+        else:
+            made = x
+        self.columns = np.zeros((made.shape[1], filled), kind)
+        self.columns[:, : len(b)] = made.T
+
+    @staticmethod
+    def serves(b: np.ndarray, p) -> bool:
+        return len(b) >= ROUGH_ROWS and b.shape[1] > 0 and p in (1, 2, np.inf, "angle", "canberra")
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return (x - self.centre) * self.scale if self.p != "canberra" else x
+
+    def fits(self, x: np.ndarray) -> np.ndarray:
+        """Whether the error bounds hold for scaled rows: finite, and neither far off the base nor too small for a share."""
+        size = np.abs(x)
+        if self.p == "canberra":
+            return ((size == 0) | ((size > 1e-30) & (size < 1e30))).all(axis=1)
+        return (size < 1e6).all(axis=1)
+
+    def length(self, x: np.ndarray) -> np.ndarray:
+        if self.p in (2, "angle"):
+            return np.sqrt((x * x).sum(axis=1))
+        return np.abs(x).sum(axis=1) if self.p == 1 else np.abs(x).max(axis=1)
+
+    def off(self, x: np.ndarray) -> np.ndarray:
+        """Bound of the error of a scaled row's distances: of conversion, sums and products."""
+        if self.p == "canberra":
+            return np.full(len(x), self.eps * self.width * (self.width + 8))
+        both = self.length(x) + self.norm
+        return self.eps * (self.width + 10) * (both * both if self.p in (2, "angle") else both) + 1e-30
+
+    def table(self, x: np.ndarray) -> np.ndarray:
+        """Distances of scaled rows."""
+        if self.p in (2, "angle"):
+            square = (x * x).sum(axis=1, keepdims=True)
+            d = np.concatenate([x, np.ones((len(x), 1)), square], axis=1).astype(self.kind) @ self.columns
+        else:
+            d, x = np.empty((len(x), self.columns.shape[1]), self.kind), x.astype(self.kind)
+            for top in range(0, len(x), BLOCK_HEIGHT):
+                some = x[top : top + BLOCK_HEIGHT]
+                for at in range(0, d.shape[1], BLOCK):
+                    block = np.zeros((len(some), min(BLOCK, d.shape[1] - at)), self.kind)
+                    add_gaps(block, some, self.columns[:, at : at + BLOCK], self.p)
+                    d[top : top + BLOCK_HEIGHT, at : at + BLOCK] = block
+        d[:, self.rows :] = np.inf
+        return d
+
+    def parts(self, count: int) -> list[slice]:
+        step = max(1, ROUGH_CELLS // self.columns.shape[1])
+        return [slice(a, min(a + step, count)) for a in range(0, count, step)]
+
+
+class Barred:
+    """Positions of base rows whose tag is that of a query row."""
+
+    def __init__(self, q_tag, b_tag):
+        self.tags, b = tag_numbers(q_tag, b_tag)
+        self.order = np.argsort(b, kind="stable")
+        self.first, self.last = (np.searchsorted(b[self.order], self.tags, side=s) for s in ("left", "right"))
+
+    def bar(self, d: np.ndarray, part: slice) -> np.ndarray:
+        """Set the distances of barred pairs to infinity; how many each row has."""
+        count = self.last[part] - self.first[part]
+        row = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        d[row, self.order[self.first[part][row] + place]] = np.inf
+        return count
+
+
 def share(gap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """|gap| over |a| + |b|; zero where both are zero."""
     whole = np.abs(a) + np.abs(b)
@@ -85,6 +219,48 @@ def nearest(q, b, k, p, q_tag=None, b_tag=None):
     distance = np.full((len(q), k), np.inf)
     if k_used == 0:
         return position, distance
+    rough = Rough(b, p, np.float32) if Rough.serves(b, p) and k <= ROUGH_MOST else None
+    if rough is not None and rough.usable and len(q):
+        x = rough.scaled(q)
+        fits = rough.fits(x)
+        _nearest_rough(rough, np.flatnonzero(fits), x, q, b, k, q_tag, b_tag, position, distance)
+        rest = np.flatnonzero(~fits)
+        if len(rest):
+            position[rest], distance[rest] = _nearest_plain(q[rest], b, k, p, None if q_tag is None else q_tag[rest], b_tag)
+        return position, distance
+    return _nearest_plain(q, b, k, p, q_tag, b_tag)
+
+
+def _nearest_rough(rough, rows, x, q, b, k, q_tag, b_tag, position, distance) -> None:
+    """Fill in the neighbours of the given rows: rough distances name those that can be among the nearest.
+
+    The k-th smallest of the groups' least distances is no less than the k-th smallest of all.
+    """
+    x, q, off = x[rows], q[rows], rough.off(x[rows])
+    barred = None if q_tag is None else Barred(q_tag[rows], b_tag)
+    for part in rough.parts(len(rows)):
+        d = rough.table(x[part])
+        if barred is not None:
+            barred.bar(d, part)
+        least = d.reshape(len(d), -1, GROUPS).min(axis=1)
+        bound = np.partition(least, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2.5 * off[part]
+        near = np.flatnonzero(d <= bound[:, None].astype(d.dtype))
+        row, column = np.divmod(near, d.shape[1])
+        kept = np.isfinite(d[row, column])
+        row, column = row[kept], column[kept]
+        exact = of_pairs(q[part], b, row, column, rough.p)
+        order = np.lexsort((column, exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        best = rank < k
+        at = rows[part][row[best]]
+        position[at, rank[best]], distance[at, rank[best]] = column[best], exact[best]
+
+
+def _nearest_plain(q, b, k, p, q_tag, b_tag):
+    k_used = min(k, len(b))
+    position = np.zeros((len(q), k), dtype=np.int64)
+    distance = np.full((len(q), k), np.inf)
     for part, d in tiles(q, b, p, q_tag, b_tag):
         if k_used == 1:
             order = d.argmin(axis=1)[:, None]
@@ -102,6 +278,85 @@ def nearest(q, b, k, p, q_tag=None, b_tag=None):
     return position, distance
 
 
+#: What `summary` finds about the allowed base rows of a query row.
+NEAR, TOTAL, POSITIVE, COUNT, WITHIN = range(5)
+
+
+def summary(q, b, p, q_tag=None, b_tag=None, radius: float = -1.0, wanted=(NEAR, TOTAL, POSITIVE, WITHIN)) -> np.ndarray:
+    """[what, row]: nearest distance, sum of distances, number of positive ones, of all, and of those below `radius`.
+
+    Infinity without any base row. Only what is `wanted`, and the number of all, is sure to be found.
+    """
+    found = np.zeros((5, len(q)))
+    sums = TOTAL in wanted or POSITIVE in wanted
+    rough = Rough(b, p, np.float64 if sums else np.float32) if p in (2, "angle") and Rough.serves(b, p) else None
+    if rough is None or not rough.usable or not len(q):
+        return _summary_plain(found, q, b, p, q_tag, b_tag, radius)
+    x = rough.scaled(q)
+    fits = rough.fits(x)
+    rows, rest = np.flatnonzero(fits), np.flatnonzero(~fits)
+    if len(rest):
+        found[:, rest] = _summary_plain(found[:, rest], q[rest], b, p, None if q_tag is None else q_tag[rest], b_tag, radius)
+    x, q, off = x[rows], q[rows], rough.off(x[rows])
+    barred = None if q_tag is None else Barred(q_tag[rows], b_tag)
+    edge = (radius * rough.scale) ** 2 if p == 2 else 2 * radius * rough.scale**2
+    for part in rough.parts(len(rows)):
+        at, slack, d = rows[part], 2.5 * off[part], rough.table(x[part])
+        gone = barred.bar(d, part) if barred is not None else 0
+        found[COUNT, at] = len(b) - gone
+        least = d.min(axis=1)
+
+        def open_pairs(some: np.ndarray, low, high):
+            """Rows and columns of the pairs of `some` rows between two bounds, and their exact distances."""
+            whole = len(some) == len(d)
+            kept = (d if whole else d[some]) <= high[some, None].astype(d.dtype)
+            if low is not None:
+                kept &= (d if whole else d[some]) >= low[some, None].astype(d.dtype)
+            row, column = np.divmod(np.flatnonzero(kept), d.shape[1])
+            row = some[row]
+            kept = np.isfinite(d[row, column])
+            row, column = row[kept], column[kept]
+            return row, column, of_pairs(q[part], b, row, column, p)
+
+        everything = np.arange(len(d))
+        if NEAR in wanted:
+            near = np.full(len(d), np.inf)
+            row, _, exact = open_pairs(everything, None, least + slack)
+            np.minimum.at(near, row, exact)
+            found[NEAR, at] = near
+        if WITHIN in wanted and radius > 0:
+            wide = slack + 4 * rough.eps * edge
+            low, high = edge - wide, edge + wide
+            sure, most = (np.count_nonzero(d < bound[:, None].astype(d.dtype), axis=1) for bound in (low, high))
+            row, _, exact = open_pairs(np.flatnonzero(most > sure), low, high)
+            found[WITHIN, at] = sure + np.bincount(row[exact < radius], minlength=len(d))
+        if sums:
+            # a small difference of large squares says little: such pairs are measured again
+            small = 400.0 * slack
+            row, column, exact = open_pairs(np.flatnonzero(least <= small), None, small)
+            found[POSITIVE, at] = found[COUNT, at] - np.bincount(row[exact == 0], minlength=len(d))
+            if TOTAL in wanted:
+                d[~np.isfinite(d)] = 0.0
+                np.maximum(d, 0.0, out=d)
+                d[row, column] = 0.0
+                if p == 2:
+                    np.sqrt(d, out=d)
+                total = d.sum(axis=1) * (1 / rough.scale if p == 2 else 0.5 / rough.scale**2)
+                found[TOTAL, at] = total + np.bincount(row, weights=exact, minlength=len(d))
+    return found
+
+
+def _summary_plain(found, q, b, p, q_tag, b_tag, radius) -> np.ndarray:
+    for part, d in tiles(q, b, p, q_tag, b_tag):
+        allowed = np.isfinite(d)
+        found[NEAR, part] = d.min(axis=1, initial=np.inf)
+        found[TOTAL, part] = np.where(allowed, d, 0.0).sum(axis=1)
+        found[POSITIVE, part] = (allowed & (d > 0)).sum(axis=1)
+        found[COUNT, part] = allowed.sum(axis=1)
+        found[WITHIN, part] = (d < radius).sum(axis=1)
+    return found
+
+
 def neighbour_mean(distance: np.ndarray, y: np.ndarray, weights: str) -> np.ndarray:
     """Mean of the neighbours' values; `distance` weights let an exact hit take it all."""
     w = np.isfinite(distance).astype(np.float64)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridflow.functions.kernels import NEAR, POSITIVE, TOTAL, WITHIN
 from gridflow.operators.neighbours import (
     Space,
+    dealt,
     distance_of,
     distance_sums,
     local_base,
@@ -76,8 +78,13 @@ def train_dissimilarity(
     """
     if shared is not None:
         # without folds the mean covers all positive distances, also of rows that share an id
-        rows = with_summary(train, shared, Space(features, p, fold_col or ident), "_s")
-        rows = with_summary(rows, shared, Space(features, p, fold_col), "_all")
+        train = dealt(train, len(shared.value[0]))
+        if fold_col:
+            rows = with_summary(train, shared, Space(features, p, fold_col), "_s", wanted=(NEAR, TOTAL))
+            rows = rows.withColumn("_all", F.col("_s"))
+        else:
+            rows = with_summary(train, shared, Space(features, p, ident), "_s", wanted=(NEAR,))
+            rows = with_summary(rows, shared, Space(features, p), "_all", wanted=(TOTAL, POSITIVE))
         rows = stored(rows.select(col(ident), "_s.near", "_all.total", "_all.positive", "_all.pairs"), "di")
         count = "pairs" if fold_col else "positive"
         sums = rows.agg(F.sum("total"), F.sum(count)).first()
@@ -150,9 +157,11 @@ def area_of_applicability(
         # one pass adds up the distances, another finds the nearest row and the count within
         radius = -1.0
         if return_all:
-            sums = with_summary(scan, shared, space, "_s").agg(F.sum("_s.total"), F.sum("_s.pairs")).first()
+            scan = dealt(scan.select(*names), len(shared.value[0]))
+            sums = with_summary(scan, shared, space, "_s", wanted=(TOTAL,)).agg(F.sum("_s.total"), F.sum("_s.pairs")).first()
             radius = cut * sums[0] / sums[1]
-        out = with_summary(test, shared, space, "_s", radius)
+        test = dealt(test, len(shared.value[0]))
+        out = with_summary(test, shared, space, "_s", radius, wanted=(NEAR, WITHIN) if return_all else (NEAR,))
         out = out.withColumn("di", F.col("_s.near") / F.lit(mean))
         out = out.withColumn("aoa", (F.col("di") >= F.lit(cut)).cast("int")).withColumn("cutpoint", F.lit(cut))
         if return_all:

@@ -40,7 +40,7 @@ from gridflow.functions import kernels, trees
 from gridflow.functions.columns import log_forward, log_inverse, presence_label
 from gridflow.functions.rows import row_mean
 from gridflow.identity import with_row_number
-from gridflow.operators.neighbours import ROW, bagged_search, with_answers
+from gridflow.operators.neighbours import ROW, bagged_search, dealt, with_answers
 from gridflow.operators.sampling import bag_features, bag_weights, prefix_sum
 from gridflow.schema import col, complete, require
 from gridflow.session import BROADCAST_BYTES, fits_broadcast, in_threads, scratch_path, stored
@@ -391,7 +391,7 @@ class BaggedNeighbours:
 
         whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
         point = F.array(*[F.coalesce(F.col(n), F.lit(0.0)) for n in names])
-        return rows.withColumn(out, F.when(whole, members(point)))
+        return dealt(rows, len(local)).withColumn(out, F.when(whole, members(point)))
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         rows = self.raw_members(df, "_members")

@@ -3,7 +3,8 @@
 Two plans give the same result:
 
 * The base table is proven small (its bytes are counted up to a bound): it is broadcast
-  and each query batch is compared with it in place. The query table is not shuffled.
+  and each query batch is compared with it in place. The query table is not shuffled, but
+  for bases of DEALT_ROWS rows and more dealt evenly to tasks, as comparisons then cost more.
 * Beyond the bound the base is cut into boxes of similar size. Each query is first
   compared with its nearest box, which bounds its k-th distance, and then only with the
   boxes that could hold something closer. Boxes and query lists that are too long for a
@@ -33,6 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 20_000
 SPLIT_SAMPLE = 50_000
+#: Base rows from which a query row's comparisons cost more than sending it to another task, and tasks per core that then share them.
+DEALT_ROWS, DEALT_TASKS = 2048, 3
 ROW = "_neighbour_row"
 
 
@@ -133,6 +136,13 @@ def with_answers(rows: DataFrame, answers: DataFrame, out: str, row_bytes: int =
     return rows.join(F.broadcast(answers) if fits_broadcast(answers, row_bytes) else answers, ROW, "left")
 
 
+def dealt(query: DataFrame, base_rows: int) -> DataFrame:
+    """`query` dealt evenly to tasks where its rows meet many base rows: a file read in one piece would be one task."""
+    if base_rows < DEALT_ROWS:
+        return query
+    return query.repartition(max(8, DEALT_TASKS * query.sparkSession.sparkContext.defaultParallelism))
+
+
 def local_base(
     base: DataFrame, space: Space, ident: str, value: str | None, limit: int = BROADCAST_BYTES
 ):
@@ -185,7 +195,7 @@ def with_neighbours(
         whole = whole & col(f).isNotNull()
     point = space.vector(0.0)
     tag = space.tag() if tagged else F.lit("")
-    return query.withColumn(out, F.when(whole, find(point, tag)))
+    return dealt(query, len(shared.value[0])).withColumn(out, F.when(whole, find(point, tag)))
 
 
 def _pack(distance, ids, values, position, arrow_id: pa.DataType) -> pa.Array:
@@ -532,13 +542,9 @@ def distance_sums(
     schema = "total double, positive bigint, pairs bigint"
 
     def add_up(q, q_tag, b, b_tag):
-        total, positive, pairs = 0.0, 0, 0
-        for _, d in kernels.tiles(q, b, p, q_tag, b_tag):
-            allowed = np.isfinite(d)
-            total += float(d[allowed].sum())
-            positive += int((d[allowed] > 0).sum())
-            pairs += int(allowed.sum())
-        return pd.DataFrame({"total": [total], "positive": [positive], "pairs": [pairs]})
+        found = kernels.summary(q, b, p, q_tag, b_tag, wanted=(kernels.TOTAL, kernels.POSITIVE))
+        names = {"total": found[kernels.TOTAL], "positive": found[kernels.POSITIVE].astype(np.int64), "pairs": found[kernels.COUNT].astype(np.int64)}
+        return pd.DataFrame({name: [values.sum()] for name, values in names.items()})
 
     def points(column):
         return np.array(column.tolist(), dtype=np.float64).reshape(-1, width)
@@ -553,15 +559,15 @@ def distance_sums(
                 tag = rows["_tag"].to_numpy(dtype=object) if tagged else None
                 yield add_up(points(rows["_x"]), tag, base_points, tags if tagged else None)
 
-        sums = queries.select("_x", "_tag").mapInPandas(per_batch, schema)
+        sums = dealt(queries.select("_x", "_tag"), len(shared.value[0])).mapInPandas(per_batch, schema)
     else:
         rows = packed(base, space, None, None)
         if p == 1:
             return _axis_sums(queries, rows, width, tagged)
-        queries = stored(queries.select("_x", "_tag"), "pairs")
         rows = stored(rows.select("_x", "_tag", F.monotonically_increasing_id().alias("_n")), "pairs")
-        size = max(BLOCK_ROWS, limit // space.row_bytes)
-        blocks = max(1, -(-rows.count() // size))
+        size, count = max(BLOCK_ROWS, limit // space.row_bytes), rows.count()
+        queries = stored(dealt(queries.select("_x", "_tag"), count), "pairs")
+        blocks = max(1, -(-count // size))
 
         def with_block(b):
             """Sums over one block of the base, which is sent to the query rows where they lie."""
@@ -638,12 +644,13 @@ def _axis_sums(queries: DataFrame, rows: DataFrame, width: int, tagged: bool) ->
     return total, positive, pairs
 
 
-def with_summary(query: DataFrame, shared, space: Space, out: str, radius: float = -1.0) -> DataFrame:
+def with_summary(query: DataFrame, shared, space: Space, out: str, radius: float = -1.0, wanted=(kernels.NEAR, kernels.TOTAL, kernels.POSITIVE, kernels.WITHIN)) -> DataFrame:
     """Add struct `out` about the allowed base rows, from one comparison with a broadcast base.
 
     near: distance of the nearest; total, positive, pairs: sum of distances, number of
     positive ones, number of all; within: number nearer than `radius`. Null for query rows
-    with a missing feature, near also without any base row.
+    with a missing feature, near also without any base row. Only what is `wanted` and pairs
+    are sure to be found.
     """
     p, width, tagged = space.p, space.width, space.exclude is not None
 
@@ -652,14 +659,7 @@ def with_summary(query: DataFrame, shared, space: Space, out: str, radius: float
         _, _, points, tags = shared.value
         q = kernels.matrix(x, width)
         q_tag = np.array(tag.to_pylist(), dtype=object) if tagged else None
-        found = np.zeros((5, len(q)))
-        for part, d in kernels.tiles(q, points, p, q_tag, tags if tagged else None):
-            allowed = np.isfinite(d)
-            found[0, part] = d.min(axis=1, initial=np.inf)
-            found[1, part] = np.where(allowed, d, 0.0).sum(axis=1)
-            found[2, part] = (allowed & (d > 0)).sum(axis=1)
-            found[3, part] = allowed.sum(axis=1)
-            found[4, part] = (d < radius).sum(axis=1)
+        found = kernels.summary(q, points, p, q_tag, tags if tagged else None, radius, wanted)
         near = pa.array(found[0], mask=~np.isfinite(found[0]))
         counts = [pa.array(row.astype(np.int64)) for row in found[2:]]
         return pa.StructArray.from_arrays(
@@ -694,13 +694,10 @@ def with_count_within(
         @F.arrow_udf("bigint")
         def count(x: pa.Array) -> pa.Array:
             q = kernels.matrix(x, width)
-            counts = np.zeros(len(q), dtype=np.int64)
-            for part, d in kernels.tiles(q, shared.value[2], p, None, None):
-                counts[part] = (d < radius).sum(axis=1)
-            return pa.array(counts)
+            return pa.array(kernels.summary(q, shared.value[2], p, radius=radius, wanted=(kernels.WITHIN,))[kernels.WITHIN].astype(np.int64))
 
         point = space.vector(0.0)
-        return query.withColumn(out, F.when(whole, count(point)))
+        return dealt(query, len(shared.value[0])).withColumn(out, F.when(whole, count(point)))
 
     rows = numbered(query)
     boxes = _boxes(_base(base, space, None, None), width)
@@ -725,10 +722,8 @@ def with_count_within(
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         base_points = local_arrays(b, width, False)[2]
         points = np.array(q["_qx"].tolist(), dtype=np.float64).reshape(-1, width)
-        counts = np.zeros(len(points), dtype=np.int64)
-        for part, d in kernels.tiles(points, base_points, p, None, None):
-            counts[part] = (d < radius).sum(axis=1)
-        return pd.DataFrame({"_qid": q["_qid"], "n": counts})
+        counts = kernels.summary(points, base_points, p, radius=radius, wanted=(kernels.WITHIN,))[kernels.WITHIN]
+        return pd.DataFrame({"_qid": q["_qid"], "n": counts.astype(np.int64)})
 
     queries = stored(_queries(rows, space).withColumn("_route", route("_qx")), "queries")
     routes = queries.select("_qid", "_qx", "_qtag", F.explode("_route.partly").alias("_box"))
