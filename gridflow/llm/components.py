@@ -11,6 +11,27 @@ from gridflow.session import release, written
 SALTS = 256
 
 
+class Forest:
+    """Union-find over the nodes that a task has linked; gives each joining link once."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (p := up.get(x, x)) != x:
+            up[x] = up.get(p, p)
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """Tie the larger (or smaller) neighbours of each node to the least node among them and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridflow.llm import shingles
 from gridflow.llm.common import hot_join, numbered, pinned, place_of, stored
-from gridflow.llm.components import components
+from gridflow.llm.components import Forest, components
 
 SEED = 42
 WORDS = 4
@@ -98,27 +98,6 @@ def cells(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
     return fps.select("fp", counts_code(F.col("fp")).alias("_code")).select("fp", F.explode(F.array(*keys)).alias("cell"))
 
 
-class Forest:
-    """Union-find over the fingerprints that a task has linked; gives each joining link once."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (p := up.get(x, x)) != x:
-            up[x] = up.get(p, p)
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def close(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     """Verified links: the Manhattan bound on segment counts first, then the fingerprints themselves."""
     near = np.bitwise_count(code_of(a) ^ code_of(b)) <= distance
@@ -258,12 +237,22 @@ def near_components(
     )
 
 
+def row_links(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) that connect rows (uid, fp) with equal fingerprints, or with some within `distance` bits."""
+    fps = stored(rows.groupBy("fp").agg(F.min("uid").alias("least")), "distinct")
+    equal = hot_join(rows, fps, ["fp"], F.pmod(F.xxhash64("uid"), F.lit(SALTS))).filter("uid > least")
+    near = links(fps.select("fp"), distance).join(fps.toDF("a", "_a"), "a").join(fps.toDF("b", "_b"), "b")
+    near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return near.unionByName(equal.select(F.col("least").alias("a"), F.col("uid").alias("b")))
+
+
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row of each component of near copies, columns unchanged.
 
-    Near copies have Jaccard similarity 0.8 or more of their five-word shingles. Their fingerprints
-    differ in 13 bits and more, which no grid carries, so candidates come from `shingles`, without loss.
+    Near copies have Jaccard similarity 0.8 or more of their five-word shingles. Fingerprints of these
+    shingles are joined on the grid, and each link is verified on the whole sets. Near copies may differ
+    in 13 bits and more, which no grid carries, so `shingles` completes the links, without loss.
     """
     frame, names = pinned(df)
-    dropped = shingles.copies(frame, *place_of(df, id_col, text_col))
+    dropped = shingles.copies(frame, *place_of(df, id_col, text_col), near=row_links)
     return shingles.narrowed(frame, dropped, "left_anti").select(*names)
