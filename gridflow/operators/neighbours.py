@@ -8,11 +8,14 @@ Two plans give the same result:
 * Beyond the bound the base is cut into boxes of similar size. Each query is first
   compared with its nearest box, which bounds its k-th distance, and then only with the
   boxes that could hold something closer. Boxes and query lists that are too long for a
-  task are split by hash, so a hot box never becomes one task.
+  task are split by hash, so a hot box never becomes one task. Where boxes exclude little, they
+  are sent to the query rows block by block, instead of a copy of each query row to each box.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import sys
 from dataclasses import dataclass
 
@@ -36,6 +39,8 @@ BLOCK_ROWS = 20_000
 SPLIT_SAMPLE = 50_000
 #: Base rows from which a query row's comparisons cost more than sending it to another task, and tasks per core that then share them.
 DEALT_ROWS, DEALT_TASKS = 2048, 3
+#: Boxes are sent to the query rows when there are more than this, and a query row visits more than one in as many.
+DENSE = 4
 ROW = "_neighbour_row"
 
 
@@ -302,15 +307,70 @@ def _boxes(rows: DataFrame, width: int) -> Boxes:
     )
 
 
-def _compare(routes: DataFrame, boxes: Boxes, schema: str, compare) -> DataFrame:
-    """Run `compare(query rows, base rows)` on every routed (query, box) combination.
+def _compare(queries: DataFrame, visits: str, boxes: Boxes, row_bytes: int, schema: str, compare, merge) -> DataFrame:
+    """Run `compare(query rows, base rows)` on every query row and each box in its list `visits`.
 
-    A box with many rows is cut into pieces that each query visits; a box with many
-    queries is repeated for slices of them. Both are spread by hash, so one task sees at
-    most about BLOCK_ROWS rows of either side.
+    Where boxes exclude much, rows meet in tasks: a box with many rows is cut into pieces that
+    each query visits; a box with many queries is repeated for slices of them. Both are spread
+    by hash, so one task sees at most about BLOCK_ROWS rows of either side. Where query rows visit
+    more than one in DENSE of all boxes, as they do in many features, copies of them would grow with the square of the
+    rows: then the boxes are sent to the query rows instead, a block of them after another, and
+    `merge` reduces what a task finds in a block. The comparisons are the same.
     """
+    # a list is counted, not its rows: one row per box reaches the driver
+    demand = {r[0]: r[1] for r in queries.select(F.explode(visits).alias("_box")).groupBy("_box").count().collect()}
+    if len(boxes.number) > DENSE and sum(demand.values()) * DENSE > queries.count() * len(boxes.number):
+        return _sent(queries, visits, boxes, row_bytes, demand, schema, compare, merge)
+    routes = queries.withColumn("_box", F.explode(visits)).drop(visits)
+    return _met(routes, boxes, demand, schema, compare)
+
+
+def _sent(queries: DataFrame, visits: str, boxes: Boxes, row_bytes: int, demand: dict, schema: str, compare, merge) -> DataFrame:
+    """`_compare` by sending the boxes, in blocks of at most BROADCAST_BYTES or one box, to the query rows where they lie."""
+    spark, size = queries.sparkSession, max(BLOCK_ROWS, BROADCAST_BYTES // row_bytes)
+    tasks = max(DEALT_TASKS * spark.sparkContext.defaultParallelism, -(-queries.count() // BLOCK_ROWS))
+    queries = stored(queries.repartition(tasks), "asked")
+    rows = stored(boxes.rows.withColumn("_part", F.pmod(F.xxhash64("_number"), F.lit(1 << 20))), "boxed")
+    blocks, filled = [], size
+    for box, n in zip(boxes.number.tolist(), boxes.count.tolist()):
+        if box not in demand:
+            continue
+        # a box of many rows, which may be equal, is cut by hash
+        pieces = -(-n // size)
+        for piece in range(pieces):
+            if filled + n // pieces > size:
+                blocks.append([])
+                filled = 0
+            blocks[-1].append((box, piece, pieces))
+            filled += n // pieces
+
+    def with_block(block) -> DataFrame:
+        wanted = [(F.col("_box") == box) & (F.col("_part") % pieces == piece) for box, piece, pieces in block]
+        part = rows.where(functools.reduce(operator.or_, wanted)).drop("_part").toArrow().to_pandas()
+        sent = spark.sparkContext.broadcast(dict(tuple(part.groupby("_box", sort=False))))
+
+        def per_batch(batches):
+            for q in batches:
+                lists = q[visits].to_numpy()
+                owner = np.repeat(np.arange(len(q)), [len(x) for x in lists])
+                asked = np.concatenate(lists) if len(lists) else owner
+                found = [compare(q.iloc[owner[asked == box]], base) for box, base in sent.value.items()]
+                found = [f for f in found if len(f)]
+                if found:
+                    yield merge(pd.concat(found, ignore_index=True))
+
+        found = stored(queries.mapInPandas(per_batch, schema), "met")
+        sent.destroy()
+        return found
+
+    # one block at a time: the driver and the tasks hold no more than that
+    found = [with_block(block) for block in blocks]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _met(routes: DataFrame, boxes: Boxes, demand: dict, schema: str, compare) -> DataFrame:
+    """`_compare` of routed (query, box) rows by shuffling them."""
     spark = routes.sparkSession
-    demand = {r[0]: r[1] for r in routes.groupBy("_box").count().collect()}
     plan = [
         (int(b), -(-int(n) // BLOCK_ROWS), -(-demand[b] // BLOCK_ROWS))
         for b, n in zip(boxes.number, boxes.count)
@@ -336,8 +396,17 @@ def _compare(routes: DataFrame, boxes: Boxes, schema: str, compare) -> DataFrame
     return query.groupBy(*task).cogroup(base.groupBy(*task)).applyInPandas(compare, schema)
 
 
-def _top_k(routes: DataFrame, boxes: Boxes, space: Space, k: int) -> DataFrame:
-    """(_qid, _hits) with the k best (distance, id, value) of the routed boxes."""
+def least(found: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
+    """The rows of each group of `keys` that may be among its k nearest: all up to the k-th smallest distance."""
+    found = found.sort_values([*keys, "distance"], kind="stable")
+    rank = found.groupby(keys, sort=False).cumcount()
+    edge = found[rank == k - 1].set_index(keys)["distance"].rename("_edge")
+    edges = found[keys].merge(edge, how="left", left_on=keys, right_index=True)["_edge"].fillna(np.inf)
+    return found[found["distance"].to_numpy() <= edges.to_numpy()]
+
+
+def _top_k(queries: DataFrame, visits: str, boxes: Boxes, space: Space, k: int) -> DataFrame:
+    """(_qid, _hits) with the k best (distance, id, value) of the boxes that each query visits."""
     p, width, tagged = space.p, space.width, space.exclude is not None
     id_type = boxes.rows.schema["_id"].dataType.simpleString()
 
@@ -357,7 +426,7 @@ def _top_k(routes: DataFrame, boxes: Boxes, space: Space, k: int) -> DataFrame:
         )
 
     schema = f"_qid bigint, distance double, id {id_type}, value double"
-    hits = _compare(routes, boxes, schema, compare)
+    hits = _compare(queries, visits, boxes, space.row_bytes, schema, compare, lambda found: least(found, ["_qid"], k))
     return _merge(hits.groupBy("_qid").agg(F.collect_list(F.struct("distance", "id", "value")).alias("_hits")), k)
 
 
@@ -408,15 +477,13 @@ def _boxed(
         return pa.concat_arrays(found)
 
     queries = stored(_queries(query, space).withColumn("_box", home("_qx")), "queries")
-    first = stored(_top_k(queries, boxes, space, k), "first")
+    first = stored(_top_k(queries.withColumn("_visits", F.array("_box")), "_visits", boxes, space, k), "first")
     reach = F.when(F.size("_hits") >= k, F.get("_hits", F.lit(k - 1))["distance"])
     bounded = queries.join(first, "_qid", "left").withColumn(
         "_reach", F.coalesce(reach, F.lit(float("inf")))
     )
-    routes = bounded.select(
-        "_qid", "_qx", "_qtag", F.explode(others("_qx", "_box", "_reach")).alias("_box")
-    )
-    second = _top_k(routes, boxes, space, k)
+    asked = stored(bounded.select("_qid", "_qx", "_qtag", others("_qx", "_box", "_reach").alias("_visits")), "asked")
+    second = _top_k(asked, "_visits", boxes, space, k)
     both = first.unionByName(second).groupBy("_qid").agg(
         F.flatten(F.collect_list("_hits")).alias("_hits")
     )
@@ -515,16 +582,17 @@ def bagged_search(
         columns = [np.concatenate(c) for c in zip(*parts)]
         return pd.DataFrame(dict(zip(("_qid", "bag", "distance", "id", "value"), columns)))
 
-    def hits(routes: DataFrame) -> DataFrame:
-        found = _compare(routes, boxes, "_qid bigint, bag int, distance double, id bigint, value double", compare)
+    def hits(visiting: DataFrame) -> DataFrame:
+        schema = "_qid bigint, bag int, distance double, id bigint, value double"
+        found = _compare(visiting, "_visits", boxes, space.row_bytes + 8 * bags, schema, compare, lambda found: least(found, ["_qid", "bag"], k))
         return found.groupBy("_qid").agg(F.collect_list(F.struct("bag", "distance", "id", "value")).cast(entry).alias("_hits"))
 
     queries = asked.select(F.col(ROW).alias("_qid"), space.vector().alias("_qx"), F.lit(None).cast("string").alias("_qtag"))
     queries = stored(queries.withColumn("_box", home("_qx")), "queries")
-    first = stored(hits(queries), "first")
+    first = stored(hits(queries.withColumn("_visits", F.array("_box"))), "first")
     bounded = queries.join(first, "_qid", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(entry)))
-    routes = bounded.select("_qid", "_qx", "_qtag", F.explode(others("_qx", "_box", "_hits")).alias("_box"))
-    both = first.unionByName(hits(routes)).groupBy("_qid").agg(F.flatten(F.collect_list("_hits")).alias("_hits"))
+    visiting = stored(bounded.select("_qid", "_qx", "_qtag", others("_qx", "_box", "_hits").alias("_visits")), "asked")
+    both = first.unionByName(hits(visiting)).groupBy("_qid").agg(F.flatten(F.collect_list("_hits")).alias("_hits"))
     return both.select(F.col("_qid").alias(ROW), answer("_hits").alias(out))
 
 
@@ -726,8 +794,12 @@ def with_count_within(
         return pd.DataFrame({"_qid": q["_qid"], "n": counts.astype(np.int64)})
 
     queries = stored(_queries(rows, space).withColumn("_route", route("_qx")), "queries")
-    routes = queries.select("_qid", "_qx", "_qtag", F.explode("_route.partly").alias("_box"))
-    near = _compare(routes, boxes, "_qid bigint, n bigint", compare)
+    visiting = queries.select("_qid", "_qx", "_qtag", F.col("_route.partly").alias("_visits"))
+
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        return found.groupby("_qid", as_index=False)["n"].sum()
+
+    near = _compare(visiting, "_visits", boxes, space.row_bytes, "_qid bigint, n bigint", compare, merge)
     counts = (
         queries.select("_qid", F.col("_route.inside").alias("n"))
         .unionByName(near)
