@@ -33,10 +33,13 @@ class Forest:
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
-    """Tie the larger (or smaller) neighbours of each node to the least node among them and itself."""
+    """Tie the larger (or smaller) neighbours of each node to the least node among them and itself.
+
+    Rounds are many, so their joins are merges: broadcasts of each would pile up in the driver.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    met = hot_join(both, least, ["a"], F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    met = hot_join(both, least, ["a"], F.pmod(F.xxhash64("b"), F.lit(SALTS)), strategy="merge")
     if large:
         out = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
