@@ -8,10 +8,10 @@ import pyarrow as pa
 TILE_CELLS = 2_000_000
 #: Base rows, and query rows, whose distances are added up at a time, so that a block stays in the processor's cache.
 BLOCK, BLOCK_HEIGHT = 2048, 32
-#: Least base rows, and most neighbours, for which rough distances are made first.
-ROUGH_ROWS, ROUGH_MOST = 2048, 64
-#: Rough distances that are held at a time, groups of base rows whose least ones are found, and pairs measured exactly at a time.
-ROUGH_CELLS, GROUPS, PAIRS = 1 << 22, 1024, 1 << 16
+#: Least base rows, and most neighbours, for which rough distances are made first, and least query rows for which tables are.
+ROUGH_ROWS, ROUGH_MOST, FLOOR_ROWS = 2048, 64, 64
+#: Pairs collected before they are measured exactly, and measured at a time.
+PAIRS, FEW_PAIRS = 1 << 16, 1024
 
 
 def matrix(rows: pa.Array, width: int) -> np.ndarray:
@@ -78,18 +78,22 @@ def add_gaps(d: np.ndarray, q: np.ndarray, columns: np.ndarray, p) -> None:
 
 
 def of_pairs(q: np.ndarray, b: np.ndarray, row: np.ndarray, column: np.ndarray, p) -> np.ndarray:
-    """The distances of `tiles` for the pairs (row, column) only."""
+    """The distances of `tiles` for the pairs (row, column) only, added up in the same order."""
     out = np.zeros(len(row))
-    for at in range(0, len(row), PAIRS):
-        x, y, d = q[row[at : at + PAIRS]], b[column[at : at + PAIRS]], out[at : at + PAIRS]
-        for f in range(q.shape[1]):
-            gap = x[:, f] - y[:, f]
-            if p in (2, "angle"):
-                d += gap * gap
-            elif p == np.inf:
-                np.maximum(d, np.abs(gap), out=d)
+    for at in range(0, len(row), FEW_PAIRS):
+        x, y, d = q[row[at : at + FEW_PAIRS]], b[column[at : at + FEW_PAIRS]], out[at : at + FEW_PAIRS]
+        gap = x - y
+        if p in (2, "angle"):
+            np.multiply(gap, gap, out=gap)
+        elif p == "canberra":
+            gap = share(gap, x, y)
+        else:
+            np.abs(gap, out=gap)
+        for values in np.ascontiguousarray(gap.T):
+            if p == np.inf:
+                np.maximum(d, values, out=d)
             else:
-                d += share(gap, x[:, f], y[:, f]) if p == "canberra" else np.abs(gap)
+                np.add(d, values, out=d)
         if p == 2:
             np.sqrt(d, out=d)
         elif p == "angle":
@@ -97,14 +101,26 @@ def of_pairs(q: np.ndarray, b: np.ndarray, row: np.ndarray, column: np.ndarray,
     return out
 
 
+def marked(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true places of a matrix, in order; eight places are looked at together."""
+    flat = mask.ravel()
+    whole = flat[: len(flat) // 8 * 8].reshape(-1, 8)
+    words = np.flatnonzero(whole.view(np.uint64))
+    word, place = np.nonzero(whole[words])
+    rest = len(whole) * 8 + np.flatnonzero(flat[len(whole) * 8 :])
+    return np.divmod(np.concatenate([words[word] * 8 + place, rest]), mask.shape[1])
+
+
 class Rough:
-    """Tables of distances to the rows `b`, on a scale that keeps their order, and how far they can be off.
+    """Distances to the rows `b`, on a scale that keeps their order, and how far they can be off.
 
     Squared distances are one matrix product; city block, largest gap and Canberra are added up
-    in blocks. Tables are filled up to a whole number of groups by infinite distances. Whoever reads one
-    measures again, by `of_pairs`, each pair that the error leaves open.
+    in blocks. Whoever reads a table measures again, by `of_pairs`, each pair that the error leaves open.
     """
 
+    #: Base rows and query rows of a table, which stays in the processor's cache.
+    wide, high = 2048, 256
+
     def __init__(self, b: np.ndarray, p, kind):
         self.p, self.kind, self.rows, self.width = p, kind, len(b), b.shape[1]
         self.eps = float(np.finfo(kind).eps)
@@ -119,15 +135,11 @@ class Rough:
         self.usable = bool(self.fits(x).all())
         if not self.usable:
             return
-        filled = -(-len(b) // GROUPS) * GROUPS
         self.norm = float(self.length(x).max())
         if p in (2, "angle"):
             ones = np.ones((len(x), 1))
-            made = np.concatenate([-2.0 * x, (x * x).sum(axis=1, keepdims=True), ones], axis=1)
-        else:
-            made = x
-        self.columns = np.zeros((made.shape[1], filled), kind)
-        self.columns[:, : len(b)] = made.T
+            x = np.concatenate([-2.0 * x, (x * x).sum(axis=1, keepdims=True), ones], axis=1)
+        self.columns = np.ascontiguousarray(x.T.astype(kind))
 
     @staticmethod
     def serves(b: np.ndarray, p) -> bool:
@@ -156,43 +168,156 @@ class Rough:
         both = self.length(x) + self.norm
         return self.eps * (self.width + 10) * (both * both if self.p in (2, "angle") else both) + 1e-30
 
-    def table(self, x: np.ndarray) -> np.ndarray:
-        """Distances of scaled rows."""
+    def asked(self, x: np.ndarray) -> np.ndarray:
+        """What `block` takes of scaled rows."""
         if self.p in (2, "angle"):
-            square = (x * x).sum(axis=1, keepdims=True)
-            d = np.concatenate([x, np.ones((len(x), 1)), square], axis=1).astype(self.kind) @ self.columns
-        else:
-            d, x = np.empty((len(x), self.columns.shape[1]), self.kind), x.astype(self.kind)
+            x = np.concatenate([x, np.ones((len(x), 1)), (x * x).sum(axis=1, keepdims=True)], axis=1)
+        return x.astype(self.kind)
+
+    def block(self, at: int):
+        """A function from asked rows to their distances to the base rows from `at` on, `wide` of them at most."""
+        columns = self.columns[:, at : at + self.wide]
+        if self.p in (2, "angle"):
+            return lambda x: x @ columns
+
+        def table(x: np.ndarray) -> np.ndarray:
+            d = np.zeros((len(x), columns.shape[1]), self.kind)
             for top in range(0, len(x), BLOCK_HEIGHT):
-                some = x[top : top + BLOCK_HEIGHT]
-                for at in range(0, d.shape[1], BLOCK):
-                    block = np.zeros((len(some), min(BLOCK, d.shape[1] - at)), self.kind)
-                    add_gaps(block, some, self.columns[:, at : at + BLOCK], self.p)
-                    d[top : top + BLOCK_HEIGHT, at : at + BLOCK] = block
-        d[:, self.rows :] = np.inf
-        return d
+                add_gaps(d[top : top + BLOCK_HEIGHT], x[top : top + BLOCK_HEIGHT], columns, self.p)
+            return d
+
+        return table
+
+    def edge(self, distance: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """No pair within `distance` has more than this in a table; pairs set to `barred` always have."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            value = distance * self.scale if self.p != "canberra" else distance
+            value = value * value if self.p == 2 else 2 * value * self.scale if self.p == "angle" else value
+            value = value * (1 + 4 * self.eps) + 2.5 * off
+        return np.minimum(value, float(np.finfo(self.kind).max)).astype(self.kind)
+
+    barred = np.inf
+
+
+class Floors:
+    """Lower bounds of city block and Canberra distances to the rows `b`, added up from tables of whole numbers.
+
+    The values of a feature are cut into bins at quantiles. A base row's gap to the nearest point of a
+    bin, in units and rounded down, is a number of a byte, and no larger than its gap to any value in the bin. So a
+    query row's bound is a sum of table rows, one for the bin of each of its values. Whoever reads
+    one measures again, by `of_pairs`, each pair that it leaves open.
+    """
+
+    wide, high = 2048, 128
+    #: Bins of a feature, features whose sum fits into a byte, largest gap in units; rows that place bins and unit.
+    bins, group, most, sample = 64, 4, 63, 4096
+    #: Values farther from the middle, in units, count as so far; more than the error of single precision up to there.
+    far, margin = 1e4, 2e-3
+    barred = np.iinfo(np.uint16).max
+
+    def __init__(self, b: np.ndarray, p):
+        self.p = p
+        self.usable = bool(self.fits(b).all())
+        if not self.usable:
+            return
+        some = b[:: -(-len(b) // self.sample)]
+        self.centre, reach = np.median(some, axis=0), 1.0
+        if p == 1:
+            # rare larger gaps count as the largest; any unit gives bounds that hold
+            reach = float(np.quantile(np.abs(some - np.roll(some, len(some) // 2 + 1, axis=0)), 0.95))
+        self.unit = reach / self.most if reach > 0 else 1.0
+        self.b = self.scaled(b).astype(np.float32)
+        self.edges = np.quantile(self.scaled(some), np.arange(1, self.bins) / self.bins, axis=0).T.astype(np.float32)
+
+    @staticmethod
+    def serves(q: np.ndarray, b: np.ndarray, p) -> bool:
+        return p in (1, "canberra") and len(q) >= FLOOR_ROWS and 0 < b.shape[1] <= 1000
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.unit, -self.far, self.far) if self.p == 1 else x
+
+    def fits(self, x: np.ndarray) -> np.ndarray:
+        size = np.abs(x)
+        if self.p == 1:
+            return (size < 1e100).all(axis=1)
+        return ((size == 0) | ((size > 1e-30) & (size < 1e30))).all(axis=1)
 
-    def parts(self, count: int) -> list[slice]:
-        step = max(1, ROUGH_CELLS // self.columns.shape[1])
-        return [slice(a, min(a + step, count)) for a in range(0, count, step)]
+    def off(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros(len(x))
+
+    def asked(self, x: np.ndarray) -> np.ndarray:
+        """The bin of each value."""
+        return np.stack([np.searchsorted(edges.astype(np.float64), values) for edges, values in zip(self.edges, x.T)], axis=1)
+
+    def block(self, at: int):
+        values = np.ascontiguousarray(self.b[at : at + self.wide].T)
+        n, half = values.shape[1], -(-values.shape[1] // 2)
+        values = np.pad(values, ((0, 0), (0, 2 * half - n)), "edge")
+        tables = np.empty((len(values), self.bins, values.shape[1]), np.uint8)
+        gap, other = (np.empty(tables.shape[1:], np.float32) for _ in range(2))
+        infinite = np.float32([np.inf])
+        for table, v, inner in zip(tables, values, self.edges):
+            low, high = np.concatenate([-infinite, inner])[:, None], np.concatenate([inner, infinite])[:, None]
+            if self.p == 1:
+                np.maximum(np.subtract(low, v, out=gap), np.subtract(v, high, out=other), out=gap)
+                gap -= np.float32(self.margin)
+            else:
+                near = np.minimum(np.maximum(low, v, out=other), high, out=other)
+                np.abs(np.subtract(near, v, out=gap), out=gap)
+                np.add(np.abs(near, out=other), np.abs(v), out=other)
+                other[other == 0] = 1.0
+                np.divide(gap, other, out=gap)
+                np.multiply(np.subtract(gap, np.float32(1e-6), out=gap), np.float32(self.most), out=gap)
+            np.clip(gap, 0, self.most, out=gap)
+            # a row of each half alternate, so that bytes are added up two by two
+            table[:, ::2], table[:, 1::2] = gap[:, :half], gap[:, half:]
+
+        def table(bins: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(bins), 2 * half), np.uint16)
+            part, one = np.empty(total.shape, np.uint8), np.empty(total.shape, np.uint8)
+            both = part.view("<u2")
+            for f in range(len(tables)):
+                first = f % self.group == 0
+                np.take(tables[f], bins[:, f], axis=0, out=part if first else one, mode="clip")
+                if not first:
+                    np.add(part, one, out=part)
+                if f % self.group == self.group - 1 or f == len(tables) - 1:
+                    total[:, :half] += both & 0xFF
+                    total[:, half:] += both >> 8
+            return total[:, :n]
+
+        return table
+
+    def edge(self, distance: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """No pair within `distance` has more than this in a table."""
+        return np.minimum(distance * ((1 + 1e-9) / self.unit), self.barred - 1).astype(np.uint16)
 
 
 class Barred:
     """Positions of base rows whose tag is that of a query row."""
 
     def __init__(self, q_tag, b_tag):
-        self.tags, b = tag_numbers(q_tag, b_tag)
+        self.tags, self.base = tag_numbers(q_tag, b_tag)
+
+    def block(self, at: int, wide: int) -> Barred:
+        """From now on for tables of the base rows from `at` on."""
+        b = self.base[at : at + wide]
         self.order = np.argsort(b, kind="stable")
         self.first, self.last = (np.searchsorted(b[self.order], self.tags, side=s) for s in ("left", "right"))
+        return self
 
-    def bar(self, d: np.ndarray, part: slice) -> np.ndarray:
-        """Set the distances of barred pairs to infinity; how many each row has."""
+    def bar(self, d: np.ndarray, part: slice, barred) -> np.ndarray:
+        """Set the distances of barred pairs to `barred`; how many each row has."""
         count = self.last[part] - self.first[part]
         row = np.repeat(np.arange(len(count)), count)
         place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        d[row, self.order[self.first[part][row] + place]] = np.inf
+        d[row, self.order[self.first[part][row] + place]] = barred
         return count
 
+    def counts(self) -> np.ndarray:
+        """How many base rows of the block are barred for each query row."""
+        return self.last - self.first
+
 
 def share(gap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """|gap| over |a| + |b|; zero where both are zero."""
@@ -208,53 +333,84 @@ def directions(x: np.ndarray, centred: bool) -> np.ndarray:
     return np.concatenate([x / np.where(size == 0, 1.0, size), size == 0], axis=1)
 
 
-def nearest(q, b, k, p, q_tag=None, b_tag=None):
+def nearest(q, b, k, p, q_tag=None, b_tag=None, within=None):
     """Positions and distances of the k nearest rows of b, nearest first.
 
     b has to be sorted by id: equal distances are then ordered by id. Missing
-    neighbours have an infinite distance.
+    neighbours have an infinite distance. With `within`, a distance for each row of q, base rows
+    farther away need not be found.
     """
     k_used = min(k, len(b))
     position = np.zeros((len(q), k), dtype=np.int64)
     distance = np.full((len(q), k), np.inf)
-    if k_used == 0:
-        return position, distance
-    rough = Rough(b, p, np.float32) if Rough.serves(b, p) and k <= ROUGH_MOST else None
-    if rough is not None and rough.usable and len(q):
-        x = rough.scaled(q)
-        fits = rough.fits(x)
-        _nearest_rough(rough, np.flatnonzero(fits), x, q, b, k, q_tag, b_tag, position, distance)
-        rest = np.flatnonzero(~fits)
-        if len(rest):
-            position[rest], distance[rest] = _nearest_plain(q[rest], b, k, p, None if q_tag is None else q_tag[rest], b_tag)
+    if k_used == 0 or not len(q):
         return position, distance
+    if Rough.serves(b, p) and k <= ROUGH_MOST:
+        rough = Floors(b, p) if Floors.serves(q, b, p) else Rough(b, p, np.float32)
+        if rough.usable:
+            x = rough.scaled(q)
+            fits = rough.fits(x)
+            _nearest_rough(rough, np.flatnonzero(fits), x, q, b, k, q_tag, b_tag, within, position, distance)
+            rest = np.flatnonzero(~fits)
+            if len(rest):
+                position[rest], distance[rest] = _nearest_plain(q[rest], b, k, p, None if q_tag is None else q_tag[rest], b_tag)
+            return position, distance
     return _nearest_plain(q, b, k, p, q_tag, b_tag)
 
 
-def _nearest_rough(rough, rows, x, q, b, k, q_tag, b_tag, position, distance) -> None:
+def _nearest_rough(rough, rows, x, q, b, k, q_tag, b_tag, within, position, distance) -> None:
     """Fill in the neighbours of the given rows: rough distances name those that can be among the nearest.
 
-    The k-th smallest of the groups' least distances is no less than the k-th smallest of all.
+    The base is read block by block. A row's k-th distance so far bounds what is measured in the next; at first that is the
+    largest of the k that look nearest.
     """
-    x, q, off = x[rows], q[rows], rough.off(x[rows])
+    q, off, asked = q[rows], rough.off(x[rows]), rough.asked(x[rows])
+    bound = np.full(len(rows), np.inf) if within is None else within[rows].astype(np.float64)
     barred = None if q_tag is None else Barred(q_tag[rows], b_tag)
-    for part in rough.parts(len(rows)):
-        d = rough.table(x[part])
+    best, where = np.full((len(rows), k), np.inf), np.zeros((len(rows), k), np.int64)
+    for at in range(0, len(b), rough.wide):
+        table, found, held = rough.block(at), [], 0
         if barred is not None:
-            barred.bar(d, part)
-        least = d.reshape(len(d), -1, GROUPS).min(axis=1)
-        bound = np.partition(least, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2.5 * off[part]
-        near = np.flatnonzero(d <= bound[:, None].astype(d.dtype))
-        row, column = np.divmod(near, d.shape[1])
-        kept = np.isfinite(d[row, column])
-        row, column = row[kept], column[kept]
-        exact = of_pairs(q[part], b, row, column, rough.p)
-        order = np.lexsort((column, exact, row))
-        row, column, exact = row[order], column[order], exact[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        best = rank < k
-        at = rows[part][row[best]]
-        position[at, rank[best]], distance[at, rank[best]] = column[best], exact[best]
+            barred.block(at, rough.wide)
+        for top in range(0, len(rows), rough.high):
+            part = slice(top, min(top + rough.high, len(rows)))
+            d = table(asked[part])
+            if barred is not None:
+                barred.bar(d, part, rough.barred)
+            free = np.flatnonzero(np.isinf(bound[part]))
+            if len(free) and d.shape[1] >= k:
+                some = d[free]
+                column = np.argpartition(some, k - 1, axis=1)[:, :k]
+                allowed = (np.take_along_axis(some, column, axis=1) < rough.barred).all(axis=1)
+                free, column = top + free[allowed], at + column[allowed]
+                bound[free] = of_pairs(q, b, np.repeat(free, k), column.ravel(), rough.p).reshape(-1, k).max(axis=1, initial=0.0)
+            row, column = marked(d <= rough.edge(bound[part], off[part])[:, None])
+            found.append((top + row, at + column))
+            held += len(row)
+            if held > PAIRS or part.stop == len(rows):
+                row, column = (np.concatenate(c) for c in zip(*found))
+                exact = of_pairs(q, b, row, column, rough.p)
+                _keep_best(best, where, bound, row, column, exact)
+                found, held = [], 0
+    position[rows], distance[rows] = where, best
+
+
+def _keep_best(best, where, bound, row, column, exact) -> None:
+    """Take pairs into the k best of their rows, by distance, then column, and lower the rows' bounds."""
+    k = best.shape[1]
+    good = exact <= bound[row]
+    row, column, exact = row[good], column[good], exact[good]
+    some = np.unique(row)
+    held = np.isfinite(best[some])
+    row = np.concatenate([np.repeat(some, held.sum(axis=1)), row])
+    column, exact = np.concatenate([where[some][held], column]), np.concatenate([best[some][held], exact])
+    order = np.lexsort((column, exact, row))
+    row, column, exact = row[order], column[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = rank < k
+    best[some] = np.inf
+    best[row[kept], rank[kept]], where[row[kept], rank[kept]] = exact[kept], column[kept]
+    bound[some] = np.minimum(bound[some], best[some, -1])
 
 
 def _nearest_plain(q, b, k, p, q_tag, b_tag):
@@ -288,9 +444,13 @@ def summary(q, b, p, q_tag=None, b_tag=None, radius: float = -1.0, wanted=(NEAR,
     Infinity without any base row. Only what is `wanted`, and the number of all, is sure to be found.
     """
     found = np.zeros((5, len(q)))
-    sums = TOTAL in wanted or POSITIVE in wanted
+    sums, near = TOTAL in wanted or POSITIVE in wanted, NEAR in wanted
     rough = Rough(b, p, np.float64 if sums else np.float32) if p in (2, "angle") and Rough.serves(b, p) else None
     if rough is None or not rough.usable or not len(q):
+        if near and Rough.serves(b, p) and not sums and WITHIN not in wanted:
+            found[NEAR] = nearest(q, b, 1, p, q_tag, b_tag)[1][:, 0]
+            found[COUNT] = len(b) - (Barred(q_tag, b_tag).block(0, len(b)).counts() if q_tag is not None else 0)
+            return found
         return _summary_plain(found, q, b, p, q_tag, b_tag, radius)
     x = rough.scaled(q)
     fits = rough.fits(x)
@@ -298,51 +458,54 @@ def summary(q, b, p, q_tag=None, b_tag=None, radius: float = -1.0, wanted=(NEAR,
     if len(rest):
         found[:, rest] = _summary_plain(found[:, rest], q[rest], b, p, None if q_tag is None else q_tag[rest], b_tag, radius)
     x, q, off = x[rows], q[rows], rough.off(x[rows])
-    barred = None if q_tag is None else Barred(q_tag[rows], b_tag)
+    q_tag = None if q_tag is None else q_tag[rows]
+    if near:
+        found[NEAR, rows] = nearest(q, b, 1, p, q_tag, b_tag)[1][:, 0]
+    asked, slack = rough.asked(x), 2.5 * off
+    barred = None if q_tag is None else Barred(q_tag, b_tag)
+    found[COUNT, rows] = len(b)
+    found[POSITIVE, rows] = len(b)
     edge = (radius * rough.scale) ** 2 if p == 2 else 2 * radius * rough.scale**2
-    for part in rough.parts(len(rows)):
-        at, slack, d = rows[part], 2.5 * off[part], rough.table(x[part])
-        gone = barred.bar(d, part) if barred is not None else 0
-        found[COUNT, at] = len(b) - gone
-        least = d.min(axis=1)
-
-        def open_pairs(some: np.ndarray, low, high):
-            """Rows and columns of the pairs of `some` rows between two bounds, and their exact distances."""
-            whole = len(some) == len(d)
-            kept = (d if whole else d[some]) <= high[some, None].astype(d.dtype)
-            if low is not None:
-                kept &= (d if whole else d[some]) >= low[some, None].astype(d.dtype)
-            row, column = np.divmod(np.flatnonzero(kept), d.shape[1])
-            row = some[row]
-            kept = np.isfinite(d[row, column])
-            row, column = row[kept], column[kept]
-            return row, column, of_pairs(q[part], b, row, column, p)
-
-        everything = np.arange(len(d))
-        if NEAR in wanted:
-            near = np.full(len(d), np.inf)
-            row, _, exact = open_pairs(everything, None, least + slack)
-            np.minimum.at(near, row, exact)
-            found[NEAR, at] = near
-        if WITHIN in wanted and radius > 0:
-            wide = slack + 4 * rough.eps * edge
-            low, high = edge - wide, edge + wide
-            sure, most = (np.count_nonzero(d < bound[:, None].astype(d.dtype), axis=1) for bound in (low, high))
-            row, _, exact = open_pairs(np.flatnonzero(most > sure), low, high)
-            found[WITHIN, at] = sure + np.bincount(row[exact < radius], minlength=len(d))
-        if sums:
-            # a small difference of large squares says little: such pairs are measured again
-            small = 400.0 * slack
-            row, column, exact = open_pairs(np.flatnonzero(least <= small), None, small)
-            found[POSITIVE, at] = found[COUNT, at] - np.bincount(row[exact == 0], minlength=len(d))
-            if TOTAL in wanted:
-                d[~np.isfinite(d)] = 0.0
-                np.maximum(d, 0.0, out=d)
-                d[row, column] = 0.0
-                if p == 2:
-                    np.sqrt(d, out=d)
-                total = d.sum(axis=1) * (1 / rough.scale if p == 2 else 0.5 / rough.scale**2)
-                found[TOTAL, at] = total + np.bincount(row, weights=exact, minlength=len(d))
+    wide = slack + 4 * rough.eps * edge
+    for at in range(0, len(b), rough.wide):
+        table = rough.block(at)
+        if barred is not None:
+            barred.block(at, rough.wide)
+        for top in range(0, len(rows), rough.high):
+            part = slice(top, min(top + rough.high, len(rows)))
+            here, d = rows[part], table(asked[part])
+            if barred is not None:
+                gone = barred.bar(d, part, rough.barred)
+                found[COUNT, here] -= gone
+                found[POSITIVE, here] -= gone
+
+            def open_pairs(low, high):
+                """Rows and columns of the pairs between two bounds, and their exact distances."""
+                kept = d <= high[part, None].astype(d.dtype)
+                if low is not None:
+                    kept &= d >= low[part, None].astype(d.dtype)
+                row, column = marked(kept)
+                kept = np.isfinite(d[row, column])
+                row, column = row[kept], column[kept]
+                return row, column, of_pairs(q[part], b, row, at + column, p) if len(row) else np.zeros(0)
+
+            if WITHIN in wanted and radius > 0:
+                row, _, exact = open_pairs(edge - wide, edge + wide)
+                sure = np.count_nonzero(d < (edge - wide)[part, None].astype(d.dtype), axis=1)
+                found[WITHIN, here] += sure + np.bincount(row[exact < radius], minlength=len(d))
+            if sums:
+                # a small difference of large squares says little: such pairs are measured again
+                row, column, exact = open_pairs(None, 400.0 * slack)
+                found[POSITIVE, here] -= np.bincount(row[exact == 0], minlength=len(d))
+                if TOTAL in wanted:
+                    if barred is not None:
+                        d[~np.isfinite(d)] = 0.0
+                    np.maximum(d, 0.0, out=d)
+                    d[row, column] = 0.0
+                    if p == 2:
+                        np.sqrt(d, out=d)
+                    total = d.sum(axis=1) * (1 / rough.scale if p == 2 else 0.5 / rough.scale**2)
+                    found[TOTAL, here] += total + np.bincount(row, weights=exact, minlength=len(d))
     return found
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import operator
 import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,12 +109,16 @@ class Space:
         return 8 * (self.width + 3)
 
 
+def points(column: pd.Series, width: int) -> np.ndarray:
+    """A column of vectors as a matrix."""
+    return np.concatenate([np.empty(0), *column]).reshape(-1, width)
+
+
 def local_arrays(rows: pd.DataFrame, width: int, tagged: bool):
     """(ids, values, points, tags) of base rows, sorted by id."""
     rows = rows.sort_values("_id", kind="stable")
-    points = np.array(rows["_x"].tolist(), dtype=np.float64).reshape(-1, width)
     tags = rows["_tag"].to_numpy(dtype=object) if tagged else None
-    return rows["_id"].to_numpy(), rows["_y"].to_numpy(dtype=np.float64), points, tags
+    return rows["_id"].to_numpy(), rows["_y"].to_numpy(dtype=np.float64), points(rows["_x"], width), tags
 
 
 def packed(df: DataFrame, space: Space, ident: str | None, value: str | None) -> DataFrame:
@@ -155,7 +160,7 @@ def local_base(
     rows = packed(base, space, ident, value)
     if not fits_broadcast(rows, space.row_bytes, limit):
         return None
-    local = local_arrays(rows.toPandas(), space.width, space.exclude is not None)
+    local = local_arrays(rows.toArrow().to_pandas(), space.width, space.exclude is not None)
     return base.sparkSession.sparkContext.broadcast(local)
 
 
@@ -291,9 +296,8 @@ def _boxes(rows: DataFrame, width: int) -> Boxes:
     depth = max(1, int(np.ceil(np.log2(max(2.0, n / BLOCK_ROWS)))))
     share = min(1.0, SPLIT_SAMPLE / max(1, n))
     # the share bounds the sample; a prefix of it would see the first partitions only
-    sample = rows.select("_x").sample(share, seed=1).toPandas()["_x"]
-    points = np.array(sample.tolist(), dtype=np.float64).reshape(-1, width)
-    axis, cut = _splits(points, depth)
+    sample = rows.select("_x").sample(share, seed=1).toArrow().column(0)
+    axis, cut = _splits(kernels.matrix(sample.combine_chunks(), width), depth)
     rows = rows.withColumn("_box", _box_number(depth, axis, cut))
     bounds = [F.min(F.get("_x", F.lit(f))).alias(f"lo{f}") for f in range(width)]
     bounds += [F.max(F.get("_x", F.lit(f))).alias(f"hi{f}") for f in range(width)]
@@ -307,25 +311,36 @@ def _boxes(rows: DataFrame, width: int) -> Boxes:
     )
 
 
-def _compare(queries: DataFrame, visits: str, boxes: Boxes, row_bytes: int, schema: str, compare, merge) -> DataFrame:
-    """Run `compare(query rows, base rows)` on every query row and each box in its list `visits`.
+@dataclass(frozen=True)
+class Meeting:
+    """What is asked of query rows and base rows that meet: each side's arrays, their comparison, and what to keep of several."""
+
+    schema: str
+    asked: Callable[[pd.DataFrame], tuple]
+    known: Callable[[pd.DataFrame], tuple]
+    compare: Callable[[tuple, tuple], pd.DataFrame]
+    merge: Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def _compare(queries: DataFrame, visits: str, boxes: Boxes, row_bytes: int, meeting: Meeting) -> DataFrame:
+    """Compare every query row with each box in its list `visits`.
 
     Where boxes exclude much, rows meet in tasks: a box with many rows is cut into pieces that
     each query visits; a box with many queries is repeated for slices of them. Both are spread
     by hash, so one task sees at most about BLOCK_ROWS rows of either side. Where query rows visit
     more than one in DENSE of all boxes, as they do in many features, copies of them would grow with the square of the
     rows: then the boxes are sent to the query rows instead, a block of them after another, and
-    `merge` reduces what a task finds in a block. The comparisons are the same.
+    what a task finds in a block is merged. The comparisons are the same.
     """
     # a list is counted, not its rows: one row per box reaches the driver
     demand = {r[0]: r[1] for r in queries.select(F.explode(visits).alias("_box")).groupBy("_box").count().collect()}
     if len(boxes.number) > DENSE and sum(demand.values()) * DENSE > queries.count() * len(boxes.number):
-        return _sent(queries, visits, boxes, row_bytes, demand, schema, compare, merge)
+        return _sent(queries, visits, boxes, row_bytes, demand, meeting)
     routes = queries.withColumn("_box", F.explode(visits)).drop(visits)
-    return _met(routes, boxes, demand, schema, compare)
+    return _met(routes, boxes, demand, meeting)
 
 
-def _sent(queries: DataFrame, visits: str, boxes: Boxes, row_bytes: int, demand: dict, schema: str, compare, merge) -> DataFrame:
+def _sent(queries: DataFrame, visits: str, boxes: Boxes, row_bytes: int, demand: dict, meeting: Meeting) -> DataFrame:
     """`_compare` by sending the boxes, in blocks of at most BROADCAST_BYTES or one box, to the query rows where they lie."""
     spark, size = queries.sparkSession, max(BLOCK_ROWS, BROADCAST_BYTES // row_bytes)
     tasks = max(DEALT_TASKS * spark.sparkContext.defaultParallelism, -(-queries.count() // BLOCK_ROWS))
@@ -347,19 +362,23 @@ def _sent(queries: DataFrame, visits: str, boxes: Boxes, row_bytes: int, demand:
     def with_block(block) -> DataFrame:
         wanted = [(F.col("_box") == box) & (F.col("_part") % pieces == piece) for box, piece, pieces in block]
         part = rows.where(functools.reduce(operator.or_, wanted)).drop("_part").toArrow().to_pandas()
-        sent = spark.sparkContext.broadcast(dict(tuple(part.groupby("_box", sort=False))))
+        sent = spark.sparkContext.broadcast({box: meeting.known(rows) for box, rows in part.groupby("_box", sort=False)})
 
         def per_batch(batches):
             for q in batches:
                 lists = q[visits].to_numpy()
                 owner = np.repeat(np.arange(len(q)), [len(x) for x in lists])
-                asked = np.concatenate(lists) if len(lists) else owner
-                found = [compare(q.iloc[owner[asked == box]], base) for box, base in sent.value.items()]
+                wanted = np.concatenate(lists) if len(lists) else owner
+                asked, found = meeting.asked(q), []
+                for box, base in sent.value.items():
+                    some = owner[wanted == box]
+                    if len(some):
+                        found.append(meeting.compare(tuple(None if x is None else x[some] for x in asked), base))
                 found = [f for f in found if len(f)]
                 if found:
-                    yield merge(pd.concat(found, ignore_index=True))
+                    yield meeting.merge(pd.concat(found, ignore_index=True))
 
-        found = stored(queries.mapInPandas(per_batch, schema), "met")
+        found = stored(queries.mapInPandas(per_batch, meeting.schema), "met")
         sent.destroy()
         return found
 
@@ -368,7 +387,7 @@ def _sent(queries: DataFrame, visits: str, boxes: Boxes, row_bytes: int, demand:
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _met(routes: DataFrame, boxes: Boxes, demand: dict, schema: str, compare) -> DataFrame:
+def _met(routes: DataFrame, boxes: Boxes, demand: dict, meeting: Meeting) -> DataFrame:
     """`_compare` of routed (query, box) rows by shuffling them."""
     spark = routes.sparkSession
     plan = [
@@ -393,7 +412,11 @@ def _met(routes: DataFrame, boxes: Boxes, demand: dict, schema: str, compare) ->
     query = routes.join(layout, "_box").withColumn("_slice", spread("_slices", "_qid"))
     query = query.withColumn("_piece", all_of("_pieces")).drop("_pieces", "_slices")
     task = ["_box", "_piece", "_slice"]
-    return query.groupBy(*task).cogroup(base.groupBy(*task)).applyInPandas(compare, schema)
+
+    def met(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return meeting.compare(meeting.asked(q), meeting.known(b))
+
+    return query.groupBy(*task).cogroup(base.groupBy(*task)).applyInPandas(met, meeting.schema)
 
 
 def least(found: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
@@ -406,19 +429,22 @@ def least(found: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
 
 
 def _top_k(queries: DataFrame, visits: str, boxes: Boxes, space: Space, k: int) -> DataFrame:
-    """(_qid, _hits) with the k best (distance, id, value) of the boxes that each query visits."""
+    """(_qid, _hits) with the k best (distance, id, value) of the boxes that each query visits, up to its `_reach` where it has one."""
     p, width, tagged = space.p, space.width, space.exclude is not None
     id_type = boxes.rows.schema["_id"].dataType.simpleString()
+    bounded = "_reach" in queries.columns
+
+    def asked(q: pd.DataFrame) -> tuple:
+        reach = q["_reach"].to_numpy(dtype=np.float64) if bounded else None
+        return q["_qid"].to_numpy(), points(q["_qx"], width), q["_qtag"].to_numpy(dtype=object) if tagged else None, reach
 
-    def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, values, base_points, tags = local_arrays(b, width, tagged)
-        points = np.array(q["_qx"].tolist(), dtype=np.float64).reshape(-1, width)
-        tag = q["_qtag"].to_numpy(dtype=object) if tagged else None
-        position, distance = kernels.nearest(points, base_points, k, p, tag, tags)
+    def compare(q: tuple, b: tuple) -> pd.DataFrame:
+        (who, x, tag, reach), (ids, values, base_points, tags) = q, b
+        position, distance = kernels.nearest(x, base_points, k, p, tag, tags, reach)
         kept = np.isfinite(distance)
         return pd.DataFrame(
             {
-                "_qid": np.repeat(q["_qid"].to_numpy(), kept.sum(axis=1)),
+                "_qid": np.repeat(who, kept.sum(axis=1)),
                 "distance": distance[kept],
                 "id": ids[position][kept] if len(ids) else ids[:0],
                 "value": values[position][kept] if len(ids) else np.zeros(0),
@@ -426,7 +452,8 @@ def _top_k(queries: DataFrame, visits: str, boxes: Boxes, space: Space, k: int)
         )
 
     schema = f"_qid bigint, distance double, id {id_type}, value double"
-    hits = _compare(queries, visits, boxes, space.row_bytes, schema, compare, lambda found: least(found, ["_qid"], k))
+    meeting = Meeting(schema, asked, lambda b: local_arrays(b, width, tagged), compare, lambda found: least(found, ["_qid"], k))
+    hits = _compare(queries, visits, boxes, space.row_bytes, meeting)
     return _merge(hits.groupBy("_qid").agg(F.collect_list(F.struct("distance", "id", "value")).alias("_hits")), k)
 
 
@@ -482,7 +509,7 @@ def _boxed(
     bounded = queries.join(first, "_qid", "left").withColumn(
         "_reach", F.coalesce(reach, F.lit(float("inf")))
     )
-    asked = stored(bounded.select("_qid", "_qx", "_qtag", others("_qx", "_box", "_reach").alias("_visits")), "asked")
+    asked = stored(bounded.select("_qid", "_qx", "_qtag", "_reach", others("_qx", "_box", "_reach").alias("_visits")), "asked")
     second = _top_k(asked, "_visits", boxes, space, k)
     both = first.unionByName(second).groupBy("_qid").agg(
         F.flatten(F.collect_list("_hits")).alias("_hits")
@@ -536,17 +563,23 @@ def bagged_search(
         kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
         return owner[kept], distance[order][kept], value[order][kept]
 
-    @F.arrow_udf("array<bigint>")
-    def others(x: pa.Array, seen: pa.Array, hits: pa.Array) -> pa.Array:
-        number, low, high = bounds.value
-        q = kernels.matrix(x, width)
+    @F.arrow_udf("array<double>")
+    def reaches(hits: pa.Array) -> pa.Array:
+        """The k-th distance of each bag; infinite where there are fewer."""
         owner, distance, _ = best(hits)
-        reach = np.full(len(q) * bags, np.inf)
+        reach = np.full(len(hits) * bags, np.inf)
         last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) if len(owner) else np.zeros(0, np.int64)
         full = last[last - np.searchsorted(owner, owner[last]) == k - 1] if len(last) else last
         reach[owner[full]] = distance[full]
+        reach = reach.reshape(len(hits), bags)
+        return kernels.ragged(reach, np.ones(reach.shape, dtype=bool), pa.float64())
+
+    @F.arrow_udf("array<bigint>")
+    def others(x: pa.Array, seen: pa.Array, reach: pa.Array) -> pa.Array:
+        number, low, high = bounds.value
+        q = kernels.matrix(x, width)
         # rounding must not lose a box that only just reaches
-        reach = reach.reshape(len(q), bags) * (1 + 1e-9)
+        reach = kernels.matrix(reach, bags) * (1 + 1e-9)
         home = seen.to_numpy(zero_copy_only=False)[:, None]
         found = []
         for part in kernels.slices(len(q), len(low)):
@@ -566,16 +599,21 @@ def bagged_search(
         found = kernels.neighbour_mean(d, y, weights).reshape(len(hits), bags)
         return kernels.ragged(found, np.ones(found.shape, dtype=bool), pa.float64())
 
-    def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def sought(q: pd.DataFrame) -> tuple:
+        reach = points(q["_reach"], bags) if "_reach" in q.columns else np.full((len(q), bags), np.inf)
+        return q["_qid"].to_numpy(), points(q["_qx"], width), reach
+
+    def known(b: pd.DataFrame) -> tuple:
         b = b.sort_values("_id", kind="stable")
-        points = np.array(b["_x"].tolist(), dtype=np.float64).reshape(-1, width)
         drawn = np.array(b["_bags"].tolist(), dtype=np.int64).reshape(-1, bags)
-        queries = np.array(q["_qx"].tolist(), dtype=np.float64).reshape(-1, width)
-        ids, y, who = b["_id"].to_numpy(), b["_y"].to_numpy(dtype=np.float64), q["_qid"].to_numpy()
+        return b["_id"].to_numpy(), b["_y"].to_numpy(dtype=np.float64), points(b["_x"], width), drawn
+
+    def compare(q: tuple, b: tuple) -> pd.DataFrame:
+        (who, x, reach), (ids, y, base_points, drawn) = q, b
         parts = []
         for bag, place in enumerate(places):
             copies = np.repeat(np.arange(len(ids)), drawn[:, bag])
-            position, distance = kernels.nearest(queries[:, place], points[copies][:, place], k, p)
+            position, distance = kernels.nearest(x[:, place], base_points[copies][:, place], k, p, within=reach[:, bag])
             kept = np.isfinite(distance)
             at = copies[position[kept]]
             parts.append((np.repeat(who, kept.sum(axis=1)), np.full(len(at), bag, np.int32), distance[kept], ids[at], y[at]))
@@ -584,14 +622,16 @@ def bagged_search(
 
     def hits(visiting: DataFrame) -> DataFrame:
         schema = "_qid bigint, bag int, distance double, id bigint, value double"
-        found = _compare(visiting, "_visits", boxes, space.row_bytes + 8 * bags, schema, compare, lambda found: least(found, ["_qid", "bag"], k))
+        meeting = Meeting(schema, sought, known, compare, lambda found: least(found, ["_qid", "bag"], k))
+        found = _compare(visiting, "_visits", boxes, space.row_bytes + 8 * bags, meeting)
         return found.groupBy("_qid").agg(F.collect_list(F.struct("bag", "distance", "id", "value")).cast(entry).alias("_hits"))
 
     queries = asked.select(F.col(ROW).alias("_qid"), space.vector().alias("_qx"), F.lit(None).cast("string").alias("_qtag"))
     queries = stored(queries.withColumn("_box", home("_qx")), "queries")
     first = stored(hits(queries.withColumn("_visits", F.array("_box"))), "first")
     bounded = queries.join(first, "_qid", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(entry)))
-    visiting = stored(bounded.select("_qid", "_qx", "_qtag", others("_qx", "_box", "_hits").alias("_visits")), "asked")
+    bounded = bounded.withColumn("_reach", reaches("_hits"))
+    visiting = stored(bounded.select("_qid", "_qx", "_qtag", "_reach", others("_qx", "_box", "_reach").alias("_visits")), "asked")
     both = first.unionByName(hits(visiting)).groupBy("_qid").agg(F.flatten(F.collect_list("_hits")).alias("_hits"))
     return both.select(F.col("_qid").alias(ROW), answer("_hits").alias(out))
 
@@ -614,9 +654,6 @@ def distance_sums(
         names = {"total": found[kernels.TOTAL], "positive": found[kernels.POSITIVE].astype(np.int64), "pairs": found[kernels.COUNT].astype(np.int64)}
         return pd.DataFrame({name: [values.sum()] for name, values in names.items()})
 
-    def points(column):
-        return np.array(column.tolist(), dtype=np.float64).reshape(-1, width)
-
     queries = packed(query, space, None, None)
     shared = shared or local_base(base.withColumn("_one", F.lit(0)), space, "_one", None, limit)
     if shared is not None:
@@ -625,7 +662,7 @@ def distance_sums(
             _, _, base_points, tags = shared.value
             for rows in batches:
                 tag = rows["_tag"].to_numpy(dtype=object) if tagged else None
-                yield add_up(points(rows["_x"]), tag, base_points, tags if tagged else None)
+                yield add_up(points(rows["_x"], width), tag, base_points, tags if tagged else None)
 
         sums = dealt(queries.select("_x", "_tag"), len(shared.value[0])).mapInPandas(per_batch, schema)
     else:
@@ -639,14 +676,14 @@ def distance_sums(
 
         def with_block(b):
             """Sums over one block of the base, which is sent to the query rows where they lie."""
-            part = rows.where(F.pmod(F.xxhash64("_n"), F.lit(blocks)) == b).toPandas()
-            sent = query.sparkSession.sparkContext.broadcast((points(part["_x"]), part["_tag"].to_numpy(dtype=object)))
+            part = rows.where(F.pmod(F.xxhash64("_n"), F.lit(blocks)) == b).toArrow().to_pandas()
+            sent = query.sparkSession.sparkContext.broadcast((points(part["_x"], width), part["_tag"].to_numpy(dtype=object)))
 
             def per_batch(batches):
                 block, tags = sent.value
                 for q in batches:
                     tag = q["_tag"].to_numpy(dtype=object) if tagged else None
-                    yield add_up(points(q["_x"]), tag, block, tags if tagged else None)
+                    yield add_up(points(q["_x"], width), tag, block, tags if tagged else None)
 
             found = queries.mapInPandas(per_batch, schema).agg(F.sum("total"), F.sum("positive"), F.sum("pairs")).first()
             sent.unpersist()
@@ -787,11 +824,12 @@ def with_count_within(
             found.append(pa.StructArray.from_arrays([counts, lists], ["inside", "partly"]))
         return pa.concat_arrays(found)
 
-    def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        base_points = local_arrays(b, width, False)[2]
-        points = np.array(q["_qx"].tolist(), dtype=np.float64).reshape(-1, width)
-        counts = kernels.summary(points, base_points, p, radius=radius, wanted=(kernels.WITHIN,))[kernels.WITHIN]
-        return pd.DataFrame({"_qid": q["_qid"], "n": counts.astype(np.int64)})
+    def compare(q: tuple, b: tuple) -> pd.DataFrame:
+        counts = kernels.summary(q[1], b[2], p, radius=radius, wanted=(kernels.WITHIN,))[kernels.WITHIN]
+        return pd.DataFrame({"_qid": q[0], "n": counts.astype(np.int64)})
+
+    def asked(q: pd.DataFrame) -> tuple:
+        return q["_qid"].to_numpy(), points(q["_qx"], width)
 
     queries = stored(_queries(rows, space).withColumn("_route", route("_qx")), "queries")
     visiting = queries.select("_qid", "_qx", "_qtag", F.col("_route.partly").alias("_visits"))
@@ -799,7 +837,8 @@ def with_count_within(
     def merge(found: pd.DataFrame) -> pd.DataFrame:
         return found.groupby("_qid", as_index=False)["n"].sum()
 
-    near = _compare(visiting, "_visits", boxes, space.row_bytes, "_qid bigint, n bigint", compare, merge)
+    meeting = Meeting("_qid bigint, n bigint", asked, lambda b: local_arrays(b, width, False), compare, merge)
+    near = _compare(visiting, "_visits", boxes, space.row_bytes, meeting)
     counts = (
         queries.select("_qid", F.col("_route.inside").alias("n"))
         .unionByName(near)
